@@ -168,6 +168,25 @@ class TermBlock:
         return np.round(self.weight(batch) / self.total[:, None], 9) + 0.0
 
 
+class TokenBlock:
+    """Counts the tokens that a chunk's token list shares with each question."""
+
+    def __init__(self, questions: pa.Table):
+        self.ids = questions["query_id"].to_numpy()
+        self.askers: dict[str, list[int]] = {}
+        for q, tokens in enumerate(questions["tokens"].to_pylist()):
+            for t in set(tokens):
+                self.askers.setdefault(t, []).append(q)
+
+    def scores(self, batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros((len(self.ids), batch.num_rows))
+        for i, tokens in enumerate(batch.column(batch.schema.get_field_index("tokens")).to_pylist()):
+            for t in tokens:
+                if t in self.askers:
+                    out[self.askers[t], i] += 1
+        return out
+
+
 class TermThenVectorBlock:
     """Orders by words found, then by similarity, folded into one number.
 

@@ -1,5 +1,5 @@
 """Queries over the driver's tables, each next to the SQL that checks it."""
 
-from docquarry.registry import retrieval
+from docquarry.registry import retrieval, texts
 
-MODULES = [retrieval]
+MODULES = [retrieval, texts]

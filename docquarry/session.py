@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = 8, app: str = "docquarry", shuffle_partitions: int = 8) -> SparkSession:
@@ -53,3 +54,12 @@ def persist_table(df: DataFrame, purpose: str) -> DataFrame:
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``; runs nothing."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """``df`` marked for broadcast when it is checked to be small, else as it is.
+
+    The check reads no more than ``max_rows`` + 1 rows and keeps them on the
+    executors. Meant for request lists; larger ones are joined by shuffle.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
