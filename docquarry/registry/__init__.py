@@ -1,5 +1,5 @@
 """Queries over the driver's tables, each next to the SQL that checks it."""
 
-from docquarry.registry import retrieval, texts
+from docquarry.registry import index, retrieval, texts, upkeep
 
-MODULES = [retrieval, texts]
+MODULES = [retrieval, texts, index, upkeep]
