@@ -286,29 +286,38 @@ def long_words(c: Column) -> Column:
     return F.filter(words(F.lower(c)), lambda w: F.length(w) >= 3)
 
 
-def sentence_supported(sentence: Column, content: Column, share: float = 0.25) -> Column:
-    """Is a sentence backed by ``content``?
+def sentence_facts(sentence: Column) -> Column:
+    """What :func:`supported_by` needs to know of a sentence, worked out once."""
+    def of(core: Column) -> Column:
+        return F.struct(
+            F.lower(core).alias("text"),
+            F.lower(strip(F.substring_index(core, ",", 1))).alias("head"),
+            F.regexp_extract_all(
+                core, F.lit(rf"{EDGE_START}(19[89]\p{{Nd}}|20[0-9]\p{{Nd}}){EDGE_END}"), F.lit(1)).alias("years"),
+            long_words(core).alias("words"))
+
+    return let(sentence_core(sentence), of)
+
+
+def supported_by(facts: Column, hay: Column, share: float = 0.25) -> Column:
+    """Is a sentence backed by the lower-case text ``hay``?
 
     Yes when the text or the part before its first comma occurs literally;
     otherwise every year it names must occur and at least ``max(2, share)`` of
     its longer words. An empty part before a leading comma occurs everywhere.
     """
+    hits = F.size(F.filter(facts["words"], lambda w: F.contains(hay, w)))
+    return (
+        F.when(facts["text"] == "", F.lit(False))
+        .when(F.contains(hay, facts["text"]) | F.contains(hay, facts["head"]), F.lit(True))
+        .when(~F.forall(facts["years"], lambda y: F.contains(hay, y)), F.lit(False))
+        .otherwise(hits >= F.greatest(F.lit(2.0), F.size(facts["words"]) * F.lit(share)))
+    )
 
-    def judge(p: Column) -> Column:
-        core, hay = p["core"], p["hay"]
-        years = F.regexp_extract_all(
-            core, F.lit(rf"{EDGE_START}(19[89]\p{{Nd}}|20[0-9]\p{{Nd}}){EDGE_END}"), F.lit(1))
-        ws = long_words(core)
-        hits = F.size(F.filter(ws, lambda w: F.contains(hay, w)))
-        return (
-            F.when(core == "", F.lit(False))
-            .when(F.contains(hay, F.lower(core)), F.lit(True))
-            .when(F.contains(hay, F.lower(strip(F.substring_index(core, ",", 1)))), F.lit(True))
-            .when(~F.forall(years, lambda y: F.contains(hay, y)), F.lit(False))
-            .otherwise((hits >= 2) & (hits >= F.size(ws) * F.lit(share)))
-        )
-
-    return let(F.struct(sentence_core(sentence).alias("core"), F.lower(content).alias("hay")), judge)
+
+def sentence_supported(sentence: Column, content: Column, share: float = 0.25) -> Column:
+    return let(F.struct(sentence_facts(sentence).alias("f"), F.lower(content).alias("hay")),
+               lambda p: supported_by(p["f"], p["hay"], share))
 
 
 # --- claims ------------------------------------------------------------------------------

@@ -15,14 +15,22 @@ from docquarry.functions import text as tx
 from docquarry.functions.text import SPACE, let
 
 
+_CHUNK_TYPE = "array<struct<rank:int,source:string,location:string,hay:string,words:array<string>>>"
+
+
 def chunk_lists(evidence: DataFrame) -> DataFrame:
-    """``(answer_id, chunks)``: the retrieved chunks of each answer in rank order."""
-    return evidence.groupBy("answer_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "source", "location", "content"))).alias("chunks"))
+    """``(answer_id, chunks)``: the retrieved chunks of each answer in rank order.
+
+    Texts are lowered and cut into words here, once per chunk, rather than once
+    per sentence that is held against them.
+    """
+    low = evidence.withColumn("hay", F.lower("content")).withColumn("words", F.array_distinct(tx.words(F.col("hay"))))
+    return low.groupBy("answer_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "source", "location", "hay", "words"))).alias("chunks"))
 
 
 def _with_chunks(answers: DataFrame, evidence: DataFrame) -> DataFrame:
-    none = F.array().cast("array<struct<rank:int,source:string,location:string,content:string>>")
+    none = F.array().cast(_CHUNK_TYPE)
     return answers.join(chunk_lists(evidence), "answer_id", "left").withColumn("chunks", F.coalesce("chunks", none))
 
 
@@ -34,27 +42,28 @@ _TRANSITION = "(?i)" + fixed.TRANSITION_PATTERN.replace("{s0}", SPACE + "+")
 
 
 def joined_sources(chunks: Column, source: Column) -> Column:
-    """Texts of all chunks whose source matches a cited one, or null."""
+    """Lower-case texts of all chunks whose source matches a cited one, or null."""
     hits = F.filter(chunks, lambda c: tx.same_source(c["source"], source))
-    return F.when(F.size(hits) > 0, F.array_join(F.transform(hits, lambda c: c["content"]), "\n\n"))
+    return F.when(F.size(hits) > 0, F.array_join(F.transform(hits, lambda c: c["hay"]), "\n\n"))
 
 
-def citations_hold(sentence: Column, cites: Column, chunks: Column) -> Column:
+def citations_hold(facts: Column, cites: Column, chunks: Column) -> Column:
     return F.forall(cites, lambda c: F.coalesce(
-        let(joined_sources(chunks, c["source"]), lambda t: tx.sentence_supported(sentence, t)), F.lit(False)))
+        let(joined_sources(chunks, c["source"]), lambda t: tx.supported_by(facts, t)), F.lit(False)))
 
 
-def best_support(sentence: Column, core: Column, chunks: Column) -> Column:
-    """The chunk with most shared words among those that support the sentence, or null."""
-    own = F.array_distinct(tx.long_words(core))
+def best_support(facts: Column, core: Column, chunks: Column) -> Column:
+    """Source and location of the chunk with most shared words among those that support the sentence."""
+    def among(own: Column) -> Column:
+        def scored(c: Column, i: Column) -> Column:
+            return F.struct((-F.size(F.array_intersect(own, c["words"]))).alias("o"), i.alias("i"))
 
-    def scored(c: Column, i: Column) -> Column:
-        shared = F.size(F.array_intersect(own, tx.words(F.lower(c["content"]))))
-        return F.struct((-shared).alias("o"), i.alias("i"), c["source"].alias("source"), c["location"].alias("location"),
-                        c["content"].alias("content"))
+        order = F.array_sort(F.filter(F.transform(chunks, scored), lambda x: x["o"] < 0))
+        fits = F.filter(order, lambda x: tx.supported_by(facts, F.get(chunks, x["i"])["hay"]))
+        return let(F.get(fits["i"], F.lit(0)), lambda i: F.when(i.isNotNull(), F.struct(
+            F.get(chunks, i)["source"].alias("source"), F.get(chunks, i)["location"].alias("location"))))
 
-    order = F.array_sort(F.filter(F.transform(chunks, scored), lambda x: x["o"] < 0))
-    return F.get(F.filter(order, lambda x: tx.sentence_supported(sentence, x["content"])), F.lit(0))
+    return let(F.array_distinct(tx.long_words(core)), among)
 
 
 def judge_sentence(s: Column, chunks: Column, strict_meta: bool = False) -> Column:
@@ -86,13 +95,14 @@ def judge_sentence(s: Column, chunks: Column, strict_meta: bool = False) -> Colu
             return (
                 F.when(dropped, keep(label, F.lit(None)))
                 .when(label.isNotNull(), keep(label, s))
-                .when(F.size(cites) > 0, let(citations_hold(s, cites, chunks), lambda ok: keep(
+                .when(F.size(cites) > 0, let(citations_hold(p["facts"], cites, chunks), lambda ok: keep(
                     F.when(ok, "cited").otherwise("bad_citation"), F.when(ok, s))))
-                .otherwise(let(best_support(s, core, chunks), auto)))
+                .otherwise(let(best_support(p["facts"], core, chunks), auto)))
 
         return let(kept_label, labelled)
 
-    return let(F.struct(tx.strip_citations(s).alias("core"), tx.citations(s).alias("cites")), of)
+    return let(F.struct(tx.strip_citations(s).alias("core"), tx.citations(s).alias("cites"),
+                        tx.sentence_facts(s).alias("facts")), of)
 
 
 def ground_answers(answers: DataFrame, evidence: DataFrame, *, strict_meta: bool = False) -> DataFrame:
@@ -122,7 +132,8 @@ def auto_cite(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """For every sentence the chunk that supports it best."""
     both = _with_chunks(answers, evidence)
     s = both.select("answer_id", "chunks", F.posexplode(tx.sentences(F.col("answer"))).alias("pos", "sentence"))
-    best = s.withColumn("b", best_support(F.col("sentence"), tx.strip_citations(F.col("sentence")), F.col("chunks")))
+    best = s.withColumn("_f", tx.sentence_facts(F.col("sentence"))).withColumn(
+        "b", best_support(F.col("_f"), tx.strip_citations(F.col("sentence")), F.col("chunks")))
     return best.select("answer_id", "pos", "sentence", "b.source", "b.location")
 
 
