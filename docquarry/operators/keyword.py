@@ -128,3 +128,26 @@ def keyword_idf_topk(
         .select("query_id", F.col("tw.word").alias("terms"), F.col("tw.idf").alias("weights")))
     c = chunks.select("id", F.lower("content").alias("text"), F.lower("source").alias("source"))
     return scoring.best_k(scoring.TermBlock, weighted, c, k, **options).filter(F.col("score") > 0)
+
+
+def containment_pairs(phrases: DataFrame, texts: DataFrame, **options) -> DataFrame:
+    """``(query_id, id)`` where the text holds the phrase in full, as written.
+
+    ``phrases``: ``query_id, phrase``; ``texts``: ``id, text``. All phrases sit in
+    one matcher, so each text is walked once however many phrases there are.
+    """
+    def fold(block: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        askers: dict[str, list[int]] = {}
+        for q, phrase in zip(block["query_id"].to_pylist(), block["phrase"].to_pylist()):
+            askers.setdefault(phrase, []).append(q)
+        order = list(askers)
+        find = scoring.matcher({p: i for i, p in enumerate(order)})
+        for batch in batches:
+            pairs = [(q, i) for i, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist())
+                     for n in find(text or "") for q in askers[order[n]]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())],
+                names=["query_id", "id"])
+
+    p = phrases.filter(F.length("phrase") > 0).select("query_id", "phrase")
+    return scoring.meet(fold, p, texts.select("id", "text"), "query_id bigint, id bigint", **options)
