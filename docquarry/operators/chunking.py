@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from docquarry.functions import fixed
 from docquarry.functions.text import (
-    SPACE, is_allowed, is_blank, let, lines, scrub, strip, timestamp_location,
+    SPACE, clean_ocr, combine_blocks, density_route, is_blank, let, lines, strip, telling_description, text_density,
+    timestamp_location,
 )
 
 
@@ -70,6 +71,18 @@ def chunk_bounds(blocks: Column, n: Column, size: int, overlap: int) -> Column:
     return F.aggregate(steps, zero, step, lambda acc: acc["out"])
 
 
+def with_text_pieces(df: DataFrame, text: str, out: str = "pieces", *, size: int = fixed.CHUNK_CHARS,
+                     overlap: int = fixed.CHUNK_OVERLAP) -> DataFrame:
+    """Replace a text column by the array of its non-blank chunks; null stays null."""
+    keep = [c for c in df.columns if c != text]
+    cut = df.select(*keep, text_blocks(F.col(text), size).alias("_blocks"), F.length(text).alias("_n"))
+    bounded = cut.select(*keep, "_blocks", chunk_bounds(F.col("_blocks"), F.col("_n"), size, overlap).alias("_bounds"))
+    pieces = F.filter(
+        F.transform("_bounds", lambda b: piece(F.col("_blocks"), size, b["start"], b["end"] - b["start"])),
+        lambda p: ~is_blank(p))
+    return bounded.select(*keep, pieces.alias(out))
+
+
 def chunk_text(df: DataFrame, text: str = "text", *, size: int = fixed.CHUNK_CHARS,
                overlap: int = fixed.CHUNK_OVERLAP) -> DataFrame:
     """One row per chunk: the input columns without the text, ``section`` and ``content``.
@@ -77,12 +90,8 @@ def chunk_text(df: DataFrame, text: str = "text", *, size: int = fixed.CHUNK_CHA
     Blank chunks are dropped before sections are numbered.
     """
     keep = [c for c in df.columns if c != text]
-    cut = df.select(*keep, text_blocks(F.col(text), size).alias("_blocks"), F.length(text).alias("_n"))
-    bounded = cut.select(*keep, "_blocks", chunk_bounds(F.col("_blocks"), F.col("_n"), size, overlap).alias("_bounds"))
-    pieces = F.filter(
-        F.transform("_bounds", lambda b: piece(F.col("_blocks"), size, b["start"], b["end"] - b["start"])),
-        lambda p: ~is_blank(p))
-    return bounded.select(*keep, F.posexplode(pieces).alias("section", "content")).withColumn("section", F.col("section") + 1)
+    return with_text_pieces(df, text, "_pieces", size=size, overlap=overlap).select(
+        *keep, F.posexplode("_pieces").alias("section", "content")).withColumn("section", F.col("section") + 1)
 
 
 _BLOCK_START = (
@@ -91,16 +100,16 @@ _BLOCK_START = (
 )
 
 
-def chunk_code(df: DataFrame, text: str = "text", *, min_lines: int = fixed.CODE_MIN_LINES,
-               max_lines: int = fixed.CODE_MAX_LINES) -> DataFrame:
-    """One row per block of code: ``block`` and ``content``.
+def with_code_pieces(df: DataFrame, text: str, out: str = "pieces", *, min_lines: int = fixed.CODE_MIN_LINES,
+                     max_lines: int = fixed.CODE_MAX_LINES) -> DataFrame:
+    """Replace a code column by the array of its non-blank blocks; null stays null.
 
     A definition opens a new block once the current one has ``min_lines``
     lines; ``max_lines`` lines close it in any case. Only the first lines of
     blocks are folded; the blocks are slices between them.
     """
     keep = [c for c in df.columns if c != text]
-    split = df.select(*keep, lines(F.col(text)).alias("_lines"))
+    split = df.select(*keep, F.when(F.col(text).isNotNull(), lines(F.col(text))).alias("_lines"))
     marked = split.select(*keep, "_lines", F.transform("_lines", lambda l: l.rlike(_BLOCK_START)).alias("_defs"))
     state_type = "struct<i:int,held:int,starts:array<int>>"
 
@@ -119,8 +128,15 @@ def chunk_code(df: DataFrame, text: str = "text", *, min_lines: int = fixed.CODE
         end = F.coalesce(F.get("_starts", i + 1), F.size("_lines"))
         return F.array_join(F.slice("_lines", s + 1, end - s), "\n")
 
-    blocks = F.filter(F.transform("_starts", block), lambda b: ~is_blank(b))
-    return starts.select(*keep, F.posexplode(blocks).alias("block", "content")).withColumn("block", F.col("block") + 1)
+    return starts.select(*keep, F.filter(F.transform("_starts", block), lambda b: ~is_blank(b)).alias(out))
+
+
+def chunk_code(df: DataFrame, text: str = "text", *, min_lines: int = fixed.CODE_MIN_LINES,
+               max_lines: int = fixed.CODE_MAX_LINES) -> DataFrame:
+    """One row per block of code: ``block`` and ``content``."""
+    keep = [c for c in df.columns if c != text]
+    return with_code_pieces(df, text, "_pieces", min_lines=min_lines, max_lines=max_lines).select(
+        *keep, F.posexplode("_pieces").alias("block", "content")).withColumn("block", F.col("block") + 1)
 
 
 def transcript_chunks(segments: DataFrame) -> DataFrame:
@@ -220,8 +236,6 @@ def image_chunks(images: DataFrame, placeholder_model: str = "vision") -> DataFr
     ``images``: ``source, page, image, chars, width, height, confidence, ocr,
     description``. An image without any text keeps a placeholder chunk.
     """
-    from docquarry.functions.text import clean_ocr, combine_blocks, density_route, telling_description, text_density
-
     area = F.col("width") * F.col("height")
     routed = images.withColumn("content_type", density_route(text_density(F.col("chars"), area), F.col("confidence")))
     texts = routed.withColumn("_ocr", clean_ocr(F.col("ocr"))).withColumn("_seen", telling_description(F.col("description")))
@@ -238,11 +252,3 @@ def image_chunks(images: DataFrame, placeholder_model: str = "vision") -> DataFr
         "source", location.alias("location"),
         F.when(F.col("_text") != "", F.col("_text")).otherwise(empty).alias("content"),
         F.when(F.col("_text") != "", F.col("content_type")).otherwise("image_empty").alias("content_type"))
-
-
-def scrubbed(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("content", scrub(F.col("content")))
-
-
-def allowed(files: DataFrame) -> DataFrame:
-    return files.filter(is_allowed(F.col("key")))
