@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import fixed
@@ -33,6 +33,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unroll(df: DataFrame, items: Column, pos: str, item: str, keep: list[str | Column]) -> DataFrame:
+    """One row per array item, with its place from 0.
+
+    A plain explode makes the optimizer put a "has items" filter below it, which
+    evaluates the whole array expression a second time, with every column it was
+    built from expanded in place. The outer form, filtered afterwards, does not.
+    """
+    return df.select(*keep, F.posexplode_outer(items).alias(pos, item)).filter(F.col(pos).isNotNull())
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(STRIP_CHARS))
 

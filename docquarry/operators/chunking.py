@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from docquarry.functions import fixed
 from docquarry.functions.text import (
     SPACE, clean_ocr, combine_blocks, density_route, is_blank, let, lines, strip, telling_description, text_density,
-    timestamp_location,
+    timestamp_location, unroll,
 )
 
 
@@ -90,8 +90,8 @@ def chunk_text(df: DataFrame, text: str = "text", *, size: int = fixed.CHUNK_CHA
     Blank chunks are dropped before sections are numbered.
     """
     keep = [c for c in df.columns if c != text]
-    return with_text_pieces(df, text, "_pieces", size=size, overlap=overlap).select(
-        *keep, F.posexplode("_pieces").alias("section", "content")).withColumn("section", F.col("section") + 1)
+    cut = with_text_pieces(df, text, "_pieces", size=size, overlap=overlap)
+    return unroll(cut, F.col("_pieces"), "section", "content", keep).withColumn("section", F.col("section") + 1)
 
 
 _BLOCK_START = (
@@ -135,8 +135,8 @@ def chunk_code(df: DataFrame, text: str = "text", *, min_lines: int = fixed.CODE
                max_lines: int = fixed.CODE_MAX_LINES) -> DataFrame:
     """One row per block of code: ``block`` and ``content``."""
     keep = [c for c in df.columns if c != text]
-    return with_code_pieces(df, text, "_pieces", min_lines=min_lines, max_lines=max_lines).select(
-        *keep, F.posexplode("_pieces").alias("block", "content")).withColumn("block", F.col("block") + 1)
+    cut = with_code_pieces(df, text, "_pieces", min_lines=min_lines, max_lines=max_lines)
+    return unroll(cut, F.col("_pieces"), "block", "content", keep).withColumn("block", F.col("block") + 1)
 
 
 def transcript_chunks(segments: DataFrame) -> DataFrame:

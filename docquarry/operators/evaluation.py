@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docquarry.functions import text as tx
+from docquarry.session import small_side
 
 
 def gen_questions(documents: DataFrame, n: int = 30) -> DataFrame:
@@ -98,13 +100,40 @@ def retrieval_metrics(ranked: DataFrame, qrels: DataFrame, by: list[str]) -> Dat
         *[mean((F.col(f"h{k}") > 0).cast("int"), f"hit_{k}") for k in (1, 3, 5)])
 
 
-def latency_percentiles(samples: DataFrame, by: list[str], exact: bool = True) -> DataFrame:
-    """p50 and p95 per stage; ``exact=False`` bounds the state for huge logs."""
-    def p(q: float) -> Column:
-        return F.percentile("ms", q) if exact else F.percentile_approx("ms", q, 10000)
+def latency_percentiles(samples: DataFrame, by: str, *, points: tuple[float, ...] = (0.5, 0.95), cuts: int = 200) -> DataFrame:
+    """Exact interpolated percentiles of ``ms`` per stage.
 
-    return samples.groupBy(*by).agg(
-        F.count("*").alias("n"), F.round(p(0.5), 4).alias("p50"), F.round(p(0.95), 4).alias("p95"))
+    Equal values fold first. A mergeable sketch gives ``cuts`` rough bounds per
+    stage; counts per range tell which ranges hold the wanted ranks, and only
+    those are ordered. A stage with most of the samples is thus never sorted or
+    held by one task.
+    """
+    counted = samples.groupBy(by, "ms").agg(F.count("*").alias("c"))
+    grid = [i / cuts for i in range(1, cuts)]
+    bounds = samples.groupBy(by).agg(F.percentile_approx("ms", grid, 10 * cuts).alias("bounds"))
+    placed = counted.join(small_side(bounds, 10_000), by).withColumn(
+        "b", F.size(F.filter("bounds", lambda x: x < F.col("ms")))).drop("bounds")
+    ranges = placed.groupBy(by, "b").agg(F.sum("c").alias("c"))
+    stage, order = Window.partitionBy(by), Window.partitionBy(by).orderBy("b")
+    ranges = ranges.select(by, "b", (F.sum("c").over(order) - F.col("c")).alias("before"), "c", F.sum("c").over(stage).alias("n"))
+    wanted = F.array(*[F.struct(
+        F.lit(p).alias("p"), (F.lit(p) * (F.col("n") - 1)).alias("pos"), F.lit(up).alias("up")) for p in points for up in (0, 1)])
+    asked = ranges.select(by, "b", "before", "c", "n", F.explode(wanted).alias("w")).withColumn(
+        "rank", F.when(F.col("w.up") == 1, F.ceil("w.pos")).otherwise(F.floor("w.pos"))
+    ).filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c")))
+    held = placed.join(asked.select(by, "b").distinct(), [by, "b"], "left_semi")
+    inner = Window.partitionBy(by, "b").orderBy("ms")
+    cum = held.select(by, "b", "ms", (F.sum("c").over(inner) - F.col("c")).alias("skip"), F.col("c").alias("k"))
+    found = asked.join(cum, [by, "b"]).filter(
+        (F.col("rank") >= F.col("before") + F.col("skip")) & (F.col("rank") < F.col("before") + F.col("skip") + F.col("k")))
+
+    def value(p: float) -> Column:
+        low = F.max(F.when((F.col("w.p") == p) & (F.col("w.up") == 0), F.col("ms")))
+        high = F.max(F.when((F.col("w.p") == p) & (F.col("w.up") == 1), F.col("ms")))
+        part = F.max(F.when(F.col("w.p") == p, F.col("w.pos") - F.floor("w.pos")))
+        return F.round(low + (high - low) * part, 4).alias(f"p{round(100 * p)}")
+
+    return found.groupBy(by).agg(F.max("n").alias("n"), *[value(p) for p in points])
 
 
 def recall_delta(metrics: DataFrame, metric: str = "recall_10") -> DataFrame:

@@ -122,7 +122,7 @@ def ground_answers(answers: DataFrame, evidence: DataFrame, *, strict_meta: bool
 def citation_match(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """Every citation of an answer with the number of retrieved chunks it matches."""
     both = _with_chunks(answers, evidence)
-    cites = both.select("answer_id", "chunks", F.posexplode(tx.citations(F.col("answer"))).alias("pos", "c"))
+    cites = tx.unroll(both, tx.citations(F.col("answer")), "pos", "c", ["answer_id", "chunks"])
     return cites.select(
         "answer_id", "pos", "c.source", "c.location",
         F.size(F.filter("chunks", lambda x: tx.same_source(x["source"], F.col("c.source")))).alias("n_match"))
@@ -131,7 +131,7 @@ def citation_match(answers: DataFrame, evidence: DataFrame) -> DataFrame:
 def auto_cite(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """For every sentence the chunk that supports it best."""
     both = _with_chunks(answers, evidence)
-    s = both.select("answer_id", "chunks", F.posexplode(tx.sentences(F.col("answer"))).alias("pos", "sentence"))
+    s = tx.unroll(both, tx.sentences(F.col("answer")), "pos", "sentence", ["answer_id", "chunks"])
     best = s.withColumn("_f", tx.sentence_facts(F.col("sentence"))).withColumn(
         "b", best_support(F.col("_f"), tx.strip_citations(F.col("sentence")), F.col("chunks")))
     return best.select("answer_id", "pos", "sentence", "b.source", "b.location")

@@ -127,14 +127,13 @@ def delete_cascade(sources: DataFrame, **tables: tuple[DataFrame, str]) -> tuple
 def new_chunks_only(batch: DataFrame, index: DataFrame) -> DataFrame:
     """Chunks not yet indexed, one per (source, content).
 
-    Texts are compared by digest and source, which keeps long texts out of the
-    shuffle keys.
+    Texts are compared by digest. Copies fold to their first row before anything
+    is joined, so a text that fills a third of the batch is one key like others.
     """
-    digest = F.sha2("content", 256)
-    fresh = batch.withColumn("_d", digest).join(
-        index.select("source", digest.alias("_d")), ["source", "_d"], "left_anti")
-    firsts = fresh.groupBy("source", "_d").agg(F.min("id").alias("id")).select("id")
-    return fresh.join(firsts, "id", "left_semi").drop("_d")
+    digest = F.sha2("content", 256).alias("_d")
+    firsts = batch.select("source", digest, "id").groupBy("source", "_d").agg(F.min("id").alias("id"))
+    fresh = firsts.join(index.select("source", digest).distinct(), ["source", "_d"], "left_anti")
+    return batch.join(fresh.select("id"), "id", "left_semi")
 
 
 def dead_letter(attempts: DataFrame, limit: int = fixed.MAX_ATTEMPTS) -> DataFrame:

@@ -12,7 +12,8 @@ Two ways to bring a block to the chunks:
   table is read in place, without a shuffle;
 * beyond that: questions and chunks are spread over a grid of hashed cells
   (blocks x slices) and co-grouped, so that no task ever holds more than one
-  block and one slice.
+  block and one slice. Its shuffle is chunks x blocks + questions x slices, so
+  blocks and slices are as large as a task can hold.
 
 Ties are broken by chunk id everywhere.
 """
@@ -34,7 +35,8 @@ from docquarry.session import plan_bytes
 
 MAX_BLOCK = 4096              # questions per block
 MAX_BLOCK_BYTES = 64 << 20    # serialized size of a block that is sent to the tasks
-SLICE_BYTES = 64 << 20        # chunk data per grid cell
+SLICE_BYTES = 256 << 20       # chunk data per grid cell
+GRID_BLOCKS = 2               # grid cells hold this many times MAX_BLOCK questions
 MAX_SLICES = 1 << 20           # keeps the grid finite when an input has no usable size estimate
 WIDE_INPUT = 64 << 30         # inputs beyond this size merge their partial lists in two steps
 MERGE_SALTS = 64
@@ -55,13 +57,20 @@ class BestK:
         self.i = np.empty(0, np.int64)
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """A whole matrix, questions x chunks; -inf marks pairs that do not count."""
         low, low_id = self.low[:, None], self.low_id[:, None]
         better = (scores > low) | ((scores == low) & (ids[None, :] < low_id) & np.isfinite(scores))
         qi, ci = np.nonzero(better)
-        if qi.size:
-            self.q = np.concatenate([self.q, qi])
-            self.s = np.concatenate([self.s, scores[qi, ci]])
-            self.i = np.concatenate([self.i, ids[ci]])
+        self._keep(qi, scores[qi, ci], ids[ci])
+
+    def add_pairs(self, q: np.ndarray, s: np.ndarray, i: np.ndarray) -> None:
+        """Single pairs (question, score, id)."""
+        better = (s > self.low[q]) | ((s == self.low[q]) & (i < self.low_id[q]))
+        self._keep(q[better], s[better], i[better])
+
+    def _keep(self, q: np.ndarray, s: np.ndarray, i: np.ndarray) -> None:
+        if q.size:
+            self.q, self.s, self.i = np.concatenate([self.q, q]), np.concatenate([self.s, s]), np.concatenate([self.i, i])
             if self.q.size > 4 * self.n * self.k:
                 self.cut()
 
@@ -96,6 +105,45 @@ class VectorBlock:
         return np.round(self.m @ e.T / np.linalg.norm(e, axis=1), 6) + 0.0
 
 
+class BucketBlock(VectorBlock):
+    """Scores only the pairs that share a hash bucket.
+
+    Unit vectors are projected on random directions and cut into steps;
+    ``planes`` steps together name a bucket, and there are ``tables`` such
+    namings. Buckets of the questions are looked up for a whole batch of chunks
+    at once, so a crowded bucket costs its pairs and is never gathered.
+    """
+
+    tables, planes, step, seed = 16, 3, 1.0, 7
+
+    def __init__(self, questions: pa.Table):
+        super().__init__(questions)
+        rng = np.random.default_rng(self.seed)
+        self.directions = rng.standard_normal((self.m.shape[1], self.tables * self.planes))
+        self.offsets = rng.uniform(0, self.step, self.tables * self.planes)
+        self.mix = rng.integers(1, 1 << 40, self.planes) * 2 + 1
+        keys = self._buckets(self.m)
+        self.order = np.argsort(keys, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(keys, self.order, axis=0)
+
+    def _buckets(self, unit: np.ndarray) -> np.ndarray:
+        steps = np.floor((unit @ self.directions / np.sqrt(unit.shape[1]) * 8 + self.offsets) / self.step).astype(np.int64)
+        return (steps.reshape(len(unit), self.tables, self.planes) * self.mix).sum(axis=2)
+
+    def pairs(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        e = _matrix(batch.column(batch.schema.get_field_index("embedding")))
+        e /= np.linalg.norm(e, axis=1, keepdims=True)
+        keys, met = self._buckets(e), []
+        for t in range(self.tables):
+            low = np.searchsorted(self.sorted[:, t], keys[:, t], "left")
+            n = np.searchsorted(self.sorted[:, t], keys[:, t], "right") - low
+            ci = np.repeat(np.arange(len(e)), n)
+            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            met.append(self.order[at, t] * len(e) + ci)
+        qi, ci = np.divmod(np.unique(np.concatenate(met)), len(e))
+        return qi, ci, np.round(np.einsum("ij,ij->i", self.m[qi], e[ci]), 6) + 0.0
+
+
 class TermBlock:
     """All question words in one matcher; each text is walked once.
 
@@ -252,10 +300,15 @@ def _stream(kind, k: int, questions: pa.Table, batches, floors: dict[int, float]
     for batch in batches:
         for start in range(0, batch.num_rows, step):
             part = batch.slice(start, step)
-            scores, mask = block.scores(part), mask_of(part)
-            if mask is not None:
-                scores = np.where(mask, scores, -np.inf)
-            best.add(scores, part.column(part.schema.get_field_index("id")).to_numpy(zero_copy_only=False))
+            ids = part.column(part.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
+            mask = mask_of(part)
+            if hasattr(block, "pairs"):
+                qi, ci, s = block.pairs(part)
+                seen = slice(None) if mask is None else mask[qi, ci]
+                best.add_pairs(qi[seen], s[seen], ids[ci[seen]])
+            else:
+                scores = block.scores(part)
+                best.add(scores if mask is None else np.where(mask, scores, -np.inf), ids)
     yield best.table(block.ids)
 
 
@@ -291,13 +344,13 @@ def meet(
         return chunks.mapInArrow(in_place, schema)
 
     size = questions.agg(F.count("*").alias("n")).first()["n"]
-    n_blocks = max(1, math.ceil(2 * size / max_block))
+    n_blocks = max(1, math.ceil(size / (GRID_BLOCKS * max_block)))
     n_slices = min(max(1, math.ceil(plan_bytes(chunks) / SLICE_BYTES)), MAX_SLICES)
     cell = ["_block", "_slice"]
     left = chunks.withColumn("_slice", F.pmod(F.xxhash64(chunk_key), F.lit(n_slices))).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("bigint"))
+        "_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
     right = questions.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n_blocks))).withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).cast("bigint"))
+        "_slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1)).cast("array<bigint>")))
 
     def in_cell(chunk_part: pa.Table, question_part: pa.Table) -> pa.Table:
         parts: list[pa.RecordBatch] = []

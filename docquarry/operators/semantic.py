@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docquarry.functions import fixed
-from docquarry.functions.vectors import cosine, is_usable, norm
+from docquarry.functions.vectors import is_usable
 from docquarry.operators import scoring
 
 
@@ -46,42 +43,16 @@ def semantic_topk_lsh(
     chunks: DataFrame,
     k: int = fixed.LIST_DEPTH,
     *,
-    tables: int = 12,
-    bucket_length: float = 0.75,
-    seed: int = 7,
-    max_questions: int = scoring.MAX_BLOCK,
+    kind: type[scoring.BucketBlock] = scoring.BucketBlock,
+    **options,
 ) -> DataFrame:
-    """Approximate best ``k``: only chunks that share a hash bucket are scored.
+    """Approximate best ``k``: only chunks that share a hash bucket with the question are scored.
 
-    Unit vectors go through random projections; a chunk row meets a question
-    through an equi-join on (table, bucket). A pair found in several tables is
-    kept only in the first of them, which needs no shuffle, and a crowded bucket
-    just streams past the questions: buckets are never gathered.
+    Subclass :class:`~docquarry.operators.scoring.BucketBlock` to trade recall
+    for work; :func:`recall_of` measures it.
     """
-
-    def unit(v: str):
-        return F.transform(F.col(v).cast("array<double>"), lambda x: x / norm(F.col(v)))
-
-    def hashed(df: DataFrame, key: str, v: str, as_name: str) -> DataFrame:
-        base = valid_vectors(df, v).select(key, F.col(v).alias(as_name), array_to_vector(unit(v)).alias("_features"))
-        buckets = F.array(*[vector_to_array(F.get(F.col("_hashes"), F.lit(t)))[0].cast("int") for t in range(tables)])
-        return model.transform(base).select(key, as_name, buckets.alias(f"{as_name}_buckets"))
-
-    model = BucketedRandomProjectionLSH(
-        inputCol="_features", outputCol="_hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed,
-    ).fit(valid_vectors(chunks).select(array_to_vector(unit("embedding")).alias("_features")))
-
-    q = hashed(questions, "query_id", "query_vec", "qv").select("*", F.posexplode("qv_buckets").alias("t", "b"))
-    c = hashed(chunks, "id", "embedding", "cv").select("*", F.posexplode("cv_buckets").alias("t", "b"))
-    if questions.limit(max_questions + 1).count() <= max_questions:
-        q = F.broadcast(q)
-    first = F.array_position(F.zip_with("cv_buckets", "qv_buckets", lambda x, y: x == y), True) - 1
-    scored = (
-        c.join(q, ["t", "b"])
-        .filter(first == F.col("t"))
-        .select("query_id", "id", F.round(cosine(F.col("cv"), F.col("qv")), 6).alias("score")))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    q = valid_vectors(questions, "query_vec").select("query_id", F.col("query_vec").cast("array<double>"))
+    return scoring.best_k(kind, q, valid_vectors(chunks).select("id", "embedding"), k, **options)
 
 
 def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:

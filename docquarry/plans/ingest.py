@@ -33,8 +33,7 @@ def chunk_files(files: DataFrame) -> DataFrame:
         *base, "_kind", "_f.permissions", F.when(F.col("_kind") == "document", F.col("_f.body")).alias("_doc"),
         F.when(F.col("_kind") == "code", F.col("_f.body")).alias("_code"))
     cut = chunking.with_code_pieces(chunking.with_text_pieces(routed, "_doc", "_sections"), "_code", "_blocks")
-    rows = cut.select(
-        *base, "_kind", "permissions", F.posexplode(F.coalesce("_sections", "_blocks")).alias("_i", "content"))
+    rows = tx.unroll(cut, F.coalesce("_sections", "_blocks"), "_i", "content", [*base, "_kind", "permissions"])
     label = F.when(F.col("_kind") == "code", "Block ").otherwise("Section ")
     return rows.select(
         "tenant_id", "key", "source",

@@ -99,7 +99,7 @@ def q_recall_delta(s, d):
 
 
 def q_latency_percentiles(s, d):
-    return ev.latency_percentiles(table(s, d, "events").selectExpr("event_type AS stage", "value AS ms"), ["stage"])
+    return ev.latency_percentiles(table(s, d, "events").selectExpr("event_type AS stage", "value AS ms"), "stage")
 
 
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}

@@ -13,7 +13,7 @@ from docquarry.registry.evaluation import _EV_SQL, _evaluated
 from docquarry.registry.texts import _CHUNK_SQL, _CODE_SQL, sql_scrub
 from docquarry.registry.upkeep import NOW
 from docquarry.registry.views import TENANT, index_chunks, table, with_index
-from docquarry.session import shared_dir
+from docquarry.session import shared_dir, spread
 from docquarry.sources import audit, tables as tb
 from docquarry.streaming import activity, objects
 
@@ -27,7 +27,7 @@ _FILE = {"tenant_id": TENANT, "key": _FILE_KEY, "source": f"concat('s3://kb/', {
 
 
 def _files(s, d) -> DataFrame:
-    return table(s, d, "documents").selectExpr(*[f"{e.format(bytes='octet_length')} AS {c}" for c, e in _FILE.items()])
+    return spread(table(s, d, "documents"), "doc_id").selectExpr(*[f"{e.format(bytes='octet_length')} AS {c}" for c, e in _FILE.items()])
 
 
 def _small_embed(df, text):
@@ -218,7 +218,7 @@ _CALL_TEXT = (
 
 def q_tool_calls(s, d):
     t = table(s, d, "conversations").selectExpr("conv_id", "turn", f"{_CALL_TEXT} AS content")
-    c = t.select("conv_id", "turn", F.posexplode(tool_calls(F.col("content"))).alias("pos", "c"))
+    c = tx.unroll(t, tool_calls(F.col("content")), "pos", "c", ["conv_id", "turn"])
     return c.select("conv_id", "turn", "pos", "c.tool", F.array_join(
         F.transform(F.array_sort(F.map_entries("c.args")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("args"))
 

@@ -31,7 +31,7 @@ def q_citation_match(s, d):
 
 def q_sentence_support(s, d):
     both = answers(s, d).join(gr.chunk_lists(evidence(s, d)), "answer_id")
-    cut = both.select("answer_id", "chunks", F.posexplode(tx.sentences(F.col("answer"))).alias("pos", "s"))
+    cut = tx.unroll(both, tx.sentences(F.col("answer")), "pos", "s", ["answer_id", "chunks"])
     known = cut.select("answer_id", "pos", "chunks", tx.sentence_facts(F.col("s")).alias("f"))
     n = F.size(F.filter("chunks", lambda c: tx.supported_by(F.col("f"), c["hay"])))
     return known.select("answer_id", "pos", n.alias("n_supporting"))
@@ -43,7 +43,7 @@ def q_auto_cite(s, d):
 
 def q_ground_labels(s, d):
     g = gr.ground_answers(answers(s, d), evidence(s, d))
-    return g.select("answer_id", F.posexplode("sentences").alias("pos", "x")).select("answer_id", "pos", "x.label", "x.text")
+    return tx.unroll(g, F.col("sentences"), "pos", "x", ["answer_id"]).select("answer_id", "pos", "x.label", "x.text")
 
 
 def q_ground_answers(s, d):
@@ -60,7 +60,7 @@ def q_evidence_context(s, d):
 
 def q_claim_support(s, d):
     a = answers(s, d).join(gr.evidence_context(evidence(s, d)), "answer_id", "left").withColumn("ctx", tx.comparable(F.coalesce("context", F.lit(""))))
-    c = a.select("answer_id", "ctx", F.posexplode(tx.claims(F.col("answer"))).alias("pos", "claim"))
+    c = tx.unroll(a, tx.claims(F.col("answer")), "pos", "claim", ["answer_id", "ctx"])
     return c.select("answer_id", "pos", "claim", tx.claim_supported(F.col("claim"), F.col("ctx"), True).alias("supported"))
 
 

@@ -9,6 +9,7 @@ from docquarry.functions import fixed
 from docquarry.functions import text as tx
 from docquarry.operators import chunking
 from docquarry.registry.views import SUFFIX, answers, table, with_answers
+from docquarry.session import spread
 
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NWS = "[^" + WS[1:]
@@ -33,7 +34,7 @@ QUERY_LEAD = (
 
 
 def _docs(s, d):
-    return table(s, d, "documents")
+    return spread(table(s, d, "documents"), "doc_id")
 
 
 def q_chunk_text(s, d):
@@ -72,12 +73,12 @@ def q_front_matter_acl(s, d):
 
 
 def q_answer_sentences(s, d):
-    return answers(s, d).select("answer_id", F.posexplode(tx.sentences(F.col("answer"))).alias("pos", "sentence"))
+    return tx.unroll(answers(s, d), tx.sentences(F.col("answer")), "pos", "sentence", ["answer_id"])
 
 
 def q_extract_citations(s, d):
     a = answers(s, d).select("answer_id", tx.citations(F.col("answer")).alias("c"), tx.cited_names(F.col("answer")).alias("n"))
-    return a.select("answer_id", F.posexplode("c").alias("pos", "c"), "n").select(
+    return tx.unroll(a, F.col("c"), "pos", "c", ["answer_id", "n"]).select(
         "answer_id", "pos", "c.source", "c.location", F.array_join("n", ";").alias("names"))
 
 
@@ -91,7 +92,7 @@ def q_rewrite_endnotes(s, d):
 
 
 def q_extract_claims(s, d):
-    a = answers(s, d).select("answer_id", F.posexplode(tx.claims(F.col("answer"))).alias("pos", "claim"))
+    a = tx.unroll(answers(s, d), tx.claims(F.col("answer")), "pos", "claim", ["answer_id"])
     return a.withColumn("kind", tx.claim_kind(F.col("claim")))
 
 
@@ -117,14 +118,14 @@ def q_clean_answers(s, d):
     return a.select("answer_id", tx.clean_answer(F.col("answer")).alias("answer"))
 
 
-def _segments(s, d):
-    # conversation turns as speech: a turn starts where the running text length left off
-    from pyspark.sql.window import Window
+_SEGMENT = {"source": "concat('talks/talk-', CAST(conv_id AS VARCHAR(20)), '.mp4')", "start": "turn * 731.4",
+            "end": "turn * 731.4 + length(text) / 10.0", "text": "text"}
+
 
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = table(s, d, "conversations").withColumn("end", F.sum(F.length("text")).over(w) / 10.0)
-    return t.select(F.concat(F.lit("talks/talk-"), "conv_id", F.lit(".mp4")).alias("source"), "turn",
-                    (F.col("end") - F.length("text") / 10.0).alias("start"), "end", "text")
+def _segments(s, d):
+    """Conversation turns as speech segments."""
+    return table(s, d, "conversations").selectExpr(
+        *[f"CAST({e} AS {'DOUBLE' if c in ('start', 'end') else 'STRING'}) AS `{c}`" for c, e in _SEGMENT.items()])
 
 
 def q_transcript_chunks(s, d):
@@ -181,8 +182,7 @@ def q_truncate_text(s, d):
 
 
 def q_extract_ids(s, d):
-    a = answers(s, d).select("answer_id", F.posexplode(tx.specifics(F.col("answer"))).alias("pos", "item"))
-    return a
+    return tx.unroll(answers(s, d), tx.specifics(F.col("answer")), "pos", "item", ["answer_id"])
 
 
 def q_thread_chunks(s, d):
@@ -430,11 +430,9 @@ ORACLES = {
     "clean_answers": with_answers(
         "SELECT answer_id, " + sql_strip("answer || '   [' || chr(10) || chr(10) || 'tail'") + " AS answer FROM answers"),
     "transcript_chunks": (
-        "WITH t AS (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) / 10.0::DOUBLE AS e FROM conversations), "
-        "u AS (SELECT *, e - length(text) / 10.0::DOUBLE AS s FROM t) "
-        "SELECT 'talks/talk-' || conv_id || '.mp4' AS source, 'Timestamp ' || lpad(CAST(floor(s / 60)::BIGINT AS VARCHAR), 2, '0') || ':' || "
-        "lpad(CAST(floor(s % 60)::BIGINT AS VARCHAR), 2, '0') || ' - ' || lpad(CAST(floor(e / 60)::BIGINT AS VARCHAR), 2, '0') || ':' || "
-        f"lpad(CAST(floor(e % 60)::BIGINT AS VARCHAR), 2, '0') AS location, {sql_strip('text')} AS content FROM u WHERE {sql_strip('text')} <> ''"),
+        f"WITH u AS (SELECT {_SEGMENT['source']} AS source, CAST({_SEGMENT['start']} AS DOUBLE) AS s, CAST({_SEGMENT['end']} AS DOUBLE) AS e, text FROM conversations) "
+        "SELECT source, 'Timestamp ' || printf('%02d', floor(s / 60)::BIGINT) || ':' || printf('%02d', floor(s % 60)::BIGINT) || ' - ' || "
+        f"printf('%02d', floor(e / 60)::BIGINT) || ':' || printf('%02d', floor(e % 60)::BIGINT) AS location, {sql_strip('text')} AS content FROM u WHERE {sql_strip('text')} <> ''"),
     "clean_ocr_lines": "SELECT doc_id, " + sql_scrub(
         f"array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '\\. ', chr(10), 'g'), chr(10)), lambda l: {sql_strip('l')}), "
           f"lambda l: length(l) >= 10 AND len(regexp_extract_all(l, {qt(NWS + '+')})) >= 2), chr(10))") + " AS content FROM documents",

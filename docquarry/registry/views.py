@@ -13,6 +13,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,7 +68,7 @@ INDEX_SQL = (
 
 def index_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk index: one row per document, vectors shared among rows (ties)."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     rows = docs.selectExpr(
         *[f"{e} AS {c}" for c, e in INDEX_COLUMNS.items()],
         "timestampadd(MINUTE, doc_id, TIMESTAMP '2024-01-01 00:00:00') AS created_at",
@@ -138,7 +140,7 @@ ANSWERS_SQL = (
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns with the turn before them; text gains citations, claims and refusals."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"), "conv_id")
     a = turns.filter("role = 'assistant'").selectExpr(*[f"{e} AS {c}" for c, e in ANSWER_COLUMNS.items()])
     q = turns.selectExpr("conv_id", "turn + 1 AS turn", "text AS question")
     return a.join(q, ["conv_id", "turn"])

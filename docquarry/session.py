@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     The cluster names a folder every executor can reach; only where that
     setting is missing (tests, one machine) a temporary folder is used.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -64,3 +64,17 @@ def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     executors. Meant for request lists; larger ones are joined by shuffle.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+SPLIT_BYTES = 8 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of an input that is too small to be split by itself.
+
+    Work per row is what costs in text and vector steps, so a table of a few
+    megabytes in one file should not run in one task. Tables with enough bytes
+    per core come back unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if plan_bytes(df) < cores * SPLIT_BYTES else df
