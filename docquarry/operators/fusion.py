@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from docquarry.functions import fixed
 from docquarry.functions.text import keywords, stem_of, strip, words
+from docquarry.session import fan_out
 
 
 def _lists(semantic: DataFrame, keyword: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def candidate_dedup(candidates: DataFrame, cap: int = fixed.CANDIDATE_CAP) -> Da
     w = Window.partitionBy("query_id", "_key").orderBy(F.col("rrf").desc(), "id")
     order = Window.partitionBy("query_id").orderBy(F.col("rrf").desc(), "id")
     return (
-        candidates.withColumn("_key", dedup_key(F.col("content")))
+        fan_out(candidates, "query_id").withColumn("_key", dedup_key(F.col("content")))
         .filter(F.col("_key") != "")
         .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", "_key")
         .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= cap))
@@ -61,7 +62,7 @@ def source_dedup(candidates: DataFrame, cap: int = fixed.CANDIDATE_CAP) -> DataF
     w = Window.partitionBy("query_id", "source").orderBy(F.col("rrf").desc(), "id")
     order = Window.partitionBy("query_id").orderBy(F.col("rrf").desc(), "id")
     return (
-        candidates.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+        fan_out(candidates, "query_id").withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
         .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= cap))
 
 

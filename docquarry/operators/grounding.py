@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import fixed
 from docquarry.functions import text as tx
 from docquarry.functions.text import SPACE, let
+from docquarry.session import fan_out
 
 
 _CHUNK_TYPE = "array<struct<rank:int,source:string,location:string,hay:string,words:array<string>>>"
@@ -24,7 +25,7 @@ def chunk_lists(evidence: DataFrame) -> DataFrame:
     Texts are lowered and cut into words here, once per chunk, rather than once
     per sentence that is held against them.
     """
-    low = evidence.withColumn("hay", F.lower("content")).withColumn("words", F.array_distinct(tx.words(F.col("hay"))))
+    low = fan_out(evidence, "answer_id", sized_by=evidence).withColumn("hay", F.lower("content")).withColumn("words", F.array_distinct(tx.words(F.col("hay"))))
     return low.groupBy("answer_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "source", "location", "hay", "words"))).alias("chunks"))
 
@@ -154,7 +155,7 @@ def sidecar_evidence(evidence: DataFrame) -> DataFrame:
 def evidence_context(evidence: DataFrame) -> DataFrame:
     """One context per answer: ``source | location | content`` lines in rank order."""
     line = F.concat_ws(" | ", "source", "location", "content")
-    kept = sidecar_evidence(evidence).filter(F.coalesce("content", F.lit("")) != "")
+    kept = sidecar_evidence(fan_out(evidence, "answer_id", sized_by=evidence)).filter(F.coalesce("content", F.lit("")) != "")
     return kept.groupBy("answer_id").agg(F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "source", line.alias("line")))), lambda x: x["line"]),
         "\n").alias("context"))

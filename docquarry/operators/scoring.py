@@ -31,13 +31,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
-from docquarry.session import plan_bytes
+from docquarry.session import input_bytes
 
 MAX_BLOCK = 4096              # questions per block
 MAX_BLOCK_BYTES = 64 << 20    # serialized size of a block that is sent to the tasks
-SLICE_BYTES = 256 << 20       # chunk data per grid cell
+SLICE_ROWS = 50_000           # chunks per grid cell
 GRID_BLOCKS = 2               # grid cells hold this many times MAX_BLOCK questions
-MAX_SLICES = 1 << 20           # keeps the grid finite when an input has no usable size estimate
 WIDE_INPUT = 64 << 30         # inputs beyond this size merge their partial lists in two steps
 MERGE_SALTS = 64
 CELLS = 4 << 20               # scores held at once while streaming
@@ -221,10 +220,11 @@ class TokenBlock:
 
     def __init__(self, questions: pa.Table):
         self.ids = questions["query_id"].to_numpy()
-        self.askers: dict[str, list[int]] = {}
+        askers: dict[str, list[int]] = {}
         for q, tokens in enumerate(questions["tokens"].to_pylist()):
             for t in set(tokens):
-                self.askers.setdefault(t, []).append(q)
+                askers.setdefault(t, []).append(q)
+        self.askers = {t: np.array(qs) for t, qs in askers.items()}
 
     def scores(self, batch: pa.RecordBatch) -> np.ndarray:
         out = np.zeros((len(self.ids), batch.num_rows))
@@ -345,7 +345,7 @@ def meet(
 
     size = questions.agg(F.count("*").alias("n")).first()["n"]
     n_blocks = max(1, math.ceil(size / (GRID_BLOCKS * max_block)))
-    n_slices = min(max(1, math.ceil(plan_bytes(chunks) / SLICE_BYTES)), MAX_SLICES)
+    n_slices = max(1, math.ceil(chunks.count() / SLICE_ROWS))
     cell = ["_block", "_slice"]
     left = chunks.withColumn("_slice", F.pmod(F.xxhash64(chunk_key), F.lit(n_slices))).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
@@ -403,7 +403,7 @@ def best_of(partial: DataFrame, k: int, *, two_steps: bool = False) -> DataFrame
 
 def best_k(kind, questions: DataFrame, chunks: DataFrame, k: int, **options) -> DataFrame:
     partial = partial_best(kind, questions, chunks, k, **options)
-    return best_of(partial, k, two_steps=plan_bytes(chunks) > WIDE_INPUT)
+    return best_of(partial, k, two_steps=input_bytes(chunks) > WIDE_INPUT)
 
 
 def scoped(df: DataFrame, scope: str | None) -> list[Column]:

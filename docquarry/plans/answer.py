@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import fixed
 from docquarry.functions import text as tx
 from docquarry.operators.grounding import ground_answers
+from docquarry.session import fan_out
 
 
 def best_sentence(query: Column, content: Column) -> Column:
@@ -27,7 +28,8 @@ def extractive_answers(questions: DataFrame, retrieved: DataFrame) -> DataFrame:
 
     A model takes this place through :func:`docquarry.functions.seams.generator`.
     """
-    picked = retrieved.join(questions.select("query_id", "query"), "query_id").withColumn(
+    both = retrieved.join(questions.select("query_id", "query"), "query_id")
+    picked = fan_out(both, "query_id", "rank").withColumn(
         "b", best_sentence(F.col("query"), F.col("content")))
     top = picked.groupBy("query_id").agg(F.max_by(
         F.struct("b.text", "source", "location", "b.shared"), F.struct(F.col("b.shared"), -F.col("rank"))).alias("t"))

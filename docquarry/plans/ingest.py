@@ -47,8 +47,12 @@ def index_rows(files: DataFrame, embed: Callable[[DataFrame, str], DataFrame] =
 
     Ids follow from source, hash and location, so a repeated task gives the same rows.
     """
-    chunks = embed(chunk_files(files), "content").filter(is_usable(F.col("embedding")))
-    return chunks.withColumn("id", F.xxhash64("source", "file_hash", "location"))
+    chunks = embed(chunk_files(files), "content")
+    others = [c for c in chunks.columns if c != "embedding"]
+    # passing the vector through a generator keeps the filter from being moved below
+    # the embedding step, which would then run twice
+    once = chunks.select(*others, F.explode_outer(F.array("embedding")).alias("embedding"))
+    return once.filter(is_usable(F.col("embedding"))).withColumn("id", F.xxhash64("source", "file_hash", "location"))
 
 
 def ingest_batch(files: DataFrame, ledger: DataFrame,

@@ -52,9 +52,14 @@ def persist_table(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``; runs nothing."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def input_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of all tables ``df`` reads; runs nothing.
+
+    Sums the leaves of the plan: the estimate of a whole plan multiplies the
+    sides of joins and says little about the data.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
@@ -77,4 +82,17 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     per core come back unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if plan_bytes(df) < cores * SPLIT_BYTES else df
+    return df.repartition(cores, key) if input_bytes(df) < cores * SPLIT_BYTES else df
+
+
+def fan_out(df: DataFrame, *keys: str, sized_by: DataFrame | None = None) -> DataFrame:
+    """Spread rows over all cores by key, ahead of work that is heavy per row.
+
+    Adaptive execution merges small partitions by bytes, which would leave such
+    work to one task. The number of partitions is the number of cores, or what
+    the bytes of ``sized_by`` call for. Later steps on the same keys reuse it.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if sized_by is not None:
+        n = max(n, input_bytes(sized_by) // (64 << 20) + 1)
+    return df.repartition(n, *keys)

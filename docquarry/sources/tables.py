@@ -39,7 +39,9 @@ class BatchTables:
     def write(self, name: str, df: DataFrame, batch: int) -> None:
         spread = {"chunks": ["category"]}.get(name, [])
         columns = [c.split()[0] for c in _split_schema(SCHEMAS[name]) if c.split()[0] != "batch"]
-        (df.select(*columns).withColumn("batch", F.lit(batch).cast("bigint"))
+        # rebalancing by the folder column makes few, evenly sized files and splits crowded folders
+        rows = df.select(*columns).hint("rebalance", *spread) if spread else df.select(*columns)
+        (rows.withColumn("batch", F.lit(batch).cast("bigint"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch", *spread).parquet(f"{self.root}/{name}"))
 
