@@ -56,10 +56,15 @@ def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of all tables ``df`` reads; runs nothing.
 
     Sums the leaves of the plan: the estimate of a whole plan multiplies the
-    sides of joins and says little about the data.
+    sides of joins and says little about the data. Leaves without an estimate
+    (Spark reports them as endless) count as nothing.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < UNKNOWN_BYTES)
+
+
+UNKNOWN_BYTES = 1 << 60
 
 
 def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:

@@ -31,9 +31,8 @@ def scan_folder(spark: SparkSession, folder: str, with_content: bool = True) ->
 
 def decode_text(content: Column) -> Column:
     """Bytes as UTF-8 text; invalid bytes are dropped."""
-    replaced = F.try_validate_utf8(content.cast("string"))
-    loose = F.replace(F.decode(content, "UTF-8"), F.lit("�"), F.lit(""))
-    return F.coalesce(replaced, loose)
+    text = content.cast("string")
+    return F.coalesce(F.try_validate_utf8(text), F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
