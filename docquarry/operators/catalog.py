@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import fixed
 from docquarry.functions.text import file_name
 from docquarry.operators import scoring
-from docquarry.session import small_side
+from docquarry.session import persist_table, small_side
 
 
 # --- scope -------------------------------------------------------------------------
@@ -99,7 +99,7 @@ def pick_chunks(requests: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def read_chunk(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     """``(request_id, source, location)`` to one chunk each; ``found`` is false without one."""
-    picks = pick_chunks(requests, chunks)
+    picks = persist_table(pick_chunks(requests, chunks), "picks")
     texts = chunks.select("id", "source", "location", "content", "category").join(small_side(picks), "id")
     return requests.select("request_id").join(texts, "request_id", "left").select(
         "request_id", F.col("id").isNotNull().alias("found"), "stage", "id", "source", "location", "content", "category")
@@ -137,7 +137,8 @@ def resolve_document(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     most tokens with the request, at least one. Stage 3 streams the files past
     the requests, so common tokens make no pairs.
     """
-    files = files_of(chunks)
+    # four steps below use the file list: one pass over the chunk table makes it
+    files = persist_table(files_of(chunks), "files")
     r = requests.select("request_id", "source")
     exact = files.join(small_side(r), F.col("source") == F.col("f_source")).select("request_id", F.lit(1).alias("stage"), "id")
     as_md = r.withColumn("source", F.concat(
@@ -148,7 +149,8 @@ def resolve_document(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     near = scoring.best_k(scoring.TokenBlock, wanted, named, 1).filter(F.col("score") >= 1).select(
         F.col("query_id").alias("request_id"), F.lit(3).alias("stage"), "id")
     best = exact.unionByName(suffix).unionByName(near).groupBy("request_id").agg(F.min(F.struct("stage", "id")).alias("p"))
-    picked = files.select("id", "f_source").join(small_side(best.select("request_id", "p.stage", "p.id")), "id")
+    picks = persist_table(best.select("request_id", "p.stage", "p.id"), "picks")
+    picked = files.select("id", "f_source").join(small_side(picks), "id")
     return r.join(picked, "request_id", "left").select(
         "request_id", F.col("source").alias("requested"), F.col("f_source").alias("source"), "stage")
 

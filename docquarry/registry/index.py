@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docquarry.functions import text as tx
+from docquarry.functions.toolcalls import tool_calls
 from docquarry.functions.vectors import is_usable
 from docquarry.operators import catalog
-from docquarry.registry.views import index_chunks, table, with_index
+from docquarry.plans import tools
+from docquarry.registry.views import FILE_NO, INDEX_COLUMNS, index_chunks, table, with_index
 
 _ACL = [
     "*",
@@ -57,8 +60,6 @@ _REQUEST = {
 
 
 def _request_exprs() -> list[str]:
-    from docquarry.registry.views import FILE_NO, INDEX_COLUMNS
-
     return [f"{e.format(own=INDEX_COLUMNS['source'], no=FILE_NO) if '{' in e else e} AS {c}" for c, e in _REQUEST.items()]
 
 
@@ -98,8 +99,6 @@ def q_compare_sections(s, d):
 
 
 def q_document_sections(s, d):
-    from docquarry.registry.views import FILE_NO
-
     merged = index_chunks(s, d).withColumn("location", F.when(F.col("id") % 3 == 2, "Section 1").otherwise(F.col("location")))
     return catalog.document_sections(merged).select("source", "location", "id", F.md5("content").alias("content"))
 
@@ -108,6 +107,28 @@ def q_resolve_document(s, d):
     return catalog.resolve_document(_requests(s, d), index_chunks(s, d))
 
 
+def q_summarize_document(s, d):
+    got = tools.summarize_document(_requests(s, d), index_chunks(s, d))
+    return got.select("request_id", "source", "location", "id", F.md5("content").alias("content"))
+
+
+_CALLS = (
+    "CASE WHEN doc_id % 2 = 0 THEN concat('read_chunk(source=\"', {source}, '\", location=\"', {location}, '\")') "
+    "ELSE concat('summarize_document(source=', {source}, ')') END"
+).replace("{source}", INDEX_COLUMNS["source"]).replace("{location}", INDEX_COLUMNS["location"])
+
+
+def q_tool_dispatch(s, d):
+    """Calls written as text, parsed and answered by the tools they name."""
+    t = table(s, d, "documents").selectExpr("doc_id AS request_id", f"{_CALLS} AS content")
+    calls = tx.unroll(t, tool_calls(F.col("content")), "pos", "c", ["request_id"]).select("request_id", "c.tool", "c.args")
+    index = index_chunks(s, d)
+    read = tools.TOOLS["read_chunk"](tools.calls_of(calls, "read_chunk", source="string", location="string"), index)
+    whole = tools.TOOLS["summarize_document"](tools.calls_of(calls, "summarize_document", source="string"), index)
+    return read.select("request_id", F.lit("read_chunk").alias("tool"), "id").unionByName(
+        whole.select("request_id", F.lit("summarize_document").alias("tool"), "id"))
+
+
 def q_json_role_lookup(s, d):
     users = table(s, d, "customer").selectExpr(
         "c_custkey AS id", "concat(lower(c_name), '@example.org') AS email",
@@ -163,7 +184,13 @@ ORACLES = {
         "WHERE len(list_intersect(rt.toks, st.toks)) >= 1), "
         "best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY stage, o, id) = 1) "
         "SELECT r.request_id, r.source AS requested, s.source, b.stage FROM req r LEFT JOIN best b USING (request_id) LEFT JOIN srcs s ON s.id = b.id"),
+    "tool_dispatch": with_index(
+        "SELECT id AS request_id, 'read_chunk' AS tool, id FROM idx WHERE id % 2 = 0 UNION ALL "
+        "SELECT r.id, 'summarize_document', s.id FROM idx r JOIN idx s ON s.source = r.source WHERE r.id % 2 = 1"),
     "json_role_lookup": "SELECT coalesce((SELECT lower(c_name) || '@example.org' FROM customer WHERE c_acctbal > 9000 OR lower(c_mktsegment) = 'admin' "
                         "ORDER BY c_custkey LIMIT 1), (SELECT lower(s_name) FROM supplier ORDER BY s_suppkey LIMIT 1), 'it@example.org') AS email",
     "usable_chunks": with_index("SELECT category, count(*) AS n FROM idx WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY category"),
 }
+ORACLES["summarize_document"] = ORACLES["resolve_document"].replace(
+    "SELECT r.request_id, r.source AS requested, s.source, b.stage FROM req r LEFT JOIN best b USING (request_id) LEFT JOIN srcs s ON s.id = b.id",
+    "SELECT b.request_id, c.source, c.location, c.id, md5(c.content) AS content FROM best b JOIN srcs s ON s.id = b.id JOIN idx c ON c.source = s.source")

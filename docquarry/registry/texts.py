@@ -441,6 +441,18 @@ ORACLES = {
         "WITH i AS (SELECT page_id, " + ", ".join(f"{e} AS {c}" for c, e in _IMAGES.items()) + " FROM pages), "
         "x AS (SELECT *, least(1.0::DOUBLE, chars * 150.0::DOUBLE / greatest(width * height, 1)) AS density FROM i) SELECT page_id, round(density, 6) AS density, "
         "CASE WHEN density >= 0.40 AND confidence >= 60 THEN 'image_ocr' WHEN density >= 0.20 THEN 'image_hybrid' ELSE 'image_vision' END AS route FROM x"),
+    "image_chunks": (
+        "WITH i AS (SELECT page_id, " + ", ".join(f"{e} AS {c}" for c, e in _IMAGES.items()) + " FROM pages), "
+        "x AS (SELECT *, least(1.0::DOUBLE, chars * 150.0::DOUBLE / greatest(width * height, 1)) AS density, "
+        + sql_strip("replace(ocr, '/', ' ')") + " AS line FROM i), "
+        f"y AS (SELECT *, CASE WHEN length(line) >= 10 AND len(regexp_extract_all(line, {qt(NWS + '+')})) >= 2 THEN {sql_scrub('line')} ELSE '' END AS t, "
+        f"CASE WHEN len(list_filter(regexp_extract_all(description, {qt(NWS + '+')}), lambda w: length(w) > 3)) >= 20 THEN {sql_scrub('description')} ELSE '' END AS v, "
+        "CASE WHEN density >= 0.40 AND confidence >= 60 THEN 'image_ocr' WHEN density >= 0.20 THEN 'image_hybrid' ELSE 'image_vision' END AS route FROM x), "
+        "z AS (SELECT *, CASE route WHEN 'image_ocr' THEN t WHEN 'image_vision' THEN v ELSE concat_ws(chr(10) || chr(10), "
+        "CASE WHEN t <> '' THEN '[Text content]' || chr(10) || t END, CASE WHEN v <> '' THEN '[Visual content]' || chr(10) || v END) END AS body FROM y) "
+        "SELECT source, 'Page ' || (page + 1) || ', Image ' || (image + 1) AS location, CASE WHEN body <> '' THEN body ELSE '[' || source || "
+        "']: no text could be extracted from this image; neither the OCR nor the vision model returned content. Indexed as a placeholder.' END AS content, "
+        "CASE WHEN body <> '' THEN route ELSE 'image_empty' END AS content_type FROM z"),
     "scanned_pages": f"SELECT page_id, length({sql_strip('''regexp_replace(html, '(?s)<[^>]*>', '', 'g')''')}) < 100 AND length(html) * 64 / 1024 > 100 AS scanned FROM pages",
     "content_hash": "SELECT doc_id, sha256(text) AS hash FROM documents",
     "truncate_text": "SELECT doc_id, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '…' ELSE text END AS tool_result, "
