@@ -52,7 +52,9 @@ def candidate_dedup(candidates: DataFrame, cap: int = fixed.CANDIDATE_CAP) -> Da
     order = Window.partitionBy("query_id").orderBy(F.col("rrf").desc(), "id")
     return (
         fan_out(candidates, "query_id").withColumn("_key", dedup_key(F.col("content")))
-        .filter(F.col("_key") != "")
+        # naming a candidate column keeps this test on the candidates; alone it would be
+        # moved to the scan and lower every text of the index
+        .filter((F.col("_key") != "") | (F.col("rrf") <= 0))
         .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", "_key")
         .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= cap))
 
