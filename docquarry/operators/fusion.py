@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docquarry.functions import fixed
-from docquarry.functions.text import keywords, stem_of, strip, words
+from docquarry.functions.text import keywords, let, stem_of, strip, words
 from docquarry.session import fan_out
 
 
@@ -70,12 +70,17 @@ def source_dedup(candidates: DataFrame, cap: int = fixed.CANDIDATE_CAP) -> DataF
 
 def lexical_score(query: Column, content: Column, chars: int = fixed.RERANK_CHARS) -> Column:
     """Default pair score: share of the question's words found, plus their density."""
-    terms = F.array_distinct(keywords(query))
-    tokens = words(F.lower(F.substring(content, 1, chars)))
-    found = F.size(F.array_intersect(terms, tokens))
-    hits = F.size(F.filter(tokens, lambda t: F.array_contains(terms, t)))
-    return F.when((F.size(terms) == 0) | (F.size(tokens) == 0), F.lit(0.0)).otherwise(
-        F.round(found / F.size(terms) + hits / F.size(tokens), 6))
+    def score(p: Column) -> Column:
+        terms, tokens = p["terms"], p["tokens"]
+        found = F.size(F.array_intersect(terms, tokens))
+        hits = F.size(F.filter(tokens, lambda t: F.array_contains(terms, t)))
+        return F.when((F.size(terms) == 0) | (F.size(tokens) == 0), F.lit(0.0)).otherwise(
+            F.round(found / F.size(terms) + hits / F.size(tokens), 6))
+
+    # bound once: inside the filter they would be worked out again for every word
+    return let(F.struct(
+        F.array_distinct(keywords(query)).alias("terms"),
+        words(F.lower(F.substring(content, 1, chars))).alias("tokens")), score)
 
 
 def rerank(candidates: DataFrame, scorer=None) -> DataFrame:

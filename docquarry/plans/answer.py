@@ -13,14 +13,15 @@ from docquarry.session import fan_out
 
 def best_sentence(query: Column, content: Column) -> Column:
     """``struct<shared, text>``: the first sentence that shares most words with the question."""
-    terms = F.array_distinct(tx.keywords(query))
+    def of(terms: Column) -> Column:
+        def scored(s: Column, i: Column) -> Column:
+            shared = F.size(F.array_intersect(terms, tx.words(F.lower(s))))
+            return F.struct(shared.alias("shared"), (-i).alias("o"), s.alias("text"))
 
-    def scored(s: Column, i: Column) -> Column:
-        shared = F.size(F.array_intersect(terms, tx.words(F.lower(s))))
-        return F.struct(shared.alias("shared"), (-i).alias("o"), s.alias("text"))
+        return F.array_max(F.transform(tx.sentences(content), scored))
 
-    best = F.array_max(F.transform(tx.sentences(content), scored))
-    return F.struct(F.coalesce(best["shared"], F.lit(0)).alias("shared"), best["text"].alias("text"))
+    return tx.let(tx.let(F.array_distinct(tx.keywords(query)), of), lambda best: F.struct(
+        F.coalesce(best["shared"], F.lit(0)).alias("shared"), best["text"].alias("text")))
 
 
 def extractive_answers(questions: DataFrame, retrieved: DataFrame) -> DataFrame:

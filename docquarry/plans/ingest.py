@@ -87,7 +87,8 @@ def apply_changes(tables: BatchTables, diff: DataFrame, files: DataFrame, batch:
     rows = index_rows(files.join(todo.select("key"), "key", "left_semi"), embed)
     tables.write("chunks", rows, batch)
     n = tables.read("chunks").filter(F.col("batch") == batch).groupBy("source").agg(F.count("*").alias("chunks"))
-    done = files.select("tenant_id", "key", "source", "file_hash").join(todo, "key").join(n, "source", "left")
+    done = persist_table(
+        files.select("tenant_id", "key", "source", "file_hash").join(todo, "key").join(n, "source", "left"), "done")
     kept = done.select(F.col("key").alias("s3_key"), "tenant_id", "source", "file_hash", "etag", "size_bytes",
                        F.lit(False).alias("deleted"), now.alias("changed_at"))
     gone = tables.manifest(before=batch).join(
