@@ -149,6 +149,11 @@ _SECRET_KEEP = _SECRET.replace("(key|secret|token|password|auth)" + SPACE + "*",
                                "((?:key|secret|token|password|auth)" + SPACE + "*)")
 
 
+# the same matches as the plain pattern, but a long run without an at sign is walked
+# once: a match can only start where such a run or the previous match ended
+_EMAIL = r"(?:(?<![a-zA-Z0-9_.+-])|\G)" + fixed.EMAIL_PATTERN.replace("]+@", "]++@", 1)
+
+
 def _scrub_keys(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("A")), F.regexp_replace(c, fixed.CLOUD_KEY_PATTERN, fixed.CLOUD_KEY_TAG)).otherwise(c)
 
@@ -160,7 +165,7 @@ def _scrub_secrets(c: Column) -> Column:
 
 
 def _scrub_mail(c: Column) -> Column:
-    return F.when(F.contains(c, F.lit("@")), F.regexp_replace(c, fixed.EMAIL_PATTERN, fixed.EMAIL_TAG)).otherwise(c)
+    return F.when(F.contains(c, F.lit("@")), F.regexp_replace(c, _EMAIL, fixed.EMAIL_TAG)).otherwise(c)
 
 
 def scrub(c: Column) -> Column:
@@ -177,7 +182,7 @@ def redactions(c: Column) -> dict[str, Column]:
     return {
         "cloud_keys": F.regexp_count(c, F.lit(fixed.CLOUD_KEY_PATTERN)),
         "secrets": F.regexp_count(c, F.lit(_SECRET)),
-        "emails": F.regexp_count(let(_scrub_keys(c), _scrub_secrets), F.lit(fixed.EMAIL_PATTERN)),
+        "emails": F.regexp_count(let(_scrub_keys(c), _scrub_secrets), F.lit(_EMAIL)),
     }
 
 
@@ -279,6 +284,10 @@ _NO_BREAK_AFTER = (
 )
 
 
+# starts at word starts only and never backs up, so a huge token is walked once
+_LAST_WORD = f"(?<!{NOT_SPACE})({NOT_SPACE}++)$"
+
+
 def sentences(c: Column) -> Column:
     """Sentences of each line; no break after initials, abbreviations, bare numbers.
 
@@ -292,7 +301,7 @@ def sentences(c: Column) -> Column:
             lambda p: strip(p) != "")
         joined = F.array_join(
             F.transform(pieces, lambda p: F.concat(
-                p, F.when(F.regexp_extract(strip(p), f"({NOT_SPACE}+)$", 1).rlike(_NO_BREAK_AFTER), " ")
+                p, F.when(F.regexp_extract(strip(p), _LAST_WORD, 1).rlike(_NO_BREAK_AFTER), " ")
                 .otherwise(MARK))), "")
         return F.filter(F.transform(F.split(joined, MARK, -1), strip), lambda s: s != "")
 

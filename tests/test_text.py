@@ -114,6 +114,19 @@ def test_scrub(value):
         '[REDACTED_AWS_KEY] api_key : "[REDACTED_SECRET]" [REDACTED_EMAIL] password: "short"')
 
 
+@pytest.mark.parametrize("a, want", [
+    ("a@b.c_d@e.f", "[REDACTED_EMAIL][REDACTED_EMAIL]"), ("x..y@z.org,w@v.net", "[REDACTED_EMAIL],[REDACTED_EMAIL]"),
+    ("é.m@x.de @none.org a@b", "é[REDACTED_EMAIL] @none.org a@b"), ("a@b.c.d@e.f", "[REDACTED_EMAIL]@e.f")])
+def test_mail_edges(value, a, want):
+    assert value(tx.scrub(A), a=a) == want
+
+
+def test_huge_tokens_cost_one_walk(value):
+    junk = "x" * 200_000
+    assert value(F.size(tx.sentences(A)), a=f"{junk} Dr. {junk}. End") == 2
+    assert value(F.length(tx.scrub(A)), a=f"{junk} a@b.org") == 200_000 + 1 + len("[REDACTED_EMAIL]")
+
+
 def test_clean_answer(value):
     a = '<|im_start|>Fine.<|user|>echo\nmore\n\nrest ```json [{"x": 1}] ``` {"results": [1, 2]}<|im_end|> '
     assert value(tx.clean_answer(A), a=a) == "Fine.\n\nrest"
