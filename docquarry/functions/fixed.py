@@ -183,3 +183,6 @@ SCANNED_MAX_CHARS = 100
 SCANNED_MIN_KB = 100
 
 TOOL_NAMES = ["search_documents", "read_chunk", "list_files", "compare_sections", "summarize_document"]
+
+# --- fixed values: file format ---------------------------------------------------
+PERMISSIONS_KEY = "kgf_permissions"  # front-matter block that holds visibility, groups, users

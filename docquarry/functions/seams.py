@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType, StructField, StructType
 
+from docquarry.functions.fixed import PERMISSIONS_KEY
 from docquarry.functions.text import with_prefix, words
 from docquarry.functions.vectors import stored
 
@@ -81,7 +82,7 @@ def front_matter_yaml(load: Callable[[], Callable]):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         parse = load()
         for headers in batches:
-            found = [((parse(h) or {}).get("kgf_permissions") or {}) if h else {} for h in headers]
+            found = [((parse(h) or {}).get(PERMISSIONS_KEY) or {}) if h else {} for h in headers]
             yield pd.DataFrame({
                 "visibility": [str(p.get("visibility", "public")).lower() if p else None for p in found],
                 "groups": [[str(g) for g in p.get("groups") or []] if p else None for p in found],

@@ -192,7 +192,6 @@ def mail_chunk(sender: Column, subject: Column, body: Column) -> Column:
 # --- front matter ------------------------------------------------------------------
 
 _FRONT = rf"(?s)\A---{SPACE}*\n(.*?)\n---{SPACE}*\n"
-PERMISSIONS_KEY = "kgf_permissions"
 
 
 def _list_of(header: Column, key: str) -> Column:
@@ -213,7 +212,7 @@ def front_matter(text: Column) -> Column:
     """
     def of(p: Column) -> Column:
         section = F.regexp_extract(F.concat(p["header"], F.lit("\n")),
-                                   rf"(?m)^{PERMISSIONS_KEY}:[ \t]*\n((?:[ \t]+[^\n]*(?:\n|\z))+)", 1)
+                                   rf"(?m)^{fixed.PERMISSIONS_KEY}:[ \t]*\n((?:[ \t]+[^\n]*(?:\n|\z))+)", 1)
         visibility = F.lower(F.regexp_replace(strip(F.regexp_extract(
             section, r"(?m)^[ \t]+visibility:[ \t]*([^\n#]*)", 1)), r"""^(['"])(.*)\1$""", "$2"))
         permissions = F.when(section != "", F.struct(
