@@ -21,6 +21,7 @@ def local_session(cpus: int | str = 8, app: str = "docquarry", shuffle_partition
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -28,15 +29,14 @@ def local_session(cpus: int | str = 8, app: str = "docquarry", shuffle_partition
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``.
+    """A fresh folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    The cluster names a folder every executor can reach; only where that
-    setting is missing (tests, one machine) a temporary folder is used.
+    Without that setting there is no place that is known to be shared, so the
+    call fails; ``local_session`` and the tests set one of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -13,8 +13,6 @@ from docquarry.session import local_session  # noqa: E402
 
 # column expressions in test modules need a session when they are collected
 SESSION = local_session(8, "tests", shuffle_partitions=4)
-if not SESSION.conf.get("spark.checkpoint.dir", None):
-    SESSION.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
 @pytest.fixture(scope="session")
