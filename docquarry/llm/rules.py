@@ -50,10 +50,10 @@ class Limits:
     min_words: int = 20
     max_repeat_percent: int = 30
     repeat_window: int = 8
-    class_distance: float | None = 0.16
-    class_min_chars: int = 100
-    word_distance: float | None = 0.40
-    word_min_words: int = 60
+    class_distance: float | None = 0.20
+    class_min_chars: int = 400
+    word_distance: float | None = 0.27
+    word_min_words: int = 80
 
 
 def word_list(text: Column) -> Column:
