@@ -2,7 +2,7 @@
 
 Windows of ``window`` words are compared exactly. Each window has a minimiser,
 the least hash among its ``gram``-word runs (leftmost on ties); equal windows
-have equal minimisers. Consecutive windows of one document that share the
+have equal minimisers. A bucket is 32 bits of it. Consecutive windows of one document that share the
 minimiser's place form a super-k-mer, which travels as one packed string (its
 words joined by spaces) to the bucket of the minimiser. There, runs of one
 minimiser are sorted and their windows compared word by word.
@@ -13,8 +13,8 @@ copy. A run of one minimiser that still holds more than ``run_rows`` rows is
 not gathered: its windows go one by one to a second shuffle on the window.
 
 Defined results: null text has no words; a document below ``window`` words
-keeps all of them. Rows that share an id are compared as they are: of equal
-windows at equal (id, start) neither is earlier. Null ids sort after all others.
+keeps all of them. Rows that share an id are told apart by length and a 16-bit
+hash of the text; of equal windows at equal (id, start) neither is earlier. Null ids sort after all others.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from docquarry.llm import words as W
 from docquarry.llm.shared import free_names, persist
 
 LAST = (1 << 63) - 1
-PIECES = "bucket long, packed binary, id long, tag long, start long, n long"
+PIECES = "bucket int, packed binary, id long, tag long, start long, n long"
 COVERS = "id long, tag long, start long, n long, packed binary"
 
 
@@ -60,7 +60,7 @@ def cut_pieces(ids: np.ndarray, tags: np.ndarray, part: W.Words, window: int, gr
     tails = np.flatnonzero(stops) + window - 1
     docs = W.doc_of(part.first)[heads]
     text = part.text
-    rows = zip(hashed[place[heads]].view(np.int64).tolist(), part.start[heads].tolist(), part.end[tails].tolist(),
+    rows = zip(hashed[place[heads]].astype(np.uint32).view(np.int32).tolist(), part.start[heads].tolist(), part.end[tails].tolist(),
                ids[docs].tolist(), tags[docs].tolist(), (heads - part.first[docs]).tolist())
     for bucket, low, high, doc, tag, start in rows:
         yield bucket, text[low:high], doc, tag, start
@@ -123,7 +123,7 @@ def split_run(rows: list[tuple], window: int) -> tuple[list[tuple], list[tuple]]
 def _emit(bucket: list, rows: list[tuple]) -> pa.RecordBatch:
     packed, ids, tags, starts, sizes = zip(*rows) if rows else ((),) * 5
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket, pa.int64()), pa.array(packed, pa.binary()), pa.array(ids, pa.int64()), pa.array(tags, pa.int64()),
+        [pa.array(bucket, pa.int32()), pa.array(packed, pa.binary()), pa.array(ids, pa.int64()), pa.array(tags, pa.int64()),
          pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())],
         names=["bucket", "packed", "id", "tag", "start", "n"])
 
@@ -136,7 +136,7 @@ def _pieces(window: int, gram: int, fold_bytes: int = 8 << 20):
             if len(rows) > 1:
                 covers, rows = split_run(rows, window)
             for doc, tag, start, n in covers:
-                buckets.append(hash((doc, start)))
+                buckets.append((doc * 31 + start) % (1 << 31))
                 out.append((None, doc, tag, start, n))
             for row in rows:
                 buckets.append(bucket)
@@ -257,7 +257,7 @@ def _first_of_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield _covers([(d, t, s, n) for d, s, t, n in firsts.values()], list(firsts))
 
 
-def repeated_ranges(docs: DataFrame, window: int = 20, gram: int = 4, run_rows: int = 20_000) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int = 20, gram: int = 3, run_rows: int = 20_000) -> DataFrame:
     """Word ranges (id, tag, start, n) covered by windows that start earlier; ``docs`` has id, tag and text."""
     pieces = docs.mapInArrow(_pieces(window, gram), PIECES)
     found = pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_runs(window, run_rows), COVERS)
@@ -307,7 +307,7 @@ def _stay(part: W.Words, low: int, high: int, ranges: list | None) -> tuple[byte
     return b" ".join(part.text[part.start[low + a] : part.end[low + b - 1]] for a, b in runs), int((~stay).sum())
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 4,
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 3,
                      run_rows: int = 20_000, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``kept_words`` (the words that stay, joined by one space), ``n_words`` and ``n_removed``.
 
@@ -317,7 +317,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     inner = {c: "text" if c == text_col else f"c{i}" for i, c in enumerate(names)}
     plain = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in inner.items() if c != text_col),
                         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    plain = plain.withColumn("tag", F.xxhash64("text"))
+    # tells rows of one id apart: bytes of the text, and 16 bits of its hash
+    tag = F.coalesce(F.octet_length("text"), F.lit(-1)).cast("long") * 65536 + F.pmod(F.xxhash64("text"), F.lit(65536))
+    plain = plain.withColumn("tag", tag)
     ranges = repeated_ranges(plain.select("id", "tag", "text"), window, gram, run_rows)
     covers = ranges.groupBy(F.col("id").alias("of_id"), F.col("tag").alias("of_tag")).agg(F.collect_list(F.struct("start", "n")).alias("covers"))
     met = plain.join(covers, (F.coalesce("id", F.lit(LAST)) == F.col("of_id")) & (F.col("tag") == F.col("of_tag")), "left").drop("of_id", "of_tag")
