@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.chat import format_chat, loss_texts, read_chat
+from docquarry.llm.neardup import near_duplicates
 from docquarry.llm.rules import quality
 from docquarry.llm.substring import dedup_substrings
 from docquarry.llm.vafile import exact_top_k
@@ -70,6 +71,25 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=80)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT e.b, c.c FROM c JOIN e ON c.doc_id = e.a),
+m AS (SELECT doc_id, min(c) AS component_id FROM c GROUP BY doc_id)
+SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n ON m.doc_id = n.doc_id
+"""
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return exact_top_k(vectors.filter("vec_id % 100 = 0"), vectors, k=10, scale=1024)
@@ -88,10 +108,12 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op6_chat_formatting": op6_chat_formatting,
     "op8_quality_rules": op8_quality_rules,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_exact_top_k": op10_exact_top_k,
 }
 ORACLES = {
     "op1_substring_dedup": OP1_SQL,
     "op6_chat_formatting": OP6_SQL,
+    "op9_near_duplicates": OP9_SQL,
     "op10_exact_top_k": OP10_SQL,
 }
