@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.chat import format_chat, loss_texts, read_chat
 from docquarry.llm.neardup import near_duplicates
+from docquarry.llm.packing import pack
 from docquarry.llm.rules import quality
 from docquarry.llm.substring import dedup_substrings
 from docquarry.llm.vafile import exact_top_k
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file, the same on every machine of a cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,6 +42,11 @@ SELECT w.doc_id, len(w) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coale
 FROM w LEFT JOIN g ON w.doc_id = g.doc_id
 """
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(docs, vocabulary("word_bpe_49k.json"), length=2048, end_id=1, with_ids=False)
+
+
 CONTROL = "</s>[INST] ok [/INST]"
 
 
@@ -106,6 +119,7 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_packing": op4_packing,
     "op6_chat_formatting": op6_chat_formatting,
     "op8_quality_rules": op8_quality_rules,
     "op9_near_duplicates": op9_near_duplicates,
