@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from docquarry.llm.shared import free_names
 
-CACHED_PIECES = 200_000
+CACHED_PIECES = 400_000
 CACHED_PAIRS = 1_000_000
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.llm.bpe import decode, encode
 from docquarry.llm.chat import format_chat, loss_texts, read_chat
+from docquarry.llm.lm import score_texts
 from docquarry.llm.neardup import near_duplicates
 from docquarry.llm.packing import pack
 from docquarry.llm.rules import quality
@@ -42,6 +44,15 @@ SELECT w.doc_id, len(w) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coale
 FROM w LEFT JOIN g ON w.doc_id = g.doc_id
 """
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    ranks = vocabulary("byte_bpe_50k.tiktoken")
+    done = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, PATTERN), ranks)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack(docs, vocabulary("word_bpe_49k.json"), length=2048, end_id=1, with_ids=False)
@@ -79,6 +90,16 @@ FROM e GROUP BY conv_id
 """
 
 
+def held_out(folds: int):
+    """Rows whose crc32 of the id as text is divisible by ``folds``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_texts(docs, held_out(10))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
@@ -119,8 +140,10 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_byte_bpe": op2_byte_bpe,
     "op4_packing": op4_packing,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_quality_rules": op8_quality_rules,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_exact_top_k": op10_exact_top_k,
