@@ -12,6 +12,7 @@ from docquarry.llm.neardup import near_duplicates
 from docquarry.llm.packing import pack
 from docquarry.llm.rules import quality
 from docquarry.llm.substring import dedup_substrings
+from docquarry.llm.toxicity import score, train
 from docquarry.llm.vafile import exact_top_k
 
 
@@ -53,6 +54,18 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def held_out(folds: int):
+    """Rows whose crc32 of the id as text is divisible by ``folds``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out(5))
+    done = score(docs, train(docs, labels))
+    return done.select("doc_id", held_out(5).alias("held_out"), "score", "predicted", F.size("sentences").alias("n_sentences"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack(docs, vocabulary("word_bpe_49k.json"), length=2048, end_id=1, with_ids=False)
@@ -90,11 +103,6 @@ FROM e GROUP BY conv_id
 """
 
 
-def held_out(folds: int):
-    """Rows whose crc32 of the id as text is divisible by ``folds``."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0
-
-
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_texts(docs, held_out(10))
@@ -141,6 +149,7 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_lm_scoring": op7_lm_scoring,

@@ -15,6 +15,10 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+NOT_WORD = np.ones(256, bool)  # all but ASCII letters, digits and bytes of other characters
+NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+STOPS = np.zeros(256, bool)
+STOPS[[0x0A, 0x21, 0x2E, 0x3F]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15
@@ -64,18 +68,22 @@ def slices(column: pa.Array | pa.ChunkedArray, lower: bool = False, size: int =
         low = high
 
 
-def _split(data: np.ndarray, at: np.ndarray, rows: slice, lower: bool) -> Words:
-    blank = BLANK[data]
+def _ranges(blank: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of other than blank bytes, and the first run of each document."""
     inside = ~blank
-    opens = np.zeros(len(data), bool)
-    opens[at[:-1][at[:-1] < len(data)]] = True
-    after = np.ones(len(data), bool)
+    opens = np.zeros(len(blank), bool)
+    opens[at[:-1][at[:-1] < len(blank)]] = True
+    after = np.ones(len(blank), bool)
     after[1:] = blank[:-1]
     start = np.flatnonzero(inside & (after | opens))
-    closes = np.ones(len(data), bool)
+    closes = np.ones(len(blank), bool)
     closes[:-1] = blank[1:] | opens[1:]
-    end = np.flatnonzero(inside & closes) + 1
-    first = np.searchsorted(start, at)
+    return start, np.flatnonzero(inside & closes) + 1, np.searchsorted(start, at)
+
+
+def _split(data: np.ndarray, at: np.ndarray, rows: slice, lower: bool) -> Words:
+    blank = BLANK[data]
+    start, end, first = _ranges(blank, at)
     data = np.where(blank, np.uint8(32), LOWER[data] if lower else data)
     size = end - start
     gap = np.diff(start) - size[:-1]
@@ -83,7 +91,7 @@ def _split(data: np.ndarray, at: np.ndarray, rows: slice, lower: bool) -> Words:
     borders = first[1:-1] - 1
     inner[borders[(borders >= 0) & (borders < len(gap))]] = False
     if (gap[inner] != 1).any():
-        keep = inside.copy()
+        keep = ~blank
         keep[np.minimum(end, len(data) - 1)] = True
         data = data[keep]
         moved = np.cumsum(keep) - keep
@@ -92,6 +100,21 @@ def _split(data: np.ndarray, at: np.ndarray, rows: slice, lower: bool) -> Words:
     return Words(rows, data.tobytes(), start, end, first)
 
 
+def sentence_words(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> Iterator[tuple[Words, np.ndarray]]:
+    """Lower-cased runs of letters and digits, and the number of the sentence of each; sentences end at ``.!?`` and line ends."""
+    data, at = flat(column)
+    low, n = 0, len(at) - 1
+    while low < n:
+        high = min(n, max(low + 1, int(np.searchsorted(at, at[low] + size, "right")) - 1))
+        own, bounds = data[at[low] : at[high]], at[low : high + 1] - at[low]
+        start, end, first = _ranges(NOT_WORD[own], bounds)
+        ends = STOPS[own].astype(np.int64)
+        ends[bounds[:-1][bounds[:-1] < len(own)]] += 1  # a document opens a sentence
+        sentence = np.cumsum(ends)[start] if len(own) else np.zeros(0, np.int64)
+        yield Words(slice(low, high), LOWER[own].tobytes(), start, end, first), sentence
+        low = high
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly (the splitmix64 finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -114,14 +137,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def hashes(words: Words) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+def hashes(words: Words, stem: int | None = None) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, or of its first ``stem`` bytes."""
     data = np.frombuffer(words.text, np.uint8)
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    own = (sums[words.end] - sums[words.start]) * down[words.start]
-    return mix(own + (words.end - words.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    end = words.end if stem is None else np.minimum(words.end, words.start + stem)
+    own = (sums[end] - sums[words.start]) * down[words.start]
+    kind = 0 if stem is None else stem
+    return mix(own + (end - words.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(kind))
 
 
 def grams(word_hashes: np.ndarray, n: int) -> np.ndarray:
