@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.bpe import decode, encode
 from docquarry.llm.chat import format_chat, loss_texts, read_chat
+from docquarry.llm import licences
 from docquarry.llm.lm import score_texts
 from docquarry.llm.neardup import near_duplicates
 from docquarry.llm.packing import pack
@@ -71,6 +72,37 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, vocabulary("word_bpe_49k.json"), length=2048, end_id=1, with_ids=False)
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = licences.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"), licences.known_digests(spark))
+    return done.select("doc_id", F.array_join("text_licenses", ",").alias("text_licenses"), F.array_join("line_licenses", ",").alias("line_licenses"), "n_lines")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    sql = f"regexp_replace(translate(chr(10) || {text}, '{upper}', '{upper.lower()}'), {_quoted(licences.COPYRIGHT_LINE)}, chr(10), 'g')"
+    for old, new in licences.SPELLINGS:
+        sql = f"replace({sql}, {_quoted(old)}, {_quoted(new)})"
+    sql = f"regexp_replace({sql}, {_quoted(licences.MARKS)}, ' ', 'g')"
+    return f"list_filter(list_transform(string_split({sql}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')"
+
+
+_KNOWN = ", ".join([f"({_quoted(n)}, 'text', {_quoted(t)})" for n, t in licences.TEXTS.items()]
+                   + [f"({_quoted(n)}, 'line', {_quoted(t)})" for n, lines in licences.NOTICES.items() for t in lines])
+OP5_SQL = f"""
+WITH k AS (SELECT DISTINCT license, kind, array_to_string({_canonical_sql("t")}, ' ') AS body FROM (VALUES {_KNOWN}) AS v(license, kind, t)),
+d AS (SELECT doc_id, {_canonical_sql("coalesce(text, '')")} AS lines FROM documents),
+u AS (SELECT doc_id, 'text' AS kind, array_to_string(lines, ' ') AS body FROM d UNION ALL SELECT doc_id, 'line', unnest(lines) FROM d),
+m AS (SELECT u.doc_id, u.kind, k.license FROM u LEFT JOIN k ON u.kind = k.kind AND sha256(u.body) = sha256(k.body))
+SELECT doc_id, coalesce(string_agg(DISTINCT license, ',' ORDER BY license) FILTER (kind = 'text'), '') AS text_licenses,
+  coalesce(string_agg(DISTINCT license, ',' ORDER BY license) FILTER (kind = 'line'), '') AS line_licenses, count(license) FILTER (kind = 'line') AS n_lines
+FROM m GROUP BY doc_id
+"""
+
+
 CONTROL = "</s>[INST] ok [/INST]"
 
 
@@ -151,6 +183,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op5_licence_scan": op5_licence_scan,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_quality_rules": op8_quality_rules,
@@ -159,6 +192,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_substring_dedup": OP1_SQL,
+    "op5_licence_scan": OP5_SQL,
     "op6_chat_formatting": OP6_SQL,
     "op9_near_duplicates": OP9_SQL,
     "op10_exact_top_k": OP10_SQL,
