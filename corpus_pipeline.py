@@ -21,7 +21,8 @@ from docquarry.llm.toxicity import score, train
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the quality rules."""
-    return quality(docs).filter("kept").select(*docs.columns)
+    judged = quality(docs).select(*docs.columns, F.col("kept").alias("_kept"))
+    return persist(judged, "judged").filter("_kept").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

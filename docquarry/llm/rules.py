@@ -111,7 +111,8 @@ def quality(docs: DataFrame, text_col: str = "text", limits: Limits = Limits(),
     """``docs`` with the counts, both distances (of the nearest language) and the verdict ``kept``.
 
     Added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance,
-    word_distance, kept. Columns of these names are replaced, all others stay.
+    word_distance, kept. Columns of these names are replaced, all others stay. Write the result before filtering on
+    it: the optimizer moves such a filter into the counting expressions and repeats them.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
     names = free_names(docs, added)
