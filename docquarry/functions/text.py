@@ -453,7 +453,7 @@ def no_answer(answer: Column) -> Column:
 
 def question_type(q: Column) -> Column:
     parts = [
-        EDGE_START + text.replace("how", "how", 1) + (EDGE_END if closed else "")
+        EDGE_START + text + (EDGE_END if closed else "")
         for text, closed in fixed.EXPLORATORY_WORDS
     ]
     return F.when(any_match(F.lower(q), parts), "exploratory").otherwise("factual")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import fixed
 from docquarry.functions.text import file_name
 from docquarry.operators import scoring
-from docquarry.session import persist_table, small_side
+from docquarry.session import persist_table
 
 
 # --- scope -------------------------------------------------------------------------
@@ -80,7 +80,7 @@ def by_suffix(requests: DataFrame, files: DataFrame) -> DataFrame:
     want = requests.select("request_id", _file_key(F.col("source")).alias("_want")).filter(F.length("_want") > 0)
     ends = files.filter(F.length("_file") > 0).withColumn(
         "_want", F.explode(F.transform(F.sequence(F.lit(1), F.length("_file")), lambda i: F.right("_file", i))))
-    return ends.join(small_side(want), "_want").drop("_want", "_file")
+    return ends.join(want, "_want").drop("_want", "_file")
 
 
 def pick_chunks(requests: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def pick_chunks(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     requested file name; the lowest id within a stage. Works on ids and names only.
     """
     r = requests.select("request_id", "source", "location")
-    exact = chunks.select("id", "source", "location").join(small_side(r), ["source", "location"]).select(
+    exact = chunks.select("id", "source", "location").join(r, ["source", "location"]).select(
         "request_id", F.lit(1).alias("stage"), "id")
     fuzzy = by_suffix(r, files_of(chunks)).select("request_id", F.lit(2).alias("stage"), "id")
     return exact.unionByName(fuzzy).groupBy("request_id").agg(F.min(F.struct("stage", "id")).alias("p")).select(
@@ -100,7 +100,7 @@ def pick_chunks(requests: DataFrame, chunks: DataFrame) -> DataFrame:
 def read_chunk(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     """``(request_id, source, location)`` to one chunk each; ``found`` is false without one."""
     picks = persist_table(pick_chunks(requests, chunks), "picks")
-    texts = chunks.select("id", "source", "location", "content", "category").join(small_side(picks), "id")
+    texts = chunks.select("id", "source", "location", "content", "category").join(picks, "id")
     return requests.select("request_id").join(texts, "request_id", "left").select(
         "request_id", F.col("id").isNotNull().alias("found"), "stage", "id", "source", "location", "content", "category")
 
@@ -140,7 +140,7 @@ def resolve_document(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     # four steps below use the file list: one pass over the chunk table makes it
     files = persist_table(files_of(chunks), "files")
     r = requests.select("request_id", "source")
-    exact = files.join(small_side(r), F.col("source") == F.col("f_source")).select("request_id", F.lit(1).alias("stage"), "id")
+    exact = files.join(r, F.col("source") == F.col("f_source")).select("request_id", F.lit(1).alias("stage"), "id")
     as_md = r.withColumn("source", F.concat(
         F.regexp_replace(F.ltrim(file_name(F.col("source")), F.lit("/")), r"\.md$", ""), F.lit(".md"))).filter("source <> '.md'")
     suffix = by_suffix(as_md, files).select("request_id", F.lit(2).alias("stage"), "id")
@@ -150,7 +150,7 @@ def resolve_document(requests: DataFrame, chunks: DataFrame) -> DataFrame:
         F.col("query_id").alias("request_id"), F.lit(3).alias("stage"), "id")
     best = exact.unionByName(suffix).unionByName(near).groupBy("request_id").agg(F.min(F.struct("stage", "id")).alias("p"))
     picks = persist_table(best.select("request_id", "p.stage", "p.id"), "picks")
-    picked = files.select("id", "f_source").join(small_side(picks), "id")
+    picked = files.select("id", "f_source").join(picks, "id")
     return r.join(picked, "request_id", "left").select(
         "request_id", F.col("source").alias("requested"), F.col("f_source").alias("source"), "stage")
 

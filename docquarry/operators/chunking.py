@@ -139,10 +139,10 @@ def chunk_code(df: DataFrame, text: str = "text", *, min_lines: int = fixed.CODE
     return unroll(cut, F.col("_pieces"), "block", "content", keep).withColumn("block", F.col("block") + 1)
 
 
-def transcript_chunks(segments: DataFrame) -> DataFrame:
-    """``(source, start, end, text)`` in seconds to located chunks; empty texts dropped."""
+def transcript_chunks(segments: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(source, start, end, text)`` in seconds to located chunks; empty texts dropped. ``keep``: further columns."""
     t = segments.withColumn("content", strip(F.col("text"))).filter(F.col("content") != "")
-    return t.select("source", timestamp_location(F.col("start"), F.col("end")).alias("location"), "content")
+    return t.select(*keep, "source", timestamp_location(F.col("start"), F.col("end")).alias("location"), "content")
 
 
 def thread_chunks(messages: DataFrame, *, limit: int = fixed.THREAD_MAX_CHARS,
@@ -229,7 +229,7 @@ def front_matter(text: Column) -> Column:
 
 # --- media ------------------------------------------------------------------------------
 
-def image_chunks(images: DataFrame, placeholder_model: str = "vision") -> DataFrame:
+def image_chunks(images: DataFrame, placeholder_model: str = "vision", keep: tuple[str, ...] = ()) -> DataFrame:
     """Route images by text density and put their texts together.
 
     ``images``: ``source, page, image, chars, width, height, confidence, ocr,
@@ -248,6 +248,6 @@ def image_chunks(images: DataFrame, placeholder_model: str = "vision") -> DataFr
     location = F.concat(F.lit("Page "), (F.col("page") + 1).cast("string"), F.lit(", Image "), (F.col("image") + 1).cast("string"))
     done = texts.withColumn("_text", content)
     return done.select(
-        "source", location.alias("location"),
+        *keep, "source", location.alias("location"),
         F.when(F.col("_text") != "", F.col("_text")).otherwise(empty).alias("content"),
         F.when(F.col("_text") != "", F.col("content_type")).otherwise("image_empty").alias("content_type"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docquarry.functions import text as tx
-from docquarry.session import small_side
 
 
 def gen_questions(documents: DataFrame, n: int = 30) -> DataFrame:
@@ -111,7 +110,7 @@ def latency_percentiles(samples: DataFrame, by: str, *, points: tuple[float, ...
     counted = samples.groupBy(by, "ms").agg(F.count("*").alias("c"))
     grid = [i / cuts for i in range(1, cuts)]
     bounds = samples.groupBy(by).agg(F.percentile_approx("ms", grid, 10 * cuts).alias("bounds"))
-    placed = counted.join(small_side(bounds, 10_000), by).withColumn(
+    placed = counted.join(bounds, by).withColumn(
         "b", F.size(F.filter("bounds", lambda x: x < F.col("ms")))).drop("bounds")
     ranges = placed.groupBy(by, "b").agg(F.sum("c").alias("c"))
     stage, order = Window.partitionBy(by), Window.partitionBy(by).orderBy("b")

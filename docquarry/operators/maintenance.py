@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import fixed
 from docquarry.functions.text import is_allowed, object_hash
-from docquarry.session import small_side
 
 
 def object_listing(objects: DataFrame) -> DataFrame:
@@ -21,25 +20,31 @@ def object_listing(objects: DataFrame) -> DataFrame:
         "s3_key", "etag", object_hash(F.col("etag"), F.col("content")).alias("file_hash"), "size_bytes")
 
 
+def _keys(one: DataFrame, two: DataFrame) -> list[str]:
+    """What names a file: its key within its tenant, where both sides know tenants."""
+    return ["tenant_id", "s3_key"] if {"tenant_id"} <= set(one.columns) & set(two.columns) else ["s3_key"]
+
+
 def manifest_diff(listing: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Every key of either side with its change: new, changed, deleted or unchanged.
+    """Every key (of a tenant) of either side with its change: new, changed, deleted or unchanged.
 
     A key whose listing failed (``listing_error``) is kept as it was: it is
     ``unknown``, never ``deleted``.
     """
     has_error = "listing_error" in listing.columns
+    keys = _keys(listing, manifest)
     now = listing.select(
-        "s3_key", F.col("etag").alias("n_etag"), F.col("file_hash").alias("n_hash"), F.col("size_bytes").alias("n_size"),
+        *keys, F.col("etag").alias("n_etag"), F.col("file_hash").alias("n_hash"), F.col("size_bytes").alias("n_size"),
         (F.col("listing_error") if has_error else F.lit(False)).alias("failed"), F.lit(True).alias("listed"))
-    old = manifest.select("s3_key", F.col("etag").alias("o_etag"), F.col("file_hash").alias("o_hash"), F.lit(True).alias("known"))
+    old = manifest.select(*keys, F.col("etag").alias("o_etag"), F.col("file_hash").alias("o_hash"), F.lit(True).alias("known"))
     change = (
         F.when(F.coalesce("failed", F.lit(False)), "unknown")
         .when(F.col("known").isNull(), "new")
         .when(F.col("listed").isNull(), "deleted")
         .when(~F.col("n_etag").eqNullSafe(F.col("o_etag")) | ~F.col("n_hash").eqNullSafe(F.col("o_hash")), "changed")
         .otherwise("unchanged"))
-    return now.join(old, "s3_key", "full_outer").select(
-        "s3_key", change.alias("change"), F.col("n_etag").alias("etag"), F.col("n_hash").alias("file_hash"),
+    return now.join(old, keys, "full_outer").select(
+        *keys, change.alias("change"), F.col("n_etag").alias("etag"), F.col("n_hash").alias("file_hash"),
         F.col("n_size").alias("size_bytes"))
 
 
@@ -53,15 +58,16 @@ def sync_summary(diff: DataFrame) -> DataFrame:
 
 def manifest_upsert(manifest: DataFrame, listing: DataFrame, now: Column) -> DataFrame:
     """The manifest after a pass; ``last_etag_at`` moves only with the etag."""
-    new = listing.select("s3_key", *[F.col(c).alias(f"n_{c}") for c in ("etag", "file_hash", "size_bytes")], F.lit(True).alias("seen"))
-    both = manifest.withColumn("known", F.lit(True)).join(new, "s3_key", "full_outer")
+    keys = _keys(manifest, listing)
+    new = listing.select(*keys, *[F.col(c).alias(f"n_{c}") for c in ("etag", "file_hash", "size_bytes")], F.lit(True).alias("seen"))
+    both = manifest.withColumn("known", F.lit(True)).join(new, keys, "full_outer")
 
     def pick(c: str) -> Column:
         return F.when(F.col("seen"), F.col(f"n_{c}")).otherwise(F.col(c)).alias(c)
 
     etag_moved = F.col("known").isNull() | ~F.col("etag").eqNullSafe(F.col("n_etag"))
     return both.select(
-        "s3_key", pick("etag"), pick("file_hash"), pick("size_bytes"),
+        *keys, pick("etag"), pick("file_hash"), pick("size_bytes"),
         F.when(F.col("seen"), now).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
         F.when(F.col("seen") & etag_moved, now).otherwise(F.col("last_etag_at")).alias("last_etag_at"))
 
@@ -108,17 +114,20 @@ def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def delete_cascade(sources: DataFrame, **tables: tuple[DataFrame, str]) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Remove sources from several tables.
+    """Remove sources from several tables; of a tenant's sources, where ``sources`` names tenants.
 
     ``tables`` maps a name to ``(table, source column)``. Returns the remaining
     tables and the true number of rows removed from each.
     """
-    gone = small_side(sources.select(F.col("source").alias("_gone")).distinct())
+    by_tenant = "tenant_id" in sources.columns
+    gone = sources.select(F.col("source").alias("_gone"), *([F.col("tenant_id").alias("_tenant")] if by_tenant else [])).distinct()
     rest, counts = {}, None
     for name, (df, col) in tables.items():
         on = F.col(col) == F.col("_gone")
+        if by_tenant:
+            on &= F.col("tenant_id") == F.col("_tenant")
         rest[name] = df.join(gone, on, "left_anti")
-        n = df.select(col).join(gone, on, "left_semi").agg(F.count("*").alias("removed")).select(
+        n = df.select(col, *(["tenant_id"] if by_tenant else [])).join(gone, on, "left_semi").agg(F.count("*").alias("removed")).select(
             F.lit(name).alias("table"), "removed")
         counts = n if counts is None else counts.unionByName(n)
     return rest, counts

@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 from docquarry.functions import fixed
 from docquarry.operators import catalog
 from docquarry.plans.retrieve import search_documents
-from docquarry.session import persist_table, small_side
+from docquarry.session import persist_table
 
 
 def summarize_document(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     """The sections of the document that each request (``request_id, source``) means, in ``id`` order."""
     meant = persist_table(
         catalog.resolve_document(requests, chunks).filter(F.col("source").isNotNull()).select("request_id", "source"), "meant")
-    wanted = chunks.join(small_side(meant.select("source").distinct()), "source", "left_semi")
-    return catalog.document_sections(wanted).join(small_side(meant), "source").select(
+    wanted = chunks.join(meant.select("source").distinct(), "source", "left_semi")
+    return catalog.document_sections(wanted).join(meant, "source").select(
         "request_id", "source", "location", "id", "content")
 
 
@@ -37,10 +37,10 @@ def list_files(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     """``request_id, category`` (null for all) to the file inventory."""
     files = catalog.list_files(chunks)
     asked = requests.select("request_id", F.col("category").alias("_wanted"))
-    per = files.join(small_side(asked.filter(F.col("_wanted").isNotNull())), F.col("category") == F.col("_wanted")).drop("_wanted")
+    per = files.join(asked.filter(F.col("_wanted").isNotNull()), F.col("category") == F.col("_wanted")).drop("_wanted")
     # requests for everything get every file: the answer itself is that long
     every = files.withColumn("_all", F.lit(True)).join(
-        small_side(asked.filter(F.col("_wanted").isNull()).select("request_id", F.lit(True).alias("_all"))), "_all").drop("_all")
+        asked.filter(F.col("_wanted").isNull()).select("request_id", F.lit(True).alias("_all")), "_all").drop("_all")
     return per.unionByName(every)
 
 

@@ -10,7 +10,7 @@ from docquarry.functions.seams import embed_hashed
 from docquarry.functions.toolcalls import tool_calls
 from docquarry.plans import ingest
 from docquarry.registry.evaluation import _EV_SQL, _evaluated
-from docquarry.registry.texts import _CHUNK_SQL, _CODE_SQL, sql_scrub
+from docquarry.registry.texts import _CHUNK_SQL, _CODE_SQL, sql_scrub, sql_strip
 from docquarry.registry.upkeep import NOW
 from docquarry.registry.views import TENANT, index_chunks, table, with_index
 from docquarry.session import shared_dir, spread
@@ -51,7 +51,7 @@ def q_ingest_batch(s, d):
 
 
 def _listing(f: DataFrame) -> DataFrame:
-    return f.filter(tx.is_allowed(F.col("key"))).select(F.col("key").alias("s3_key"), "etag", "file_hash", "size_bytes")
+    return f.filter(tx.is_allowed(F.col("key"))).select("tenant_id", F.col("key").alias("s3_key"), "etag", "file_hash", "size_bytes")
 
 
 def q_reconcile(s, d):
@@ -72,6 +72,47 @@ def q_reconcile(s, d):
     return one.join(F.broadcast(live.withColumn("pass", F.lit(2))), "pass", "left")
 
 
+def q_reconcile_tenants(s, d):
+    """Two tenants with files of the same keys: each keeps its own texts, also when one of them deletes all of its files."""
+    t = _tables(s, "tenants")
+    one = _files(s, d).filter(tx.is_allowed(F.col("key"))).withColumn("tenant_id", F.lit("t-1"))
+    two = one.withColumn("tenant_id", F.lit("t-2")).withColumn("text", F.concat("text", F.lit(" of two"))).withColumn("file_hash", F.md5("text")).withColumn("etag", F.md5("text"))
+    both = one.unionByName(two)
+    ingest.reconcile(t, _listing(both), both, 1, F.expr(NOW), _small_embed).collect()
+    ingest.reconcile(t, _listing(two), two, 2, F.expr(NOW), _small_embed).collect()
+    status = t.read("status").groupBy("tenant_id", "status").agg(F.count("*").alias("n"))
+    live = t.live_chunks().groupBy("tenant_id").agg(F.count("*").alias("n")).select("tenant_id", F.lit("live chunks").alias("status"), "n")
+    return status.unionByName(live)
+
+
+_MEDIA = {
+    "audio": ("conversations", "concat('calls/c', CAST(conv_id AS VARCHAR(20)), '.mp3')"),
+    "paged": ("benchmark", "concat('papers/b', CAST(item_id AS VARCHAR(20)), '.pdf')"),
+}
+
+
+def q_ingest_media(s, d):
+    """Conversations as recordings with transcripts, benchmark texts as pages."""
+    base = "'t-1' AS tenant_id", "key", "concat('s3://kb/', key) AS source", "key AS file_hash", "9 AS size_bytes", "CAST(NULL AS STRING) AS text"
+    calls = table(s, d, "conversations").selectExpr(f"{_MEDIA['audio'][1]} AS key", "struct(CAST(turn * 30 AS DOUBLE) AS start, CAST(turn * 30 + 20 AS DOUBLE) AS end, text) AS said")
+    calls = calls.groupBy("key").agg(F.array_sort(F.collect_list("said")).alias("segments")).selectExpr(*base, "segments", "CAST(NULL AS ARRAY<STRING>) AS pages")
+    papers = table(s, d, "benchmark").selectExpr(f"{_MEDIA['paged'][1]} AS key", "array(text) AS pages").selectExpr(
+        *base, "CAST(NULL AS ARRAY<STRUCT<start: DOUBLE, end: DOUBLE, text: STRING>>) AS segments", "pages")
+    rows = ingest.chunk_files(calls.unionByName(papers))
+    return rows.select("source", "source_type", "location", "category", F.md5("content").alias("content"))
+
+
+def q_stream_dead_letters(s, d):
+    """Messages that cannot be read and objects that are not there, set aside by the stream."""
+    inbox, t = shared_dir(s, "inbox"), _tables(s, "letters")
+    table(s, d, "documents").selectExpr(f"{_BODY} AS body").write.text(inbox)
+    files = _files(s, d).filter(tx.is_allowed(F.col("key")))
+    stream = objects.read_object_events(s, inbox, files_per_trigger=10_000)
+    objects.start_ingest(stream, lambda keys: files.join(keys.select("key"), "key", "left_semi"), t, shared_dir(s, "ckpt"), embed=_small_embed,
+                         trigger={"availableNow": True}).awaitTermination()
+    return t.read("dead_letters").select("reason", F.when(F.col("reason") == "unreadable", F.md5("body")).otherwise(F.get_json_object("body", "$.key")).alias("what"))
+
+
 # --- object events: every supported document once raw, once enveloped, some damaged ----------------
 
 _BODY = (
@@ -273,6 +314,24 @@ ORACLES = {
         "SELECT 1 AS \"pass\", (SELECT count(*) FROM o) AS scanned, (SELECT count(*) FROM o) AS new, 0 AS changed, 0 AS deleted, 0 AS unchanged, "
         "NULL AS live_chunks, NULL AS live_sources UNION ALL SELECT 2, count(lk), count(*) FILTER (ok IS NULL), count(*) FILTER (oh <> lh), "
         "count(*) FILTER (lk IS NULL), count(*) FILTER (oh = lh), (SELECT sum(chunks) FROM n), (SELECT count(*) FROM n) FROM j"),
+    "reconcile_tenants": (
+        f"WITH {_F_SQL}, both_files AS (SELECT doc_id * 2 AS doc_id, key, text FROM f UNION ALL SELECT doc_id * 2 + 1, key, text || ' of two' FROM f), "
+        f"{_cut_sql('both_files', 'cut')}, n AS (SELECT doc_id, count(*) AS chunks FROM cut WHERE {_WORDY} GROUP BY doc_id), "
+        f"a AS (SELECT b.doc_id % 2 AS two, chunks FROM both_files b LEFT JOIN n USING (doc_id) WHERE NOT ends_with(key, '.exe')) "
+        f"SELECT CASE two WHEN 0 THEN 't-1' ELSE 't-2' END AS tenant_id, CASE WHEN chunks > 0 THEN 'ok' ELSE 'skipped' END AS status, count(*) AS n FROM a GROUP BY ALL "
+        f"UNION ALL SELECT 't-1', 'deleted', count(*) FROM a WHERE two = 0 UNION ALL SELECT 't-2', 'unchanged', count(*) FROM a WHERE two = 1 "
+        "UNION ALL SELECT 't-2', 'live chunks', sum(chunks)::BIGINT FROM a WHERE two = 1"),
+    "ingest_media": (
+        f"WITH p AS (SELECT item_id AS doc_id, {_MEDIA['paged'][1]} AS pkey, 'x.txt' AS key, text FROM benchmark), {_cut_sql('p', 'cut')} "
+        f"SELECT 's3://kb/' || pkey AS source, 'document' AS source_type, 'Page 1' AS location, 'papers' AS category, md5({sql_scrub('content')}) AS content "
+        "FROM cut JOIN p USING (doc_id) UNION ALL "
+        f"SELECT 's3://kb/' || {_MEDIA['audio'][1]}, 'audio', 'Timestamp ' || lpad((turn * 30 // 60)::VARCHAR, 2, '0') || ':' || lpad((turn * 30 % 60)::VARCHAR, 2, '0') || ' - ' || "
+        "lpad(((turn * 30 + 20) // 60)::VARCHAR, 2, '0') || ':' || lpad(((turn * 30 + 20) % 60)::VARCHAR, 2, '0'), 'calls', "
+        f"md5({sql_scrub(sql_strip('text'))}) FROM conversations WHERE {sql_strip('text')} <> ''"),
+    "stream_dead_letters": (
+        f"SELECT 'unreadable' AS reason, md5({_BODY}) AS what FROM documents WHERE doc_id % 5 >= 3 UNION ALL "
+        f"SELECT 'not fetched', {_FILE_KEY} FROM documents WHERE doc_id % 5 < 3 AND lang = 'de' UNION ALL "
+        "SELECT 'not fetched', 'extra/' || doc_id || '.md' FROM documents WHERE doc_id % 5 = 2"),
     "parse_object_events": (
         f"SELECT doc_id, CASE WHEN doc_id % 5 < 3 THEN 'kb' END AS bucket, CASE WHEN doc_id % 5 < 3 THEN {_FILE_KEY} ELSE 'unreadable' END AS key, "
         "CASE WHEN doc_id % 5 = 0 THEN md5(text) END AS etag FROM documents UNION ALL "

@@ -56,26 +56,14 @@ def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of all tables ``df`` reads; runs nothing.
 
     Sums the leaves of the plan: the estimate of a whole plan multiplies the
-    sides of joins and says little about the data. Leaves without an estimate
-    (Spark reports them as endless) count as nothing.
+    sides of joins and says little about the data. A leaf without an estimate
+    counts as endless, as Spark reports it.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
-    return sum(n for n in sizes if n < UNKNOWN_BYTES)
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 UNKNOWN_BYTES = 1 << 60
-
-
-def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """``df`` marked for broadcast when it is checked to be small, else as it is.
-
-    The check reads no more than ``max_rows`` + 1 rows and keeps them on the
-    executors. Meant for request lists; larger ones are joined by shuffle.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 SPLIT_BYTES = 8 << 20
 
 
@@ -99,5 +87,8 @@ def fan_out(df: DataFrame, *keys: str, sized_by: DataFrame | None = None) -> Dat
     """
     n = df.sparkSession.sparkContext.defaultParallelism
     if sized_by is not None:
-        n = max(n, input_bytes(sized_by) // (64 << 20) + 1)
+        size = input_bytes(sized_by)
+        if size >= UNKNOWN_BYTES:
+            return df.repartition(*keys)
+        n = max(n, size // (64 << 20) + 1)
     return df.repartition(n, *keys)

@@ -1,7 +1,7 @@
 """Index tables as folders of batches, and whole-table sinks.
 
 A batch is written once under its number; writing it again (a replayed stream
-batch, a retried job) replaces the same folder. Nothing is rewritten when files
+batch, a retried job) replaces the same folder. Tenants are part of every key. Nothing is rewritten when files
 change: the manifest's newest row per key says which batch of a source counts,
 and deletes are manifest rows too.
 """
@@ -14,66 +14,72 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.session import small_side
-
 CHUNKS = (
-    "id bigint, tenant_id string, source string, source_type string, location string, content string, "
+    "id string, source string, source_type string, location string, content string, "
     "embedding array<float>, file_hash string, visibility string, groups array<string>, users array<string>, "
-    "category string, batch bigint"
+    "batch bigint, tenant_id string, category string"
 )
 MANIFEST = (
-    "s3_key string, tenant_id string, source string, file_hash string, etag string, size_bytes bigint, deleted boolean, "
-    "changed_at timestamp, batch bigint"
+    "tenant_id string, s3_key string, source string, file_hash string, etag string, size_bytes bigint, deleted boolean, "
+    "chunk_batch bigint, last_seen_at timestamp, last_etag_at timestamp, batch bigint"
 )
-STATUS = "key string, status string, chunks bigint, error string, ts timestamp, batch bigint"
-SCHEMAS = {"chunks": CHUNKS, "manifest": MANIFEST, "status": STATUS}
+STATUS = "tenant_id string, key string, status string, chunks bigint, error string, ts timestamp, batch bigint"
+DEAD_LETTERS = "body string, reason string, ts timestamp, batch bigint"
+SCHEMAS = {"chunks": CHUNKS, "manifest": MANIFEST, "status": STATUS, "dead_letters": DEAD_LETTERS}
+KEY = ["tenant_id", "s3_key"]
 
 
 @dataclass(frozen=True)
 class BatchTables:
-    """``chunks``, ``manifest`` and ``status`` below one root folder."""
+    """``chunks``, ``manifest``, ``status`` and ``dead_letters`` below one root folder."""
 
     spark: SparkSession
     root: str
 
     def write(self, name: str, df: DataFrame, batch: int) -> None:
-        spread = {"chunks": ["category"]}.get(name, [])
+        """Write one batch of a table; an earlier try of the batch is replaced, also by no rows at all."""
+        spread = {"chunks": ["tenant_id", "category"]}.get(name, [])
         columns = [c.split()[0] for c in _split_schema(SCHEMAS[name]) if c.split()[0] != "batch"]
-        # rebalancing by the folder column makes few, evenly sized files and splits crowded folders
+        # rebalancing by the folder columns makes few, evenly sized files and splits crowded folders
         rows = df.select(*columns).hint("rebalance", *spread) if spread else df.select(*columns)
-        (rows.withColumn("batch", F.lit(batch).cast("bigint"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch", *spread).parquet(f"{self.root}/{name}"))
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
+         .partitionBy(*spread).parquet(f"{self.root}/{name}/batch={batch}"))
 
     def read(self, name: str, before: int | None = None) -> DataFrame:
-        """All batches of a table, or those below ``before``."""
+        """All batches of a table, or those below ``before``; a table that was never written is empty."""
         try:
             df = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             df = self.spark.createDataFrame([], SCHEMAS[name])
         return df if before is None else df.filter(F.col("batch") < before)
 
     def manifest(self, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
-        """The newest row per key, without deleted ones; of ``keys`` (``s3_key``) only, if given."""
+        """The newest row per tenant and key, without deleted ones; of ``keys`` (``tenant_id, s3_key``) only, if given."""
         rows = self.read("manifest", before)
         if keys is not None:
-            rows = rows.join(small_side(keys), "s3_key", "left_semi")
-        fields = [c for c in rows.columns if c != "s3_key"]
-        newest = rows.groupBy("s3_key").agg(F.max_by(F.struct(*fields), "batch").alias("r")).select("s3_key", "r.*")
+            rows = rows.join(keys.select(*KEY), KEY, "left_semi")
+        fields = [c for c in rows.columns if c not in KEY]
+        newest = rows.groupBy(*KEY).agg(F.max_by(F.struct(*fields), "batch").alias("r")).select(*KEY, "r.*")
         return newest.filter(~F.col("deleted"))
 
     def live_chunks(self) -> DataFrame:
-        """Chunks of the current batch of every source."""
-        current = self.manifest().select("source", "batch")
-        return self.read("chunks").join(current, ["source", "batch"], "left_semi")
+        """Chunks of the batch that holds the current text of every source."""
+        current = self.manifest().select("tenant_id", "source", F.col("chunk_batch").alias("batch"))
+        return self.read("chunks").join(current, ["tenant_id", "source", "batch"], "left_semi")
 
     def ledger(self) -> DataFrame:
         """Known ``(tenant_id, file_hash, source)`` with chunk counts."""
-        n = self.live_chunks().groupBy("source").agg(F.count("*").cast("int").alias("chunks"))
-        return self.manifest().join(n, "source", "left").groupBy("tenant_id", "file_hash").agg(
-            F.max_by(F.struct("source", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.col("changed_at").alias("ingested_at")),
+        n = self.live_chunks().groupBy("tenant_id", "source").agg(F.count("*").cast("int").alias("chunks"))
+        return self.manifest().join(n, ["tenant_id", "source"], "left").groupBy("tenant_id", "file_hash").agg(
+            F.max_by(F.struct("source", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.col("last_etag_at").alias("ingested_at")),
                      F.struct("batch", "source")).alias("r")).select("tenant_id", "file_hash", "r.*")
 
+    def attempts(self) -> DataFrame:
+        """The status log in the form that ``maintenance.dead_letter`` folds."""
+        return self.read("status").select("key", "status", "error", "ts", F.col("batch").alias("event_id"))
+
 
 def _split_schema(ddl: str) -> list[str]:
     return [c.strip() for c in ddl.split(", ")]

@@ -73,18 +73,27 @@ def start_ingest(
     ``fetch`` turns distinct ``(bucket, key)`` rows into files (``tenant_id, key,
     source, file_hash, etag, size_bytes, text``). A batch is diffed against the
     manifest of earlier batches only, and written under its own number: repeated
-    deliveries find nothing to do, a replayed batch overwrites itself.
+    deliveries find nothing to do, a replayed batch replaces itself. Messages that
+    cannot be read and objects that ``fetch`` does not return go to the dead
+    letters of the batch; the latter also to the status log, from which
+    ``maintenance.dead_letter`` tells what to retry.
     """
 
     def run(batch_df: DataFrame, epoch: int) -> None:
-        events, unread = parse_object_events(batch_df)
-        # files are read once, and all steps of the batch see the same state of them
-        files = persist_table(fetch(events.select("bucket", "key").distinct()), "files")
         now = F.current_timestamp()
-        keys = files.select(F.col("key").alias("s3_key"), "etag", "file_hash", "size_bytes")
-        known = tables.manifest(before=epoch, keys=keys.select("s3_key"))
+        events, unread = parse_object_events(batch_df.select("body", F.col("body").alias("message")))
+        asked = persist_table(events.select("bucket", "key").distinct(), "asked")
+        # files are read once, and all steps of the batch see the same state of them
+        files = persist_table(fetch(asked), "files")
+        lost = asked.join(files.select("key"), "key", "left_anti")
+        dead = unread.select(F.col("message").alias("body"), F.lit("unreadable").alias("reason")).unionByName(
+            lost.select(F.to_json(F.struct("bucket", "key")).alias("body"), F.lit("not fetched").alias("reason")))
+        tables.write("dead_letters", dead.withColumn("ts", now), epoch)
+        keys = files.select("tenant_id", F.col("key").alias("s3_key"), "etag", "file_hash", "size_bytes")
+        known = tables.manifest(before=epoch, keys=keys)
         diff = persist_table(manifest_diff(keys, known), "diff")
-        apply_changes(tables, diff, files, epoch, now, embed)
+        failures = lost.select(F.lit(None).cast("string").alias("tenant_id"), "key", F.lit("not fetched").alias("error"))
+        apply_changes(tables, diff, files, epoch, now, embed, failures)
 
     return (
         messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
@@ -97,13 +106,14 @@ def start_reconcile(
     tables: BatchTables,
     checkpoint: str,
     every: str = "10 minutes",
+    embed: Callable[[DataFrame, str], DataFrame] = embed_hashed,
 ) -> StreamingQuery:
     """Run a reconcile pass at every trigger of a tick stream (such as the rate source)."""
     from docquarry.plans.ingest import reconcile
 
     def run(_: DataFrame, epoch: int) -> None:
         listing, files = list_objects()
-        reconcile(tables, listing, files, epoch, F.current_timestamp()).collect()
+        reconcile(tables, listing, files, epoch, F.current_timestamp(), embed).collect()
 
     return (ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(processingTime=every).start())

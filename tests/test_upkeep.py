@@ -116,7 +116,7 @@ def as_files(spark, rows):
 
 
 def listing(files):
-    return files.select(F.col("key").alias("s3_key"), "etag", "file_hash", "size_bytes")
+    return files.select("tenant_id", F.col("key").alias("s3_key"), "etag", "file_hash", "size_bytes")
 
 
 def live(t):
@@ -145,6 +145,95 @@ def test_crash_before_manifest_keeps_the_old_state(spark, tmp_dir):
     assert live(t) == [("s3://kb/a.md", "first a")]
 
 
+def test_unread_files_fail_and_are_tried_again(spark, tmp_dir):
+    t = tb.BatchTables(spark, tmp_dir + "/kb")
+    files = as_files(spark, [("r.pdf", None), ("i.png", None), ("a.md", "text"), ("b.md", "  ")]).withColumn("file_hash", F.col("key")).withColumn("etag", F.col("key"))
+    for batch in (1, 2):
+        ingest.reconcile(t, listing(files), files, batch, NOW, embed).collect()
+        status = {r["key"]: r["status"] for r in t.read("status").filter(F.col("batch") == batch).collect()}
+        assert status == {"r.pdf": "failed", "i.png": "failed", "a.md": {1: "ok", 2: "unchanged"}[batch], "b.md": {1: "skipped", 2: "unchanged"}[batch]}
+    assert {r["s3_key"] for r in t.manifest().collect()} == {"a.md", "b.md"}
+    assert {(r["key"], r["attempts"]) for r in mt.dead_letter(t.attempts(), 2).filter("route = 'dead_letter'").collect()} == {("r.pdf", 2), ("i.png", 2)}
+
+
+def test_media_become_chunks(spark, tmp_dir):
+    said = "array<struct<start:double,end:double,text:string>>"
+    shown = "array<struct<page:int,image:int,chars:int,width:int,height:int,confidence:double,ocr:string,description:string>>"
+    rows = [("a/r.pdf", ["page one has enough to read", None], None, [(0, 0, 0, 10, 10, 0.0, None, None)]), ("a/t.mp3", None, [(0.0, 5.0, "hello"), (5.0, 9.0, " ")], None),
+            ("a/n.md", None, None, None)]
+    files = spark.createDataFrame(rows, f"key string, pages array<string>, segments {said}, images {shown}").select(
+        F.lit("t").alias("tenant_id"), "key", F.concat(F.lit("s3://kb/"), "key").alias("source"), F.col("key").alias("file_hash"), F.lit(9).alias("size_bytes"),
+        F.when(F.col("key") == "a/n.md", "note").alias("text"), "pages", "segments", "images")
+    got = {(r["source_type"], r["location"]) for r in ingest.chunk_files(files).collect()}
+    assert got == {("document", "Page 1"), ("document", "Section 1"), ("audio", "Timestamp 00:00 - 00:05"), ("image", "Page 1, Image 1")}
+    assert ingest.index_rows(files, embed).select("id").distinct().count() == 4
+
+
+def test_tenants_keep_their_files(spark, tmp_dir):
+    t = tb.BatchTables(spark, tmp_dir + "/kb")
+    a = as_files(spark, [("x/a.md", "of tenant a")])
+    b = as_files(spark, [("x/a.md", "of tenant b")]).withColumn("tenant_id", F.lit("u"))
+    ingest.reconcile(t, listing(a), a, 1, NOW, embed).collect()
+    both = a.unionByName(b)
+    s = ingest.reconcile(t, listing(both), both, 2, NOW, embed).first().asDict()
+    assert (s["new"], s["unchanged"], s["deleted"]) == (1, 1, 0)
+    assert sorted((r["tenant_id"], r["content"]) for r in t.live_chunks().collect()) == [("t", "of tenant a"), ("u", "of tenant b")]
+    rest, counts = mt.delete_cascade(a.select("tenant_id", "source"), chunks=(t.live_chunks(), "source"))
+    assert [r["tenant_id"] for r in rest["chunks"].collect()] == ["u"] and counts.first()["removed"] == 1
+
+
+def test_new_etag_of_the_same_text_keeps_the_chunks(spark, tmp_dir):
+    t = tb.BatchTables(spark, tmp_dir + "/kb")
+    one = as_files(spark, [("a.md", "same")])
+    ingest.reconcile(t, listing(one), one, 1, NOW, embed).collect()
+    two = one.withColumn("etag", F.lit("other"))
+    assert ingest.reconcile(t, listing(two), two, 2, NOW, embed).first()["changed"] == 1
+    assert t.read("chunks").count() == 1 and live(t) == [("s3://kb/a.md", "same")]
+    assert ingest.reconcile(t, listing(two), two, 3, NOW, embed).first()["unchanged"] == 1
+
+
+def test_empty_replay_replaces_its_batch(spark, tmp_dir):
+    t = tb.BatchTables(spark, tmp_dir + "/kb")
+    one = as_files(spark, [("a.md", "text")])
+    ingest.reconcile(t, listing(one), one, 1, NOW, embed).collect()
+    none = one.limit(0)
+    ingest.reconcile(t, listing(none), none, 1, NOW, embed).collect()
+    assert t.live_chunks().count() == 0 and t.read("chunks").count() == 0
+
+
+def test_only_a_missing_table_reads_as_empty(spark, tmp_dir):
+    t = tb.BatchTables(spark, tmp_dir + "/kb")
+    assert t.read("manifest").count() == 0
+    write(tmp_dir, "kb/manifest/batch=1/part-0.parquet", "not parquet")
+    with pytest.raises(Exception):
+        t.read("manifest").collect()
+
+
+def test_lost_messages_become_dead_letters(spark, tmp_dir):
+    inbox, t = tmp_dir + "/inbox", tb.BatchTables(spark, tmp_dir + "/kb")
+    write(inbox, "one.json", "\n".join(["{broken", *(json.dumps({"detail": {"bucket": {"name": "kb"}, "object": {"key": k}}}) for k in ("a.md", "gone.md"))]))
+    files = as_files(spark, [("a.md", "text")])
+    objects.start_ingest(objects.read_object_events(spark, inbox), lambda keys: files.join(keys.select("key"), "key", "left_semi"), t, tmp_dir + "/ckpt",
+                         embed=embed, trigger={"availableNow": True}).awaitTermination()
+    assert {(r["reason"], r["body"]) for r in t.read("dead_letters").collect()} == {("unreadable", "{broken"), ("not fetched", '{"bucket":"kb","key":"gone.md"}')}
+    assert {(r["key"], r["status"]) for r in t.read("status").collect()} == {("a.md", "ok"), ("gone.md", "failed")}
+
+
+def test_reconcile_runs_on_ticks(spark, tmp_dir):
+    t = tb.BatchTables(spark, tmp_dir + "/kb")
+    files = as_files(spark, [("a.md", "text")])
+    write(tmp_dir + "/ticks", "one.txt", "tick")
+    q = objects.start_reconcile(spark.readStream.text(tmp_dir + "/ticks"), lambda: (listing(files), files), t, tmp_dir + "/ckpt", every="1 second", embed=embed)
+    try:
+        for _ in range(60):
+            if q.lastProgress and t.read("status").count():
+                break
+            q.awaitTermination(1)
+        assert live(t) == [("s3://kb/a.md", "text")]
+    finally:
+        q.stop()
+
+
 def test_event_forms(spark):
     def s3(key):
         return {"s3": {"bucket": {"name": "kb"}, "object": {"key": key}}}
