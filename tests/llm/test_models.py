@@ -95,8 +95,10 @@ def test_quality_counts(spark):
 
 
 def test_quality_verdict(spark):
-    prose = ("The end of the day is near and the people of the town walk to the square in a long line. " * 3).replace("day", "{}")
-    good = " ".join(prose.format(f"day{i}x") for i in range(4))
+    common = ["the"] * 6 + ["of"] * 4 + ["and"] * 3 + ["to", "in", "a"] * 2
+    rest = [f"plain{chr(97 + i % 26)}{chr(97 + i // 26)}y" for i in range(81)]
+    mixed = random.Random(1).sample([*common, *rest], 100)
+    good = ". ".join(" ".join(mixed[i : i + 10]).capitalize() for i in range(0, 100, 10)) + "."
     unlike = [good.upper(), good.replace(" ", "### "), " ".join(f"zq{i}vx" for i in range(150))]
     df = spark.createDataFrame(list(enumerate([good, *unlike])), "doc_id bigint, text string")
     free = Limits(max_repeat_percent=100)
