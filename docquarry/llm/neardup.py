@@ -13,8 +13,9 @@ levels. Bands of the signature name buckets.
    and with its next neighbours: a number of pairs linear in the members.
 3. Pairs are confirmed on full sets: first the one best partner of each class,
    then all pairs that still lie in different components.
-4. Buckets with more members than neighbours are compared again: every pair of
-   members whose components still differ is confirmed too.
+4. In buckets with more members than neighbours not every pair has met. Those
+   with several components are searched in blocks: every member outside of the
+   largest component is held against all members.
 
 A pair at similarity t shares a bucket with probability 1 - (1 - t^rows)^bands;
 for 4 rows and 32 bands that is above 0.9999999 at 0.8.
@@ -227,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
     links = persist(links.unionByName(verified(_apart(pairs.select("a", "b"), labels), sets, percent)), "links")
     labels = components(links)
-    links = persist(links.unionByName(verified(_across(large, labels, pairs), sets, percent)), "links")
+    links = persist(links.unionByName(_across(large, labels, sets, percent)), "links")
     labels = persist(components(links), "labels")
 
     heads = classes.select(F.col("id").alias("node"), "d1", "d2").join(labels, "node", "left")
@@ -245,11 +246,53 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return met.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
-def _across(large: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of members of one large bucket whose components differ and that were not tested yet."""
+def tile_links(ids: np.ndarray, groups: np.ndarray, items: list[np.ndarray], asked: np.ndarray, asked_groups: np.ndarray, asked_items: list[np.ndarray], percent: int):
+    """Links between asked sets and sets of other groups, by counting common elements; one link for each asked set and group."""
+    sizes = np.array([len(x) for x in items])
+    owner = np.repeat(np.arange(len(items)), sizes)
+    elements = np.concatenate(items)
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    for one, group, own in zip(asked.tolist(), asked_groups.tolist(), asked_items):
+        low = np.searchsorted(elements, own, "left")
+        many = np.searchsorted(elements, own, "right") - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        common = np.bincount(owner[at], minlength=len(items))
+        alike = np.flatnonzero((100 * common >= percent * (len(own) + sizes - common)) & (groups != group))
+        for i in np.unique(groups[alike], return_index=True)[1].tolist():
+            yield one, int(ids[alike[i]])
+
+
+def _tile(percent: int):
+    def run(members, asked):
+        found = []
+        if members.num_rows and asked.num_rows:
+            columns = [(t.column("id").to_numpy(), t.column("of").to_numpy(), [x.values.to_numpy() for x in t.column("items")]) for t in (members, asked)]
+            found = list(tile_links(*columns[0], *columns[1], percent))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return run
+
+
+def _across(large: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block: int = 2_048) -> DataFrame:
+    """Links between members of different components in buckets whose pairs have not all met.
+
+    Buckets that share members form a family. Every open pair of a family has
+    an end outside of its largest component; those members, in blocks, are held
+    against all members, in blocks. Pairs are counted in place, not listed.
+    """
     named = large.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("of", F.coalesce("component", "id")).select("key", "id", "of")
-    mixed = named.groupBy("key").agg(F.min("of").alias("least"), F.max("of").alias("most")).filter("least <> most").select("key")
-    open_rows = persist(named.join(mixed, "key"), "mixed-buckets")
-    one = open_rows.select("key", F.col("id").alias("a"), F.col("of").alias("of_a"))
-    two = open_rows.select("key", F.col("id").alias("b"), F.col("of").alias("of_b"))
-    return one.join(two, "key").filter("a < b AND of_a <> of_b").select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    mixed = named.groupBy("key").agg(F.min("of").alias("least"), F.max("of").alias("most"), F.min("id").alias("head")).filter("least <> most").select("key", "head")
+    rows = persist(named.join(mixed, "key"), "mixed-buckets")
+    families = components(rows.select("id", "head").distinct())
+    members = rows.select("id", "of").distinct().join(families.withColumnRenamed("node", "id"), "id").withColumnRenamed("component", "family")
+    parts = members.groupBy("family", "of").agg(F.count("*").alias("n"))
+    most = parts.groupBy("family").agg(F.sum("n").alias("size"), F.max(F.struct("n", "of")).alias("top"))
+    members = members.join(most.select("family", "size", F.col("top.of").alias("main"), (F.col("size") - F.col("top.n")).alias("others")), "family")
+    across, down = (F.ceil(F.col(c) / block).cast("int") for c in ("size", "others"))
+    members = persist(members.select("id", "of", "family", "main", across.alias("across"), down.alias("down")).join(sets, "id"), "family-members")
+    place = F.pmod(F.xxhash64("id"), F.col("across")), F.pmod(F.xxhash64("id"), F.col("down"))
+    others = F.sequence(F.lit(0).cast("long"), F.col("down") - F.lit(1).cast("long")), F.sequence(F.lit(0).cast("long"), F.col("across") - F.lit(1).cast("long"))
+    held = members.filter("down > 0").select("id", "of", "items", "family", place[0].alias("x"), F.explode(others[0]).alias("y"))
+    asked = members.filter("of <> main").select("id", "of", "items", "family", place[1].alias("y"), F.explode(others[1]).alias("x"))
+    return held.groupBy("family", "x", "y").cogroup(asked.groupBy("family", "x", "y")).applyInArrow(_tile(percent), "a long, b long")
