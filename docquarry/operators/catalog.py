@@ -26,10 +26,14 @@ def assert_tenant(df: DataFrame, tenant: str) -> DataFrame:
 
 
 def acl_visible(df: DataFrame, user: str) -> DataFrame:
-    """Public rows, rows shared with the user, rows shared with the user's mail domain."""
+    """Rows with the index's permissions (``visibility, groups, users``) that ``user`` may read.
+
+    Public rows (also those without permissions), rows shared with the user, rows
+    shared with the user's mail domain.
+    """
     domain = user.split("@")[-1]
-    return df.filter(
-        F.col("is_public") | F.array_contains("allowed_users", user) | F.array_contains("allowed_groups", domain))
+    shared = F.array_contains("users", user), F.array_contains("groups", domain)
+    return df.filter((F.coalesce("visibility", F.lit("public")) == "public") | F.coalesce(shared[0], F.lit(False)) | F.coalesce(shared[1], F.lit(False)))
 
 
 # --- inventory ------------------------------------------------------------------------

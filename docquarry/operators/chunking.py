@@ -13,6 +13,9 @@ from docquarry.functions.text import (
 )
 
 
+RUN = 128
+
+
 def text_blocks(c: Column, size: int) -> Column:
     """The text as fixed-size blocks, cut in one pass.
 
@@ -66,9 +69,20 @@ def chunk_bounds(blocks: Column, n: Column, size: int, overlap: int) -> Column:
 
         return F.when(start >= n, acc).otherwise(let(F.least(start + size, n), with_end))
 
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int>>").alias("out")).cast(state_type)
-    steps = F.sequence(F.lit(0), F.ceil(n / (size // 2)).cast("int") + 2)
-    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
+    # a fold copies the array it appends to, so runs of steps are folded on their own and put together at the end
+    total = F.ceil(n / (size // 2)).cast("int") + 3
+    runs = F.sequence(F.lit(1), F.ceil(total / RUN).cast("int"))
+    inner = F.sequence(F.lit(1), F.least(total, F.lit(RUN)))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    outer_type = "struct<pos:int,outs:array<array<struct<start:int,end:int>>>>"
+
+    def run(acc: Column, _: Column) -> Column:
+        start = F.struct(acc["pos"].alias("pos"), none.alias("out")).cast(state_type)
+        return F.aggregate(inner, start, step, lambda r: F.struct(
+            r["pos"].alias("pos"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")).cast(outer_type))
+
+    zero = F.struct(F.lit(0).alias("pos"), F.array().alias("outs")).cast(outer_type)
+    return F.aggregate(runs, zero, run, lambda acc: F.flatten(acc["outs"]))
 
 
 def with_text_pieces(df: DataFrame, text: str, out: str = "pieces", *, size: int = fixed.CHUNK_CHARS,

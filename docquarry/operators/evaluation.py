@@ -36,7 +36,8 @@ def score_answers(answers: DataFrame) -> DataFrame:
     """``category, question, answer, citations, context, expected_sources`` to ``ok, retrieval_hit, reason``.
 
     HIT: refused or cited. REFUSE: refused. TRAP: refused or no unsupported
-    specific. MERGE: all expected sources cited.
+    specific. MERGE: all expected sources cited. A row with an ``error`` (where
+    the column is there) failed, whatever it says.
     """
     a = F.coalesce("answer", F.lit(""))
     scored = (
@@ -55,6 +56,9 @@ def score_answers(answers: DataFrame) -> DataFrame:
         .when(F.col("category") == "REFUSE", "answered")
         .when(F.col("category") == "TRAP", F.when(F.size("invented") > 0, "invented specifics").otherwise("supported"))
         .otherwise(F.concat(F.lit("cited "), F.col("n_cited"), F.lit("/"), F.size("expected_sources"))))
+    if "error" in answers.columns:
+        failed = F.col("error").isNotNull()
+        ok, reason = ok & ~failed, F.when(failed, F.concat(F.lit("error: "), "error")).otherwise(reason)
     return scored.withColumn("ok", ok).withColumn("retrieval_hit", F.col("n_cited") > 0).withColumn("reason", reason)
 
 

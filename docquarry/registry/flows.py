@@ -223,9 +223,10 @@ def q_index_roundtrip(s, d):
 
 def q_chunk_table(s, d):
     path = shared_dir(s, "chunks")
-    tb.append_chunks(index_chunks(s, d).drop("embedding", "content"), path)
+    tb.append_chunks(index_chunks(s, d), path)
     back = s.read.parquet(path)
-    return back.groupBy("tenant_id", "category").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return back.groupBy("tenant_id", "category").agg(
+        F.count("*").alias("n"), F.min("id").alias("first_id"), F.min(F.md5("content")).alias("first_content"), F.sum(F.size("embedding")).alias("numbers"))
 
 
 def q_clear_index(s, d):
@@ -350,7 +351,7 @@ ORACLES = {
     "index_roundtrip": with_index(
         ", h AS (SELECT source, min(file_hash) AS hash FROM idx GROUP BY source) SELECT id, source, location, md5(content) AS content, len(embedding) AS dim, hash "
         "FROM idx JOIN h USING (source)"),
-    "chunk_table": with_index("SELECT tenant_id, category, count(*) AS n, min(id) AS first_id FROM idx GROUP BY ALL"),
+    "chunk_table": with_index("SELECT tenant_id, category, count(*) AS n, min(id) AS first_id, min(md5(content)) AS first_content, sum(len(embedding))::BIGINT AS numbers FROM idx GROUP BY ALL"),
     "eval_results": _EV_SQL + " SELECT answer_id, category, ok, reason FROM sc",
     "clear_index": "SELECT count(*) AS before, 0 AS \"left\" FROM documents",
     "tool_calls": (

@@ -12,10 +12,10 @@ from docquarry.plans import tools
 from docquarry.registry.views import FILE_NO, INDEX_COLUMNS, index_chunks, table, with_index
 
 _ACL = [
-    "*",
-    "doc_id % 5 = 0 AS is_public",
-    "CASE WHEN toxic = 1 THEN {a}'ann@acme.org', source{z} ELSE {a}source{z} END AS allowed_users",
-    "CASE WHEN quality = 1 THEN {a}'acme.org'{z} ELSE {a}'other.org'{z} END AS allowed_groups",
+    "doc_id", "lang",
+    "CASE WHEN doc_id % 5 = 0 THEN 'public' WHEN doc_id % 5 < 4 THEN 'team' END AS visibility",
+    "CASE WHEN toxic = 1 THEN {a}'ann@acme.org', source{z} WHEN toxic = 0 THEN {a}source{z} END AS users",
+    "CASE WHEN quality = 1 THEN {a}'acme.org'{z} ELSE {a}'other.org'{z} END AS {q}groups{q}",
 ]
 
 
@@ -24,8 +24,8 @@ def q_tenant_scope(s, d):
 
 
 def q_acl_visible(s, d):
-    rows = table(s, d, "documents").join(table(s, d, "labels"), "doc_id").selectExpr(
-        *[e.format(a="array(", z=")") for e in _ACL])
+    rows = table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").selectExpr(
+        *[e.format(a="array(", z=")", q="`") for e in _ACL])
     return catalog.acl_visible(rows, "ann@acme.org").select("doc_id", "lang")
 
 
@@ -148,8 +148,8 @@ _TOK = "list_distinct(list_filter(string_split_regex({x}, '[^a-z0-9]+'), lambda
 
 ORACLES = {
     "tenant_scope": with_index("SELECT id, source, category FROM idx WHERE tenant_id = 'tenant-a'"),
-    "acl_visible": f"SELECT doc_id, lang FROM (SELECT {', '.join(e.format(a='[', z=']') for e in _ACL)} FROM documents JOIN labels USING (doc_id)) WHERE is_public "
-                   "OR list_contains(allowed_users, 'ann@acme.org') OR list_contains(allowed_groups, 'acme.org')",
+    "acl_visible": f"SELECT doc_id, lang FROM (SELECT {', '.join(e.format(a='[', z=']', q=chr(34)) for e in _ACL)} FROM documents LEFT JOIN labels USING (doc_id)) "
+                   "WHERE coalesce(visibility, 'public') = 'public' OR list_contains(users, 'ann@acme.org') OR list_contains(\"groups\", 'acme.org')",
     "list_files": with_index("SELECT source, category, count(*) AS chunks, max(created_at) AS last_ingested FROM idx GROUP BY ALL"),
     "list_files_category": with_index(
         "SELECT source, category, count(*) AS chunks, max(created_at) AS last_ingested FROM idx WHERE category = 'multimedia' GROUP BY ALL"),
