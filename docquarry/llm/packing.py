@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from docquarry.llm import words as W
 from docquarry.llm.shared import free_names
 
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 
 
 def project(part: W.Words, dims: int) -> np.ndarray:
@@ -89,16 +89,44 @@ def _places(dims: int, bits: int):
     return run
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies use for bytes: printable ones stand for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return dict(zip([*plain, *(b for b in range(256) if b not in plain)], [chr(b) for b in plain] + [chr(256 + i) for i in range(256 - len(plain))]))
+
+
 class WordTokens:
-    """Ids of a tokenizer that drops white space, word by word; each word is encoded once while it stays in a bounded cache."""
+    """Ids of a tokenizer that drops white space and ends words at other characters than letters.
+
+    Each word is encoded once while it stays in a bounded cache. Words of Latin
+    letters are one piece for the tokenizer, so its model encodes them directly;
+    a full stop or comma after an ASCII letter is a piece of its own; all other
+    words go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.known: dict[bytes, bytes] = {}
 
+    def _learn(self, word: bytes) -> bytes:
+        known = self.known.get(word)
+        if known is not None:
+            return known
+        text = word.decode().lower()
+        if len(word) > 1 and word[-1] in b".," and word[-2:-1].isalpha():
+            ids = self._learn(word[:-1]) + self._learn(word[-1:])
+        elif text.isalpha() and max(text) < "\u0250":
+            piece = text.encode().decode("latin-1").translate(self.letters)
+            ids = np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+        else:
+            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self.known[word] = ids
+        return ids
+
     def encode(self, words: list[bytes]) -> bytes:
         """The ids of a text's words as little-endian 32-bit numbers."""
         known = self.known
@@ -106,13 +134,9 @@ class WordTokens:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
             pass
-        new = [w for w in set(words) if w not in known]
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join(map(known.__getitem__, words))
         if len(known) > CACHED_WORDS:
-            self.known = {}
-        return out
+            known = self.known = {}
+        return b"".join([known.get(w) or self._learn(w) for w in words])
 
 
 def _pack(path: str, length: int, end_id: int, wanted: list[str]):
