@@ -49,39 +49,41 @@ def features(part: W.Words, bits: int) -> np.ndarray:
 
 
 def _instances(bits: int):
-    """Labelled texts as word numbers and sentence numbers."""
+    """Labelled texts as feature numbers (``1 + len(STEMS)`` for each word) and, per word, the number of its sentence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sentence in W.sentence_words(batch.column("text")):
                 width = 1 + len(STEMS)
-                offsets = pa.array(part.first * width, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([0] * len(part.sizes), pa.int32()), batch.column("label")[part.rows].cast(pa.int32()),
-                     pa.ListArray.from_arrays(offsets, pa.array(features(part, bits).reshape(-1), pa.int32())),
-                     pa.ListArray.from_arrays(offsets, pa.array(np.repeat(sentence, width), pa.int64()))], names=["model", "label", "words", "sentences"])
+                     pa.ListArray.from_arrays(pa.array(part.first * width, pa.int32()), pa.array(features(part, bits).reshape(-1).astype(np.int32))),
+                     pa.ListArray.from_arrays(pa.array(part.first, pa.int32()), pa.array(sentence.astype(np.int32)))], names=["model", "label", "words", "sentences"])
 
     return run
 
 
-def fit(label: np.ndarray, doc: np.ndarray, sentence: np.ndarray, word: np.ndarray, size: int, steps: int = 150, rate: float = 0.15,
+def fit(label: np.ndarray, doc: np.ndarray, sentence: np.ndarray, words: np.ndarray, size: int, steps: int = 150, rate: float = 0.15,
         shrink: float = 2e-4, min_docs: int = 3, min_z: float = 4.0) -> tuple[float, np.ndarray]:
     """Bias and weights that make the noisy-or of sentences likely, by Adam over all rows.
 
-    ``doc``, ``sentence`` and ``word`` say for each occurrence where it stands; sentences and documents are numbered from 0.
-    Only words take part whose documents' labels differ from the mean by ``min_z`` standard errors; rare words would be learned by heart.
+    ``doc`` and ``sentence`` say for each word where it stands, both numbered from 0; ``words`` has a column for each feature of a word.
+    Only features take part whose documents' labels differ from the mean by ``min_z`` standard errors; rare words would be learned by heart.
     """
-    seen = np.unique(doc.astype(np.int64) * size + word)
-    docs = np.bincount(seen % size, minlength=size)
-    hits = np.bincount(seen % size, label[seen // size], size)
+    docs, hits = np.zeros(size), np.zeros(size)
+    for column in words.T:  # one at a time, for memory
+        seen = np.unique(doc.astype(np.int64) * size + column)
+        docs += np.bincount(seen % size, minlength=size)
+        hits += np.bincount(seen % size, label[seen // size], size)
     mean = min(max(float(label.mean()), 1e-3), 1 - 1e-3)
     z = (hits - mean * docs) / np.sqrt(np.maximum(docs, 1) * mean * (1 - mean))
-    kept = ((docs >= min_docs) & (np.abs(z) >= min_z))[word]
-    used, word = np.unique(word[kept], return_inverse=True)
+    good = (docs >= min_docs) & (np.abs(z) >= min_z)
     n_sentences = int(sentence.max(initial=-1)) + 1
     doc_of = np.zeros(n_sentences, np.int64)
     doc_of[sentence] = doc
-    sentence = sentence[kept]
+    at, which = np.nonzero(good[words])
+    word, sentence = words[at, which].astype(np.int64), sentence[at]
+    used, word = np.unique(word, return_inverse=True)
     weights, bias = np.zeros(len(used)), PRIOR
     moment, spread = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, steps + 1):
@@ -106,18 +108,19 @@ def fit(label: np.ndarray, doc: np.ndarray, sentence: np.ndarray, word: np.ndarr
 def _fit(bits: int):
     def run(key, table):
         words, sentences = table.column("words").combine_chunks(), table.column("sentences").combine_chunks()
-        sizes = np.diff(words.offsets.to_numpy())
-        doc = np.repeat(np.arange(table.num_rows), sizes)
         own = sentences.flatten().to_numpy()
-        _, sentence = np.unique(np.stack([doc, own]), axis=1, return_inverse=True)
-        bias, weights = fit(table.column("label").to_numpy(), doc, sentence.reshape(-1), words.flatten().to_numpy().astype(np.int64), 1 << bits)
+        doc = np.repeat(np.arange(table.num_rows, dtype=np.int32), np.diff(sentences.offsets.to_numpy()))
+        opens = np.zeros(len(own), np.int32)
+        opens[1:] = (np.diff(own) != 0) | (np.diff(doc) != 0)
+        columns = words.flatten().to_numpy().reshape(len(own), 1 + len(STEMS))
+        bias, weights = fit(table.column("label").to_numpy(), doc, np.cumsum(opens, dtype=np.int32), columns, 1 << bits)
         return pa.table({"bias": pa.array([bias], pa.float64()), "weights": pa.array([weights.astype("<f4").tobytes()], pa.binary())})
 
     return run
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          max_docs: int = 12_000, bits: int = 18) -> Model:
+          max_docs: int = 8_000, bits: int = 18) -> Model:
     """Fits a model to about ``max_docs`` of the rows in ``labels`` (id, 0/1) and their texts in ``docs``."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).filter("id IS NOT NULL AND label IS NOT NULL")
     total = known.count()
@@ -125,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         known = known.filter(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1_000_000)) < int(1_000_000 * max_docs / total))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     drawn = texts.join(F.broadcast(known), "id").select("text", "label")  # about max_docs rows
-    rows = drawn.mapInArrow(_instances(bits), "model int, label int, words array<int>, sentences array<long>")
+    rows = drawn.mapInArrow(_instances(bits), "model int, label int, words array<int>, sentences array<int>")
     row = rows.groupBy("model").applyInArrow(_fit(bits), "bias double, weights binary").first()
     if row is None:
         return Model(bits, PRIOR, np.zeros(1 << bits, np.float32))
