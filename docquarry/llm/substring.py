@@ -13,8 +13,8 @@ copy. A run of one minimiser that still holds more than ``run_rows`` rows is
 not gathered: its windows go one by one to a second shuffle on the window.
 
 Defined results: null text has no words; a document below ``window`` words
-keeps all of them. Rows that share an id are told apart by length and a 16-bit
-hash of the text; of equal windows at equal (id, start) neither is earlier. Null ids sort after all others.
+keeps all of them. Rows that share an id are told apart by a 16-bit hash of the
+text; of equal windows at equal (id, start) neither is earlier. Null ids sort after all others.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from docquarry.llm import words as W
 from docquarry.llm.shared import free_names, persist
 
 LAST = (1 << 63) - 1
-PIECES = "bucket int, packed binary, id long, tag long, start long, n long"
+PIECES = "bucket int, packed binary"
 COVERS = "id long, tag long, start long, n long, packed binary"
 
 
@@ -120,12 +120,21 @@ def split_run(rows: list[tuple], window: int) -> tuple[list[tuple], list[tuple]]
     return covers, kept
 
 
-def _emit(bucket: list, rows: list[tuple]) -> pa.RecordBatch:
-    packed, ids, tags, starts, sizes = zip(*rows) if rows else ((),) * 5
-    return pa.RecordBatch.from_arrays(
-        [pa.array(bucket, pa.int32()), pa.array(packed, pa.binary()), pa.array(ids, pa.int64()), pa.array(tags, pa.int64()),
-         pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())],
-        names=["bucket", "packed", "id", "tag", "start", "n"])
+def head(doc: int, tag: int, start: int) -> bytes:
+    """Where a packed string stands, in as few bytes as hold it; never opens with a zero byte."""
+    a, b = doc.to_bytes(doc.bit_length() // 8 + 1, "little", signed=True), start.to_bytes(start.bit_length() // 8 + 1, "little")
+    return bytes((len(a) << 4 | len(b),)) + a + tag.to_bytes(2, "little") + b
+
+
+def behead(row: bytes) -> tuple[bytes, int, int, int]:
+    """(rest, id, tag, start) of bytes that open with a head."""
+    a, b = row[0] >> 4, row[0] & 15
+    return (row[3 + a + b :], int.from_bytes(row[1 : 1 + a], "little", signed=True), int.from_bytes(row[1 + a : 3 + a], "little"),
+            int.from_bytes(row[3 + a : 3 + a + b], "little"))
+
+
+def _emit(bucket: list, rows: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "packed"])
 
 
 def _pieces(window: int, gram: int, fold_bytes: int = 8 << 20):
@@ -137,10 +146,10 @@ def _pieces(window: int, gram: int, fold_bytes: int = 8 << 20):
                 covers, rows = split_run(rows, window)
             for doc, tag, start, n in covers:
                 buckets.append((doc * 31 + start) % (1 << 31))
-                out.append((None, doc, tag, start, n))
-            for row in rows:
+                out.append(b"\0" + head(doc, tag, start) + n.to_bytes(8, "little"))
+            for packed, doc, tag, start in rows:
                 buckets.append(bucket)
-                out.append((*row, 0))
+                out.append(head(doc, tag, start) + packed)
             if len(out) >= 20_000:
                 yield _emit(buckets, out)
                 buckets, out = [], []
@@ -196,11 +205,13 @@ def _bucket_runs(window: int, run_rows: int):
         for batch in batches:
             out: list[tuple] = []
             spilled: list[tuple] = []
-            packed = batch.column("packed")
-            whole = np.asarray(packed.is_valid())
-            ids, tags, starts, sizes, buckets = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tag", "start", "n", "bucket"))
+            packed, buckets = batch.column("packed"), batch.column("bucket").to_numpy()
+            _, offsets, data = packed.buffers()
+            first = np.frombuffer(offsets, np.int32)[packed.offset : packed.offset + len(packed)]
+            whole = np.frombuffer(data, np.uint8)[first] != 0
             for i in np.flatnonzero(~whole).tolist():
-                out.append((int(ids[i]), int(tags[i]), int(starts[i]), int(sizes[i])))
+                n, *where = behead(packed[i].as_py()[1:])
+                out.append((*where, int.from_bytes(n, "little")))
             at = np.flatnonzero(whole)
             own = buckets[at]
             edges = np.flatnonzero(np.diff(own)) + 1
@@ -216,8 +227,7 @@ def _bucket_runs(window: int, run_rows: int):
                 if bucket != held_bucket:
                     close(out)
                     held, held_bucket, large = [], bucket, False
-                rows = [(packed[int(i)].as_py(), int(ids[i]), int(tags[i]), int(starts[i])) for i in at[low:high]]
-                held.extend(rows)
+                held.extend(behead(packed[int(i)].as_py()) for i in at[low:high])
                 if large or len(held) > run_rows:
                     large = True
                     spilled.extend(held)
@@ -257,7 +267,7 @@ def _first_of_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield _covers([(d, t, s, n) for d, s, t, n in firsts.values()], list(firsts))
 
 
-def repeated_ranges(docs: DataFrame, window: int = 20, gram: int = 3, run_rows: int = 20_000) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int = 20, gram: int = 3, run_rows: int = 100_000) -> DataFrame:
     """Word ranges (id, tag, start, n) covered by windows that start earlier; ``docs`` has id, tag and text."""
     pieces = docs.mapInArrow(_pieces(window, gram), PIECES)
     found = pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_runs(window, run_rows), COVERS)
@@ -308,7 +318,7 @@ def _stay(part: W.Words, low: int, high: int, ranges: list | None) -> tuple[byte
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 3,
-                     run_rows: int = 20_000, keep_text: bool = True) -> DataFrame:
+                     run_rows: int = 100_000, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``kept_words`` (the words that stay, joined by one space), ``n_words`` and ``n_removed``.
 
     The other columns of ``docs`` stay; columns of the new names are replaced. ``keep_text=False`` leaves the text out.
@@ -317,9 +327,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     inner = {c: "text" if c == text_col else f"c{i}" for i, c in enumerate(names)}
     plain = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in inner.items() if c != text_col),
                         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    # tells rows of one id apart: bytes of the text, and 16 bits of its hash
-    tag = F.coalesce(F.octet_length("text"), F.lit(-1)).cast("long") * 65536 + F.pmod(F.xxhash64("text"), F.lit(65536))
-    plain = plain.withColumn("tag", tag)
+    plain = plain.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 16)))  # tells rows of one id apart
     ranges = repeated_ranges(plain.select("id", "tag", "text"), window, gram, run_rows)
     covers = ranges.groupBy(F.col("id").alias("of_id"), F.col("tag").alias("of_tag")).agg(F.collect_list(F.struct("start", "n")).alias("covers"))
     met = plain.join(covers, (F.coalesce("id", F.lit(LAST)) == F.col("of_id")) & (F.col("tag") == F.col("of_tag")), "left").drop("of_id", "of_tag")
