@@ -191,7 +191,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
     right = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
     n_a, n_b = F.size("items_a"), F.size("items_b")
-    both = pairs.select("a", "b").join(left, "b").join(right, "a").filter((100 * n_a >= percent * n_b) & (100 * n_b >= percent * n_a))
+    both = pairs.select("a", "b").join(left, "b").join(right, "a")
     common = both.withColumn("common", F.size(F.array_intersect("items_a", "items_b")))
     return common.filter(100 * F.col("common") >= percent * (n_a + n_b - F.col("common"))).select("a", "b")
 
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("id IS NOT NULL")
     signed = texts.mapInArrow(_sign(shingle, bands, rows), SIGNED)
     signed = persist(signed.groupBy("id").agg(F.min(F.struct("d1", "d2", "n", "bands")).alias("s")).select("id", "s.*"), "signed")
-    classes = persist(signed.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "bands")).alias("s")).select("s.*", "d1", "d2"), "classes")
+    classes = persist(signed.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "bands")).alias("s")).select("s.*", "d1", "d2", "n"), "classes")
 
     folded = persist(classes.select("id", "bands").mapInArrow(_fold(neighbours), "key long, a long, b long"), "buckets")
     own = Window.partitionBy("key").orderBy("a")
@@ -211,7 +211,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = folded.filter("b IS NULL").select("key", F.col("a").alias("b"), F.array(*partners).alias("others"), F.row_number().over(own).alias("rank")).filter("rank > 1")
     met = met.select(F.explode(F.array_distinct("others")).alias("a"), "b").filter("a < b")
     pairs = met.unionByName(folded.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    pairs = persist(pairs.groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    for end in ("a", "b"):  # sizes that rule a link out, before any set is moved
+        pairs = pairs.join(classes.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}")), end)
+    alike = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+    pairs = persist(pairs.filter(alike).select("a", "b", "shared"), "pairs")
 
     # members of buckets in which not every pair has met
     sizes = folded.groupBy("key").agg(F.count("*").alias("n"), F.count("b").alias("noted")).filter((F.col("n") > neighbours + 2) | (F.col("noted") > 0))
