@@ -148,7 +148,7 @@ def _pack(path: str, length: int, end_id: int, wanted: list[str]):
             rows, starts, pieces, totals, sequences, offsets = [], [], [], [], [], []
             data, at = W.flat(batch.column("text"))
             for row in range(batch.num_rows):
-                ids = tokens.encode(data[at[row] : at[row + 1]].tobytes().split()) + end
+                ids = tokens.encode(data[at[row] : at[row + 1]].tobytes().lower().split()) + end
                 total, low = len(ids) // 4, 0
                 while low < total:
                     n = min(length - offset, total - low)
