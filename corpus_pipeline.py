@@ -21,8 +21,11 @@ from docquarry.llm.toxicity import score, train
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the quality rules."""
-    judged = quality(docs).select(*docs.columns, F.col("kept").alias("_kept"))
-    return persist(judged, "judged").filter("_kept").select(*docs.columns)
+    # the verdict follows from the text alone; only keys and verdicts are written, and the rows are met by them
+    judged = quality(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_of"), "kept")
+    good = persist(judged, "judged").filter("kept").select("_id", "_of").distinct()
+    marked = docs.withColumn("_text", F.xxhash64("text"))
+    return marked.join(good, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_of")), "left_semi").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
