@@ -13,8 +13,9 @@ copy. A run of one minimiser that still holds more than ``run_rows`` rows is
 not gathered: its windows go one by one to a second shuffle on the window.
 
 Defined results: null text has no words; a document below ``window`` words
-keeps all of them. Rows that share an id are told apart by a 16-bit hash of the
-text; of equal windows at equal (id, start) neither is earlier. Null ids sort after all others.
+keeps all of them. Rows with a null or shared id are told apart by 128 bits of the
+SHA-256 of the text, which only such rows carry; of equal windows at equal (id, start)
+neither is earlier. Null ids sort after all others.
 """
 
 from __future__ import annotations
@@ -33,10 +34,12 @@ from docquarry.llm.shared import free_names, persist
 
 LAST = (1 << 63) - 1
 PIECES = "bucket int, packed binary"
-COVERS = "id long, tag long, start long, n long, packed binary"
+COVERS = "id long, tag binary, start long, n long, packed binary"
+TAG = 16
+SLOTS = 1 << 18
 
 
-def cut_pieces(ids: np.ndarray, tags: np.ndarray, part: W.Words, window: int, gram: int) -> Iterator[tuple]:
+def cut_pieces(ids: np.ndarray, tags: list, part: W.Words, window: int, gram: int) -> Iterator[tuple]:
     """The super-k-mers of some documents: (minimiser, packed words, id, tag, first word in its document)."""
     if len(part.start) < window:
         return
@@ -61,7 +64,7 @@ def cut_pieces(ids: np.ndarray, tags: np.ndarray, part: W.Words, window: int, gr
     docs = W.doc_of(part.first)[heads]
     text = part.text
     rows = zip(hashed[place[heads]].astype(np.uint32).view(np.int32).tolist(), part.start[heads].tolist(), part.end[tails].tolist(),
-               ids[docs].tolist(), tags[docs].tolist(), (heads - part.first[docs]).tolist())
+               ids[docs].tolist(), (tags[d] for d in docs.tolist()), (heads - part.first[docs]).tolist())
     for bucket, low, high, doc, tag, start in rows:
         yield bucket, text[low:high], doc, tag, start
 
@@ -120,17 +123,18 @@ def split_run(rows: list[tuple], window: int) -> tuple[list[tuple], list[tuple]]
     return covers, kept
 
 
-def head(doc: int, tag: int, start: int) -> bytes:
+def head(doc: int, tag: bytes, start: int) -> bytes:
     """Where a packed string stands, in as few bytes as hold it; never opens with a zero byte."""
     a, b = doc.to_bytes(doc.bit_length() // 8 + 1, "little", signed=True), start.to_bytes(start.bit_length() // 8 + 1, "little")
-    return bytes((len(a) << 4 | len(b),)) + a + tag.to_bytes(2, "little") + b
+    return bytes((len(a) << 4 | (len(tag) > 0) << 3 | len(b),)) + a + tag + b
 
 
-def behead(row: bytes) -> tuple[bytes, int, int, int]:
+def behead(row: bytes) -> tuple[bytes, int, bytes, int]:
     """(rest, id, tag, start) of bytes that open with a head."""
-    a, b = row[0] >> 4, row[0] & 15
-    return (row[3 + a + b :], int.from_bytes(row[1 : 1 + a], "little", signed=True), int.from_bytes(row[1 + a : 3 + a], "little"),
-            int.from_bytes(row[3 + a : 3 + a + b], "little"))
+    a = 1 + (row[0] >> 4)
+    t = a + (TAG if row[0] & 8 else 0)
+    b = t + (row[0] & 7)
+    return row[b:], int.from_bytes(row[1:a], "little", signed=True), row[a:t], int.from_bytes(row[t:b], "little")
 
 
 def _emit(bucket: list, rows: list[bytes]) -> pa.RecordBatch:
@@ -159,7 +163,7 @@ def _pieces(window: int, gram: int, fold_bytes: int = 8 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").fill_null(LAST).to_numpy(zero_copy_only=False)
-            tags = batch.column("tag").to_numpy(zero_copy_only=False)
+            tags = batch.column("tag").to_pylist()
             runs: dict[int, list] = {}
             size = 0
             for part in W.slices(batch.column("text")):
@@ -177,7 +181,7 @@ def _pieces(window: int, gram: int, fold_bytes: int = 8 << 20):
 def _covers(rows: list[tuple], packed: list | None = None) -> pa.RecordBatch:
     ids, tags, starts, sizes = zip(*rows) if rows else ((),) * 4
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()),
+        [pa.array(ids, pa.int64()), pa.array(tags, pa.binary()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()),
          pa.array(packed if packed is not None else [None] * len(rows), pa.binary())],
         names=["id", "tag", "start", "n", "packed"])
 
@@ -248,23 +252,24 @@ def _bucket_runs(window: int, run_rows: int):
 
 
 def _first_of_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Folds equal windows of a batch: the earliest stays, ranges of the others go on as covers."""
+    """Folds equal windows of a batch: the earliest stay (rows of one id may tie), ranges of the others go on as covers."""
     for batch in batches:
         firsts: dict[bytes, tuple] = {}
         covers = []
         for packed, doc, tag, start, n in zip(*(batch.column(c).to_pylist() for c in ("packed", "id", "tag", "start", "n"))):
-            row, best = (doc, start, tag, n), firsts.get(packed)
-            if best is None:
-                firsts[packed] = row
-            elif best[:2] < row[:2]:
+            place, (best, ties) = (doc, start), firsts.get(packed, (None, {}))
+            if best is None or place < best:
+                covers.extend((best[0], t, best[1], size) for t, size in ties.items())
+                firsts[packed] = (place, {tag: n})
+            elif best < place:
                 covers.append((doc, tag, start, n))
-            elif row[:2] < best[:2]:
-                covers.append((best[0], best[2], best[1], best[3]))
-                firsts[packed] = row
+            else:
+                ties[tag] = n
         if covers:
             yield _covers(covers)
         if firsts:
-            yield _covers([(d, t, s, n) for d, s, t, n in firsts.values()], list(firsts))
+            rows = [(doc, tag, start, n, packed) for packed, ((doc, start), ties) in firsts.items() for tag, n in ties.items()]
+            yield _covers([r[:4] for r in rows], [r[4] for r in rows])
 
 
 def repeated_ranges(docs: DataFrame, window: int = 20, gram: int = 3, run_rows: int = 100_000) -> DataFrame:
@@ -317,6 +322,21 @@ def _stay(part: W.Words, low: int, high: int, ranges: list | None) -> tuple[byte
     return b" ".join(part.text[part.start[low + a] : part.end[low + b - 1]] for a, b in runs), int((~stay).sum())
 
 
+def _tagged(docs: DataFrame) -> DataFrame:
+    """``docs`` (id, text, ...) with ``tag``: bits of the text's SHA-256 where the id is null or may be shared, else empty.
+
+    Shared ids are known by slots of their hash, so that what is sent to the tasks has a bound;
+    a row that meets a slot by chance has a tag that it does not need.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS))
+    shared = docs.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").select(slot.alias("_slot")).distinct()
+    shared = persist(shared, "substring-shared-ids").withColumn("_shared", F.lit(True))
+    met = docs.withColumn("_slot", slot).join(F.broadcast(shared), "_slot", "left")
+    wide = F.col("id").isNull() | F.col("_shared").isNotNull()
+    tag = F.when(wide, F.substring(F.unhex(F.sha2("text", 256)), 1, TAG)).otherwise(F.lit(b""))
+    return met.withColumn("tag", tag).select(*docs.columns, "tag")
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 3,
                      run_rows: int = 100_000, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``kept_words`` (the words that stay, joined by one space), ``n_words`` and ``n_removed``.
@@ -327,7 +347,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     inner = {c: "text" if c == text_col else f"c{i}" for i, c in enumerate(names)}
     plain = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in inner.items() if c != text_col),
                         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    plain = plain.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 16)))  # tells rows of one id apart
+    plain = _tagged(plain)
     ranges = repeated_ranges(plain.select("id", "tag", "text"), window, gram, run_rows)
     covers = ranges.groupBy(F.col("id").alias("of_id"), F.col("tag").alias("of_tag")).agg(F.collect_list(F.struct("start", "n")).alias("covers"))
     met = plain.join(covers, (F.coalesce("id", F.lit(LAST)) == F.col("of_id")) & (F.col("tag") == F.col("of_tag")), "left").drop("of_id", "of_tag")

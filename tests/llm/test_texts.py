@@ -59,6 +59,27 @@ def test_substring_dedup_of_odd_rows(spark):
     assert dedup_substrings(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("of_id", [None, 7])
+def test_substring_dedup_tells_rows_of_one_id_apart(spark, of_id):
+    # 4,000 texts of no or one id, of 20 to 59 words; every fourth holds a passage of document 1 at its own place
+    passage = " ".join(f"p{i}" for i in range(25))
+    plain = [" ".join(f"r{d}w{i}" for i in range(20 + d % 40)) for d in range(4000)]
+    rows = [(of_id, f"{t} {passage} end{d}" if d % 4 == 0 else t) for d, t in enumerate(plain)]
+    df = spark.createDataFrame([(1, passage), *rows], "doc_id bigint, text string").repartition(4)
+    got = {r["text"]: (r["kept_words"], r["n_removed"]) for r in dedup_substrings(df).collect()}
+    want = {text: (f"{t} end{d}", 25) if d % 4 == 0 else (t, 0) for d, ((_, text), t) in enumerate(zip(rows, plain))}
+    assert got == {passage: (passage, 0), **want}
+
+
+def test_substring_dedup_ties_behind_an_earlier_window(spark):
+    # rows without an id tie at the same place; each loses the passage, also where its windows are shuffled one by one
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(None, f"{passage} tail{d}") for d in range(50)] + [(1, passage)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(17)
+    got = {r["kept_words"]: r["n_removed"] for r in dedup_substrings(df, run_rows=3).collect()}
+    assert got == {passage: 0, **{f"tail{d}": 25 for d in range(50)}}
+
+
 @pytest.mark.parametrize("shingle, neighbours", [(4, 3), (5, 1)])
 def test_near_duplicates(docs, shingle, neighbours):
     rows = near_duplicates(docs, shingle=shingle, neighbours=neighbours).collect()
