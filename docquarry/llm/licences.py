@@ -17,6 +17,8 @@ licences counts for each.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ SPELLINGS = [
 COPYRIGHT_LINE = r"\n[ \t]*(?:copyright|\(c\)|©)[^\n]*"
 MARKS = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+"
 
-# Public licence texts and short notices.
+# Public licence texts and short notices; longer texts and more notices are tables in files, read where the driver plans.
 TEXTS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -63,6 +65,11 @@ NOTICES = {
     "ISC": ["SPDX-License-Identifier: ISC"],
     "BSD-2-Clause": ["SPDX-License-Identifier: BSD-2-Clause"],
 }
+HERE = Path(__file__).resolve().parent
+TEXTS |= {p.stem: p.read_text(encoding="utf-8") for p in sorted((HERE / "licence_texts").glob("*.txt"))}
+for _name, _line in (row.split("\t") for row in (HERE / "licence_notices.tsv").read_text(encoding="utf-8").splitlines()[1:]):
+    if _line not in NOTICES.setdefault(_name, []):
+        NOTICES[_name].append(_line)
 
 
 def canonical_lines(text: Column) -> Column:

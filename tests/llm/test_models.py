@@ -152,6 +152,19 @@ def test_licences(spark):
     assert got == {1: (["MIT"], [], 0), 2: (["MIT"], [], 0), 3: none, 4: ([], ["CC-BY-NC-4.0", "MIT"], 2), 5: none, 6: none, 7: none, 8: (["MIT"], [], 0)}
 
 
+def test_common_licences_are_known(spark):
+    known = licences.known_digests(spark)
+    assert known.groupBy("kind", "digest").count().filter("count > 1").count() == 0
+    names = ["Apache-2.0", "BSD-3-Clause", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"]
+    rows = [(i, " \n".join(licences.TEXTS[n].upper().split("\n"))) for i, n in enumerate(names)]
+    lines = ["Licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: LGPL-2.1-or-later", "Licensed under the Mozilla Public License, v. 2.0.",
+             "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Released under the BSD 3-Clause Licence", "SPDX-License-Identifier: AGPL-3.0-only"]
+    df = spark.createDataFrame([*rows, (100, "x\n" + "\n".join(lines))], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["text_licenses"], r["line_licenses"], r["n_lines"]) for r in licences.scan_licences(df, known).collect()}
+    assert {i: got[i][0] for i in range(len(names))} == {i: [n] for i, n in enumerate(names)}
+    assert got[100] == ([], ["AGPL-3.0", "BSD-3-Clause", "CC-BY-4.0", "GPL-2.0", "LGPL-2.1", "MPL-2.0"], 6)
+
+
 def test_held_out_rows_are_those_of_the_contract(spark):
     from docquarry.llm.registry import held_out
 
