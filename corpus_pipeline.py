@@ -35,11 +35,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of least id of each group of near duplicates (five words, 0.8); rows without an id stay."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    first = docs.join(kept, "doc_id", "left_semi").withColumn("_rank", rank).filter("_rank = 1")
-    return first.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each group of near duplicates (five words, 0.8): of least id, rows without an id last.
+
+    Every pair of id and text is judged as a row of its own, under 63 bits of its hash; rows equal in both are one.
+    """
+    key = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 63) - 1))
+    found = near_duplicates(docs.select(key.alias("_key"), "text"), id_col="_key").select("_key", "component_id")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_key")
+    kept = docs.select("doc_id", key.alias("_key")).join(found, "_key").groupBy("component_id").agg(F.min(rank).alias("r")).select("r._key")
+    # rows equal in id and text may differ elsewhere
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.row_number().over(Window.partitionBy("_key").orderBy(*(others or ["_key"])))
+    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").withColumn("_rank", first).filter("_rank = 1").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,15 @@ def test_stages(spark):
         docs, before = done, after
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     assert len(before) > 0.5 * len(labels)
+
+
+def test_near_duplicates_of_rows_with_shared_or_null_ids(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, one, "x"), (1, two, "x"), (2, one + " end", "x"), (3, "", "x"), (4, "", "x"), (5, None, "x"),
+            (None, three, "y"), (None, three, "z"), (None, three + " end", "y"), (None, two + " end", "y"), (6, one + " stop", "x"), (6, "its own few words here", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    third = [r for r in got if r[0] is None]
+    want = [(1, one, "x"), (1, two, "x"), (3, "", "x"), (4, "", "x"), (5, None, "x"), (6, "its own few words here", "x")]
+    assert sorted(set(got) - set(third), key=str) == sorted(want, key=str) and len(got) == len(want) + 1
+    assert len(third) == 1 and third[0][1:] in ((three, "y"), (three + " end", "y"))
