@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.bpe import decode, encode
 from docquarry.llm.chat import format_chat, loss_texts, read_chat
 from docquarry.llm import licences
+from docquarry.llm.filteraudit import filter_audit
 from docquarry.llm.lm import score_texts
 from docquarry.llm.neardup import near_duplicates
 from docquarry.llm.packing import pack
@@ -178,6 +179,37 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+             list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+m AS (SELECT t, min(doc_id) AS least FROM t GROUP BY t),
+f AS (SELECT doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(t.t, '[^A-Z]', '', 'g')) > 10 * length(t.t),
+        regexp_matches(t.t, '[#$%&*|]'), coalesce(doc_id > least, false)] AS fails,
+        EXISTS (FROM labels l WHERE l.doc_id = t.doc_id AND quality = 1) AS good, EXISTS (FROM labels l WHERE l.doc_id = t.doc_id AND toxic = 1) AS toxic
+      FROM t JOIN m ON t.t = m.t),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS filter, list_transform(string_split(filter_order[1:step - 1], ''), lambda x: ascii(x) - 64) AS before,
+        ascii(filter_order[step]) - 64 AS i FROM o, range(1, 6) AS r(step)),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic,
+        list_sum(list_transform(fails, lambda x: x::INT)) AS k FROM f GROUP BY part, fails),
+p AS (SELECT part, filter_order, step::INT AS step, filter, n, good, toxic, k, fails[i] AS fails,
+        step > 1 AND len(list_filter(before, lambda b: b > 0 AND fails[b])) > 0 AS gone FROM g, s),
+r AS (SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (NOT gone AND fails), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND fails), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (fails AND k = 1), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND fails), 0)::BIGINT AS good_lost,
+        coalesce(sum(toxic) FILTER (NOT gone AND fails), 0)::BIGINT AS toxic_lost FROM p GROUP BY ALL)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM r
+"""
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -189,6 +221,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_exact_top_k": op10_exact_top_k,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLES = {
     "op1_substring_dedup": OP1_SQL,
@@ -196,4 +229,5 @@ ORACLES = {
     "op6_chat_formatting": OP6_SQL,
     "op9_near_duplicates": OP9_SQL,
     "op10_exact_top_k": OP10_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
