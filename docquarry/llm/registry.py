@@ -12,6 +12,7 @@ from docquarry.llm.filteraudit import filter_audit
 from docquarry.llm.lm import score_texts
 from docquarry.llm.neardup import near_duplicates
 from docquarry.llm.packing import pack
+from docquarry.llm.prefixtrie import conversation_trie
 from docquarry.llm.rules import quality
 from docquarry.llm.substring import dedup_substrings
 from docquarry.llm.toxicity import score, train
@@ -181,6 +182,32 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
 
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_trie(turns, head=lambda c: F.crc32(c.cast("string").cast("binary")) % 6, base=lambda c: c - c % 100, most=5)
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, c - c % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, x: xor(s >> 1, 3988292384 * (s & 1)))), 4294967295::BIGINT) % 6 AS h
+      FROM (SELECT DISTINCT c FROM t)),
+k AS (SELECT h.c, h.base, h.h, count(t.c) AS k FROM h LEFT JOIN t ON t.c = h.base AND t.i <= h.h GROUP BY ALL),
+r AS (SELECT k.c, t.i AS pos, role, text FROM k JOIN t ON t.c = k.base AND t.i <= k.h
+      UNION ALL SELECT k.c, k.k + t.i - k.h, role, text FROM k JOIN t ON t.c = k.c AND t.i > k.h),
+p AS (SELECT c, pos, length(text) AS chars, to_json(list({'r': role, 't': text}) OVER (PARTITION BY c ORDER BY pos))::VARCHAR AS key FROM r
+      UNION ALL SELECT c, 0, 0, '' FROM k),
+q AS (SELECT p.*, coalesce(lag(key) OVER (PARTITION BY c ORDER BY pos), NULL) AS up, pos = max(pos) OVER (PARTITION BY c) AS ends FROM p),
+n AS (SELECT key, pos AS depth, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+        sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM q GROUP BY key, pos),
+m AS (SELECT n.*, x.conv_id AS parent_conv_id, (SELECT count(*) FROM n y WHERE y.up = n.key) AS n_children FROM n LEFT JOIN n x ON x.key = n.up),
+s AS (SELECT q.key, count(*) FILTER (m.n_children = 0) AS n_leaves, sum(m.saved)::BIGINT AS saved_tokens
+      FROM m JOIN q ON q.c = m.conv_id AND q.pos <= m.depth GROUP BY q.key)
+SELECT m.conv_id, m.depth, m.parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, m.ends_sha256 FROM m JOIN s ON m.key = s.key
+"""
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return filter_audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
@@ -221,6 +248,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_exact_top_k": op10_exact_top_k,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLES = {
@@ -229,5 +257,6 @@ ORACLES = {
     "op6_chat_formatting": OP6_SQL,
     "op9_near_duplicates": OP9_SQL,
     "op10_exact_top_k": OP10_SQL,
+    "op12_prefix_trie": OP12_SQL,
     "op13_filter_audit": OP13_SQL,
 }
