@@ -16,6 +16,7 @@ from docquarry.llm.prefixtrie import conversation_trie
 from docquarry.llm.rules import quality
 from docquarry.llm.substring import dedup_substrings
 from docquarry.llm.toxicity import score, train
+from docquarry.llm.urlmodel import Rule, judge_urls
 from docquarry.llm.vafile import exact_top_k
 
 
@@ -182,6 +183,15 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
 
 
 
+URL_RULES = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"),
+             Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return done.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return conversation_trie(turns, head=lambda c: F.crc32(c.cast("string").cast("binary")) % 6, base=lambda c: c - c % 100, most=5)
@@ -248,6 +258,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_url_filter": op11_url_filter,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_filter_audit": op13_filter_audit,
 }
