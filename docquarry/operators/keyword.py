@@ -24,7 +24,7 @@ def coverage_terms(questions: DataFrame, stopwords: list[str], scope: str | None
     q = query_keywords(questions, stopwords).filter(F.size("keywords") > 0)
     return q.select(
         "query_id", F.col("keywords").alias("terms"),
-        F.transform("keywords", lambda x: F.lit(1.0)).alias("weights"), *scoring.scoped(questions, scope))
+        F.transform("keywords", lambda x: F.lit(1.0)).alias("weights"), *scoring.scoped(questions, scope), *scoring.permitted(questions))
 
 
 def keyword_topk(
@@ -41,7 +41,7 @@ def keyword_topk(
     Questions without keywords get no list. Chunks that contain none of them
     stay in the list when there are not enough others.
     """
-    c = chunks.select("id", F.lower("content").alias("text"), *scoring.scoped(chunks, scope))
+    c = chunks.select("id", F.lower("content").alias("text"), *scoring.scoped(chunks, scope), *scoring.permitted(chunks))
     return scoring.best_k(scoring.TermBlock, coverage_terms(questions, stopwords, scope), c, k, **options)
 
 
@@ -55,7 +55,7 @@ def keyword_coverage(questions: DataFrame, chunks: DataFrame,
         if block.num_rows == 0:
             return
         terms = scoring.TermBlock(block)
-        n = len(terms.ids)
+        n = len(terms.total)
         rows, hit, top, total = 0, np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
         for batch in batches:
             s = terms.scores(batch)
@@ -64,12 +64,12 @@ def keyword_coverage(questions: DataFrame, chunks: DataFrame,
             top = np.maximum(top, s.max(axis=1, initial=0.0))
             total += s.sum(axis=1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(terms.ids), pa.array(np.full(n, rows)), pa.array(hit), pa.array(top), pa.array(total)],
+            [block["query_id"].combine_chunks(), pa.array(np.full(n, rows)), pa.array(hit), pa.array(top), pa.array(total)],
             names=["query_id", "n", "n_hit", "top", "total"])
 
     part = scoring.meet(
         fold, coverage_terms(questions, stopwords, None), chunks.select("id", F.lower("content").alias("text")),
-        "query_id bigint, n bigint, n_hit bigint, top double, total double", **options)
+        f"query_id {questions.schema['query_id'].dataType.simpleString()}, n bigint, n_hit bigint, top double, total double", **options)
     return part.groupBy("query_id").agg(
         F.sum("n_hit").alias("n_hit"), F.round(F.max("top"), 6).alias("max_score"),
         F.round(F.sum("total") / F.sum("n"), 6).alias("avg_score"))
@@ -108,6 +108,18 @@ def keyword_idf(questions: DataFrame, chunks: DataFrame,
         "idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
 
 
+def idf_terms(questions: DataFrame, chunks: DataFrame, stopwords: list[str] = fixed.INDEX_STOPWORDS, idf: DataFrame | None = None) -> DataFrame:
+    """(query_id, terms, weights): the distinct words of each question with their rarity."""
+    idf = keyword_idf(questions, chunks, stopwords) if idf is None else idf
+    return (
+        query_keywords(questions, stopwords)
+        .select("query_id", F.explode(F.array_distinct("keywords")).alias("word"))
+        .join(idf.select("word", "idf"), "word")
+        .groupBy("query_id")
+        .agg(F.array_sort(F.collect_list(F.struct("word", "idf"))).alias("tw"))
+        .select("query_id", F.col("tw.word").alias("terms"), F.col("tw.idf").alias("weights")))
+
+
 def keyword_idf_topk(
     questions: DataFrame,
     chunks: DataFrame,
@@ -118,16 +130,8 @@ def keyword_idf_topk(
     **options,
 ) -> DataFrame:
     """Best ``k`` by rarity-weighted coverage of text and source name; zero scores left out."""
-    idf = keyword_idf(questions, chunks, stopwords) if idf is None else idf
-    weighted = (
-        query_keywords(questions, stopwords)
-        .select("query_id", F.explode(F.array_distinct("keywords")).alias("word"))
-        .join(idf.select("word", "idf"), "word")
-        .groupBy("query_id")
-        .agg(F.array_sort(F.collect_list(F.struct("word", "idf"))).alias("tw"))
-        .select("query_id", F.col("tw.word").alias("terms"), F.col("tw.idf").alias("weights")))
     c = chunks.select("id", F.lower("content").alias("text"), F.lower("source").alias("source"))
-    return scoring.best_k(scoring.TermBlock, weighted, c, k, **options).filter(F.col("score") > 0)
+    return scoring.best_k(scoring.TermBlock, idf_terms(questions, chunks, stopwords, idf), c, k, **options).filter(F.col("score") > 0)
 
 
 def containment_pairs(phrases: DataFrame, texts: DataFrame, **options) -> DataFrame:
@@ -146,8 +150,9 @@ def containment_pairs(phrases: DataFrame, texts: DataFrame, **options) -> DataFr
             pairs = [(q, i) for i, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist())
                      for n in find(text or "") for q in askers[order[n]]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())],
+                [pa.array([p[0] for p in pairs], block["query_id"].type), pa.array([p[1] for p in pairs], batch.column(batch.schema.get_field_index("id")).type)],
                 names=["query_id", "id"])
 
     p = phrases.filter(F.length("phrase") > 0).select("query_id", "phrase")
-    return scoring.meet(fold, p, texts.select("id", "text"), "query_id bigint, id bigint", **options)
+    types = p.schema["query_id"].dataType.simpleString(), texts.schema["id"].dataType.simpleString()
+    return scoring.meet(fold, p, texts.select("id", "text"), "query_id {}, id {}".format(*types), **options)

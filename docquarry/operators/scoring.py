@@ -3,8 +3,14 @@
 Every question has to meet every chunk, but neither a cross join nor the full
 score matrix is ever built. The questions are packed into a block whose size is
 checked; each task streams its share of the chunks through the block in Arrow
-batches and emits only its own best ``k`` per question. A window over those
-partial lists gives the exact result.
+batches and emits only the best ``k`` per question. A window over those
+partial lists gives the exact result. Several lists (``Ranking``) share one
+pass over the chunks.
+
+Before, a sample of the chunks is scored the same way. Its k-th best score is a
+floor for the final k-th best, so the pass emits only what reaches the floor:
+about ``k / sample`` rows for a question, however many tasks there are. The
+floors travel with the questions; they never change the result.
 
 Two ways to bring a block to the chunks:
 
@@ -15,14 +21,18 @@ Two ways to bring a block to the chunks:
   block and one slice. Its shuffle is chunks x blocks + questions x slices, so
   blocks and slices are as large as a task can hold.
 
-Ties are broken by chunk id everywhere.
+Ids are integers or strings; ties are broken by chunk id everywhere. A question
+with a ``scope`` sees the chunks of that scope only, a question with
+``principals`` only chunks that one of their ``grants`` is among.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,17 +41,28 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
-from docquarry.session import input_bytes
-
 MAX_BLOCK = 4096              # questions per block
 MAX_BLOCK_BYTES = 64 << 20    # serialized size of a block that is sent to the tasks
 SLICE_ROWS = 50_000           # chunks per grid cell
 GRID_BLOCKS = 2               # grid cells hold this many times MAX_BLOCK questions
-WIDE_INPUT = 64 << 30         # inputs beyond this size merge their partial lists in two steps
-MERGE_SALTS = 64
+SAMPLE = 1 / 64               # share of the chunks that gives the floors
 CELLS = 4 << 20               # scores held at once while streaming
 
-_OUT = "query_id bigint, id bigint, score double"
+
+@dataclass(frozen=True)
+class Ranking:
+    """One list of a pass: its name, how chunks are scored, how many are kept."""
+
+    name: str
+    kind: type
+    k: int
+
+
+def _array(ids: pa.Array) -> np.ndarray:
+    """Ids as an array that sorts as Spark sorts them: integers, or UTF-8 bytes."""
+    if pa.types.is_integer(ids.type):
+        return ids.to_numpy(zero_copy_only=False)
+    return np.array([i.encode() for i in ids.to_pylist()], "S") if len(ids) else np.empty(0, "S1")
 
 
 class BestK:
@@ -50,28 +71,23 @@ class BestK:
     def __init__(self, n_queries: int, k: int, floors: np.ndarray | None = None):
         self.n, self.k = n_queries, k
         self.low = np.full(n_queries, -np.inf) if floors is None else floors.astype(float)
-        self.low_id = np.full(n_queries, np.iinfo(np.int64).max)
+        self.full = np.zeros(n_queries, bool)
+        self.low_id = self.i = None
         self.q = np.empty(0, np.int64)
         self.s = np.empty(0)
-        self.i = np.empty(0, np.int64)
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         """A whole matrix, questions x chunks; -inf marks pairs that do not count."""
-        low, low_id = self.low[:, None], self.low_id[:, None]
-        better = (scores > low) | ((scores == low) & (ids[None, :] < low_id) & np.isfinite(scores))
-        qi, ci = np.nonzero(better)
-        self._keep(qi, scores[qi, ci], ids[ci])
-
-    def add_pairs(self, q: np.ndarray, s: np.ndarray, i: np.ndarray) -> None:
-        """Single pairs (question, score, id)."""
-        better = (s > self.low[q]) | ((s == self.low[q]) & (i < self.low_id[q]))
-        self._keep(q[better], s[better], i[better])
-
-    def _keep(self, q: np.ndarray, s: np.ndarray, i: np.ndarray) -> None:
-        if q.size:
-            self.q, self.s, self.i = np.concatenate([self.q, q]), np.concatenate([self.s, s]), np.concatenate([self.i, i])
-            if self.q.size > 4 * self.n * self.k:
-                self.cut()
+        qi, ci = np.nonzero((scores >= self.low[:, None]) & (scores > -np.inf))
+        if not qi.size:
+            return
+        s, i = scores[qi, ci], ids[ci]
+        if self.i is None:
+            self.i, self.low_id = i[:0], np.zeros(self.n, i.dtype)
+        better = (s > self.low[qi]) | ~self.full[qi] | (i < self.low_id[qi])
+        self.q, self.s, self.i = np.concatenate([self.q, qi[better]]), np.concatenate([self.s, s[better]]), np.concatenate([self.i, i[better]])
+        if self.q.size > 4 * self.n * self.k:
+            self.cut()
 
     def cut(self) -> None:
         order = np.lexsort((self.i, -self.s, self.q))
@@ -82,65 +98,41 @@ class BestK:
         count = np.bincount(self.q, minlength=self.n)
         full = np.nonzero(count == self.k)[0]
         last = np.cumsum(count)[full] - 1
-        self.low[full], self.low_id[full] = self.s[last], self.i[last]
+        self.low_id = self.low_id.astype(np.promote_types(self.low_id.dtype, self.i.dtype))
+        self.low[full], self.low_id[full], self.full[full] = self.s[last], self.i[last], True
 
-    def table(self, query_ids: np.ndarray) -> pa.RecordBatch:
+    def table(self, name: str, query_ids: pa.Array, id_type: pa.DataType) -> pa.RecordBatch | None:
+        if self.i is None:
+            return None
         self.cut()
+        ids = pa.array(self.i, id_type) if self.i.dtype.kind != "S" else pa.array([i.decode() for i in self.i.tolist()], pa.string())
         return pa.RecordBatch.from_arrays(
-            [pa.array(query_ids[self.q], pa.int64()), pa.array(self.i, pa.int64()), pa.array(self.s, pa.float64())],
-            names=["query_id", "id", "score"])
+            [pa.array([name] * len(self.q)), query_ids.take(pa.array(self.q)), ids, pa.array(self.s, pa.float64())], names=["list", "query_id", "id", "score"])
 
 
 class VectorBlock:
-    """Questions as rows of one matrix; a batch of chunks costs one product."""
+    """Questions as rows of one matrix; a batch of chunks costs one product. Chunks that are not ``usable`` do not count."""
+
+    needs = ("query_vec",)
 
     def __init__(self, questions: pa.Table):
-        self.ids = questions["query_id"].to_numpy()
         m = _matrix(questions["query_vec"].combine_chunks())
         self.m = m / np.linalg.norm(m, axis=1, keepdims=True)
 
     def scores(self, batch: pa.RecordBatch) -> np.ndarray:
-        e = _matrix(batch.column(batch.schema.get_field_index("embedding")))
-        return np.round(self.m @ e.T / np.linalg.norm(e, axis=1), 6) + 0.0
-
-
-class BucketBlock(VectorBlock):
-    """Scores only the pairs that share a hash bucket.
-
-    Unit vectors are projected on random directions and cut into steps;
-    ``planes`` steps together name a bucket, and there are ``tables`` such
-    namings. Buckets of the questions are looked up for a whole batch of chunks
-    at once, so a crowded bucket costs its pairs and is never gathered.
-    """
-
-    tables, planes, step, seed = 16, 3, 1.0, 7
+        at = batch.schema.get_field_index("usable")
+        if at < 0:
+            return self.of(batch.column(batch.schema.get_field_index("embedding")))
+        usable = batch.column(at)
+        out = np.full((len(self.m), batch.num_rows), -np.inf)
+        out[:, usable.to_numpy(zero_copy_only=False)] = self.of(batch.column(batch.schema.get_field_index("embedding")).filter(usable))
+        return out
 
-    def __init__(self, questions: pa.Table):
-        super().__init__(questions)
-        rng = np.random.default_rng(self.seed)
-        self.directions = rng.standard_normal((self.m.shape[1], self.tables * self.planes))
-        self.offsets = rng.uniform(0, self.step, self.tables * self.planes)
-        self.mix = rng.integers(1, 1 << 40, self.planes) * 2 + 1
-        keys = self._buckets(self.m)
-        self.order = np.argsort(keys, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(keys, self.order, axis=0)
-
-    def _buckets(self, unit: np.ndarray) -> np.ndarray:
-        steps = np.floor((unit @ self.directions / np.sqrt(unit.shape[1]) * 8 + self.offsets) / self.step).astype(np.int64)
-        return (steps.reshape(len(unit), self.tables, self.planes) * self.mix).sum(axis=2)
-
-    def pairs(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        e = _matrix(batch.column(batch.schema.get_field_index("embedding")))
-        e /= np.linalg.norm(e, axis=1, keepdims=True)
-        keys, met = self._buckets(e), []
-        for t in range(self.tables):
-            low = np.searchsorted(self.sorted[:, t], keys[:, t], "left")
-            n = np.searchsorted(self.sorted[:, t], keys[:, t], "right") - low
-            ci = np.repeat(np.arange(len(e)), n)
-            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            met.append(self.order[at, t] * len(e) + ci)
-        qi, ci = np.divmod(np.unique(np.concatenate(met)), len(e))
-        return qi, ci, np.round(np.einsum("ij,ij->i", self.m[qi], e[ci]), 6) + 0.0
+    def of(self, embeddings: pa.Array) -> np.ndarray:
+        if not len(embeddings):
+            return np.empty((len(self.m), 0))
+        e = _matrix(embeddings)
+        return np.round(self.m @ e.T / np.linalg.norm(e, axis=1), 6) + 0.0
 
 
 class TermBlock:
@@ -151,8 +143,9 @@ class TermBlock:
     characters start alike.
     """
 
+    needs = ("terms", "weights")
+
     def __init__(self, questions: pa.Table):
-        self.ids = questions["query_id"].to_numpy()
         terms, weights = questions["terms"].to_pylist(), questions["weights"].to_pylist()
         self.number: dict[str, int] = {}
         postings: list[dict[int, float]] = []
@@ -203,12 +196,12 @@ class TermBlock:
             yield np.fromiter(found, np.int64, len(found))
 
     def weight(self, batch: pa.RecordBatch) -> np.ndarray:
-        out = np.empty((len(self.ids), batch.num_rows))
+        out = np.empty((len(self.total), batch.num_rows))
         for i, found in enumerate(self.hits(batch)):
             found.sort()
             n = self.start[found + 1] - self.start[found]
             at = np.repeat(self.start[found] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            out[:, i] = np.bincount(self.post_q[at], self.post_w[at], len(self.ids))
+            out[:, i] = np.bincount(self.post_q[at], self.post_w[at], len(self.total))
         return out
 
     def scores(self, batch: pa.RecordBatch) -> np.ndarray:
@@ -218,8 +211,10 @@ class TermBlock:
 class TokenBlock:
     """Counts the tokens that a chunk's token list shares with each question."""
 
+    needs = ("tokens",)
+
     def __init__(self, questions: pa.Table):
-        self.ids = questions["query_id"].to_numpy()
+        self.n = len(questions)
         askers: dict[str, list[int]] = {}
         for q, tokens in enumerate(questions["tokens"].to_pylist()):
             for t in set(tokens):
@@ -227,7 +222,7 @@ class TokenBlock:
         self.askers = {t: np.array(qs) for t, qs in askers.items()}
 
     def scores(self, batch: pa.RecordBatch) -> np.ndarray:
-        out = np.zeros((len(self.ids), batch.num_rows))
+        out = np.zeros((self.n, batch.num_rows))
         for i, tokens in enumerate(batch.column(batch.schema.get_field_index("tokens")).to_pylist()):
             for t in tokens:
                 if t in self.askers:
@@ -242,9 +237,10 @@ class TermThenVectorBlock:
     below one step.
     """
 
+    needs = ("terms", "weights", "query_vec")
+
     def __init__(self, questions: pa.Table):
         self.terms, self.vectors = TermBlock(questions), VectorBlock(questions)
-        self.ids = self.terms.ids
 
     def scores(self, batch: pa.RecordBatch) -> np.ndarray:
         return 4 * self.terms.weight(batch) + self.vectors.scores(batch) + 2
@@ -265,11 +261,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def matcher(number: dict[str, int]) -> Callable[[str], set[int]]:
     if not number:
         return lambda text: set()
-    try:
-        import ahocorasick
-    except ImportError:
-        pairs = list(number.items())
-        return lambda text: {n for t, n in pairs if t in text}
     machine = ahocorasick.Automaton()
     for t, n in number.items():
         machine.add_word(t, n)
@@ -277,7 +268,7 @@ def matcher(number: dict[str, int]) -> Callable[[str], set[int]]:
     return lambda text: {n for _, n in machine.iter(text)}
 
 
-def _scope_mask(block, questions: pa.Table) -> Callable[[pa.RecordBatch], np.ndarray | None]:
+def _scope_mask(questions: pa.Table) -> Callable[[pa.RecordBatch], np.ndarray | None]:
     """Questions with a scope see only the chunks of that scope."""
     if "scope" not in questions.column_names or questions["scope"].null_count == len(questions):
         return lambda batch: None
@@ -291,25 +282,61 @@ def _scope_mask(block, questions: pa.Table) -> Callable[[pa.RecordBatch], np.nda
     return mask
 
 
-def _stream(kind, k: int, questions: pa.Table, batches, floors: dict[int, float] | None) -> Iterator[pa.RecordBatch]:
-    block = kind(questions)
-    mask_of = _scope_mask(block, questions)
-    low = None if floors is None else np.array([floors.get(int(q), -np.inf) for q in block.ids])
-    best = BestK(len(block.ids), k, low)
-    step = max(1, CELLS // max(1, len(block.ids)))
-    for batch in batches:
-        for start in range(0, batch.num_rows, step):
-            part = batch.slice(start, step)
-            ids = part.column(part.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
-            mask = mask_of(part)
-            if hasattr(block, "pairs"):
-                qi, ci, s = block.pairs(part)
-                seen = slice(None) if mask is None else mask[qi, ci]
-                best.add_pairs(qi[seen], s[seen], ids[ci[seen]])
-            else:
-                scores = block.scores(part)
-                best.add(scores if mask is None else np.where(mask, scores, -np.inf), ids)
-    yield best.table(block.ids)
+def _grant_mask(questions: pa.Table) -> Callable[[pa.RecordBatch], np.ndarray | None]:
+    """Questions see only chunks with a grant among their principals; one bitmap of questions for each principal."""
+    if "principals" not in questions.column_names:
+        return lambda batch: None
+    holders: dict[str, np.ndarray] = {}
+    for q, names in enumerate(questions["principals"].to_pylist()):
+        for name in names or ():
+            holders.setdefault(name, np.zeros(len(questions), bool))[q] = True
+    none, known = np.zeros(len(questions), bool), {}
+
+    def allowed(grants: tuple[str, ...]) -> np.ndarray:
+        if grants not in known:
+            if len(known) > 10_000:
+                known.clear()
+            known[grants] = np.logical_or.reduce([holders[g] for g in grants if g in holders] or [none])
+        return known[grants]
+
+    def mask(batch: pa.RecordBatch) -> np.ndarray:
+        grants = batch.column(batch.schema.get_field_index("grants")).to_pylist()
+        return np.stack([allowed(tuple(g or ())) for g in grants], axis=1) if grants else np.empty((len(questions), 0), bool)
+
+    return mask
+
+
+class _Run:
+    """One ranking over a stream of chunks, for the questions that have what it needs."""
+
+    def __init__(self, ranking: Ranking, questions: pa.Table):
+        has = np.logical_and.reduce([questions[c].is_valid().to_numpy() for c in ranking.kind.needs])
+        questions = questions.filter(pa.array(has, pa.bool_())).combine_chunks()
+        self.name, self.ids = ranking.name, questions["query_id"].combine_chunks()
+        self.block = ranking.kind(questions) if len(questions) else None
+        self.masks = _scope_mask(questions), _grant_mask(questions)
+        floor = f"floor_{ranking.name}"
+        floors = questions[floor].fill_null(-np.inf).to_numpy() if floor in questions.column_names else None
+        self.best = BestK(len(questions), ranking.k, floors)
+        self.step = max(1, CELLS // max(1, len(questions)))
+        self.id_type: pa.DataType | None = None
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        if self.block is None:
+            return
+        for start in range(0, batch.num_rows, self.step):
+            part = batch.slice(start, self.step)
+            ids = part.column(part.schema.get_field_index("id"))
+            self.id_type = ids.type
+            scores = self.block.scores(part)
+            for mask in self.masks:
+                seen = mask(part)
+                if seen is not None:
+                    scores = np.where(seen, scores, -np.inf)
+            self.best.add(scores, _array(ids))
+
+    def table(self) -> pa.RecordBatch | None:
+        return None if self.id_type is None else self.best.table(self.name, self.ids, self.id_type)
 
 
 def bounded_block(questions: DataFrame, max_block: int = MAX_BLOCK) -> pa.Table | None:
@@ -362,49 +389,67 @@ def meet(
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(in_cell, schema)
 
 
-def partial_best(
-    kind,
-    questions: DataFrame,
-    chunks: DataFrame,
-    k: int,
-    *,
-    max_block: int = MAX_BLOCK,
-    seed_chunks: DataFrame | None = None,
-) -> DataFrame:
-    """Per-task best ``k`` per question: ``(query_id, id, score)``.
+def partial_lists(rankings: list[Ranking], questions: DataFrame, chunks: DataFrame, *, max_block: int = MAX_BLOCK, block: pa.Table | None = None) -> DataFrame:
+    """Per-task best chunks of each list: ``(list, query_id, id, score)``, all in one pass over the chunks."""
+    def fold(part: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = [_Run(r, part) for r in rankings]
+        for batch in batches:
+            for run in runs:
+                run.add(batch)
+        yield from (t for t in (run.table() for run in runs) if t is not None)
 
-    ``seed_chunks``, any small part of ``chunks``, is scored first; its k-th
-    best score bounds the final k-th best from below, so tasks skip everything
-    under it. That changes the size of the partial lists, never the result.
-    """
-    block, floors = bounded_block(questions, max_block), None
-    if seed_chunks is not None and block is not None:
-        seeded = best_of(partial_best(kind, questions, seed_chunks, k, max_block=max_block), k)
-        floors = {r["query_id"]: r["score"] for r in seeded.filter(F.col("rank") == k).collect()}
+    types = questions.schema["query_id"].dataType.simpleString(), chunks.schema["id"].dataType.simpleString()
+    return meet(fold, questions, chunks, "list string, query_id {}, id {}, score double".format(*types), max_block=max_block, block=block)
+
+
+def best_of(partial: DataFrame, rankings: list[Ranking]) -> DataFrame:
+    """Merge partial lists: ``(list, query_id, id, score, rank)``, rank from 1."""
+    most = max(r.k for r in rankings)
+    w = Window.partitionBy("list", "query_id").orderBy(F.col("score").desc(), "id")
+    kept = partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    for r in rankings:
+        if r.k < most:
+            kept = kept.filter((F.col("list") != r.name) | (F.col("rank") <= r.k))
+    return kept
 
-    def fold(part: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if part.num_rows:
-            yield from _stream(kind, k, part, batches, floors)
 
-    return meet(fold, questions, chunks, _OUT, max_block=max_block, block=block)
+def floors_of(rankings: list[Ranking], found: DataFrame) -> DataFrame:
+    """(query_id, floor_<list> …) from the lists of a sample: the k-th best score, where there are as many."""
+    last = [F.max(F.when((F.col("list") == r.name) & (F.col("rank") == r.k), F.col("score"))).alias(f"floor_{r.name}") for r in rankings]
+    return found.groupBy("query_id").agg(*last)
 
 
-def best_of(partial: DataFrame, k: int, *, two_steps: bool = False) -> DataFrame:
-    """Merge partial lists: ``(query_id, id, score, rank)``, rank from 1."""
-    order = [F.col("score").desc(), F.col("id")]
-    if two_steps:
-        salted = partial.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(MERGE_SALTS)))
-        partial = (
-            salted.withColumn("_rn", F.row_number().over(Window.partitionBy("query_id", "_salt").orderBy(*order)))
-            .filter(F.col("_rn") <= k).drop("_rn", "_salt"))
-    w = Window.partitionBy("query_id").orderBy(*order)
-    return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def best_lists(rankings: list[Ranking], questions: DataFrame, chunks: DataFrame, *, max_block: int = MAX_BLOCK, sample: float = SAMPLE,
+               block: pa.Table | None = None) -> DataFrame:
+    """The exact best chunks of several lists: ``(list, query_id, id, score, rank)``.
+
+    questions: query_id and what the kinds of the lists need (null: the question is not in that list), and, if wanted,
+    ``scope`` and ``principals``. chunks: id and what the kinds read, and ``scope``, ``grants``. ``block`` is the whole
+    question table, where it has been fetched already. ``sample=0`` does without floors.
+    """
+    block = bounded_block(questions, max_block) if block is None else block
+    if sample:
+        seeded = best_of(partial_lists(rankings, questions, chunks.sample(sample, seed=11), max_block=max_block, block=block), rankings)
+        floors = floors_of(rankings, seeded)
+        if block is None:
+            questions = questions.join(floors, "query_id", "left")
+        else:  # as many rows as the block at most
+            found = {r["query_id"]: r for r in floors.collect()}
+            for r in rankings:
+                name = f"floor_{r.name}"
+                block = block.append_column(name, pa.array([found[q][name] if q in found else None for q in block["query_id"].to_pylist()], pa.float64()))
+    return best_of(partial_lists(rankings, questions, chunks, max_block=max_block, block=block), rankings)
 
 
-def best_k(kind, questions: DataFrame, chunks: DataFrame, k: int, **options) -> DataFrame:
-    partial = partial_best(kind, questions, chunks, k, **options)
-    return best_of(partial, k, two_steps=input_bytes(chunks) > WIDE_INPUT)
+def best_k(kind: type, questions: DataFrame, chunks: DataFrame, k: int, **options) -> DataFrame:
+    """The exact best ``k`` chunks of a single list: ``(query_id, id, score, rank)``."""
+    return best_lists([Ranking("best", kind, k)], questions, chunks, **options).drop("list")
 
 
 def scoped(df: DataFrame, scope: str | None) -> list[Column]:
     return [F.col(scope).alias("scope")] if scope and scope in df.columns else []
+
+
+def permitted(df: DataFrame) -> list[Column]:
+    """``principals`` of questions and ``grants`` of chunks, where the table has them."""
+    return [F.col(c) for c in ("principals", "grants") if c in df.columns]

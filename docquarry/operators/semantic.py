@@ -1,4 +1,4 @@
-"""Semantic search: exact, approximate, best match."""
+"""Exact semantic search and best match; the approximate one is in ``buckets``."""
 
 from __future__ import annotations
 
@@ -28,8 +28,8 @@ def semantic_topk(
     whose value is set sees only chunks with the same value.
     """
     q = valid_vectors(questions, "query_vec").select(
-        "query_id", F.col("query_vec").cast("array<double>"), *scoring.scoped(questions, scope))
-    c = valid_vectors(chunks).select("id", "embedding", *scoring.scoped(chunks, scope))
+        "query_id", F.col("query_vec").cast("array<double>"), *scoring.scoped(questions, scope), *scoring.permitted(questions))
+    c = valid_vectors(chunks).select("id", "embedding", *scoring.scoped(chunks, scope), *scoring.permitted(chunks))
     return scoring.best_k(scoring.VectorBlock, q, c, k, **options)
 
 
@@ -38,23 +38,6 @@ def semantic_top1(questions: DataFrame, chunks: DataFrame, **options) -> DataFra
     return semantic_topk(questions, chunks, 1, **options).drop("rank")
 
 
-def semantic_topk_lsh(
-    questions: DataFrame,
-    chunks: DataFrame,
-    k: int = fixed.LIST_DEPTH,
-    *,
-    kind: type[scoring.BucketBlock] = scoring.BucketBlock,
-    **options,
-) -> DataFrame:
-    """Approximate best ``k``: only chunks that share a hash bucket with the question are scored.
-
-    Subclass :class:`~docquarry.operators.scoring.BucketBlock` to trade recall
-    for work; :func:`recall_of` measures it.
-    """
-    q = valid_vectors(questions, "query_vec").select("query_id", F.col("query_vec").cast("array<double>"))
-    return scoring.best_k(kind, q, valid_vectors(chunks).select("id", "embedding"), k, **options)
-
-
 def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact list that an approximate list holds, per question."""
     hit = exact.select("query_id", "id").join(

@@ -13,10 +13,10 @@ from pyspark.sql.window import Window
 
 from docquarry.functions import fixed
 from docquarry.functions.text import strip, truncate
-from docquarry.functions.vectors import cosine
+from docquarry.functions.vectors import cosine, is_usable
 from docquarry.operators import fusion, scoring
-from docquarry.operators.keyword import coverage_terms, keyword_idf_topk, keyword_topk
-from docquarry.operators.semantic import semantic_topk, valid_vectors
+from docquarry.operators.keyword import coverage_terms, idf_terms
+from docquarry.operators.semantic import valid_vectors
 
 
 def valid_questions(questions: DataFrame) -> DataFrame:
@@ -30,21 +30,36 @@ def with_texts(
     chunks: DataFrame,
     chunk_columns: list[str],
     question_columns: list[str],
-    max_block: int,
+    bounded: bool,
 ) -> DataFrame:
     """Join candidates back to their chunks and questions.
 
-    Questions that fit one block bound the candidate list to that many times
+    Where the questions fit one block (``bounded``), they bound the candidate list to that many times
     two lists of numbers; then the chunk table streams past both small sides and
     is never shuffled. A larger question table is joined by shuffle.
     """
     asked = questions.select("query_id", *question_columns)
     texts = chunks.select("id", *chunk_columns)
-    if scoring.bounded_block(asked, max_block) is not None:
+    if bounded:
         return texts.join(F.broadcast(candidates), "id").join(F.broadcast(asked), "query_id")
     return texts.join(candidates, "id").join(asked, "query_id")
 
 
+def asked_lists(questions: DataFrame, terms: DataFrame, scope: str | None = None) -> DataFrame:
+    """What one pass for both lists has to know of each question; a part that a question lacks is null."""
+    vector = F.when(is_usable(F.col("query_vec")), F.col("query_vec").cast("array<double>")).alias("query_vec")
+    asked = questions.select("query_id", vector, *scoring.scoped(questions, scope), *scoring.permitted(questions))
+    return asked.join(terms.select("query_id", "terms", "weights"), "query_id", "left")
+
+
+def both_lists(asked: DataFrame, chunks: DataFrame, depth: int, *, source_too: bool = False, scope: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """The semantic and the keyword list, ``(query_id, id, score, rank)`` each, from one pass over the chunks."""
+    c = chunks.select("id", "embedding", is_usable(F.col("embedding")).alias("usable"), F.lower("content").alias("text"),
+                      *([F.lower("source").alias("source")] if source_too else []), *scoring.scoped(chunks, scope), *scoring.permitted(chunks))
+    found = scoring.best_lists([scoring.Ranking("semantic", scoring.VectorBlock, depth), scoring.Ranking("keyword", scoring.TermBlock, depth)], asked, c, **options)
+    return tuple(found.filter(F.col("list") == name).drop("list") for name in ("semantic", "keyword"))
+
+
 def fused_candidates(
     questions: DataFrame,
     chunks: DataFrame,
@@ -58,11 +73,11 @@ def fused_candidates(
 
     Lists carry ids and numbers only; texts join back for the few candidates.
     """
-    semantic = semantic_topk(questions, chunks, depth, scope=scope, max_block=max_block)
-    keyword = keyword_topk(questions, chunks, depth, stopwords=stopwords, scope=scope, max_block=max_block)
-    fused = fusion.rrf_fusion(semantic, keyword)
+    asked = asked_lists(questions, coverage_terms(questions, stopwords), scope)
+    block = scoring.bounded_block(asked, max_block)
+    fused = fusion.rrf_fusion(*both_lists(asked, chunks, depth, scope=scope, max_block=max_block, block=block))
     columns = [c for c in ("source", "source_type", "location", "content", "category", "embedding") if c in chunks.columns]
-    full = with_texts(fused, questions, chunks, columns, ["query", "query_vec", "top_k"], max_block)
+    full = with_texts(fused, questions, chunks, columns, ["query", "query_vec", "top_k"], block is not None)
     return full.withColumn(
         "semantic_score", F.coalesce("sim", F.round(cosine(F.col("embedding"), F.col("query_vec")), 6), F.lit(0.0))
     ).drop("sim", "embedding", "query_vec")
@@ -122,21 +137,23 @@ def hybrid_retrieve(
         "semantic_score", "score", "named")
 
 
-def legacy_candidates(questions: DataFrame, chunks: DataFrame, *, max_block: int = scoring.MAX_BLOCK) -> DataFrame:
-    """Rarity-weighted single-index search before the reranker: floors, fusion from 0."""
-    n = chunks.count()
-    depth = min(fixed.INDEX_LIST_DEPTH, n)
-    semantic = semantic_topk(questions, chunks, depth, max_block=max_block).filter(
-        F.col("score") >= fixed.INDEX_SEM_FLOOR)
-    keyword = keyword_idf_topk(questions, chunks, depth, max_block=max_block)
-    return fusion.rrf_fusion_limited(semantic, keyword, depth)
+def legacy_candidates(questions: DataFrame, chunks: DataFrame, *, max_block: int = scoring.MAX_BLOCK, idf: DataFrame | None = None) -> DataFrame:
+    """Rarity-weighted single-index search before the reranker: floors, fusion from 0.
+
+    ``idf`` has the rarity of the question words, where the index keeps postings; otherwise the texts are read for it.
+    """
+    depth = chunks.select("id").limit(fixed.INDEX_LIST_DEPTH).count()
+    asked = asked_lists(questions, idf_terms(questions, chunks, idf=idf))
+    semantic, keyword = both_lists(asked, chunks, max(depth, 1), source_too=True, max_block=max_block)
+    return fusion.rrf_fusion_limited(semantic.filter(F.col("score") >= fixed.INDEX_SEM_FLOOR), keyword.filter("score > 0"), depth)
 
 
 def legacy_retrieve(questions: DataFrame, chunks: DataFrame, *, scorer=None, top_k: int = fixed.TOP_K,
-                    max_block: int = scoring.MAX_BLOCK) -> DataFrame:
+                    max_block: int = scoring.MAX_BLOCK, idf: DataFrame | None = None) -> DataFrame:
     """One chunk per source, reranked, only positive scores, best ``top_k``."""
-    fused = legacy_candidates(questions, chunks, max_block=max_block)
-    full = with_texts(fused, questions, chunks, ["source", "source_type", "location", "content"], ["query"], max_block)
+    fused = legacy_candidates(questions, chunks, max_block=max_block, idf=idf)
+    bounded = scoring.bounded_block(questions.select("query_id", "query"), max_block) is not None
+    full = with_texts(fused, questions, chunks, ["source", "source_type", "location", "content"], ["query"], bounded)
     ranked = fusion.rerank(fusion.source_dedup(full), scorer).filter(F.col("score") > 0)
     return ranked.filter(F.col("place") <= top_k).select(
         "query_id", F.col("place").alias("rank"), "id", "source", "source_type", "location", "content")

@@ -11,9 +11,11 @@ from docquarry.operators import fusion
 from docquarry.operators.keyword import (
     keyword_coverage, keyword_idf, keyword_idf_topk, keyword_topk, query_keywords,
 )
-from docquarry.operators.semantic import recall_of, semantic_top1, semantic_topk, semantic_topk_lsh, valid_vectors
+from docquarry.operators.buckets import fit_hashing, semantic_topk_buckets, write_buckets
+from docquarry.operators.semantic import recall_of, semantic_top1, semantic_topk, valid_vectors
 from docquarry.plans import retrieve
 from docquarry.registry.views import index_chunks, questions, table, with_index
+from docquarry.session import shared_dir
 
 
 def _in_list(words: list[str]) -> str:
@@ -149,18 +151,24 @@ def q_semantic_top1(s, d):
 
 
 def q_semantic_topk_lsh(s, d):
-    return semantic_topk_lsh(questions(s, d), index_chunks(s, d))
+    q, c = questions(s, d), index_chunks(s, d)
+    model = fit_hashing(s, c.select(F.size("embedding")).first()[0])
+    path = shared_dir(s, "buckets")
+    write_buckets(c.select("id", "embedding"), path, model)
+    return semantic_topk_buckets(q, s.read.parquet(path), model)
 
 
 def q_lsh_recall(s, d):
-    q, c = questions(s, d), index_chunks(s, d)
-    return recall_of(semantic_topk_lsh(q, c), semantic_topk(q, c))
+    exact = semantic_topk(questions(s, d), index_chunks(s, d))
+    recall = recall_of(q_semantic_topk_lsh(s, d), exact)
+    reached = recall.agg((F.avg("recall") >= 0.9).alias("reached"))
+    return exact.groupBy("query_id").agg(F.count("*").alias("n")).join(F.broadcast(reached))
 
 
 def q_cosine_scores(s, d):
     q, c = questions(s, d), index_chunks(s, d)
     pairs = keyword_topk(q, c).select("query_id", "id")
-    full = retrieve.with_texts(pairs, q, c, ["embedding"], ["query_vec"], 4096)
+    full = retrieve.with_texts(pairs, q, c, ["embedding"], ["query_vec"], True)
     return full.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("query_vec")), 6).alias("cosine"))
 
 
@@ -208,7 +216,7 @@ def q_candidate_dedup(s, d):
 
 def q_source_dedup(s, d):
     q, c = questions(s, d), index_chunks(s, d)
-    full = retrieve.with_texts(retrieve.legacy_candidates(q, c), q, c, ["source"], [], 4096)
+    full = retrieve.with_texts(retrieve.legacy_candidates(q, c), q, c, ["source"], [], True)
     return fusion.source_dedup(full).select("query_id", "id", "source", "place", F.round("rrf", 9).alias("rrf"))
 
 
@@ -256,6 +264,8 @@ ORACLES = {
     "query_keywords": with_index(
         f", {_kw_sql(fixed.ROUTE_STOPWORDS)} SELECT query_id, array_to_string(keywords, ' ') AS keywords, len(keywords) AS n FROM kw"),
     "semantic_topk": with_index(f", {_sem_sql(60)} SELECT query_id, id, score, rank FROM sem"),
+    # found lists depend on the random projections; what SQL can say is how many there are to find, and that 0.9 of them are
+    "lsh_recall": with_index(f", {_sem_sql(60)} SELECT query_id, count(*) AS n, TRUE AS reached FROM sem GROUP BY query_id"),
     "semantic_top1": with_index(f", {_sem_sql(1)} SELECT query_id, id, score FROM sem"),
     "cosine_scores": with_index(
         f", {_kw_sql(fixed.ROUTE_STOPWORDS)}, {_sem_sql(60)}, {_kwlist_sql(60)} "

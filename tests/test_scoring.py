@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.operators import scoring
-from docquarry.operators.keyword import containment_pairs, keyword_coverage, keyword_df, keyword_idf_topk, keyword_topk
-from docquarry.operators.semantic import recall_of, semantic_top1, semantic_topk, semantic_topk_lsh, valid_vectors
+from docquarry.operators.keyword import containment_pairs, coverage_terms, keyword_coverage, keyword_df, keyword_idf_topk, keyword_topk
+from docquarry.operators.buckets import Hashing, fit_hashing, semantic_topk_buckets, write_buckets
+from docquarry.operators.semantic import recall_of, semantic_top1, semantic_topk, valid_vectors
 from docquarry.plans import retrieve
 
 WORDS = "alpha beta gamma delta omega sigma kappa lambda mu nu xi pi rho tau phi chi".split()
@@ -77,23 +78,64 @@ def test_scope(frames, corpus, max_block):
     assert ranks(semantic_topk(*frames, 4, scope="category", max_block=max_block)) == brute(cos, corpus, 4, True)
 
 
-def test_seed_changes_nothing(frames, corpus):
+@pytest.mark.parametrize("sample", [0, 0.3, 1.0])
+@pytest.mark.parametrize("max_block", [4096, 5])
+def test_floors_change_nothing(frames, corpus, sample, max_block):
+    assert ranks(semantic_topk(*frames, 7, sample=sample, max_block=max_block)) == brute(cos, corpus, 7)
+    assert ranks(keyword_topk(*frames, 7, sample=sample, max_block=max_block)) == brute(coverage, corpus, 7)
+
+
+def test_floors_keep_partial_lists_short_whatever_the_splits(frames):
     q, c = frames
-    assert ranks(semantic_topk(q, c, 7, seed_chunks=c.filter("id < 60"))) == brute(cos, corpus, 7)
+    rankings = [scoring.Ranking("best", scoring.VectorBlock, 7)]
+    qv = q.select("query_id", F.col("query_vec").cast("array<double>"))
+    seeded = scoring.best_of(scoring.partial_lists(rankings, qv, c.select("id", "embedding").sample(0.5, seed=1)), rankings)
+    with_floors = qv.join(scoring.floors_of(rankings, seeded), "query_id", "left")
+    sizes = [scoring.partial_lists(rankings, x, c.select("id", "embedding").repartition(n)).count() for x in (qv, with_floors) for n in (2, 30)]
+    assert sizes[1] > 5 * sizes[0] and sizes[3] < sizes[1] / 3
 
 
-def test_seed_thins_partial_lists(frames):
+@pytest.mark.parametrize("max_block", [4096, 5])
+def test_two_lists_of_one_pass(frames, corpus, max_block):
     q, c = frames
-    kind = scoring.VectorBlock
-    qv, cv = q.select("query_id", F.col("query_vec").cast("array<double>")), c.select("id", "embedding")
-    assert scoring.partial_best(kind, qv, cv, 7, seed_chunks=cv).count() < scoring.partial_best(kind, qv, cv, 7).count()
+    asked = retrieve.asked_lists(q, coverage_terms(q, []))
+    semantic, keyword = retrieve.both_lists(asked, c, 9, max_block=max_block)
+    assert ranks(semantic) == brute(cos, corpus, 9) and ranks(keyword) == brute(coverage, corpus, 9)
+
+
+def test_one_pass_where_parts_are_missing(spark):
+    q = spark.createDataFrame([("a", "alpha", None), ("b", "what is the", [1.0, 0.0]), ("c", "beta", [0.0, 0.0])], "query_id string, query string, query_vec array<float>")
+    c = spark.createDataFrame([("x", "s", "alpha beta", [1.0, 0.0]), ("y", "s", "beta", None), ("z", "s", None, [0.0, 0.0])], "id string, source string, content string, embedding array<float>")
+    asked = retrieve.asked_lists(q, coverage_terms(q, ["what", "is", "the"]))
+    semantic, keyword = retrieve.both_lists(asked, c, 2)
+    assert ranks(semantic) == [("b", "x", 1)]
+    assert ranks(keyword) == [("a", "x", 1), ("a", "y", 2), ("c", "x", 1), ("c", "y", 2)]
 
 
-def test_two_step_merge(frames):
+@pytest.mark.parametrize("max_block", [4096, 5])
+def test_string_ids(frames, corpus, max_block):
+    """Ids of letters, of unequal lengths, in the order of their code points."""
     q, c = frames
-    qv, cv = q.select("query_id", F.col("query_vec").cast("array<double>")), c.select("id", "embedding")
-    part = scoring.partial_best(scoring.VectorBlock, qv, cv, 7)
-    assert ranks(scoring.best_of(part, 7, two_steps=True)) == ranks(scoring.best_of(part, 7))
+    name = F.concat(F.lpad(F.col("id").cast("string"), 4, "0"), F.when(F.col("id") % 2 == 0, "é").otherwise(""))
+    c, q = c.withColumn("id", name), q.withColumn("query_id", F.concat(F.lit("q"), "query_id"))
+    want = [(f"q{a}", f"{i:04d}" + ("é" if i % 2 == 0 else ""), n) for a, i, n in brute(cos, corpus, 7)]
+    assert ranks(semantic_topk(q, c, 7, max_block=max_block)) == sorted(want)
+    hybrid = retrieve.hybrid_retrieve(q, c.withColumn("source_type", F.lit("document")), floor=-1.0, max_block=max_block)
+    assert {r["query_id"] for r in hybrid.collect()} == {f"q{i}" for i in range(12)}
+
+
+def test_principals_see_what_they_are_granted(frames, corpus):
+    q, c = frames
+    q = q.withColumn("principals", F.when(F.col("query_id") > 0, F.array(F.lit("*"), F.concat(F.lit("u:"), F.col("query_id") % 3))))
+    c = c.withColumn("grants", F.when(F.col("id") % 4 == 0, F.array(F.lit("*"))).when(F.col("id") % 4 == 1, F.array(F.concat(F.lit("u:"), F.col("id") % 3), F.lit("g:x"))))
+    got = ranks(semantic_topk(q, c, 7))
+    want = []
+    for a in corpus[1][1:]:
+        rows = sorted((-cos(a, b), b[0]) for b in corpus[0] if b[0] % 4 == 0 or b[0] % 4 == 1 and b[0] % 3 == a[0] % 3)
+        want += [(a[0], i, n + 1) for n, (_, i) in enumerate(rows[:7])]
+    assert got == sorted(want)
+    fused = retrieve.fused_candidates(q, c.withColumn("source_type", F.lit("document")))
+    assert fused.filter("id % 4 > 1 OR (id % 4 = 1 AND id % 3 <> query_id % 3) OR query_id = 0").count() == 0 < fused.count()
 
 
 def test_fewer_chunks_than_k(frames):
@@ -124,14 +166,22 @@ def test_top1(frames, corpus):
     assert got == [(q, i) for q, i, _ in brute(cos, corpus, 1)]
 
 
-def test_lsh_finds_close_matches_and_scores_exactly(frames, corpus):
-    found = semantic_topk_lsh(*frames, 10)
-    exact = semantic_topk(*frames, 10)
-    close = exact.filter("score > 0.9")
-    assert recall_of(found, close).agg(F.avg("recall")).first()[0] > 0.95
-    by_pair = {(q[0], c[0]): cos(q, c) for q in corpus[1] for c in corpus[0]}
-    for r in found.collect():
-        assert abs(by_pair[r["query_id"], r["id"]] - r["score"]) < 2e-6
+def test_buckets_find_close_matches_and_score_exactly(spark, frames, corpus, tmp_dir):
+    q, c = frames
+    hashing = Hashing(slots=8)
+    model = fit_hashing(spark, 8, hashing)
+    write_buckets(c.filter("id < 100").select("id", "embedding"), f"{tmp_dir}/b", model, hashing)
+    write_buckets(c.filter("id >= 100").select("id", "embedding"), f"{tmp_dir}/b", model, hashing)
+    found = semantic_topk_buckets(q, spark.read.parquet(f"{tmp_dir}/b"), model, 10, hashing=hashing)
+    close = semantic_topk(*frames, 10).filter("score > 0.9")
+    assert recall_of(found, close).agg(F.avg("recall")).first()[0] > 0.9
+    by_pair = {(a[0], b[0]): cos(a, b) for a in corpus[1] for b in corpus[0]}
+    rows = found.collect()
+    assert all(abs(by_pair[r["query_id"], r["id"]] - r["score"]) < 2e-6 for r in rows)
+    assert len({(r["query_id"], r["id"]) for r in rows}) == len(rows)
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    by_shuffle = semantic_topk_buckets(q, spark.read.parquet(f"{tmp_dir}/b"), model, 10, hashing=hashing, max_block=3)
+    assert sorted(map(tuple, by_shuffle.collect())) == sorted(map(tuple, rows))
 
 
 @pytest.mark.parametrize("max_block", [4096, 4])
