@@ -36,6 +36,25 @@ def acl_visible(df: DataFrame, user: str) -> DataFrame:
     return df.filter((F.coalesce("visibility", F.lit("public")) == "public") | F.coalesce(shared[0], F.lit(False)) | F.coalesce(shared[1], F.lit(False)))
 
 
+def with_grants(chunks: DataFrame) -> DataFrame:
+    """Chunks with ``grants``, whom their permissions let read them: ``*`` (everyone), ``u:`` users, ``g:`` mail domains."""
+    def named(prefix: str, names: str) -> Column:
+        return F.coalesce(F.transform(names, lambda n: F.concat(F.lit(prefix), n)), F.array().cast("array<string>"))
+
+    public = F.coalesce("visibility", F.lit("public")) == "public"
+    shared = F.filter(F.concat(named("u:", "users"), named("g:", "groups")), lambda g: g.isNotNull())
+    return chunks.withColumn("grants", F.when(public, F.array(F.lit("*"))).otherwise(shared))
+
+
+def with_principals(questions: DataFrame, user: str = "user") -> DataFrame:
+    """Questions with ``principals``, what the asking user may present: everyone's, their own, their mail domain's.
+
+    Retrieval of such questions over chunks ``with_grants`` scores nothing that the user may not read.
+    """
+    own = F.array(F.concat(F.lit("u:"), user), F.concat(F.lit("g:"), F.regexp_extract(user, "[^@]*$", 0)))
+    return questions.withColumn("principals", F.array_compact(F.concat(F.array(F.lit("*")), own)))
+
+
 # --- inventory ------------------------------------------------------------------------
 
 def list_files(chunks: DataFrame, category: str | None = None) -> DataFrame:

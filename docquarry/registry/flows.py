@@ -9,10 +9,12 @@ from docquarry.functions import text as tx
 from docquarry.functions.seams import embed_hashed
 from docquarry.functions.toolcalls import tool_calls
 from docquarry.plans import ingest
+from docquarry.plans.retrieve import hybrid_retrieve
 from docquarry.registry.evaluation import _EV_SQL, _evaluated
+from docquarry.registry.retrieval import HYBRID_SQL
 from docquarry.registry.texts import _CHUNK_SQL, _CODE_SQL, sql_scrub, sql_strip
 from docquarry.registry.upkeep import NOW
-from docquarry.registry.views import TENANT, index_chunks, table, with_index
+from docquarry.registry.views import QUESTIONS_SQL, TENANT, index_chunks, n_vectors, questions, table, with_index
 from docquarry.session import shared_dir, spread
 from docquarry.sources import audit, tables as tb
 from docquarry.streaming import activity, objects
@@ -72,6 +74,24 @@ def q_reconcile(s, d):
     return one.join(F.broadcast(live.withColumn("pass", F.lit(2))), "pass", "left")
 
 
+def q_ingest_then_retrieve(s, d):
+    """The engine searches what it has ingested: files to an index, its live chunks to answers. A file's chunks share the vector of its number."""
+    n = n_vectors(s, d)
+    vectors = table(s, d, "embeddings").select("vec_id", "embedding")
+
+    def embed(chunks: DataFrame, _: str) -> DataFrame:
+        number = F.regexp_extract("key", r"doc-([0-9]+)", 1).cast("bigint") % n
+        return chunks.withColumn("vec_id", number).join(vectors, "vec_id", "left").drop("vec_id")
+
+    t, now = _tables(s, "searched"), F.expr(NOW)
+    files = _files(s, d)
+    stale = files.withColumn("text", F.concat(F.lit("stale "), "text")).withColumn("file_hash", F.md5("text")).withColumn("etag", F.md5("text"))
+    ingest.reconcile(t, _listing(stale), stale, 1, now, embed)
+    ingest.reconcile(t, _listing(files), files, 2, now, embed)
+    return hybrid_retrieve(questions(s, d), t.live_chunks()).select(
+        "query_id", "rank", "id", "source", "location", "semantic_score", F.round("score", 6).alias("score"))
+
+
 def q_reconcile_tenants(s, d):
     """Two tenants with files of the same keys: each keeps its own texts, also when one of them deletes all of its files."""
     t = _tables(s, "tenants")
@@ -301,7 +321,15 @@ _OLD_SQL = (
     "old AS (SELECT " + ", ".join(f"{e.format(bytes='strlen')} AS {c}" for c, e in _FILE.items()) + " FROM olds)"
 )
 
+_ID_JSON = (
+    "'{\"tenant_id\":\"' || f.tenant_id || '\",\"source\":\"' || f.source || '\",\"file_hash\":\"' || f.file_hash || '\",\"location\":\"' || location || '\",\"place\":0}'"
+)
+
 ORACLES = {
+    "ingest_then_retrieve": (
+        f"WITH {_F_SQL}, {_cut_sql('f', 'cut')}, idx AS (SELECT substr(sha256({_ID_JSON}), 1, 32) AS id, f.source, source_type, location, {sql_scrub('content')} AS content, "
+        "split_part(f.key, '/', 1) AS category, embedding FROM cut JOIN f USING (doc_id) JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)), "
+        f"{QUESTIONS_SQL}, {HYBRID_SQL} SELECT query_id, rank, id, source, location, semantic_score, round(score, 6) AS score FROM hybrid"),
     "ingest_files": (
         f"WITH {_F_SQL}, {_cut_sql('f', 'cut')} SELECT f.source, source_type, location, split_part(f.key, '/', 1) AS category, md5({sql_scrub('content')}) AS content, 64 AS dim "
         f"FROM cut JOIN f USING (doc_id) WHERE {_WORDY}"),

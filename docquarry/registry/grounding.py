@@ -8,7 +8,7 @@ from docquarry.functions import fixed
 from docquarry.functions import text as tx
 from docquarry.operators import grounding as gr
 from docquarry.plans import answer, retrieve
-from docquarry.registry.retrieval import _HYBRID
+from docquarry.registry.retrieval import HYBRID_SQL
 from docquarry.registry.texts import (
     _CITE_PARTS, _CITE_RX, _ENDNOTES_SQL, NWS, WCH, WS, _ascii, qt, sql_claims, sql_refused, sql_sentences, sql_strip,
 )
@@ -263,7 +263,7 @@ ORACLES = {
         f"sum(CASE WHEN role = 'user' THEN len({sql_sentences('text')}) WHEN role = 'system' AND NOT starts_with(text, 'T') THEN 0 ELSE 1 END) AS results "
         "FROM conversations GROUP BY conv_id"),
     "extractive_answers": with_index(
-        f", {_HYBRID}, t AS (SELECT query_id, list_distinct(keywords) AS terms FROM kw), "
+        f", {HYBRID_SQL}, t AS (SELECT query_id, list_distinct(keywords) AS terms FROM kw), "
         f"hs AS (SELECT h.query_id, h.rank, h.source, h.location, t.terms, {sql_sentences('h.content')} AS ss FROM hybrid h JOIN t USING (query_id)), "
         "x AS (SELECT * EXCLUDE (ss), unnest(range(len(ss))) AS pos, unnest(ss) AS s FROM hs), "
         f"y AS (SELECT *, len(list_intersect(terms, list_distinct(regexp_extract_all(lower(s), '[{WCH}]+')))) AS shared FROM x), "

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import fixed
 from docquarry.functions.vectors import cosine
 from docquarry.operators import fusion
+from docquarry.operators.catalog import with_grants, with_principals
 from docquarry.operators.keyword import (
     keyword_coverage, keyword_idf, keyword_idf_topk, keyword_topk, query_keywords,
 )
@@ -29,8 +30,24 @@ def _kw_sql(words: list[str]) -> str:
     )
 
 
-def _sem_sql(depth: int, scoped: bool = False) -> str:
-    where = "WHERE q.category IS NULL OR q.category = c.category " if scoped else ""
+# whom a question's user may read: questions of ann, of bob and of nobody
+_USER = "CASE CAST(query_id % 3 AS INT) WHEN 0 THEN 'ann@acme.org' WHEN 1 THEN 'bob@other.org' END"
+ACL = {
+    "visibility": "CASE WHEN doc_id % 5 = 0 THEN 'public' WHEN doc_id % 5 < 4 THEN 'team' END",
+    "users": "CASE WHEN toxic = 1 THEN {a}'ann@acme.org', {z}source{y} WHEN toxic = 0 THEN {a}{z}source{y} END",
+    "groups": "CASE WHEN quality = 1 THEN {a}'acme.org'{y} ELSE {a}'other.org'{y} END",
+}
+_ACL_SQL = (
+    "acl AS (SELECT doc_id AS id, " + ", ".join(f"{e.format(a='[', y=']', z='')} AS \"{c}\"" for c, e in ACL.items()) + " FROM documents LEFT JOIN labels USING (doc_id)), "
+    f"asker AS (SELECT query_id, {_USER} AS who FROM questions), "
+    "see AS (SELECT query_id, id FROM asker CROSS JOIN acl WHERE coalesce(visibility, 'public') = 'public' OR coalesce(list_contains(users, who), FALSE) "
+    "OR coalesce(list_contains(groups, regexp_extract(who, '[^@]*$')), FALSE))"
+)
+_SEEN = "EXISTS (FROM see WHERE see.query_id = q.query_id AND see.id = c.id)"
+
+
+def _sem_sql(depth: int, scoped: bool = False, acl: bool = False) -> str:
+    where = f"WHERE {_SEEN} " if acl else "WHERE q.category IS NULL OR q.category = c.category " if scoped else ""
     return (
         "sem_all AS (SELECT q.query_id, c.id, round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), "
         f"CAST(q.query_vec AS DOUBLE[])), 6) AS score FROM questions q CROSS JOIN idx c {where}), "
@@ -39,8 +56,8 @@ def _sem_sql(depth: int, scoped: bool = False) -> str:
     )
 
 
-def _kwlist_sql(depth: int, scoped: bool = False) -> str:
-    where = "AND (q.category IS NULL OR q.category = c.category) " if scoped else ""
+def _kwlist_sql(depth: int, scoped: bool = False, acl: bool = False) -> str:
+    where = f"AND {_SEEN} " if acl else "AND (q.category IS NULL OR q.category = c.category) " if scoped else ""
     return (
         "low AS MATERIALIZED (SELECT id, category, lower(content) AS text FROM idx), "
         "hit AS MATERIALIZED (SELECT w.word, low.id FROM (SELECT DISTINCT unnest(keywords) AS word FROM kw) w "
@@ -72,8 +89,8 @@ _DEDUP_SQL = (
 )
 
 
-def _base(words: list[str], scoped: bool = False) -> str:
-    return ", ".join([_kw_sql(words), _sem_sql(60, scoped), _kwlist_sql(60, scoped), _FUSED_SQL])
+def _base(words: list[str], scoped: bool = False, acl: bool = False) -> str:
+    return ", ".join([*([_ACL_SQL] if acl else []), _kw_sql(words), _sem_sql(60, scoped, acl), _kwlist_sql(60, scoped, acl), _FUSED_SQL])
 
 
 _CAND = f"{_base(fixed.ROUTE_STOPWORDS)}, {_FULL_SQL}, {_DEDUP_SQL}"
@@ -94,7 +111,7 @@ _BOOST_SQL = (
     "boosted AS (SELECT * EXCLUDE (before), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS place FROM boo)"
 )
 _GUARD = "QUALIFY max(semantic_score) OVER (PARTITION BY query_id) >= 0.40"
-_HYBRID = (
+HYBRID_SQL = (
     f"{_CAND}, {_LEX_SQL % 'cand'}, {_BOOST_SQL}, guarded AS (SELECT * FROM boosted {_GUARD}), "
     "hybrid AS (SELECT *, place AS rank FROM guarded WHERE place <= greatest(1, least(top_k, 8)))"
 )
@@ -245,6 +262,16 @@ def q_hybrid_retrieve(s, d):
         "query_id", "rank", "id", "source", "location", "semantic_score", F.round("score", 6).alias("score"))
 
 
+def q_hybrid_retrieve_acl(s, d):
+    """Every question's user sees only chunks that their permissions allow, before anything is scored."""
+    shared = table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").selectExpr(
+        "doc_id AS id", *[f"{e.format(a='array(', y=')', z='')} AS `{c}`" for c, e in ACL.items()])
+    c = with_grants(index_chunks(s, d).join(shared, "id"))
+    q = with_principals(questions(s, d).withColumn("user", F.expr(_USER)))
+    return retrieve.hybrid_retrieve(q, c).select(
+        "query_id", "rank", "id", "source", "location", "semantic_score", F.round("score", 6).alias("score"))
+
+
 def q_legacy_retrieve(s, d):
     return retrieve.legacy_retrieve(questions(s, d), index_chunks(s, d)).select(
         "query_id", "rank", "id", "source", "location")
@@ -300,13 +327,16 @@ ORACLES = {
         "SELECT query_id, place AS rank, id, source, location, category, semantic_score, round(rrf, 9) AS score FROM g "
         "WHERE place <= greatest(1, least(top_k, 20))"),
     "hybrid_retrieve": with_index(
-        f", {_HYBRID} SELECT query_id, rank, id, source, location, semantic_score, round(score, 6) AS score FROM hybrid"),
+        f", {HYBRID_SQL} SELECT query_id, rank, id, source, location, semantic_score, round(score, 6) AS score FROM hybrid"),
+    "hybrid_retrieve_acl": with_index(
+        f", {HYBRID_SQL.replace(_base(fixed.ROUTE_STOPWORDS), _base(fixed.ROUTE_STOPWORDS, acl=True))} "
+        "SELECT query_id, rank, id, source, location, semantic_score, round(score, 6) AS score FROM hybrid"),
     "legacy_retrieve": with_index(
         f", {_LEGACY_SQL}, {_SRC_DEDUP_SQL}, {_LEX_SQL.replace('FROM kw)', 'FROM kwr)') % 'scand'} "
         "SELECT query_id, place AS rank, id, source, location FROM rer WHERE score > 0 AND place <= 8").replace(
             "terms AS (", _kw_sql(fixed.ROUTE_STOPWORDS).replace("kw AS", "kwr AS") + ", terms AS (", 1),
     "context_pack": with_index(
-        f", {_HYBRID}, s AS (SELECT *, least(700, greatest(250, 5600 // count(*) OVER (PARTITION BY query_id))) AS lim FROM hybrid) "
+        f", {HYBRID_SQL}, s AS (SELECT *, least(700, greatest(250, 5600 // count(*) OVER (PARTITION BY query_id))) AS lim FROM hybrid) "
         "SELECT query_id, count(*) AS n_chunks, string_agg('[' || rank || '] Source: ' || source || ' | Location: ' || location || chr(10) || "
         "CASE WHEN length(content) > lim THEN substr(content, 1, lim) || '…' ELSE content END || chr(10) || chr(10), '' ORDER BY rank) AS context "
         "FROM s GROUP BY query_id"),
