@@ -146,8 +146,8 @@ def new_chunks_only(batch: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def dead_letter(attempts: DataFrame, limit: int = fixed.MAX_ATTEMPTS) -> DataFrame:
-    """Failed deliveries folded per key: what to retry and what to set aside."""
-    state = attempts.groupBy("key").agg(
+    """Failed deliveries folded per key (of a tenant and bucket, where the log knows them): what to retry and what to set aside."""
+    state = attempts.groupBy(*[c for c in ("tenant_id", "bucket") if c in attempts.columns], "key").agg(
         F.count_if(F.col("status") == "failed").alias("attempts"),
         F.max_by("status", F.struct("ts", "event_id")).alias("last_status"),
         F.max_by("error", F.struct("ts", "event_id")).alias("last_error"))

@@ -268,16 +268,17 @@ def matcher(number: dict[str, int]) -> Callable[[str], set[int]]:
     return lambda text: {n for _, n in machine.iter(text)}
 
 
-def _scope_mask(questions: pa.Table) -> Callable[[pa.RecordBatch], np.ndarray | None]:
-    """Questions with a scope see only the chunks of that scope."""
-    if "scope" not in questions.column_names or questions["scope"].null_count == len(questions):
+def _scope_mask(questions: pa.Table, column: str = "scope", strict: bool = False) -> Callable[[pa.RecordBatch], np.ndarray | None]:
+    """Questions with a scope see only the chunks of that scope; those without see all, or nothing if ``strict``."""
+    if column not in questions.column_names or (not strict and questions[column].null_count == len(questions)):
         return lambda batch: None
-    wanted = np.array(questions["scope"].to_pylist(), object)
-    free = np.array([w is None for w in wanted])
+    wanted = np.array(questions[column].to_pylist(), object)
+    free = np.array([w is None for w in wanted], bool) & (not strict)
+    set_here = np.array([w is not None for w in wanted], bool)
 
     def mask(batch: pa.RecordBatch) -> np.ndarray:
-        have = np.array(batch.column(batch.schema.get_field_index("scope")).to_pylist(), object)
-        return free[:, None] | (wanted[:, None] == have[None, :])
+        have = np.array(batch.column(batch.schema.get_field_index(column)).to_pylist(), object)
+        return free[:, None] | (set_here[:, None] & (wanted[:, None] == have[None, :]))
 
     return mask
 
@@ -314,7 +315,7 @@ class _Run:
         questions = questions.filter(pa.array(has, pa.bool_())).combine_chunks()
         self.name, self.ids = ranking.name, questions["query_id"].combine_chunks()
         self.block = ranking.kind(questions) if len(questions) else None
-        self.masks = _scope_mask(questions), _grant_mask(questions)
+        self.masks = _scope_mask(questions), _scope_mask(questions, "tenant_id", strict=True), _grant_mask(questions)
         floor = f"floor_{ranking.name}"
         floors = questions[floor].fill_null(-np.inf).to_numpy() if floor in questions.column_names else None
         self.best = BestK(len(questions), ranking.k, floors)
@@ -453,3 +454,12 @@ def scoped(df: DataFrame, scope: str | None) -> list[Column]:
 def permitted(df: DataFrame) -> list[Column]:
     """``principals`` of questions and ``grants`` of chunks, where the table has them."""
     return [F.col(c) for c in ("principals", "grants") if c in df.columns]
+
+
+def one_tenant(questions: DataFrame, chunks: DataFrame) -> tuple[list[Column], DataFrame]:
+    """The tenant column, if both sides know tenants, and the chunks of the tenants that ask; folders of others are not read."""
+    if "tenant_id" not in questions.columns or "tenant_id" not in chunks.columns:
+        return [], chunks
+    # Spark prunes folders at run time only by a side that has a filter
+    asking = questions.select("tenant_id").filter(F.length("tenant_id") > 0).distinct()
+    return [F.col("tenant_id")], chunks.join(asking, "tenant_id", "left_semi")

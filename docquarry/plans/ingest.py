@@ -13,7 +13,7 @@ from docquarry.functions.vectors import is_usable
 from docquarry.operators import chunking
 from docquarry.operators.maintenance import ledger_new_files, manifest_diff, sync_summary
 from docquarry.session import persist_table
-from docquarry.sources.tables import BatchTables
+from docquarry.sources.tables import SNAPSHOT_EVERY, BatchTables
 
 
 _PERMISSIONS = "struct<visibility:string,groups:array<string>,users:array<string>>"
@@ -133,15 +133,15 @@ def apply_changes(tables: BatchTables, diff: DataFrame, files: DataFrame, batch:
     already indexed under its source keeps its chunks. A file of which nothing
     could be read is ``failed``: it gets no manifest row, so the next pass tries
     it again, and an earlier text stays live. ``failures``: further status rows
-    (``tenant_id, key, error``). Chunks go first, the manifest last; until its
+    (``tenant_id, bucket, key, error``). Chunks go first, the manifest last; until its
     rows are there the old state stays the live one, so a crash in between loses
     nothing and a replay replaces the same batch.
     """
     by = ["tenant_id", "key"]
-    old = tables.manifest(before=batch).withColumnRenamed("s3_key", "key")
     todo = diff.filter(F.col("change").isin("new", "changed")).select(
         "tenant_id", F.col("s3_key").alias("key"), "etag", "size_bytes")
-    before = old.select(*by, F.col("source").alias("old_source"), F.col("file_hash").alias("old_hash"), F.col("etag").alias("old_etag"),
+    known = tables.manifest(before=batch, keys=diff.filter(F.col("change").isin("new", "changed", "deleted")))
+    before = known.withColumnRenamed("s3_key", "key").select(*by, F.col("source").alias("old_source"), F.col("file_hash").alias("old_hash"), F.col("etag").alias("old_etag"),
                         F.col("chunk_batch").alias("old_batch"), F.col("last_etag_at").alias("old_etag_at"))
     same = F.col("file_hash").eqNullSafe(F.col("old_hash")) & F.col("source").eqNullSafe(F.col("old_source"))
     plan = persist_table(
@@ -157,22 +157,27 @@ def apply_changes(tables: BatchTables, diff: DataFrame, files: DataFrame, batch:
         F.when(F.col("same"), F.col("old_batch")).otherwise(F.lit(batch)).cast("bigint").alias("chunk_batch"), now.alias("last_seen_at"),
         F.when(etag_moved, now).otherwise(F.col("old_etag_at")).alias("last_etag_at"))
     left = diff.filter(F.col("change") == "deleted").select("tenant_id", "s3_key")
-    gone = tables.manifest(before=batch).join(left, ["tenant_id", "s3_key"], "left_semi").select(
+    gone = known.join(left, ["tenant_id", "s3_key"], "left_semi").select(
         "tenant_id", "s3_key", "source", "file_hash", "etag", "size_bytes", F.lit(True).alias("deleted"), "chunk_batch", "last_seen_at", "last_etag_at")
 
     def line(df: DataFrame, status: Column, chunks: Column, error: Column) -> DataFrame:
-        return df.select("tenant_id", "key", status.alias("status"), chunks.cast("bigint").alias("chunks"), error.cast("string").alias("error"), now.alias("ts"))
+        bucket = F.col("bucket") if "bucket" in df.columns else F.lit(None).cast("string")
+        return df.select("tenant_id", bucket.alias("bucket"), "key", status.alias("status"), chunks.cast("bigint").alias("chunks"), error.cast("string").alias("error"), now.alias("ts"))
 
     none, zero = F.lit(None), F.lit(0)
     unread = F.when(tx.is_allowed(F.col("key")), "failed").otherwise("skipped")
     status = line(done, F.when(F.col("same"), "unchanged").when(~F.col("readable"), unread).when(F.col("chunks") > 0, "ok").otherwise("skipped"),
                   F.coalesce("chunks", zero), F.when(~F.col("readable") & ~F.col("same"), "nothing could be read"))
     status = status.unionByName(line(gone.withColumnRenamed("s3_key", "key"), F.lit("deleted"), zero, none))
-    status = status.unionByName(line(diff.filter(F.col("change") == "unchanged").withColumnRenamed("s3_key", "key"), F.lit("unchanged"), zero, none))
+    # keys without a change make a row for each tenant, with their number, not a row each
+    idle = diff.filter(F.col("change") == "unchanged").groupBy("tenant_id").agg(F.count("*").alias("n")).withColumn("key", none.cast("string"))
+    status = status.unionByName(line(idle, F.lit("unchanged"), F.col("n"), none))
     if failures is not None:
         status = status.unionByName(line(failures, F.lit("failed"), zero, F.col("error")))
     tables.write("status", status, batch)
     tables.write("manifest", kept.unionByName(gone), batch)
+    if batch % SNAPSHOT_EVERY == 0:
+        tables.snapshot(batch)
     return status
 
 

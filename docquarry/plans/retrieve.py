@@ -1,8 +1,8 @@
 """Retrieval of whole question tables.
 
 Inputs
-    questions: ``query_id, query, query_vec, top_k`` (+ optional ``category``)
-    chunks:    ``id, source, source_type, location, content, embedding, category``
+    questions: ``query_id, query, query_vec, top_k`` (+ optional ``category``, ``tenant_id``, ``principals``)
+    chunks:    ``id, source, source_type, location, content, embedding, category`` (+ ``tenant_id``, ``grants``)
 """
 
 from __future__ import annotations
@@ -48,13 +48,15 @@ def with_texts(
 def asked_lists(questions: DataFrame, terms: DataFrame, scope: str | None = None) -> DataFrame:
     """What one pass for both lists has to know of each question; a part that a question lacks is null."""
     vector = F.when(is_usable(F.col("query_vec")), F.col("query_vec").cast("array<double>")).alias("query_vec")
-    asked = questions.select("query_id", vector, *scoring.scoped(questions, scope), *scoring.permitted(questions))
+    tenant = [F.col("tenant_id")] if "tenant_id" in questions.columns else []
+    asked = questions.select("query_id", vector, *tenant, *scoring.scoped(questions, scope), *scoring.permitted(questions))
     return asked.join(terms.select("query_id", "terms", "weights"), "query_id", "left")
 
 
 def both_lists(asked: DataFrame, chunks: DataFrame, depth: int, *, source_too: bool = False, scope: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """The semantic and the keyword list, ``(query_id, id, score, rank)`` each, from one pass over the chunks."""
-    c = chunks.select("id", "embedding", is_usable(F.col("embedding")).alias("usable"), F.lower("content").alias("text"),
+    tenant, chunks = scoring.one_tenant(asked, chunks)
+    c = chunks.select("id", "embedding", is_usable(F.col("embedding")).alias("usable"), F.lower("content").alias("text"), *tenant,
                       *([F.lower("source").alias("source")] if source_too else []), *scoring.scoped(chunks, scope), *scoring.permitted(chunks))
     found = scoring.best_lists([scoring.Ranking("semantic", scoring.VectorBlock, depth), scoring.Ranking("keyword", scoring.TermBlock, depth)], asked, c, **options)
     return tuple(found.filter(F.col("list") == name).drop("list") for name in ("semantic", "keyword"))

@@ -17,7 +17,7 @@ from docquarry.registry.upkeep import NOW
 from docquarry.registry.views import QUESTIONS_SQL, TENANT, index_chunks, n_vectors, questions, table, with_index
 from docquarry.session import shared_dir, spread
 from docquarry.sources import audit, tables as tb
-from docquarry.streaming import activity, objects
+from docquarry.streaming import activity, objects, retries
 
 # --- files made of documents: by language .md, .txt, .py, and .exe, which is not supported -----
 
@@ -100,7 +100,7 @@ def q_reconcile_tenants(s, d):
     both = one.unionByName(two)
     ingest.reconcile(t, _listing(both), both, 1, F.expr(NOW), _small_embed).collect()
     ingest.reconcile(t, _listing(two), two, 2, F.expr(NOW), _small_embed).collect()
-    status = t.read("status").groupBy("tenant_id", "status").agg(F.count("*").alias("n"))
+    status = t.read("status").groupBy("tenant_id", "status").agg(F.sum(F.when(F.col("key").isNull(), F.col("chunks")).otherwise(1)).alias("n"))
     live = t.live_chunks().groupBy("tenant_id").agg(F.count("*").alias("n")).select("tenant_id", F.lit("live chunks").alias("status"), "n")
     return status.unionByName(live)
 
@@ -128,7 +128,7 @@ def q_stream_dead_letters(s, d):
     table(s, d, "documents").selectExpr(f"{_BODY} AS body").write.text(inbox)
     files = _files(s, d).filter(tx.is_allowed(F.col("key")))
     stream = objects.read_object_events(s, inbox, files_per_trigger=10_000)
-    objects.start_ingest(stream, lambda keys: files.join(keys.select("key"), "key", "left_semi"), t, shared_dir(s, "ckpt"), embed=_small_embed,
+    objects.start_ingest(stream, lambda keys: files.join(keys, "key"), t, shared_dir(s, "ckpt"), embed=_small_embed,
                          trigger={"availableNow": True}).awaitTermination()
     return t.read("dead_letters").select("reason", F.when(F.col("reason") == "unreadable", F.md5("body")).otherwise(F.get_json_object("body", "$.key")).alias("what"))
 
@@ -138,7 +138,7 @@ def q_stream_dead_letters(s, d):
 _BODY = (
     "CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN concat('{\"Records\":[{\"s3\":{\"bucket\":{\"name\":\"kb\"},\"object\":{\"key\":\"', {k}, '\",\"eTag\":\"', md5(text), '\"}}}]}') "
     "WHEN 1 THEN concat('{\"detail\":{\"bucket\":{\"name\":\"kb\"},\"object\":{\"key\":\"', {k}, '\"}}}') "
-    "WHEN 2 THEN concat('{\"Records\":[{\"s3\":{\"bucket\":{\"name\":\"kb\"},\"object\":{\"key\":\"', replace({k}, '/', '%2F'), '\"}}},{\"s3\":{\"bucket\":{\"name\":\"kb\"},\"object\":{\"key\":\"extra/', CAST(doc_id AS VARCHAR(20)), '.md\"}}}]}') "
+    "WHEN 2 THEN concat('{\"Records\":[{\"s3\":{\"bucket\":{\"name\":\"kb\"},\"object\":{\"key\":\"', replace({k}, '/', '%2F'), '\"}}},{\"s3\":{\"bucket\":{\"name\":\"kb\"},\"object\":{\"key\":\"extra/', CAST(doc_id AS VARCHAR(20)), '.md\"}}},{\"s3\":{\"bucket\":{\"name\":\"kb\"},\"object\":{}}}]}') "
     "WHEN 3 THEN concat('{\"detail\":{\"bucket\":{\"name\":\"kb\"},\"object\":{\"key\":\"', {k}) "
     "ELSE '{\"Records\":[]}' END"
 ).replace("{k}", _FILE_KEY)
@@ -166,7 +166,7 @@ def q_stream_ingest(s, d):
     files = _files(s, d)
 
     def fetch(keys: DataFrame) -> DataFrame:
-        return files.filter(tx.is_allowed(F.col("key"))).join(keys.select("key"), "key", "left_semi")
+        return files.filter(tx.is_allowed(F.col("key"))).join(keys, "key")
 
     stream = objects.read_object_events(s, inbox, files_per_trigger=10_000)
     q = objects.start_ingest(stream, fetch, t, shared_dir(s, "ckpt"), embed=_small_embed, trigger={"availableNow": True})
@@ -186,6 +186,25 @@ def q_stream_dedup(s, d):
     return s.read.schema("user_id bigint, event_type string").parquet(out)
 
 
+_OUTCOME = {
+    "tenant_id": "concat('t-', CAST(user_id % 3 AS VARCHAR(20)))",
+    "bucket": "CASE WHEN user_id % 2 = 0 THEN 'kb' ELSE 'archive' END",
+    "key": "concat('doc-', CAST(user_id % 40 AS VARCHAR(20)), '.md')",
+    "status": "CASE WHEN event_type IN ('error', 'view') THEN 'failed' ELSE 'ok' END",
+    "error": "concat(event_type, ' ', CAST(event_id AS VARCHAR(20)))",
+}
+
+
+def q_stream_retries(s, d):
+    """Events as deliveries: three failures in a row within two days of each other make a dead letter."""
+    schema = table(s, d, "events").schema
+    stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    outcomes = stream.selectExpr(*[f"{e} AS {c}" for c, e in _OUTCOME.items()], "CAST(ts AS TIMESTAMP) AS ts")
+    out = shared_dir(s, "routes")
+    retries.start_routing(outcomes, out, shared_dir(s, "ckpt"), limit=3, forget="2 days", trigger={"availableNow": True}).awaitTermination()
+    return retries.read_routes(s, out).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
 def q_activity_windows(s, d):
     return activity.activity_windows(table(s, d, "events"))
 
@@ -360,14 +379,24 @@ ORACLES = {
     "stream_dead_letters": (
         f"SELECT 'unreadable' AS reason, md5({_BODY}) AS what FROM documents WHERE doc_id % 5 >= 3 UNION ALL "
         f"SELECT 'not fetched', {_FILE_KEY} FROM documents WHERE doc_id % 5 < 3 AND lang = 'de' UNION ALL "
-        "SELECT 'not fetched', 'extra/' || doc_id || '.md' FROM documents WHERE doc_id % 5 = 2"),
+        "SELECT 'not fetched', 'extra/' || doc_id || '.md' FROM documents WHERE doc_id % 5 = 2 UNION ALL "
+        "SELECT 'unreadable', md5('{\"Records\":[{\"s3\":{\"bucket\":{\"name\":\"kb\"},\"object\":{}}}]}') FROM documents WHERE doc_id % 5 = 2"),
     "parse_object_events": (
         f"SELECT doc_id, CASE WHEN doc_id % 5 < 3 THEN 'kb' END AS bucket, CASE WHEN doc_id % 5 < 3 THEN {_FILE_KEY} ELSE 'unreadable' END AS key, "
         "CASE WHEN doc_id % 5 = 0 THEN md5(text) END AS etag FROM documents UNION ALL "
-        "SELECT doc_id, 'kb', 'extra/' || doc_id || '.md', NULL FROM documents WHERE doc_id % 5 = 2"),
+        "SELECT doc_id, 'kb', 'extra/' || doc_id || '.md', NULL FROM documents WHERE doc_id % 5 = 2 UNION ALL "
+        "SELECT doc_id, NULL, 'unreadable', NULL FROM documents WHERE doc_id % 5 = 2"),
     "parse_first_record": f"SELECT doc_id, 'kb' AS bucket, CASE WHEN doc_id % 5 = 2 THEN replace({_FILE_KEY}, '/', '%2F') ELSE {_FILE_KEY} END AS key FROM documents WHERE doc_id % 5 < 3",
     "stream_ingest": _PER_FILE + "SELECT source, chunks FROM n JOIN f USING (doc_id)",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
+    "stream_retries": (
+        "WITH e AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _OUTCOME.items()) + ", ts FROM events), "
+        "o AS (SELECT *, epoch_ms(ts) - lag(epoch_ms(ts)) OVER w AS gap FROM e WINDOW w AS (PARTITION BY tenant_id, bucket, key ORDER BY ts, status, error)), "
+        "i AS (SELECT *, sum(CASE WHEN status <> 'failed' OR gap > 172800000 THEN 1 ELSE 0 END) OVER w AS island FROM o "
+        "WINDOW w AS (PARTITION BY tenant_id, bucket, key ORDER BY ts, status, error ROWS UNBOUNDED PRECEDING)), "
+        "f AS (SELECT *, (row_number() OVER (PARTITION BY tenant_id, bucket, key, island ORDER BY ts, error) - 1) % 3 + 1 AS attempts FROM i WHERE status = 'failed') "
+        "SELECT tenant_id, bucket, key, attempts::INT AS attempts, CASE WHEN attempts = 3 THEN 'dead_letter' ELSE 'retry' END AS route, error, "
+        "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM f"),
     "activity_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "stream_activity": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "audit_tail": (

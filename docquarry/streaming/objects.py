@@ -19,33 +19,36 @@ _EVENT = f"struct<Records:array<struct<s3:{_OBJECT}>>,detail:{_OBJECT}>"
 
 
 def object_events(body: Column, first_only: bool = False) -> Column:
-    """``array<struct<bucket,key,etag>>`` of a message in either envelope.
+    """``array<struct<bucket,key,etag,record>>`` of a message in either envelope, a struct for each record.
 
-    Empty when the message cannot be read or names no object. ``first_only``
-    looks at the first record alone and keeps keys as they are; otherwise all
-    records count and keys are URL-decoded.
+    ``record`` is null for a record that names an object; otherwise it is that record alone, as a message.
+    ``first_only`` looks at the first record alone and keeps keys as they are; otherwise all records count and keys
+    are URL-decoded. A message that cannot be read, or has no record, gives nothing.
     """
     event = F.from_json(body, _EVENT)
     records = F.when(event["Records"].isNotNull(), F.transform(event["Records"], lambda r: r["s3"])).otherwise(
-        F.array(event["detail"]))
+        F.filter(F.array(event["detail"]), lambda d: d.isNotNull()))
     if first_only:
         records = F.slice(records, 1, 1)
 
     def flat(r: Column) -> Column:
-        key = r["object"]["key"]
-        return F.struct(r["bucket"]["name"].alias("bucket"),
-                        (key if first_only else F.try_url_decode(key)).alias("key"), r["object"]["eTag"].alias("etag"))
+        bucket, raw = r["bucket"]["name"], r["object"]["key"]
+        key = raw if first_only else F.try_url_decode(raw)
+        named = F.coalesce((bucket != "") & (key != ""), F.lit(False))
+        alone = F.to_json(F.struct(F.array(F.struct(r.alias("s3"))).alias("Records")))
+        return F.struct(bucket.alias("bucket"), key.alias("key"), r["object"]["eTag"].alias("etag"), F.when(~named, alone).alias("record"))
 
-    found = F.filter(F.transform(records, flat), lambda e: (e["bucket"] != "") & (e["key"] != ""))
-    return F.coalesce(found, F.array().cast("array<struct<bucket:string,key:string,etag:string>>"))
+    return F.coalesce(F.transform(records, flat), F.array().cast("array<struct<bucket:string,key:string,etag:string,record:string>>"))
 
 
 def parse_object_events(messages: DataFrame, first_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Readable events, and messages to set aside."""
+    """Readable events, and messages to set aside; of a message with good records only its bad ones are, a message each."""
     parsed = messages.withColumn("_e", object_events(F.col("body"), first_only))
+    parsed = parsed.withColumn("_good", F.filter("_e", lambda e: e["record"].isNull()))
     others = [c for c in messages.columns if c != "body"]
-    return (parsed.select(*others, F.explode("_e").alias("e")).select(*others, "e.*"),
-            parsed.filter(F.size("_e") == 0).drop("_e"))
+    good = parsed.select(*others, F.explode("_good").alias("e")).select(*others, "e.bucket", "e.key", "e.etag")
+    bad = F.when(F.size("_good") == 0, F.array("body")).otherwise(F.transform(F.filter("_e", lambda e: e["record"].isNotNull()), lambda e: e["record"]))
+    return good, parsed.select(*others, F.explode(bad).alias("body")).select(*messages.columns)
 
 
 def read_object_events(spark: SparkSession, folder: str, files_per_trigger: int = 10) -> DataFrame:
@@ -70,29 +73,29 @@ def start_ingest(
 ) -> StreamingQuery:
     """Keep the index in step with a stream of messages.
 
-    ``fetch`` turns distinct ``(bucket, key)`` rows into files (``tenant_id, key,
+    ``fetch`` turns distinct ``(bucket, key)`` rows into files (``tenant_id, bucket, key,
     source, file_hash, etag, size_bytes, text``). A batch is diffed against the
     manifest of earlier batches only, and written under its own number: repeated
     deliveries find nothing to do, a replayed batch replaces itself. Messages that
     cannot be read and objects that ``fetch`` does not return go to the dead
-    letters of the batch; the latter also to the status log, from which
-    ``maintenance.dead_letter`` tells what to retry.
+    letters of the batch; the latter also to the status log. ``retries`` reads that
+    log as a stream and tells what to try again; ``maintenance.dead_letter`` folds it in one go.
     """
 
     def run(batch_df: DataFrame, epoch: int) -> None:
         now = F.current_timestamp()
-        events, unread = parse_object_events(batch_df.select("body", F.col("body").alias("message")))
+        events, unread = parse_object_events(batch_df.select("body"))
         asked = persist_table(events.select("bucket", "key").distinct(), "asked")
         # files are read once, and all steps of the batch see the same state of them
         files = persist_table(fetch(asked), "files")
-        lost = asked.join(files.select("key"), "key", "left_anti")
-        dead = unread.select(F.col("message").alias("body"), F.lit("unreadable").alias("reason")).unionByName(
+        lost = asked.join(files.select("bucket", "key"), ["bucket", "key"], "left_anti")
+        dead = unread.select("body", F.lit("unreadable").alias("reason")).unionByName(
             lost.select(F.to_json(F.struct("bucket", "key")).alias("body"), F.lit("not fetched").alias("reason")))
         tables.write("dead_letters", dead.withColumn("ts", now), epoch)
         keys = files.select("tenant_id", F.col("key").alias("s3_key"), "etag", "file_hash", "size_bytes")
         known = tables.manifest(before=epoch, keys=keys)
         diff = persist_table(manifest_diff(keys, known), "diff")
-        failures = lost.select(F.lit(None).cast("string").alias("tenant_id"), "key", F.lit("not fetched").alias("error"))
+        failures = lost.select(F.lit(tables.tenant).cast("string").alias("tenant_id"), "bucket", "key", F.lit("not fetched").alias("error"))
         apply_changes(tables, diff, files, epoch, now, embed, failures)
 
     return (
