@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import fixed
 from docquarry.functions.text import keywords
 from docquarry.operators import scoring
-
-MAX_WORDS = 200_000  # words per block
+from docquarry.operators.postings import Postings, postings_of, weighted_hits, word_df
 
 
 def query_keywords(questions: DataFrame, stopwords: list[str] = fixed.ROUTE_STOPWORDS) -> DataFrame:
@@ -45,72 +43,30 @@ def keyword_topk(
     return scoring.best_k(scoring.TermBlock, coverage_terms(questions, stopwords, scope), c, k, **options)
 
 
-def keyword_coverage(questions: DataFrame, chunks: DataFrame,
-                     stopwords: list[str] = fixed.ROUTE_STOPWORDS, **options) -> DataFrame:
-    """How well the index covers each question: chunks hit, best and mean score.
+def keyword_coverage(questions: DataFrame, chunks: DataFrame, stopwords: list[str] = fixed.ROUTE_STOPWORDS, *, index: Postings | None = None) -> DataFrame:
+    """How well the index covers each question with keywords: chunks hit, best and mean score.
 
-    Each task folds its chunks into one row per question before the shuffle.
-    """
-    def fold(block: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if block.num_rows == 0:
-            return
-        terms = scoring.TermBlock(block)
-        n = len(terms.total)
-        rows, hit, top, total = 0, np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-        for batch in batches:
-            s = terms.scores(batch)
-            rows += batch.num_rows
-            hit += (s > 0).sum(axis=1)
-            top = np.maximum(top, s.max(axis=1, initial=0.0))
-            total += s.sum(axis=1)
-        yield pa.RecordBatch.from_arrays(
-            [block["query_id"].combine_chunks(), pa.array(np.full(n, rows)), pa.array(hit), pa.array(top), pa.array(total)],
-            names=["query_id", "n", "n_hit", "top", "total"])
-
-    part = scoring.meet(
-        fold, coverage_terms(questions, stopwords, None), chunks.select("id", F.lower("content").alias("text")),
-        f"query_id {questions.schema['query_id'].dataType.simpleString()}, n bigint, n_hit bigint, top double, total double", **options)
-    return part.groupBy("query_id").agg(
-        F.sum("n_hit").alias("n_hit"), F.round(F.max("top"), 6).alias("max_score"),
-        F.round(F.sum("total") / F.sum("n"), 6).alias("avg_score"))
-
-
-def keyword_df(questions: DataFrame, chunks: DataFrame,
-               stopwords: list[str] = fixed.INDEX_STOPWORDS, **options) -> DataFrame:
-    """``(word, df, n)`` for every question word: chunks whose text or source contains it.
-
-    The words are matched in one walk per chunk and counted inside the task.
+    ``index``: the stored postings of the chunks; without them, the chunks are read.
     """
-    words = query_keywords(questions, stopwords).select(F.explode("keywords").alias("word")).distinct()
-
-    def fold(block: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = scoring.matcher({w: i for i, w in enumerate(block["word"].to_pylist())})
-        count, rows = np.zeros(block.num_rows, np.int64), 0
-        for batch in batches:
-            rows += batch.num_rows
-            for text, source in zip(batch["text"].to_pylist(), batch["source"].to_pylist()):
-                found = find(text or "") | find(source or "")
-                count[np.fromiter(found, np.int64, len(found))] += 1
-        yield pa.RecordBatch.from_arrays(
-            [block["word"].combine_chunks().cast(pa.string()), pa.array(count), pa.array(np.full(len(count), rows))],
-            names=["word", "df", "n"])
-
-    c = chunks.select("id", F.lower("content").alias("text"), F.lower("source").alias("source"))
-    part = scoring.meet(fold, words, c, "word string, df bigint, n bigint", key="word",
-                        **{"max_block": MAX_WORDS, **options})
-    return part.groupBy("word").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
-
-
-def keyword_idf(questions: DataFrame, chunks: DataFrame,
-                stopwords: list[str] = fixed.INDEX_STOPWORDS) -> DataFrame:
-    """Rarity of each question word: ``ln((n - df + .5) / (df + .5) + 1)``."""
-    return keyword_df(questions, chunks, stopwords).withColumn(
+    index = postings_of(chunks) if index is None else index
+    terms = coverage_terms(questions, stopwords)
+    found = weighted_hits(terms, index, names=False).groupBy("query_id").agg(
+        F.count("*").alias("n_hit"), F.max("score").alias("top"), F.sum("score").alias("total"))
+    n = index.sizes.agg(F.sum("n")).scalar()
+    return terms.select("query_id").join(found, "query_id", "left").withColumn("n", n).select(
+        "query_id", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.round(F.coalesce("top", F.lit(0.0)), 6).alias("max_score"),
+        F.round(F.coalesce("total", F.lit(0.0)) / F.col("n"), 6).alias("avg_score"))
+
+
+def keyword_idf(questions: DataFrame, chunks: DataFrame, stopwords: list[str] = fixed.INDEX_STOPWORDS, *, index: Postings | None = None) -> DataFrame:
+    """Rarity of each question word, ``(word, df, n, idf)``: ``ln((n - df + .5) / (df + .5) + 1)``."""
+    words = query_keywords(questions, stopwords).select(F.explode("keywords").alias("word"))
+    return word_df(words, postings_of(chunks) if index is None else index).withColumn(
         "idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
 
 
-def idf_terms(questions: DataFrame, chunks: DataFrame, stopwords: list[str] = fixed.INDEX_STOPWORDS, idf: DataFrame | None = None) -> DataFrame:
+def idf_terms(questions: DataFrame, idf: DataFrame, stopwords: list[str] = fixed.INDEX_STOPWORDS) -> DataFrame:
     """(query_id, terms, weights): the distinct words of each question with their rarity."""
-    idf = keyword_idf(questions, chunks, stopwords) if idf is None else idf
     return (
         query_keywords(questions, stopwords)
         .select("query_id", F.explode(F.array_distinct("keywords")).alias("word"))
@@ -120,18 +76,13 @@ def idf_terms(questions: DataFrame, chunks: DataFrame, stopwords: list[str] = fi
         .select("query_id", F.col("tw.word").alias("terms"), F.col("tw.idf").alias("weights")))
 
 
-def keyword_idf_topk(
-    questions: DataFrame,
-    chunks: DataFrame,
-    k: int = fixed.INDEX_LIST_DEPTH,
-    *,
-    stopwords: list[str] = fixed.INDEX_STOPWORDS,
-    idf: DataFrame | None = None,
-    **options,
-) -> DataFrame:
-    """Best ``k`` by rarity-weighted coverage of text and source name; zero scores left out."""
-    c = chunks.select("id", F.lower("content").alias("text"), F.lower("source").alias("source"))
-    return scoring.best_k(scoring.TermBlock, idf_terms(questions, chunks, stopwords, idf), c, k, **options).filter(F.col("score") > 0)
+def keyword_idf_topk(questions: DataFrame, chunks: DataFrame, k: int = fixed.INDEX_LIST_DEPTH, *, stopwords: list[str] = fixed.INDEX_STOPWORDS,
+                     index: Postings | None = None) -> DataFrame:
+    """Best ``k`` by rarity-weighted coverage of text and source name, from the postings; chunks without any hit are left out."""
+    index = postings_of(chunks) if index is None else index
+    found = weighted_hits(idf_terms(questions, keyword_idf(questions, chunks, stopwords, index=index), stopwords), index, starts=True)
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return found.filter("score > 0").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def containment_pairs(phrases: DataFrame, texts: DataFrame, **options) -> DataFrame:

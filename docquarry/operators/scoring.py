@@ -58,7 +58,7 @@ class Ranking:
     k: int
 
 
-def _array(ids: pa.Array) -> np.ndarray:
+def ids_of(ids: pa.Array) -> np.ndarray:
     """Ids as an array that sorts as Spark sorts them: integers, or UTF-8 bytes."""
     if pa.types.is_integer(ids.type):
         return ids.to_numpy(zero_copy_only=False)
@@ -79,9 +79,14 @@ class BestK:
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         """A whole matrix, questions x chunks; -inf marks pairs that do not count."""
         qi, ci = np.nonzero((scores >= self.low[:, None]) & (scores > -np.inf))
+        self.add_pairs(qi, scores[qi, ci], ids[ci])
+
+    def add_pairs(self, qi: np.ndarray, s: np.ndarray, i: np.ndarray) -> None:
+        """Single pairs (question, score, id)."""
+        reach = s >= self.low[qi]
+        qi, s, i = qi[reach], s[reach], i[reach]
         if not qi.size:
             return
-        s, i = scores[qi, ci], ids[ci]
         if self.i is None:
             self.i, self.low_id = i[:0], np.zeros(self.n, i.dtype)
         better = (s > self.low[qi]) | ~self.full[qi] | (i < self.low_id[qi])
@@ -116,7 +121,7 @@ class VectorBlock:
     needs = ("query_vec",)
 
     def __init__(self, questions: pa.Table):
-        m = _matrix(questions["query_vec"].combine_chunks())
+        m = matrix(questions["query_vec"].combine_chunks())
         self.m = m / np.linalg.norm(m, axis=1, keepdims=True)
 
     def scores(self, batch: pa.RecordBatch) -> np.ndarray:
@@ -131,7 +136,7 @@ class VectorBlock:
     def of(self, embeddings: pa.Array) -> np.ndarray:
         if not len(embeddings):
             return np.empty((len(self.m), 0))
-        e = _matrix(embeddings)
+        e = matrix(embeddings)
         return np.round(self.m @ e.T / np.linalg.norm(e, axis=1), 6) + 0.0
 
 
@@ -251,7 +256,7 @@ class TermThenVectorBlock:
         return found, F.round(score - 4 * found - 2, 6)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -334,7 +339,7 @@ class _Run:
                 seen = mask(part)
                 if seen is not None:
                     scores = np.where(seen, scores, -np.inf)
-            self.best.add(scores, _array(ids))
+            self.best.add(scores, ids_of(ids))
 
     def table(self) -> pa.RecordBatch | None:
         return None if self.id_type is None else self.best.table(self.name, self.ids, self.id_type)

@@ -15,7 +15,8 @@ from docquarry.functions import fixed
 from docquarry.functions.text import strip, truncate
 from docquarry.functions.vectors import cosine, is_usable
 from docquarry.operators import fusion, scoring
-from docquarry.operators.keyword import coverage_terms, idf_terms
+from docquarry.operators.keyword import coverage_terms, idf_terms, keyword_idf
+from docquarry.operators.postings import Postings
 from docquarry.operators.semantic import valid_vectors
 
 
@@ -139,21 +140,21 @@ def hybrid_retrieve(
         "semantic_score", "score", "named")
 
 
-def legacy_candidates(questions: DataFrame, chunks: DataFrame, *, max_block: int = scoring.MAX_BLOCK, idf: DataFrame | None = None) -> DataFrame:
+def legacy_candidates(questions: DataFrame, chunks: DataFrame, *, max_block: int = scoring.MAX_BLOCK, index: Postings | None = None) -> DataFrame:
     """Rarity-weighted single-index search before the reranker: floors, fusion from 0.
 
-    ``idf`` has the rarity of the question words, where the index keeps postings; otherwise the texts are read for it.
+    ``index``: stored postings, which give the rarity of the question words; without them, the texts are read for it.
     """
     depth = chunks.select("id").limit(fixed.INDEX_LIST_DEPTH).count()
-    asked = asked_lists(questions, idf_terms(questions, chunks, idf=idf))
+    asked = asked_lists(questions, idf_terms(questions, keyword_idf(questions, chunks, index=index)))
     semantic, keyword = both_lists(asked, chunks, max(depth, 1), source_too=True, max_block=max_block)
     return fusion.rrf_fusion_limited(semantic.filter(F.col("score") >= fixed.INDEX_SEM_FLOOR), keyword.filter("score > 0"), depth)
 
 
 def legacy_retrieve(questions: DataFrame, chunks: DataFrame, *, scorer=None, top_k: int = fixed.TOP_K,
-                    max_block: int = scoring.MAX_BLOCK, idf: DataFrame | None = None) -> DataFrame:
+                    max_block: int = scoring.MAX_BLOCK, index: Postings | None = None) -> DataFrame:
     """One chunk per source, reranked, only positive scores, best ``top_k``."""
-    fused = legacy_candidates(questions, chunks, max_block=max_block, idf=idf)
+    fused = legacy_candidates(questions, chunks, max_block=max_block, index=index)
     bounded = scoring.bounded_block(questions.select("query_id", "query"), max_block) is not None
     full = with_texts(fused, questions, chunks, ["source", "source_type", "location", "content"], ["query"], bounded)
     ranked = fusion.rerank(fusion.source_dedup(full), scorer).filter(F.col("score") > 0)

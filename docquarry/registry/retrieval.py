@@ -12,11 +12,10 @@ from docquarry.operators.catalog import with_grants, with_principals
 from docquarry.operators.keyword import (
     keyword_coverage, keyword_idf, keyword_idf_topk, keyword_topk, query_keywords,
 )
-from docquarry.operators.buckets import fit_hashing, semantic_topk_buckets, write_buckets
+from docquarry.operators.buckets import semantic_topk_buckets
 from docquarry.operators.semantic import recall_of, semantic_top1, semantic_topk, valid_vectors
 from docquarry.plans import retrieve
-from docquarry.registry.views import index_chunks, questions, table, with_index
-from docquarry.session import shared_dir
+from docquarry.registry.views import index_buckets, index_chunks, index_postings, questions, table, with_index
 
 
 def _in_list(words: list[str]) -> str:
@@ -168,18 +167,14 @@ def q_semantic_top1(s, d):
 
 
 def q_semantic_topk_lsh(s, d):
-    q, c = questions(s, d), index_chunks(s, d)
-    model = fit_hashing(s, c.select(F.size("embedding")).first()[0])
-    path = shared_dir(s, "buckets")
-    write_buckets(c.select("id", "embedding"), path, model)
-    return semantic_topk_buckets(q, s.read.parquet(path), model)
+    return semantic_topk_buckets(questions(s, d), *index_buckets(s, d))
 
 
 def q_lsh_recall(s, d):
     exact = semantic_topk(questions(s, d), index_chunks(s, d))
     recall = recall_of(q_semantic_topk_lsh(s, d), exact)
-    reached = recall.agg((F.avg("recall") >= 0.9).alias("reached"))
-    return exact.groupBy("query_id").agg(F.count("*").alias("n")).join(F.broadcast(reached))
+    reached = recall.agg(F.avg("recall") >= 0.9).scalar()
+    return exact.groupBy("query_id").agg(F.count("*").alias("n")).withColumn("reached", reached)
 
 
 def q_cosine_scores(s, d):
@@ -200,7 +195,7 @@ def q_keyword_topk(s, d):
 
 
 def q_keyword_scores(s, d):
-    return keyword_coverage(questions(s, d), index_chunks(s, d))
+    return keyword_coverage(questions(s, d), index_chunks(s, d), index=index_postings(s, d))
 
 
 def q_keyword_topk_semtie(s, d):
@@ -208,11 +203,15 @@ def q_keyword_topk_semtie(s, d):
 
 
 def q_keyword_idf(s, d):
-    return keyword_idf(questions(s, d), index_chunks(s, d)).select("word", "df", "n", F.round("idf", 6).alias("idf"))
+    return keyword_idf(questions(s, d), index_chunks(s, d), index=index_postings(s, d)).select("word", "df", "n", F.round("idf", 6).alias("idf"))
 
 
 def q_keyword_idf_scores(s, d):
-    return keyword_idf_topk(questions(s, d), index_chunks(s, d)).withColumn("score", F.round("score", 6))
+    return keyword_idf_topk(questions(s, d), index_chunks(s, d), index=index_postings(s, d)).withColumn("score", F.round("score", 6))
+
+
+def q_token_postings(s, d):
+    return index_postings(s, d).tokens.groupBy("token", "in_name").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 def q_rrf_fusion(s, d):
@@ -222,7 +221,7 @@ def q_rrf_fusion(s, d):
 
 
 def q_rrf_fusion_legacy(s, d):
-    return retrieve.legacy_candidates(questions(s, d), index_chunks(s, d)).select(
+    return retrieve.legacy_candidates(questions(s, d), index_chunks(s, d), index=index_postings(s, d)).select(
         "query_id", "id", F.round("rrf", 9).alias("rrf"))
 
 
@@ -233,7 +232,7 @@ def q_candidate_dedup(s, d):
 
 def q_source_dedup(s, d):
     q, c = questions(s, d), index_chunks(s, d)
-    full = retrieve.with_texts(retrieve.legacy_candidates(q, c), q, c, ["source"], [], True)
+    full = retrieve.with_texts(retrieve.legacy_candidates(q, c, index=index_postings(s, d)), q, c, ["source"], [], True)
     return fusion.source_dedup(full).select("query_id", "id", "source", "place", F.round("rrf", 9).alias("rrf"))
 
 
@@ -273,7 +272,7 @@ def q_hybrid_retrieve_acl(s, d):
 
 
 def q_legacy_retrieve(s, d):
-    return retrieve.legacy_retrieve(questions(s, d), index_chunks(s, d)).select(
+    return retrieve.legacy_retrieve(questions(s, d), index_chunks(s, d), index=index_postings(s, d)).select(
         "query_id", "rank", "id", "source", "location")
 
 
@@ -309,6 +308,10 @@ ORACLES = {
         "SELECT query_id, id, round(k.score, 6) AS kw_score, a.score AS semantic_score, "
         "row_number() OVER (PARTITION BY query_id ORDER BY k.score DESC, a.score DESC, id) AS rank "
         "FROM kwl_all k JOIN sem_all a USING (query_id, id) QUALIFY rank <= 10"),
+    "token_postings": with_index(
+        ", t AS (SELECT DISTINCT id, FALSE AS in_name, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]+')) AS token FROM idx UNION ALL "
+        "SELECT DISTINCT id, TRUE, unnest(regexp_extract_all(lower(source), '[\\p{L}\\p{N}_]+')) FROM idx) "
+        "SELECT token, in_name, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM t GROUP BY ALL"),
     "keyword_idf": with_index(f", {_IDF_SQL} SELECT word, df, n, round(idf, 6) AS idf FROM idfs"),
     "keyword_idf_scores": with_index(f", {_IDF_SQL} SELECT query_id, id, round(score, 6) AS score, rank FROM kwl"),
     "rrf_fusion": with_index(

@@ -13,7 +13,9 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.session import spread
+from docquarry.operators.buckets import Projections, fit_hashing, write_buckets
+from docquarry.operators.postings import Postings, read_postings, write_postings
+from docquarry.session import shared_dir, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +78,39 @@ def index_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id").drop("vec_id")
 
 
+@lru_cache(maxsize=8)
+def _postings_path(app_id: str, sf_dir: str) -> str:
+    spark = SparkSession.getActiveSession()
+    path = shared_dir(spark, "postings")
+    write_postings(index_chunks(spark, sf_dir), path)
+    return path
+
+
+def index_postings(spark: SparkSession, sf_dir: str) -> Postings:
+    """The postings of the chunk index; written once in a session, as an index keeps them."""
+    return read_postings(spark, _postings_path(spark.sparkContext.applicationId, sf_dir))
+
+
+@lru_cache(maxsize=8)
+def _buckets_path(app_id: str, sf_dir: str, to: Projections) -> str:
+    spark = SparkSession.getActiveSession()
+    path = shared_dir(spark, "buckets")
+    write_buckets(index_chunks(spark, sf_dir).select("id", "embedding"), path, to)
+    return path
+
+
+@lru_cache(maxsize=8)
+def _projections(app_id: str, dimension: int) -> Projections:
+    return fit_hashing(SparkSession.getActiveSession(), dimension)
+
+
+def index_buckets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Projections]:
+    """The hash buckets of the chunk index and what named them; written once in a session."""
+    app = spark.sparkContext.applicationId
+    to = _projections(app, table(spark, sf_dir, "embeddings").select(F.size("embedding")).first()[0])
+    return spark.read.parquet(_buckets_path(app, sf_dir, to)), to
+
+
 QUERY_TEXT = "CASE WHEN item_id % 4 = 0 THEN concat(text, ' doc-', CAST(item_id AS VARCHAR(20))) ELSE text END"
 QUERY_CATEGORY = (
     "CASE CAST(item_id % 6 AS INT) WHEN 1 THEN 'compliance' WHEN 3 THEN 'multimedia' ELSE NULL END"

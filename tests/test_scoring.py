@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.operators import scoring
-from docquarry.operators.keyword import containment_pairs, coverage_terms, keyword_coverage, keyword_df, keyword_idf_topk, keyword_topk
+from docquarry.operators.keyword import containment_pairs, coverage_terms, keyword_coverage, keyword_idf, keyword_idf_topk, keyword_topk
 from docquarry.operators.buckets import Hashing, fit_hashing, semantic_topk_buckets, write_buckets
 from docquarry.operators.semantic import recall_of, semantic_top1, semantic_topk, valid_vectors
+from docquarry.operators.postings import read_postings, word_hits, write_postings
 from docquarry.plans import retrieve
 
 WORDS = "alpha beta gamma delta omega sigma kappa lambda mu nu xi pi rho tau phi chi".split()
@@ -170,9 +171,9 @@ def test_buckets_find_close_matches_and_score_exactly(spark, frames, corpus, tmp
     q, c = frames
     hashing = Hashing(slots=8)
     model = fit_hashing(spark, 8, hashing)
-    write_buckets(c.filter("id < 100").select("id", "embedding"), f"{tmp_dir}/b", model, hashing)
-    write_buckets(c.filter("id >= 100").select("id", "embedding"), f"{tmp_dir}/b", model, hashing)
-    found = semantic_topk_buckets(q, spark.read.parquet(f"{tmp_dir}/b"), model, 10, hashing=hashing)
+    write_buckets(c.filter("id < 100").select("id", "embedding"), f"{tmp_dir}/b", model)
+    write_buckets(c.filter("id >= 100").select("id", "embedding"), f"{tmp_dir}/b", model)
+    found = semantic_topk_buckets(q, spark.read.parquet(f"{tmp_dir}/b"), model, 10)
     close = semantic_topk(*frames, 10).filter("score > 0.9")
     assert recall_of(found, close).agg(F.avg("recall")).first()[0] > 0.9
     by_pair = {(a[0], b[0]): cos(a, b) for a in corpus[1] for b in corpus[0]}
@@ -180,20 +181,41 @@ def test_buckets_find_close_matches_and_score_exactly(spark, frames, corpus, tmp
     assert all(abs(by_pair[r["query_id"], r["id"]] - r["score"]) < 2e-6 for r in rows)
     assert len({(r["query_id"], r["id"]) for r in rows}) == len(rows)
     assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
-    by_shuffle = semantic_topk_buckets(q, spark.read.parquet(f"{tmp_dir}/b"), model, 10, hashing=hashing, max_block=3)
+    by_shuffle = semantic_topk_buckets(q, spark.read.parquet(f"{tmp_dir}/b"), model, 10, max_block=3)
     assert sorted(map(tuple, by_shuffle.collect())) == sorted(map(tuple, rows))
 
 
-@pytest.mark.parametrize("max_block", [4096, 4])
-def test_document_frequency(frames, corpus, max_block):
-    got = {r["word"]: (r["df"], r["n"]) for r in keyword_df(*frames, max_block=max_block).collect()}
-    for word, (df, n) in got.items():
-        assert df == sum(word in c[3].lower() or word in c[1].lower() for c in corpus[0]) and n == 300
-
-
-def test_coverage_in_blocks(frames):
-    one = sorted(map(tuple, keyword_coverage(*frames).collect()))
-    assert one == sorted(map(tuple, keyword_coverage(*frames, max_block=3).collect()))
+def test_document_frequency(spark, frames, corpus, tmp_dir):
+    q, c = frames
+    q = q.unionByName(q.limit(1).withColumn("query", F.lit("a bet lph x_y 日本 doc-1 5")))
+    c = c.withColumn("content", F.when(F.col("id") == 7, "x_y,日本語 é").when(F.col("id") == 8, None).otherwise(F.col("content")))
+    write_postings(c.filter("id < 100"), tmp_dir + "/p")
+    write_postings(c.filter("id >= 100"), tmp_dir + "/p")
+    texts = [((r["content"] or "").lower(), r["source"].lower()) for r in c.collect()]
+    for index in (None, read_postings(spark, tmp_dir + "/p")):
+        got = {r["word"]: (r["df"], r["n"]) for r in keyword_idf(q, c, [], index=index).collect()}
+        assert {"bet", "lph", "x_y", "日本", "5", "find"} <= set(got)
+        for word, (df, n) in got.items():
+            assert df == sum(word in text or word in name for text, name in texts) and n == 300
+
+
+def test_coverage(spark, frames, corpus, tmp_dir):
+    q, c = frames
+    write_postings(c, tmp_dir + "/p")
+    want = {}
+    for a in corpus[1]:
+        scores = [coverage(a, b) for b in corpus[0]]
+        want[a[0]] = (sum(s > 0 for s in scores), round(max(scores), 6), pytest.approx(sum(scores) / 300, abs=2e-6))
+    for index in (None, read_postings(spark, tmp_dir + "/p")):
+        assert {r["query_id"]: (r["n_hit"], r["max_score"], r["avg_score"]) for r in keyword_coverage(q, c, [], index=index).collect()} == want
+
+
+def test_stored_postings_are_pruned_by_slot(spark, frames, tmp_dir):
+    write_postings(frames[1], tmp_dir + "/p")
+    words = spark.createDataFrame([("alpha",), ("gam",), ("doc",)], "word string")
+    hits = word_hits(words, read_postings(spark, tmp_dir + "/p"))
+    assert {r["word"] for r in hits.select("word").distinct().collect()} == {"alpha", "gam", "doc"}
+    assert "slot" in hits._jdf.queryExecution().executedPlan().toString()
 
 
 def test_prefix_match_on_source_names(spark):
