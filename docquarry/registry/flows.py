@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from docquarry.registry.retrieval import HYBRID_SQL
 from docquarry.registry.texts import _CHUNK_SQL, _CODE_SQL, sql_scrub, sql_strip
 from docquarry.registry.upkeep import NOW
 from docquarry.registry.views import QUESTIONS_SQL, TENANT, index_chunks, n_vectors, questions, table, with_index
-from docquarry.session import shared_dir, spread
+from docquarry.session import persist_table, shared_dir, spread
 from docquarry.sources import audit, tables as tb
 from docquarry.streaming import activity, objects, retries
 
@@ -92,6 +94,26 @@ def q_ingest_then_retrieve(s, d):
         "query_id", "rank", "id", "source", "location", "semantic_score", F.round("score", 6).alias("score"))
 
 
+def q_tick_reconcile(s, d):
+    """A pass at every tick: first the labelled documents, then all, then all again."""
+    t, ticks = _tables(s, "ticks"), shared_dir(s, "tick-files")
+    files, labels = _files(s, d), table(s, d, "labels")
+    some = table(s, d, "documents").join(labels, "doc_id", "left_semi").selectExpr(*[f"{e.format(bytes='octet_length')} AS {c}" for c, e in _FILE.items()])
+    for i in range(3):
+        s.range(i, i + 1).selectExpr("CAST(id AS STRING) AS value").coalesce(1).write.mode("append").text(ticks)
+    seen = iter([some, files, files])
+
+    def list_objects():
+        now = next(seen)
+        return _listing(now), now
+
+    stream = s.readStream.option("maxFilesPerTrigger", 1).text(ticks)
+    objects.start_reconcile(stream, list_objects, t, shared_dir(s, "ckpt"), embed=_small_embed, trigger={"availableNow": True}).awaitTermination()
+    log = t.read("status").groupBy("batch").agg(*(F.count_if(F.col("status") == k).alias(k) for k in ("ok", "skipped", "failed")),
+                                                F.sum(F.when(F.col("key").isNull(), F.col("chunks")).otherwise(0)).alias("unchanged"))
+    return log.select(F.col("batch").alias("pass"), F.col("ok") + F.col("skipped") + F.col("failed"), "unchanged").toDF("pass", "changed", "unchanged")
+
+
 def q_reconcile_tenants(s, d):
     """Two tenants with files of the same keys: each keeps its own texts, also when one of them deletes all of its files."""
     t = _tables(s, "tenants")
@@ -270,11 +292,22 @@ def q_chunk_table(s, d):
 
 def q_clear_index(s, d):
     path = shared_dir(s, "clear")
-    tb.replace_table(index_chunks(s, d).select("id", "source"), f"{path}/chunks")
-    tb.replace_table(table(s, d, "labels"), f"{path}/manifest")
-    before = s.read.parquet(f"{path}/chunks").count()
+    chunks = index_chunks(s, d)
+    tb.replace_table(chunks, f"{path}/chunks")
+    by_source = chunks.groupBy("tenant_id", F.col("source").alias("s3_key")).agg(
+        F.min("file_hash").alias("file_hash"), F.count("*").alias("size_bytes"), F.max("created_at").alias("last_seen_at"))
+    tb.replace_table(by_source, f"{path}/manifest")
+
+    def sizes(column: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, (s.read.parquet(f"{path}/{name}").agg(F.count("*").alias(column)).withColumn("name", F.lit(name)) for name in ("chunks", "manifest")))
+
+    before = persist_table(sizes("before"), "before")
     tb.clear_index(s, f"{path}/chunks", f"{path}/manifest")
-    return s.read.parquet(f"{path}/chunks").agg(F.count("*").alias("left")).select(F.lit(before).alias("before"), "left")
+    return before.join(sizes("left").join(_column_counts(s, path, ("chunks", "manifest")), "name"), "name")
+
+
+def _column_counts(s, path: str, names: tuple[str, ...]) -> DataFrame:
+    return s.createDataFrame([(n, len(s.read.parquet(f"{path}/{n}").columns)) for n in names], "name string, columns int")
 
 
 def q_eval_results(s, d):
@@ -362,6 +395,10 @@ ORACLES = {
         "SELECT 1 AS \"pass\", (SELECT count(*) FROM o) AS scanned, (SELECT count(*) FROM o) AS new, 0 AS changed, 0 AS deleted, 0 AS unchanged, "
         "NULL AS live_chunks, NULL AS live_sources UNION ALL SELECT 2, count(lk), count(*) FILTER (ok IS NULL), count(*) FILTER (oh <> lh), "
         "count(*) FILTER (lk IS NULL), count(*) FILTER (oh = lh), (SELECT sum(chunks) FROM n), (SELECT count(*) FROM n) FROM j"),
+    "tick_reconcile": (
+        f"WITH {_F_SQL}, l AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS known FROM f WHERE NOT ends_with(key, '.exe')) "
+        "SELECT 0 AS \"pass\", count(*) FILTER (known) AS changed, 0 AS unchanged FROM l UNION ALL "
+        "SELECT 1, count(*) FILTER (NOT known), count(*) FILTER (known) FROM l UNION ALL SELECT 2, 0, count(*) FROM l"),
     "reconcile_tenants": (
         f"WITH {_F_SQL}, both_files AS (SELECT doc_id * 2 AS doc_id, key, text FROM f UNION ALL SELECT doc_id * 2 + 1, key, text || ' of two' FROM f), "
         f"{_cut_sql('both_files', 'cut')}, n AS (SELECT doc_id, count(*) AS chunks FROM cut WHERE {_WORDY} GROUP BY doc_id), "
@@ -410,7 +447,8 @@ ORACLES = {
         "FROM idx JOIN h USING (source)"),
     "chunk_table": with_index("SELECT tenant_id, category, count(*) AS n, min(id) AS first_id, min(md5(content)) AS first_content, sum(len(embedding))::BIGINT AS numbers FROM idx GROUP BY ALL"),
     "eval_results": _EV_SQL + " SELECT answer_id, category, ok, reason FROM sc",
-    "clear_index": "SELECT count(*) AS before, 0 AS \"left\" FROM documents",
+    "clear_index": with_index("SELECT 'chunks' AS name, count(*) AS before, 0 AS \"left\", 10 AS columns FROM idx UNION ALL "
+                              "SELECT 'manifest', count(*), 0, 5 FROM (SELECT DISTINCT tenant_id, source FROM idx)"),
     "tool_calls": (
         "SELECT conv_id, turn, 0 AS pos, CASE turn % 3 WHEN 0 THEN 'search_documents' WHEN 1 THEN 'read_chunk' ELSE 'compare_sections' END AS tool, "
         "CASE turn % 3 WHEN 0 THEN 'query=turn ' || conv_id || ', or so;top_k=' || turn WHEN 1 THEN 'location=Section 1;source=doc-' || conv_id || '.md' "

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
@@ -9,7 +12,8 @@ from docquarry.functions.toolcalls import tool_calls
 from docquarry.functions.vectors import is_usable
 from docquarry.operators import catalog
 from docquarry.plans import tools
-from docquarry.registry.views import FILE_NO, INDEX_COLUMNS, index_chunks, table, with_index
+from docquarry.registry.retrieval import ORACLES as RETRIEVAL
+from docquarry.registry.views import FILE_NO, INDEX_COLUMNS, QUESTIONS_SQL, index_chunks, n_vectors, table, with_index
 
 _ACL = [
     "doc_id", "lang",
@@ -112,21 +116,36 @@ def q_summarize_document(s, d):
     return got.select("request_id", "source", "location", "id", F.md5("content").alias("content"))
 
 
+_SEARCHED = f"concat('compare the notes in ', lang, ' on doc-', CAST({FILE_NO} AS VARCHAR(20)))"
 _CALLS = (
-    "CASE WHEN doc_id % 2 = 0 THEN concat('read_chunk(source=\"', {source}, '\", location=\"', {location}, '\")') "
-    "ELSE concat('summarize_document(source=', {source}, ')') END"
-).replace("{source}", INDEX_COLUMNS["source"]).replace("{location}", INDEX_COLUMNS["location"])
+    "CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN concat('read_chunk(source=\"', {source}, '\", location=\"', {location}, '\")') "
+    "WHEN 1 THEN concat('summarize_document(source=', {source}, ')') WHEN 2 THEN concat('list_files(category=', {category}, ')') "
+    "WHEN 3 THEN concat('compare_sections(source_a=\"', {source}, '\", location_a=\"', {location}, '\", source_b=\"', {source}, '\", location_b=\"Section 1\")') "
+    "ELSE concat('search_documents(query=\"', {query}, '\", top_k=3)') END"
+).replace("{source}", INDEX_COLUMNS["source"]).replace("{location}", INDEX_COLUMNS["location"]).replace("{category}", INDEX_COLUMNS["category"]).replace("{query}", _SEARCHED)
 
 
 def q_tool_dispatch(s, d):
-    """Calls written as text, parsed and answered by the tools they name."""
+    """Calls written as text, parsed and answered by the five tools they name."""
     t = table(s, d, "documents").selectExpr("doc_id AS request_id", f"{_CALLS} AS content")
     calls = tx.unroll(t, tool_calls(F.col("content")), "pos", "c", ["request_id"]).select("request_id", "c.tool", "c.args")
     index = index_chunks(s, d)
-    read = tools.TOOLS["read_chunk"](tools.calls_of(calls, "read_chunk", source="string", location="string"), index)
-    whole = tools.TOOLS["summarize_document"](tools.calls_of(calls, "summarize_document", source="string"), index)
-    return read.select("request_id", F.lit("read_chunk").alias("tool"), "id").unionByName(
-        whole.select("request_id", F.lit("summarize_document").alias("tool"), "id"))
+
+    def asked(tool: str, **types: str) -> DataFrame:
+        return tools.calls_of(calls, tool, **types)
+
+    vectors = table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("query_vec"))
+    search = asked("search_documents", query="string", top_k="int", category="string").withColumn("vec_id", F.col("request_id") % n_vectors(s, d)).join(vectors, "vec_id")
+    item = {
+        "read_chunk": (asked("read_chunk", source="string", location="string"), F.col("id").cast("string")),
+        "summarize_document": (asked("summarize_document", source="string"), F.col("id").cast("string")),
+        "list_files": (asked("list_files", category="string"), F.col("source")),
+        "compare_sections": (asked("compare_sections", source_a="string", location_a="string", source_b="string", location_b="string"),
+                             F.concat_ws("|", "source_a", "location_a", "source_b", "location_b", F.md5("content_a"), F.md5("content_b"))),
+        "search_documents": (search, F.concat_ws(" ", "rank", "id")),
+    }
+    done = [tools.TOOLS[tool](requests, index).select("request_id", F.lit(tool).alias("tool"), value.alias("item")) for tool, (requests, value) in item.items()]
+    return reduce(DataFrame.unionByName, done)
 
 
 def q_json_role_lookup(s, d):
@@ -185,8 +204,14 @@ ORACLES = {
         "best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY stage, o, id) = 1) "
         "SELECT r.request_id, r.source AS requested, s.source, b.stage FROM req r LEFT JOIN best b USING (request_id) LEFT JOIN srcs s ON s.id = b.id"),
     "tool_dispatch": with_index(
-        "SELECT id AS request_id, 'read_chunk' AS tool, id FROM idx WHERE id % 2 = 0 UNION ALL "
-        "SELECT r.id, 'summarize_document', s.id FROM idx r JOIN idx s ON s.source = r.source WHERE r.id % 2 = 1"),
+        "SELECT id AS request_id, 'read_chunk' AS tool, id::VARCHAR AS item FROM idx WHERE id % 5 = 0 UNION ALL "
+        "SELECT r.id, 'summarize_document', s.id::VARCHAR FROM idx r JOIN idx s ON s.source = r.source WHERE r.id % 5 = 1 UNION ALL "
+        "SELECT r.id, 'list_files', s.source FROM idx r JOIN (SELECT DISTINCT category, source FROM idx) s ON s.category = r.category WHERE r.id % 5 = 2 UNION ALL "
+        "SELECT a.id, 'compare_sections', concat_ws('|', a.source, a.location, b.source, b.location, md5(a.content), md5(b.content)) FROM idx a JOIN idx b "
+        "ON b.source = a.source AND b.location = 'Section 1' WHERE a.id % 5 = 3 UNION ALL "
+        "SELECT query_id, 'search_documents', rank || ' ' || id FROM (" + RETRIEVAL["search_documents"].replace(
+            QUESTIONS_SQL, f"questions AS (SELECT doc_id AS query_id, {_SEARCHED} AS query, embedding AS query_vec, 3 AS top_k, NULL::VARCHAR AS category "
+                           "FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings) WHERE doc_id % 5 = 4)") + ")"),
     "json_role_lookup": "SELECT coalesce((SELECT lower(c_name) || '@example.org' FROM customer WHERE c_acctbal > 9000 OR lower(c_mktsegment) = 'admin' "
                         "ORDER BY c_custkey LIMIT 1), (SELECT lower(s_name) FROM supplier ORDER BY s_suppkey LIMIT 1), 'it@example.org') AS email",
     "usable_chunks": with_index("SELECT category, count(*) AS n FROM idx WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY category"),

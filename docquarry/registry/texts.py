@@ -9,7 +9,8 @@ from docquarry.functions import fixed
 from docquarry.functions import text as tx
 from docquarry.operators import chunking
 from docquarry.registry.views import SUFFIX, answers, table, with_answers
-from docquarry.session import spread
+from docquarry.session import shared_dir, spread
+from docquarry.sources.files import read_texts
 
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NWS = "[^" + WS[1:]
@@ -178,7 +179,7 @@ def q_content_hash(s, d):
 
 def q_truncate_text(s, d):
     return _docs(s, d).select("doc_id", tx.truncate(F.col("text"), 2000).alias("tool_result"),
-                              tx.truncate(F.col("text"), 1200).alias("slice"), F.md5(F.substring("text", 1, 512)).alias("pair"))
+                              tx.truncate(F.col("text"), 1200).alias("slice"), F.substring("text", 1, 512).alias("pair"))
 
 
 def q_extract_ids(s, d):
@@ -193,8 +194,7 @@ def q_thread_chunks(s, d):
 
 
 def q_mail_chunks(s, d):
-    t = table(s, d, "conversations").filter("role = 'user'")
-    return t.select("conv_id", "turn", chunking.mail_chunk(
+    return table(s, d, "conversations").select("conv_id", "turn", chunking.mail_chunk(
         F.concat("role", F.lit("@example.org")), F.concat(F.lit("Conversation "), "conv_id"), F.col("text")).alias("content"))
 
 
@@ -225,6 +225,9 @@ def q_route_files(s, d):
         tx.stem_of(k).alias("stem"))
 
 
+_FOLDER_NAME = "concat(CASE WHEN item_id % 5 = 1 THEN '__' ELSE 'note-' END, CAST(item_id AS VARCHAR(20)), CASE WHEN item_id % 3 = 0 THEN '.md' WHEN item_id % 3 = 1 THEN '.exe' ELSE '.py' END)"
+
+
 def q_folder_scan(s, d):
     from docquarry.sources.files import is_user_file
 
@@ -233,6 +236,16 @@ def q_folder_scan(s, d):
         F.countDistinct("key").alias("files"))
 
 
+def q_folder_read(s, d):
+    """Benchmark texts as files of a folder, scanned and read back; names decide which are taken."""
+    folder = shared_dir(s, "folder")
+    named = table(s, d, "benchmark").selectExpr(f"{_FOLDER_NAME} AS name", "text")
+    # a folder for each name, as writers make them; line breaks of a text are lines of its file
+    named.select("name", F.explode(F.split("text", "\n")).alias("value")).repartition("name").write.partitionBy("name").text(folder)
+    files = read_texts(s, folder, name_of=F.regexp_extract("path", "name=([^/]*)/", 1))
+    return files.select("key", F.md5(F.rtrim("text", F.lit("\n"))).alias("text"), F.length("file_hash").alias("n"))
+
+
 def q_upload_intake(s, d):
     from docquarry.sources.files import intake
 
@@ -251,8 +264,10 @@ def q_drop_blank(s, d):
 def q_valid_questions(s, d):
     from docquarry.plans.retrieve import valid_questions
 
-    q = table(s, d, "conversations").selectExpr(
-        "conv_id", "turn", "CASE WHEN turn = 0 THEN concat('  ', substr(text, 1, 2), ' ') ELSE text END AS query")
+    # whole texts, and a question of one to eight characters of each role's name
+    t = table(s, d, "conversations")
+    q = t.selectExpr("conv_id", "turn", "text AS query").unionByName(
+        t.selectExpr("conv_id", "turn", "concat('  ', substr(role, 1, CAST(1 + turn % 8 AS INT)), ' ') AS query"))
     return valid_questions(q).select("conv_id", "turn", F.length("query").alias("n"))
 
 
@@ -456,7 +471,7 @@ ORACLES = {
     "scanned_pages": f"SELECT page_id, length({sql_strip('''regexp_replace(html, '(?s)<[^>]*>', '', 'g')''')}) < 100 AND length(html) * 64 / 1024 > 100 AS scanned FROM pages",
     "content_hash": "SELECT doc_id, sha256(text) AS hash FROM documents",
     "truncate_text": "SELECT doc_id, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '…' ELSE text END AS tool_result, "
-                     "CASE WHEN length(text) > 1200 THEN substr(text, 1, 1200) || '…' ELSE text END AS slice, md5(substr(text, 1, 512)) AS pair FROM documents",
+                     "CASE WHEN length(text) > 1200 THEN substr(text, 1, 1200) || '…' ELSE text END AS slice, substr(text, 1, 512) AS pair FROM documents",
     "extract_ids": with_answers(
         f"SELECT answer_id, unnest(range(len(x))) AS pos, unnest(x) AS item FROM (SELECT answer_id, regexp_extract_all({_ascii('answer')}, {qt(SPECIFIC_RX)}) AS x FROM answers)"),
     "thread_chunks": (
@@ -466,7 +481,7 @@ ORACLES = {
         "p AS (SELECT *, unnest(range(1, CAST(ceil(length(body) / unit) AS BIGINT) + 1)) AS piece FROM u) "
         "SELECT thread_id, piece, head || substr(body, (piece - 1) * unit + 1, unit) AS content FROM p"),
     "mail_chunks": "SELECT conv_id, turn, 'Email from: ' || role || '@example.org' || chr(10) || 'Subject: Conversation ' || conv_id || chr(10) || chr(10) || text AS content "
-                   "FROM conversations WHERE role = 'user'",
+                   "FROM conversations",
     "embedding_prompts": "SELECT item_id, 'search_query: ' || text AS prompt FROM benchmark",
     "route_files": (
         f"WITH {_KEYS_SQL} SELECT key, ext, list_contains({_EXTS}, ext) AS allowed, "
@@ -477,11 +492,12 @@ ORACLES = {
         "CASE WHEN ext = '' THEN lower(regexp_extract(key, '[^/]*$')) ELSE lower(substr(regexp_extract(key, '[^/]*$'), 1, length(regexp_extract(key, '[^/]*$')) - length(ext))) END AS stem FROM ex"),
     "folder_scan": f"WITH {_KEYS_SQL} SELECT CASE WHEN contains(key, '/') THEN split_part(key, '/', 1) ELSE 'general' END AS category, "
                    f"count(DISTINCT key) AS files FROM ex WHERE {_USER_FILE} GROUP BY 1",
+    "folder_read": f"SELECT name AS key, md5(rtrim(text, chr(10))) AS text, 64 AS n FROM (SELECT {_FOLDER_NAME} AS name, text FROM benchmark) WHERE NOT starts_with(name, '__') AND NOT ends_with(name, '.exe')",
     "upload_intake": f"WITH {_KEYS_SQL} SELECT doc_id, CASE WHEN NOT list_contains({_EXTS}, ext) THEN 'unsupported type' "
                      "WHEN n_chars <= 500 THEN 'no text' ELSE 'accepted' END AS result FROM ex",
     "drop_blank": f"SELECT role, count(*) AS n FROM conversations WHERE role <> 'system' AND {sql_strip('text')} <> '' GROUP BY role",
-    "valid_questions": f"SELECT conv_id, turn, length(q) AS n FROM (SELECT conv_id, turn, {sql_strip('CASE WHEN turn = 0 THEN substr(text, 1, 2) ELSE text END')} AS q "
-                       "FROM conversations) WHERE length(q) >= 3",
+    "valid_questions": f"SELECT conv_id, turn, length(q) AS n FROM (SELECT conv_id, turn, {sql_strip('text')} AS q "
+                       "FROM conversations UNION ALL SELECT conv_id, turn, substr(role, 1, 1 + turn % 8) FROM conversations) WHERE length(q) >= 3",
     "top_k_clamps": "SELECT conv_id, turn, greatest(1, least(k, 8)) AS query, greatest(1, least(k, 20)) AS search, greatest(1, least(k, 200)) AS activity, "
                     "greatest(1, least(k, 5)) AS iterations FROM (SELECT conv_id, turn, length(text) - 60 AS k FROM conversations)",
 }

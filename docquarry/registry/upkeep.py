@@ -116,13 +116,13 @@ def _gone(s, d):
     from docquarry.registry.views import INDEX_COLUMNS
 
     return table(s, d, "documents").join(table(s, d, "labels").filter("toxic = 1"), "doc_id").selectExpr(
-        f"{INDEX_COLUMNS['source']} AS source")
+        f"{INDEX_COLUMNS['tenant_id']} AS tenant_id", f"{INDEX_COLUMNS['source']} AS source")
 
 
 def q_delete_cascade(s, d):
-    index = index_chunks(s, d).select("id", "source", "file_hash")
-    ledger = index.groupBy("source", "file_hash").agg(F.count("*").alias("chunks"))
-    manifest = index.select(F.col("source").alias("source_url")).distinct()
+    index = index_chunks(s, d)
+    ledger = index.groupBy("tenant_id", "source", "file_hash").agg(F.count("*").alias("chunks"))
+    manifest = index.select("tenant_id", F.col("source").alias("source_url")).distinct()
     rest, removed = mt.delete_cascade(
         _gone(s, d), chunks=(index, "source"), ledger=(ledger, "source"), manifest=(manifest, "source_url"))
     left = None
@@ -205,9 +205,10 @@ ORACLES = {
         "(SELECT * FROM acts WHERE action <> 'skip') a USING (tenant_id, file_hash)"),
     "changed_files": "SELECT doc_id AS filename, coalesce(toxic = 1, true) AS changed FROM documents LEFT JOIN labels USING (doc_id)",
     "delete_cascade": with_index(
-        ", gone AS (SELECT DISTINCT source FROM idx JOIN labels ON doc_id = id WHERE toxic = 1), "
-        "t AS (SELECT 'chunks' AS \"table\", source FROM idx UNION ALL SELECT 'ledger', source FROM (SELECT DISTINCT source, file_hash FROM idx) "
-        "UNION ALL SELECT 'manifest', source FROM (SELECT DISTINCT source FROM idx)) "
+        ", gone AS (SELECT DISTINCT tenant_id || '/' || source FROM idx JOIN labels ON doc_id = id WHERE toxic = 1), "
+        "own AS (SELECT tenant_id || '/' || source AS source, file_hash FROM idx), "
+        "t AS (SELECT 'chunks' AS \"table\", source FROM own UNION ALL SELECT 'ledger', source FROM (SELECT DISTINCT source, file_hash FROM own) "
+        "UNION ALL SELECT 'manifest', source FROM (SELECT DISTINCT source FROM own)) "
         "SELECT \"table\", count(*) FILTER (source IN (FROM gone)) AS removed, count(*) FILTER (source NOT IN (FROM gone)) AS \"left\" FROM t GROUP BY 1"),
     "new_chunks_only": with_index(
         ", fresh AS (SELECT * FROM idx i WHERE NOT EXISTS (SELECT 1 FROM idx j JOIN labels ON doc_id = j.id WHERE j.source = i.source AND j.content = i.content)) "

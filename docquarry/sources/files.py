@@ -14,15 +14,15 @@ def is_user_file(key: Column) -> Column:
     return is_allowed(key) & ~name.startswith("__") & (name != "seed.py")
 
 
-def scan_folder(spark: SparkSession, folder: str, with_content: bool = True) -> DataFrame:
+def scan_folder(spark: SparkSession, folder: str, with_content: bool = True, name_of: Column | None = None) -> DataFrame:
     """``key, path, size_bytes, modified_at`` (+ ``content``) of all user files below a folder.
 
-    Without content only file listings are read.
+    Without content only file listings are read. ``name_of``: the key, from ``path``; else the path below the folder.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     root = "/" + folder.split("://")[-1].strip("/") + "/"
     at = F.instr("path", root)
-    key = F.substr("path", at + len(root), F.length("path"))
+    key = F.substr("path", at + len(root), F.length("path")) if name_of is None else name_of
     out = files.select(
         key.alias("key"), "path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"),
         *(["content"] if with_content else []))
@@ -35,11 +35,11 @@ def decode_text(content: Column) -> Column:
     return F.coalesce(F.try_validate_utf8(text), F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
 
 
-def read_texts(spark: SparkSession, folder: str) -> DataFrame:
+def read_texts(spark: SparkSession, folder: str, name_of: Column | None = None) -> DataFrame:
     """``key, text`` of all user files that hold text."""
     from docquarry.functions.text import handler_of
 
-    files = scan_folder(spark, folder)
+    files = scan_folder(spark, folder, name_of=name_of)
     return files.filter(handler_of(F.col("key")).isin("document", "code")).select(
         "key", decode_text(F.col("content")).alias("text"), F.sha2("content", 256).alias("file_hash"), "size_bytes")
 

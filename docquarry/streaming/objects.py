@@ -110,6 +110,7 @@ def start_reconcile(
     checkpoint: str,
     every: str = "10 minutes",
     embed: Callable[[DataFrame, str], DataFrame] = embed_hashed,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Run a reconcile pass at every trigger of a tick stream (such as the rate source)."""
     from docquarry.plans.ingest import reconcile
@@ -119,4 +120,4 @@ def start_reconcile(
         reconcile(tables, listing, files, epoch, F.current_timestamp(), embed).collect()
 
     return (ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-            .trigger(processingTime=every).start())
+            .trigger(**(trigger or {"processingTime": every})).start())
