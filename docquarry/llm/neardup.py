@@ -12,7 +12,8 @@ levels. Bands of the signature name buckets.
    sends a few rows per batch. Buckets then pair each member with the least id
    and with its next neighbours: a number of pairs linear in the members.
 3. Pairs are confirmed on full sets: first the one best partner of each class,
-   then all pairs that still lie in different components.
+   then all pairs that still lie in different components. A bitmap of fixed size
+   over the ids that have pairs keeps other texts from being moved.
 4. In buckets with more members than neighbours not every pair has met. Those
    with several components are searched in blocks: every member outside of the
    largest component is held against all members.
@@ -32,7 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm import words as W
@@ -42,6 +44,7 @@ from docquarry.llm.shared import persist
 SIGNED = "id long, n long, d1 long, d2 long, bands array<long>"
 GOLD = 0x9E3779B97F4A7C15
 WHOLE = np.uint64(0xA5A5A5A5A5A5A5A5)
+MARKS = 1 << 24
 
 
 def sets_of(part: W.Words, shingle: int) -> list[np.ndarray]:
@@ -140,9 +143,26 @@ def _sign(shingle: int, bands: int, rows: int):
     return run
 
 
-def _sets(shingle: int):
+def marks_of(wanted: DataFrame) -> np.ndarray:
+    """A bit for each of ``MARKS`` slots of the ids in ``wanted``, 64 to a word: 2 MB whatever their number."""
+    words = wanted.select(id_slot(F.col("id")).alias("slot")).selectExpr("shiftright(slot, 6) AS word", "shiftleft(1L, CAST(slot % 64 AS INT)) AS bit")
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    marks = np.zeros(MARKS // 64, np.uint64)
+    marks[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return marks
+
+
+def id_slot(column: Column) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(MARKS))
+
+
+def _sets(shingle: int, marks: Broadcast):
+    """Sets of the texts whose slot is marked; the others never leave the task that read them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            marked = (marks.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
+            batch = batch.filter(pa.array(marked.astype(bool)))
             for part in W.slices(batch.column("text"), lower=True):
                 sets = sets_of(part, shingle)
                 one, two = digests(sets)
@@ -222,9 +242,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = classes.select("id", F.explode("bands").alias("key"))
     large = persist(banded.join(sizes.select("key"), "key"), "large-buckets")
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct()
+    wanted = persist(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct(), "wanted")
     known = classes.join(wanted, "id", "left_semi").select("id", "d1", "d2")
-    sets = texts.join(wanted, "id").mapInArrow(_sets(shingle), "id long, d1 long, d2 long, items array<long>")
+    marks = docs.sparkSession.sparkContext.broadcast(marks_of(wanted))
+    sets = texts.withColumn("slot", id_slot(F.col("id"))).mapInArrow(_sets(shingle, marks), "id long, d1 long, d2 long, items array<long>")
     sets = persist(sets.join(known, ["id", "d1", "d2"], "left_semi").dropDuplicates(["id"]).select("id", "items"), "sets")
 
     best = pairs.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("s")).select((-F.col("s.a")).alias("a"), "b")
