@@ -348,7 +348,7 @@ def test_stream_follows_changes(spark, tmp_dir):
     state = {"rows": [("a.md", "first a"), ("b.md", "first b")]}
 
     def fetch(keys):
-        return as_files(spark, state["rows"]).join(keys.select("key"), "key", "left_semi")
+        return as_files(spark, state["rows"]).join(keys, "key")
 
     def deliver(name, *keys):
         with open(f"{inbox}/{name}.json", "w") as f:
