@@ -104,8 +104,8 @@ def index_rows(files: DataFrame, embed: Callable[[DataFrame, str], DataFrame] =
     return once.filter(is_usable(F.col("embedding"))).withColumn("id", F.substring(name, 1, 32)).drop("place")
 
 
-def ingest_batch(files: DataFrame, ledger: DataFrame,
-                 embed: Callable[[DataFrame, str], DataFrame] = embed_hashed) -> tuple[DataFrame, DataFrame]:
+def ingest_batch(files: DataFrame, ledger: DataFrame, embed: Callable[[DataFrame, str], DataFrame] = embed_hashed,
+                 front: Callable[[Column], Column] = chunking.front_matter) -> tuple[DataFrame, DataFrame]:
     """Index rows of files the ledger does not know under this source, and a status per file.
 
     Counts are of rows inserted. Known files are left out before anything is
@@ -113,7 +113,7 @@ def ingest_batch(files: DataFrame, ledger: DataFrame,
     """
     rejected = ~tx.is_allowed(F.col("key"))
     fresh = ledger_new_files(ledger, files.filter(~rejected))
-    rows = index_rows(fresh, embed)
+    rows = index_rows(fresh, embed, front)
     by = ["tenant_id", "source"]
     n = rows.groupBy(*by).agg(F.count("*").alias("chunks"))
     new = fresh.select(*by, has_payload(fresh).alias("_read")).join(n, by, "left").select(
@@ -126,7 +126,8 @@ def ingest_batch(files: DataFrame, ledger: DataFrame,
 
 
 def apply_changes(tables: BatchTables, diff: DataFrame, files: DataFrame, batch: int, now: Column,
-                  embed: Callable[[DataFrame, str], DataFrame] = embed_hashed, failures: DataFrame | None = None) -> DataFrame:
+                  embed: Callable[[DataFrame, str], DataFrame] = embed_hashed, failures: DataFrame | None = None,
+                  front: Callable[[Column], Column] = chunking.front_matter) -> DataFrame:
     """Write one batch for a diff: chunks of new and changed files, manifest rows, status rows.
 
     ``files``: what ``chunk_files`` takes. A changed key whose text is the one
@@ -147,7 +148,7 @@ def apply_changes(tables: BatchTables, diff: DataFrame, files: DataFrame, batch:
     plan = persist_table(
         files.select(*by, "source", "file_hash", has_payload(files).alias("readable")).join(todo, by).join(before, by, "left")
         .withColumn("same", F.coalesce(same, F.lit(False))), "todo")
-    rows = index_rows(files.join(plan.filter("readable AND NOT same").select(*by), by, "left_semi"), embed)
+    rows = index_rows(files.join(plan.filter("readable AND NOT same").select(*by), by, "left_semi"), embed, front)
     tables.write("chunks", rows, batch)
     n = tables.read("chunks").filter(F.col("batch") == batch).groupBy("tenant_id", "source").agg(F.count("*").alias("chunks"))
     done = persist_table(plan.join(n, ["tenant_id", "source"], "left"), "done")
@@ -182,9 +183,9 @@ def apply_changes(tables: BatchTables, diff: DataFrame, files: DataFrame, batch:
 
 
 def reconcile(tables: BatchTables, listing: DataFrame, files: DataFrame, batch: int, now: Column,
-              embed: Callable[[DataFrame, str], DataFrame] = embed_hashed) -> DataFrame:
+              embed: Callable[[DataFrame, str], DataFrame] = embed_hashed, front: Callable[[Column], Column] = chunking.front_matter) -> DataFrame:
     """One pass: diff the listing (``tenant_id, s3_key, etag, file_hash, size_bytes``) against the manifest, apply it, return the summary row."""
     known = tables.manifest(before=batch).select("tenant_id", "s3_key", "etag", "file_hash")
     diff = persist_table(manifest_diff(listing, known), "diff")
-    apply_changes(tables, diff, files, batch, now, embed)
+    apply_changes(tables, diff, files, batch, now, embed, front=front)
     return sync_summary(diff)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docquarry.functions.seams import embed_hashed
+from docquarry.operators.chunking import front_matter
 from docquarry.plans.ingest import apply_changes
 from docquarry.operators.maintenance import manifest_diff
 from docquarry.session import persist_table
@@ -69,6 +70,7 @@ def start_ingest(
     checkpoint: str,
     *,
     embed: Callable[[DataFrame, str], DataFrame] = embed_hashed,
+    front: Callable[[Column], Column] = front_matter,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Keep the index in step with a stream of messages.
@@ -96,7 +98,7 @@ def start_ingest(
         known = tables.manifest(before=epoch, keys=keys)
         diff = persist_table(manifest_diff(keys, known), "diff")
         failures = lost.select(F.lit(tables.tenant).cast("string").alias("tenant_id"), "bucket", "key", F.lit("not fetched").alias("error"))
-        apply_changes(tables, diff, files, epoch, now, embed, failures)
+        apply_changes(tables, diff, files, epoch, now, embed, failures, front)
 
     return (
         messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
@@ -110,6 +112,7 @@ def start_reconcile(
     checkpoint: str,
     every: str = "10 minutes",
     embed: Callable[[DataFrame, str], DataFrame] = embed_hashed,
+    front: Callable[[Column], Column] = front_matter,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Run a reconcile pass at every trigger of a tick stream (such as the rate source)."""
@@ -117,7 +120,7 @@ def start_reconcile(
 
     def run(_: DataFrame, epoch: int) -> None:
         listing, files = list_objects()
-        reconcile(tables, listing, files, epoch, F.current_timestamp(), embed).collect()
+        reconcile(tables, listing, files, epoch, F.current_timestamp(), embed, front).collect()
 
     return (ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": every})).start())

@@ -303,6 +303,21 @@ def test_compaction_keeps_what_is_live(spark, tmp_dir):
     assert (s["changed"], s["unchanged"]) == (1, 1) and live(t) == [("s3://kb/a.md", "third a"), ("s3://kb/c.md", "c")]
 
 
+def test_another_header_parser_reaches_the_index(spark, tmp_dir):
+    def first_line(text):
+        """The first line names who may read."""
+        shape = "struct<visibility:string,groups:array<string>,users:array<string>>"
+        who = F.from_json(F.to_json(F.struct(F.lit("team").alias("visibility"), F.array(F.split(text, "\n")[0]).alias("users"))), shape)
+        return F.struct(who.alias("permissions"), F.substring_index(text, "\n", -1).alias("body"))
+
+    files = as_files(spark, [("a.md", "ann@x.org\nthe text of a")])
+    t = tb.BatchTables(spark, tmp_dir + "/kb")
+    ingest.reconcile(t, listing(files), files, 1, NOW, embed, front=first_line).collect()
+    rows, _ = ingest.ingest_batch(files, spark.createDataFrame([], "tenant_id string, file_hash string, source string"), embed, first_line)
+    for r in (t.live_chunks().first(), rows.first()):
+        assert (r["content"], r["visibility"], r["users"]) == ("the text of a", "team", ["ann@x.org"])
+
+
 def test_tables_of_one_tenant(spark, tmp_dir):
     a = as_files(spark, [("x/a.md", "of tenant a")])
     b = a.withColumn("tenant_id", F.lit("u"))
