@@ -16,6 +16,7 @@ are packed each; ids may be null. Sequence ids are unique, not gapless.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -101,7 +102,9 @@ class WordTokens:
     Each word is encoded once while it stays in a bounded cache. Words of Latin
     letters are one piece for the tokenizer, so its model encodes them directly;
     a full stop or comma after an ASCII letter is a piece of its own; all other
-    words go through the whole tokenizer.
+    words go through the whole tokenizer. Control strings inside a text, exactly
+    as the vocabulary writes them, keep their one id and cut the text in two;
+    with other capitals they are plain words.
     """
 
     def __init__(self, path: str):
@@ -110,6 +113,10 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, byte_letters()
+        # control strings are cut out of the text before words are folded
+        added = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.controls = {c: np.array([i], "<u4").tobytes() for c, i in added.items()}
+        self.cut = re.compile(b"(" + b"|".join(re.escape(c) for c in sorted(added, key=len, reverse=True)) + b")") if added else None
         self.known: dict[bytes, bytes] = {}
 
     def _learn(self, word: bytes) -> bytes:
@@ -138,6 +145,12 @@ class WordTokens:
             known = self.known = {}
         return b"".join([known.get(w) or self._learn(w) for w in words])
 
+    def encode_text(self, text: bytes) -> bytes:
+        """The ids of a text in UTF-8."""
+        if not any(c in text for c in self.controls):
+            return self.encode(text.lower().split())
+        return b"".join([self.controls.get(part) or self.encode(part.lower().split()) for part in self.cut.split(text)])
+
 
 def _pack(path: str, length: int, end_id: int, wanted: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +161,7 @@ def _pack(path: str, length: int, end_id: int, wanted: list[str]):
             rows, starts, pieces, totals, sequences, offsets = [], [], [], [], [], []
             data, at = W.flat(batch.column("text"))
             for row in range(batch.num_rows):
-                ids = tokens.encode(data[at[row] : at[row + 1]].tobytes().lower().split()) + end
+                ids = tokens.encode_text(data[at[row] : at[row + 1]].tobytes()) + end
                 total, low = len(ids) // 4, 0
                 while low < total:
                     n = min(length - offset, total - low)

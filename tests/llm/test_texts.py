@@ -132,9 +132,10 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(WORDS)
-    lib.encode_special_tokens = True
-    ids = {i: lib.encode(t or "", add_special_tokens=False).ids + [1] for i, t in DOCS}
-    rows = pack(docs, WORDS, length=64).collect()
+    controls = [(901, "one <|endoftext|> two<|startoftext|>Three <|ENDOFTEXT|>"), (902, "<|endoftext|><|endoftext|>"), (903, "<|endoftext |>")]
+    ids = {i: lib.encode(t or "", add_special_tokens=False).ids + [1] for i, t in [*DOCS, *controls]}
+    more = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame(controls, docs.select("doc_id", "text").schema))
+    rows = pack(more, WORDS, length=64).collect()
     pieces, filled = {}, {}
     for r in rows:
         own = np.frombuffer(r["ids"], "<u4").tolist()
@@ -150,9 +151,11 @@ def test_packing(docs):
 
 
 def test_word_tokens_equal_the_library():
-    tokens = WordTokens(WORDS)
-    for text in ["İstanbul ŉ ß ÀÉ a.b, c... d.,e é. 's it's l'été ́b, <|endoftext|>. Ａ ﬁ ſ K 12,345. ab12.", "Don't STOP, now."]:
-        assert np.frombuffer(tokens.encode(text.encode().split()), "<u4").tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
+    from tokenizers import Tokenizer
+
+    tokens, lib = WordTokens(WORDS), Tokenizer.from_file(WORDS)
+    for text in ["a<|endoftext|>B <|EndOfText|> <|endoftext|", "é<|startoftext|>\u0301x", "İstanbul ŉ ß ÀÉ a.b, c... d.,e é. 's it's l'été ́b, <|endoftext|>. Ａ ﬁ ſ K 12,345. ab12.", "Don't STOP, now."]:
+        assert np.frombuffer(tokens.encode_text(text.encode()), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
 def test_hilbert_steps_to_neighbours():
