@@ -338,11 +338,18 @@ def supported_by(facts: Column, hay: Column, share: float = 0.25) -> Column:
     otherwise every year it names must occur and at least ``max(2, share)`` of
     its longer words. An empty part before a leading comma occurs everywhere.
     """
-    hits = F.size(F.filter(facts["words"], lambda w: F.contains(hay, w)))
+    literal = F.contains(hay, facts["text"]) | F.contains(hay, facts["head"])
+    return supported_with(facts, literal, lambda y: F.contains(hay, y), lambda w: F.contains(hay, w), share)
+
+
+def supported_with(facts: Column, literal: Column, has_year: Callable[[Column], Column], has_word: Callable[[Column], Column],
+                   share: float = 0.25) -> Column:
+    """:func:`supported_by` where it is known already what of the sentence occurs."""
+    hits = F.size(F.filter(facts["words"], has_word))
     return (
         F.when(facts["text"] == "", F.lit(False))
-        .when(F.contains(hay, facts["text"]) | F.contains(hay, facts["head"]), F.lit(True))
-        .when(~F.forall(facts["years"], lambda y: F.contains(hay, y)), F.lit(False))
+        .when(literal, F.lit(True))
+        .when(~F.forall(facts["years"], has_year), F.lit(False))
         .otherwise(hits >= F.greatest(F.lit(2.0), F.size(facts["words"]) * F.lit(share)))
     )
 

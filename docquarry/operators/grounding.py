@@ -1,8 +1,10 @@
 """Checks of answers against the chunks they were given.
 
-An answer and its retrieved chunks (at most a search's ``top_k``) meet in one
-row; sentences and claims are then judged inside that row. The only shuffle is
-the one that brings the chunks to their answer.
+Sentences and chunks of an answer are rows that meet by the answer's id. What a
+sentence needs to know of a chunk (does it support it, how many words do they
+share, which of its words occur) is worked out on the pair; pairs fold to one
+row per sentence with ``max_by`` and unions of words, so no task gathers the
+texts of an answer and an answer may have any number of chunks.
 """
 
 from __future__ import annotations
@@ -16,23 +18,25 @@ from docquarry.functions.text import SPACE, let
 from docquarry.session import fan_out
 
 
-_CHUNK_TYPE = "array<struct<rank:int,source:string,location:string,hay:string,words:array<string>>>"
+def _hashes(words: Column) -> Column:
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def chunk_lists(evidence: DataFrame) -> DataFrame:
-    """``(answer_id, chunks)``: the retrieved chunks of each answer in rank order.
+def _chunk_rows(evidence: DataFrame) -> DataFrame:
+    """Retrieved chunks with lower-case text and its distinct words, worked out once per chunk.
 
-    Texts are lowered and cut into words here, once per chunk, rather than once
-    per sentence that is held against them.
+    Words travel as 64-bit hashes, which arrays of pairs are compared by much faster; they only order chunks.
     """
-    low = fan_out(evidence, "answer_id", sized_by=evidence).withColumn("hay", F.lower("content")).withColumn("words", F.array_distinct(tx.words(F.col("hay"))))
-    return low.groupBy("answer_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "source", "location", "hay", "words"))).alias("chunks"))
+    return fan_out(evidence, "answer_id", sized_by=evidence).select(
+        "answer_id", F.col("rank").cast("int").alias("rank"), "source", "location", F.lower("content").alias("hay")
+    ).withColumn("words", _hashes(tx.words(F.col("hay"))))
 
 
-def _with_chunks(answers: DataFrame, evidence: DataFrame) -> DataFrame:
-    none = F.array().cast(_CHUNK_TYPE)
-    return answers.join(chunk_lists(evidence), "answer_id", "left").withColumn("chunks", F.coalesce("chunks", none))
+def meet_chunks(sentences: DataFrame, evidence: DataFrame, where: Column | bool = True) -> DataFrame:
+    """Every row of ``sentences`` (``answer_id, …``) that is of ``where`` with each chunk of its answer as ``chunk``; null where there is none."""
+    rows = _chunk_rows(evidence).select(
+        F.col("answer_id").alias("_of"), F.struct("rank", "source", "location", "hay", "words").alias("chunk"))
+    return sentences.join(rows, (F.col("answer_id") == F.col("_of")) & where, "left").drop("_of")
 
 
 # --- sentence labels ---------------------------------------------------------------------
@@ -42,100 +46,112 @@ _PLACEHOLDER = rf"(?i)\[(?:{_PLACEHOLDER})\]|\*\*(?:{_PLACEHOLDER})\*\*"
 _TRANSITION = "(?i)" + fixed.TRANSITION_PATTERN.replace("{s0}", SPACE + "+")
 
 
-def joined_sources(chunks: Column, source: Column) -> Column:
-    """Lower-case texts of all chunks whose source matches a cited one, or null."""
-    hits = F.filter(chunks, lambda c: tx.same_source(c["source"], source))
-    return F.when(F.size(hits) > 0, F.array_join(F.transform(hits, lambda c: c["hay"]), "\n\n"))
+def _place(facts: Column, own: Column, chunk: Column) -> Column:
+    """Where a supporting chunk that shares words with the sentence stands, best first in order; else null."""
+    shared = F.size(F.array_intersect(chunk["words"], own))
+    return F.when((shared > 0) & tx.supported_by(facts, chunk["hay"]), F.struct(
+        (-shared).alias("o"), chunk["rank"].alias("rank"), chunk["source"].alias("source"), chunk["location"].alias("location")))
 
 
-def citations_hold(facts: Column, cites: Column, chunks: Column) -> Column:
-    return F.forall(cites, lambda c: F.coalesce(
-        let(joined_sources(chunks, c["source"]), lambda t: tx.supported_by(facts, t)), F.lit(False)))
+def _cited(facts: Column, cite: Column, chunk: Column) -> Column:
+    """What of a sentence occurs in a chunk that its citation names; null where the citation names another."""
+    hay = chunk["hay"]
+    return F.when(tx.same_source(chunk["source"], cite["source"]), F.struct(
+        (F.contains(hay, facts["text"]) | F.contains(hay, facts["head"])).alias("literal"),
+        F.filter(F.array_distinct(facts["years"]), lambda y: F.contains(hay, y)).alias("years"),
+        F.filter(F.array_distinct(facts["words"]), lambda w: F.contains(hay, w)).alias("words")))
 
 
-def best_support(facts: Column, core: Column, chunks: Column) -> Column:
-    """Source and location of the chunk with most shared words among those that support the sentence."""
-    def among(own: Column) -> Column:
-        def scored(c: Column, i: Column) -> Column:
-            return F.struct((-F.size(F.array_intersect(own, c["words"]))).alias("o"), i.alias("i"))
-
-        order = F.array_sort(F.filter(F.transform(chunks, scored), lambda x: x["o"] < 0))
-        fits = F.filter(order, lambda x: tx.supported_by(facts, F.get(chunks, x["i"])["hay"]))
-        return let(F.get(fits["i"], F.lit(0)), lambda i: F.when(i.isNotNull(), F.struct(
-            F.get(chunks, i)["source"].alias("source"), F.get(chunks, i)["location"].alias("location"))))
-
-    return let(F.array_distinct(tx.long_words(core)), among)
-
-
-def judge_sentence(s: Column, chunks: Column, strict_meta: bool = False) -> Column:
-    """``struct<label, text>``; ``text`` is null when the sentence goes."""
-
-    def of(p: Column) -> Column:
-        core, cites = p["core"], p["cites"]
-        plain = F.translate(core, "’`", "''")
-        kept_label = (
-            F.when(core.rlike("(?i)" + fixed.META_PATTERN), "meta")
-            .when(core.rlike(_PLACEHOLDER), "placeholder")
-            .when(plain.rlike("(?i)" + fixed.FALLBACK_PATTERN), "fallback")
-            .when(F.size(tx.split_space(core)) <= 4, "short")
-            .when(core.rlike(_TRANSITION), "transition"))
-
-        def labelled(label: Column) -> Column:
-            def auto(b: Column) -> Column:
-                attached = F.concat(
-                    F.rtrim(core, F.lit(".")), F.lit(" [Citation: "), b["source"], F.lit(", "), b["location"], F.lit("]."))
-                return F.struct(F.when(b.isNotNull(), "auto_cited").otherwise("unsupported").alias("label"),
-                                F.when(b.isNotNull(), attached).alias("text"))
-
-            def keep(label_: Column, text: Column) -> Column:
-                return F.struct(label_.cast("string").alias("label"), text.cast("string").alias("text"))
-
-            dropped = label == "placeholder"
-            if strict_meta:
-                dropped = dropped | (label == "meta")
-            return (
-                F.when(dropped, keep(label, F.lit(None)))
-                .when(label.isNotNull(), keep(label, s))
-                .when(F.size(cites) > 0, let(citations_hold(p["facts"], cites, chunks), lambda ok: keep(
-                    F.when(ok, "cited").otherwise("bad_citation"), F.when(ok, s))))
-                .otherwise(let(best_support(p["facts"], core, chunks), auto)))
-
-        return let(kept_label, labelled)
-
-    return let(F.struct(tx.strip_citations(s).alias("core"), tx.citations(s).alias("cites"),
-                        tx.sentence_facts(s).alias("facts")), of)
+def _own_label(core: Column) -> Column:
+    """The label of sentences that need no support, else null."""
+    plain = F.translate(core, "’`", "''")
+    return (
+        F.when(core.rlike("(?i)" + fixed.META_PATTERN), "meta")
+        .when(core.rlike(_PLACEHOLDER), "placeholder")
+        .when(plain.rlike("(?i)" + fixed.FALLBACK_PATTERN), "fallback")
+        .when(F.size(tx.split_space(core)) <= 4, "short")
+        .when(core.rlike(_TRANSITION), "transition"))
+
+
+def _with_facts(answers: DataFrame, found: Column) -> DataFrame:
+    """One row per sentence: ``answer_id, pos, sentence, core, facts, own``."""
+    cut = tx.unroll(fan_out(answers, "answer_id", sized_by=answers), found, "pos", "sentence", ["answer_id"])
+    return cut.withColumn("core", tx.strip_citations(F.col("sentence"))).select(
+        "*", tx.sentence_facts(F.col("sentence")).alias("facts"), _hashes(tx.long_words(F.col("core"))).alias("own"))
+
+
+def ground_sentences(answers: DataFrame, evidence: DataFrame, *, strict_meta: bool = False) -> DataFrame:
+    """``(answer_id, pos, label, text)`` for every sentence; ``text`` is null when the sentence goes."""
+    s = _with_facts(answers, tx.sentences(tx.rewrite_endnotes(F.col("answer")))).withColumn("label", _own_label(F.col("core")))
+    # a row for each citation, or one without; chunks join by the answer's id, and only where the sentence needs support
+    s = s.select("*", F.posexplode_outer(tx.citations(F.col("sentence"))).alias("k", "cite"))
+    chunk, facts = F.col("chunk"), F.col("facts")
+    pairs = meet_chunks(s, evidence, F.col("label").isNull())
+    # the pair's findings are one column that the fold reads several times, so that texts end here
+    seen = pairs.select(
+        "answer_id", "pos", "k", "label", "sentence", "core", "facts",
+        F.when(chunk.isNotNull(), F.struct(
+            F.when(F.col("k").isNull(), _place(facts, F.col("own"), chunk)).alias("place"),
+            F.when(F.col("k").isNotNull(), _cited(facts, F.col("cite"), chunk)).alias("cited"))).alias("p"))
+
+    def together(items: str) -> Column:
+        return F.array_distinct(F.flatten(F.collect_set(F.col("p.cited")[items]))).alias(items)
+
+    per_cite = seen.groupBy("answer_id", "pos", "k").agg(
+        *(F.first(c).alias(c) for c in ("label", "sentence", "core", "facts")), F.min("p.place").alias("b"),
+        F.bool_or("p.cited.literal").alias("literal"), together("years"), together("words"))
+    holds = F.coalesce(F.col("literal").isNotNull() & tx.supported_with(
+        facts, F.col("literal"), lambda y: F.array_contains("years", y), lambda w: F.array_contains("words", w)), F.lit(False))
+    folded = per_cite.groupBy("answer_id", "pos").agg(
+        *(F.first(c).alias(c) for c in ("label", "sentence", "core", "b")),
+        F.bool_and(F.when(F.col("k").isNotNull(), holds)).alias("holds"))
+    label = F.coalesce("label", F.when(F.col("holds"), "cited").when(~F.col("holds"), "bad_citation").when(
+        F.col("b").isNotNull(), "auto_cited").otherwise("unsupported"))
+    gone = F.col("label").isin("placeholder", "bad_citation", "unsupported", *(["meta"] if strict_meta else []))
+    attached = F.concat(F.rtrim("core", F.lit(".")), F.lit(" [Citation: "), "b.source", F.lit(", "), "b.location", F.lit("]."))
+    return folded.withColumn("label", label).select("answer_id", "pos", "label", F.when(F.col("label") == "auto_cited", attached).when(
+        ~gone, F.col("sentence")).alias("text"))
 
 
 def ground_answers(answers: DataFrame, evidence: DataFrame, *, strict_meta: bool = False) -> DataFrame:
     """Keep, drop or cite every sentence of every answer.
 
     Adds ``sentences`` (``array<struct<label,text>>``) and ``grounded``, the
-    kept sentences joined, or the fixed not-found answer.
+    kept sentences joined, or the fixed not-found answer. ``answer_id`` names an answer.
     """
-    both = _with_chunks(answers, evidence)
-    cut = both.withColumn("_s", tx.sentences(tx.rewrite_endnotes(F.col("answer"))))
-    judged = cut.withColumn("sentences", F.transform("_s", lambda s: judge_sentence(s, F.col("chunks"), strict_meta)))
+    judged = ground_sentences(answers, evidence, strict_meta=strict_meta)
+    own = judged.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("pos", "label", "text"))).alias("_s"))
+    none = F.array().cast("array<struct<label:string,text:string>>")
+    both = answers.join(own, "answer_id", "left").withColumn("sentences", F.coalesce(
+        F.transform("_s", lambda x: F.struct(x["label"].alias("label"), x["text"].alias("text"))), none)).drop("_s")
     kept = F.array_join(F.filter(F.transform("sentences", lambda x: x["text"]), lambda t: t.isNotNull()), " ")
-    return judged.withColumn("_kept", tx.strip(kept)).withColumn(
-        "grounded", F.when(F.col("_kept") != "", F.col("_kept")).otherwise(fixed.NOT_FOUND_ANSWER)).drop("_s", "_kept")
+    return both.withColumn("_kept", tx.strip(kept)).withColumn(
+        "grounded", F.when(F.col("_kept") != "", F.col("_kept")).otherwise(fixed.NOT_FOUND_ANSWER)).drop("_kept")
 
 
 def citation_match(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """Every citation of an answer with the number of retrieved chunks it matches."""
-    both = _with_chunks(answers, evidence)
-    cites = tx.unroll(both, tx.citations(F.col("answer")), "pos", "c", ["answer_id", "chunks"])
-    return cites.select(
-        "answer_id", "pos", "c.source", "c.location",
-        F.size(F.filter("chunks", lambda x: tx.same_source(x["source"], F.col("c.source")))).alias("n_match"))
+    cites = tx.unroll(answers, tx.citations(F.col("answer")), "pos", "c", ["answer_id"])
+    both = cites.join(evidence.select("answer_id", F.col("source").alias("_from")), "answer_id", "left")
+    matched = F.count_if(tx.same_source(F.col("_from"), F.col("c.source")))
+    return both.groupBy("answer_id", "pos").agg(F.first("c").alias("c"), matched.cast("int").alias("n_match")).select(
+        "answer_id", "pos", "c.source", "c.location", "n_match")
+
+
+def sentence_support(answers: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``(answer_id, pos, n_supporting)``: how many retrieved chunks support each sentence."""
+    both = meet_chunks(_with_facts(answers, tx.sentences(F.col("answer"))), evidence).filter(F.col("chunk").isNotNull())
+    n = F.count_if(tx.supported_by(F.col("facts"), F.col("chunk.hay")))
+    return both.groupBy("answer_id", "pos").agg(n.cast("int").alias("n_supporting"))
 
 
 def auto_cite(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """For every sentence the chunk that supports it best."""
-    both = _with_chunks(answers, evidence)
-    s = tx.unroll(both, tx.sentences(F.col("answer")), "pos", "sentence", ["answer_id", "chunks"])
-    best = s.withColumn("_f", tx.sentence_facts(F.col("sentence"))).withColumn(
-        "b", best_support(F.col("_f"), tx.strip_citations(F.col("sentence")), F.col("chunks")))
-    return best.select("answer_id", "pos", "sentence", "b.source", "b.location")
+    s = _with_facts(answers, tx.sentences(F.col("answer")))
+    seen = meet_chunks(s, evidence).select("answer_id", "pos", "sentence", _place(F.col("facts"), F.col("own"), F.col("chunk")).alias("p"))
+    at = F.min_by(F.struct("p.source", "p.location"), "p")  # read several times, so the texts of the pairs end before
+    return seen.groupBy("answer_id", "pos").agg(F.first("sentence").alias("sentence"), at.alias("b")).select(
+        "answer_id", "pos", "sentence", "b.source", "b.location")
 
 
 # --- claims --------------------------------------------------------------------------------

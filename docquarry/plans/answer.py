@@ -55,10 +55,10 @@ def answer_questions(questions: DataFrame, retrieved: DataFrame, raw: DataFrame,
         F.array_sort(F.collect_list(F.struct("rank", "source", "location", "score"))).alias("retrieved"))
     empty = F.coalesce("answer", F.lit("")).alias("answer")
     grounded = ground_answers(asked.select("answer_id", "query", empty), evidence).join(scores, "answer_id", "left")
-    refused = (F.size("chunks") == 0) | tx.no_answer(F.col("grounded"))
+    refused = F.col("retrieved").isNull() | tx.no_answer(F.col("grounded"))
     return grounded.select(
         F.col("answer_id").alias("query_id"), "query",
-        F.when(F.size("chunks") == 0, nothing).when(refused, fixed.ROUTE_REFUSAL + suffix).otherwise(F.col("grounded")).alias("response"),
+        F.when(F.col("retrieved").isNull(), nothing).when(refused, fixed.ROUTE_REFUSAL + suffix).otherwise(F.col("grounded")).alias("response"),
         F.when(refused, F.array().cast("array<struct<source:string,location:string>>")).otherwise(
             tx.citations(F.col("grounded"))).alias("citations"),
         F.coalesce("retrieved", F.array().cast("array<struct<rank:int,source:string,location:string,score:double>>")).alias("retrieved"),

@@ -30,11 +30,7 @@ def q_citation_match(s, d):
 
 
 def q_sentence_support(s, d):
-    both = answers(s, d).join(gr.chunk_lists(evidence(s, d)), "answer_id")
-    cut = tx.unroll(both, tx.sentences(F.col("answer")), "pos", "s", ["answer_id", "chunks"])
-    known = cut.select("answer_id", "pos", "chunks", tx.sentence_facts(F.col("s")).alias("f"))
-    n = F.size(F.filter("chunks", lambda c: tx.supported_by(F.col("f"), c["hay"])))
-    return known.select("answer_id", "pos", n.alias("n_supporting"))
+    return gr.sentence_support(answers(s, d), evidence(s, d))
 
 
 def q_auto_cite(s, d):
@@ -42,8 +38,7 @@ def q_auto_cite(s, d):
 
 
 def q_ground_labels(s, d):
-    g = gr.ground_answers(answers(s, d), evidence(s, d))
-    return tx.unroll(g, F.col("sentences"), "pos", "x", ["answer_id"]).select("answer_id", "pos", "x.label", "x.text")
+    return gr.ground_sentences(answers(s, d), evidence(s, d))
 
 
 def q_ground_answers(s, d):

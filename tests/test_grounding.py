@@ -116,3 +116,20 @@ def test_result_count(spark):
                                "k string, n int, e boolean, s boolean")
     got = [r[0] for r in df.select(gr.result_count(F.col("k"), F.col("n"), F.col("e"), F.col("s"))).collect()]
     assert got == [3, 0, 1, 1]
+
+
+def test_answers_with_many_chunks_and_copies(spark):
+    # every chunk of one answer holds one word of the sentence; together they back the citation, alone none does
+    words = ["alpha", "bravo", "charlie", "delta"]
+    rows = [(1, i + 1, "local://a/doc.md", f"Section {i}", f"filler {words[i % 4]} text") for i in range(1000)]
+    rows += [(1, 2001, "other.md", "Section 1", "alpha bravo charlie delta"), (1, 2001, "other.md", "Section 1", "alpha bravo charlie delta")]
+    e = spark.createDataFrame(rows, "answer_id bigint, rank int, source string, location string, content string")
+    texts = ["Seen were alpha then bravo [Citation: doc.md, Section 1].", "Seen were alpha then bravo and charlie."]
+    a = spark.createDataFrame([(1, "\n".join(texts)), (2, texts[1])], "answer_id bigint, answer string")
+    got = {(r["answer_id"], r["pos"]): (r["label"], r["text"]) for r in gr.ground_sentences(a, e).collect()}
+    assert got == {(1, 0): ("cited", texts[0]), (2, 0): ("unsupported", None),
+                   (1, 1): ("auto_cited", "Seen were alpha then bravo and charlie [Citation: other.md, Section 1].")}
+    assert {r["pos"]: r["n_supporting"] for r in gr.sentence_support(a, e).collect()} == {0: 2, 1: 2}
+    assert gr.ground_sentences(a, e.limit(0)).filter("label = 'unsupported'").count() == 2 and gr.ground_sentences(a.limit(0), e).isEmpty()
+    plan = gr.ground_sentences(a, e)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
