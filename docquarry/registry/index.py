@@ -14,6 +14,8 @@ from docquarry.operators import catalog
 from docquarry.plans import tools
 from docquarry.registry.retrieval import ORACLES as RETRIEVAL
 from docquarry.registry.views import FILE_NO, INDEX_COLUMNS, QUESTIONS_SQL, index_chunks, n_vectors, table, with_index
+from docquarry.session import shared_dir
+from docquarry.sources import tables as tb
 
 _ACL = [
     "doc_id", "lang",
@@ -45,6 +47,20 @@ def q_index_status(s, d):
     return catalog.index_status(index_chunks(s, d))
 
 
+def q_index_totals(s, d):
+    """Two batches of one index: totals merged from their sketches, next to whether the estimate is within 3 %."""
+    chunks = index_chunks(s, d)
+    rows = chunks.select("source", "category", "content", (F.col("id") % 2).cast("int").alias("half"), F.lit("t").alias("tenant_id"))
+    empty = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in tb.CHUNKS.split(", ")
+             if c.split()[0] not in ("source", "category", "content", "tenant_id", "batch")]
+    tables = tb.BatchTables(s, shared_dir(s, "totals"))
+    for batch in (0, 1):
+        tables.write("chunks", rows.filter(F.col("half") == batch).select("*", *empty), batch)
+    exact = tables.read("chunks").groupBy("category").agg(F.countDistinct("source").alias("n"))
+    near = F.abs(F.col("sources") - F.col("n")) <= F.greatest(F.lit(1.0), 0.03 * F.col("n"))
+    return tables.totals("category").join(exact, "category").select("category", "chunks", F.col("n").alias("sources"), near.alias("near"))
+
+
 def q_chunks_by_type(s, d):
     return catalog.chunks_by_type(index_chunks(s, d))
 
@@ -172,6 +188,7 @@ ORACLES = {
     "list_files": with_index("SELECT source, category, count(*) AS chunks, max(created_at) AS last_ingested FROM idx GROUP BY ALL"),
     "list_files_category": with_index(
         "SELECT source, category, count(*) AS chunks, max(created_at) AS last_ingested FROM idx WHERE category = 'multimedia' GROUP BY ALL"),
+    "index_totals": with_index("SELECT category, count(*) AS chunks, count(DISTINCT source) AS sources, true AS near FROM idx GROUP BY category"),
     "index_status": with_index("SELECT count(*) AS chunks, count(DISTINCT source) AS sources FROM idx"),
     "chunks_by_type": with_index("SELECT coalesce(source_type, 'total') AS source_type, count(*) AS chunks FROM idx GROUP BY ROLLUP (source_type)"),
     "chunk_preview": with_index("SELECT id, source, substr(content, 1, 120) AS preview, length(content) AS n_chars FROM idx"),

@@ -146,6 +146,32 @@ def test_crash_before_manifest_keeps_the_old_state(spark, tmp_dir):
     assert live(t) == [("s3://kb/a.md", "first a")]
 
 
+def test_totals_come_from_stored_sketches(spark, tmp_dir):
+    t = tb.BatchTables(spark, tmp_dir + "/kb")
+    assert t.totals().first().asDict() == {"chunks": 0, "sources": 0}
+    one, two = (as_files(spark, [(f"{n}.md", f"text of {n} {b}") for n in names]) for b, names in ((1, range(30)), (2, range(20, 50))))
+    ingest.reconcile(t, listing(one), one, 1, NOW, embed).collect()
+    for _ in range(2):  # replayed, a batch still counts once
+        ingest.reconcile(t, listing(two), two, 2, NOW, embed).collect()
+    assert t.totals().first().asDict() == {"chunks": 60, "sources": 50}
+    t.compact(3)  # twenty files are gone by now
+    assert t.totals().first().asDict() == {"chunks": 30, "sources": 30}
+    assert {r["tenant_id"]: r["chunks"] for r in t.totals("tenant_id").collect()} == {one.first()["tenant_id"]: 30}
+    scans = [f for f in t.totals("category").inputFiles() if "/chunks/" in f]
+    assert not scans
+
+
+def test_sketched_sources_stay_within_the_stated_error(spark, tmp_dir):
+    t = tb.BatchTables(spark, tmp_dir + "/kb")
+    empty = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in tb.CHUNKS.split(", ") if c.split()[0] not in ("source", "tenant_id", "category", "batch")]
+    for batch in range(3):  # neighbouring batches share half of their names
+        rows = spark.range(batch * 20_000, batch * 20_000 + 40_000).select(
+            F.concat(F.lit("s3://kb/"), "id").alias("source"), F.lit("t").alias("tenant_id"), F.lit("c").alias("category"), *empty)
+        t.write("chunks", rows, batch)
+    got = t.totals().first()
+    assert got["chunks"] == 120_000 and abs(got["sources"] - 80_000) <= 0.03 * 80_000
+
+
 def test_unread_files_fail_and_are_tried_again(spark, tmp_dir):
     t = tb.BatchTables(spark, tmp_dir + "/kb")
     files = as_files(spark, [("r.pdf", None), ("i.png", None), ("a.md", "text"), ("b.md", "  ")]).withColumn("file_hash", F.col("key")).withColumn("etag", F.col("key"))
