@@ -152,28 +152,56 @@ def _tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(c, "[^a-z0-9]+"), lambda t: F.length(t) >= 2))
 
 
+COMMON = 200  # files; a token of more files than these is met by sets of tokens, not by pairs
+
+
+def best_by_tokens(requests: DataFrame, named: DataFrame, common: int = COMMON) -> DataFrame:
+    """``(request_id, id)``: the row of ``named`` (id, tokens) that shares most tokens with each request
+    (request_id, tokens), at least one; the lowest id among equals.
+
+    A rare token pairs its requests with ``common`` files at most, and these pairs are counted in full. Common tokens
+    would pair everything, so equal sets of them fold to one, a set of files standing for its lowest id, and sets meet
+    sets. A file found by its common tokens alone counts with those; where it has rare ones too, its pair says more.
+    """
+    each = named.select("id", F.explode("tokens").alias("token"))
+    known = each.groupBy("token").agg((F.count("*") > common).alias("often"))
+    have = persist_table(each.join(known, "token"), "named")
+    want = persist_table(requests.select("request_id", F.explode("tokens").alias("token")).join(known, "token"), "wanted")
+
+    def often(df: DataFrame, key: str) -> DataFrame:
+        return df.filter("often").groupBy(key).agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+
+    many, asked = often(have, "id"), often(want, "request_id")
+    pairs = want.filter("NOT often").select("request_id", "token").join(have.filter("NOT often").select("id", "token"), "token")
+    pairs = pairs.groupBy("request_id", "id").agg(F.count("*").alias("rare"))
+    pairs = pairs.join(asked, "request_id", "left").join(many.withColumnRenamed("tokens", "theirs"), "id", "left")
+    by_rare = pairs.select("request_id", "id", (F.col("rare") + F.coalesce(F.size(F.array_intersect("tokens", "theirs")), F.lit(0))).alias("score"))
+    asked = asked.withColumn("query_id", F.array_join("tokens", " "))
+    sets = scoring.best_k(scoring.TokenBlock, asked.select("query_id", "tokens").distinct(), many.groupBy("tokens").agg(F.min("id").alias("id")), 1)
+    by_often = asked.join(sets.filter(F.col("score") >= 1), "query_id").select("request_id", "id", F.col("score").cast("bigint").alias("score"))
+    return by_rare.unionByName(by_often).groupBy("request_id").agg(F.min_by("id", F.struct(-F.col("score"), "id")).alias("id"))
+
+
 def resolve_document(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     """``(request_id, source)`` to the best fitting indexed source.
 
     Stage 1 the source itself; stage 2 a source that ends with the requested
-    name as ``.md`` (lowest id first); stage 3 the source whose file name shares
-    most tokens with the request, at least one. Stage 3 streams the files past
-    the requests, so common tokens make no pairs.
+    name as ``.md`` (lowest id first); stage 3, for what is left, the source whose
+    file name shares most tokens with the request, at least one.
     """
-    # four steps below use the file list: one pass over the chunk table makes it
+    # several steps below use the file list: one pass over the chunk table makes it
     files = persist_table(files_of(chunks), "files")
     r = requests.select("request_id", "source")
     exact = files.join(r, F.col("source") == F.col("f_source")).select("request_id", F.lit(1).alias("stage"), "id")
     as_md = r.withColumn("source", F.concat(
         F.regexp_replace(F.ltrim(file_name(F.col("source")), F.lit("/")), r"\.md$", ""), F.lit(".md"))).filter("source <> '.md'")
     suffix = by_suffix(as_md, files).select("request_id", F.lit(2).alias("stage"), "id")
-    wanted = r.select(F.col("request_id").alias("query_id"), _tokens(F.lower("source")).alias("tokens")).filter(F.size("tokens") > 0)
+    first = exact.unionByName(suffix).groupBy("request_id").agg(F.min(F.struct("stage", "id")).alias("p"))
+    first = persist_table(first.select("request_id", "p.stage", "p.id"), "picks")
+    left = r.join(first, "request_id", "left_anti").select("request_id", _tokens(F.lower("source")).alias("tokens"))
     named = files.select("id", _tokens(F.regexp_replace("_file", r"\.md$", "")).alias("tokens"))
-    near = scoring.best_k(scoring.TokenBlock, wanted, named, 1).filter(F.col("score") >= 1).select(
-        F.col("query_id").alias("request_id"), F.lit(3).alias("stage"), "id")
-    best = exact.unionByName(suffix).unionByName(near).groupBy("request_id").agg(F.min(F.struct("stage", "id")).alias("p"))
-    picks = persist_table(best.select("request_id", "p.stage", "p.id"), "picks")
-    picked = files.select("id", "f_source").join(picks, "id")
+    near = best_by_tokens(left, named).select("request_id", F.lit(3).alias("stage"), "id")
+    picked = files.select("id", "f_source").join(first.unionByName(near), "id")
     return r.join(picked, "request_id", "left").select(
         "request_id", F.col("source").alias("requested"), F.col("f_source").alias("source"), "stage")
 

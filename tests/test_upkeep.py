@@ -489,3 +489,21 @@ def test_lookup_stages(spark):
     d = spark.createDataFrame([(1, "local://it/q2-board-minutes.md"), (2, "x/leave-policy"), (3, "board-minutes-q2-v1.md"), (4, "zzz")], "request_id bigint, source string")
     got = {x["request_id"]: (x["stage"], x["source"]) for x in catalog.resolve_document(d, c).collect()}
     assert got == {1: (1, "local://it/q2-board-minutes.md"), 2: (2, "local://hr/Leave-Policy.md"), 3: (3, "local://it/q2-board-minutes.md"), 4: (None, None)}
+
+
+def test_best_by_tokens_meets_common_tokens_by_sets(spark, monkeypatch):
+    """Rare and common tokens give what all pairs give, and no request meets every file."""
+    names = [(i, sorted({f"w{i % 3}", f"v{i % 5}", f"n{i}"})) for i in range(60)]
+    asks = [(1, ["w1", "v2", "n3"]), (2, ["w2"]), (3, ["n7", "zz"]), (4, ["zz"]), (5, ["v4", "w0", "q"]), (6, [])]
+    f = spark.createDataFrame(names, "id bigint, tokens array<string>")
+    r = spark.createDataFrame(asks, "request_id bigint, tokens array<string>")
+    want = {}
+    for q, tokens in asks:
+        score, i = max((len(set(tokens) & set(t)), -i) for i, t in names)
+        if score:
+            want[q] = -i
+    met, plain = [], catalog.scoring.best_k
+    monkeypatch.setattr(catalog.scoring, "best_k", lambda kind, q, c, k: met.append((q.count(), c.count())) or plain(kind, q, c, k))
+    for common in (0, 1, 15, 100):
+        assert {x["request_id"]: x["id"] for x in catalog.best_by_tokens(r, f, common).collect()} == want
+    assert met[1] == (3, 15)  # sets of the eight common tokens, not five requests and sixty files
