@@ -46,7 +46,7 @@ MAX_BLOCK_BYTES = 64 << 20    # serialized size of a block that is sent to the t
 SLICE_ROWS = 50_000           # chunks per grid cell
 GRID_BLOCKS = 2               # grid cells hold this many times MAX_BLOCK questions
 SAMPLE = 1 / 64               # share of the chunks that gives the floors
-CELLS = 4 << 20               # scores held at once while streaming
+CELLS = 1 << 20               # scores held at once while streaming
 
 
 @dataclass(frozen=True)

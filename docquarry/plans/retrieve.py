@@ -18,6 +18,7 @@ from docquarry.operators import fusion, scoring
 from docquarry.operators.keyword import coverage_terms, idf_terms, keyword_idf
 from docquarry.operators.postings import Postings
 from docquarry.operators.semantic import valid_vectors
+from docquarry.session import persist_table
 
 
 def valid_questions(questions: DataFrame) -> DataFrame:
@@ -55,11 +56,15 @@ def asked_lists(questions: DataFrame, terms: DataFrame, scope: str | None = None
 
 
 def both_lists(asked: DataFrame, chunks: DataFrame, depth: int, *, source_too: bool = False, scope: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
-    """The semantic and the keyword list, ``(query_id, id, score, rank)`` each, from one pass over the chunks."""
+    """The semantic and the keyword list, ``(query_id, id, score, rank)`` each, from one pass over the chunks.
+
+    Both are written at once: told apart in one plan, each would get a pass of its own.
+    """
     tenant, chunks = scoring.one_tenant(asked, chunks)
     c = chunks.select("id", "embedding", is_usable(F.col("embedding")).alias("usable"), F.lower("content").alias("text"), *tenant,
                       *([F.lower("source").alias("source")] if source_too else []), *scoring.scoped(chunks, scope), *scoring.permitted(chunks))
     found = scoring.best_lists([scoring.Ranking("semantic", scoring.VectorBlock, depth), scoring.Ranking("keyword", scoring.TermBlock, depth)], asked, c, **options)
+    found = persist_table(found, "lists")
     return tuple(found.filter(F.col("list") == name).drop("list") for name in ("semantic", "keyword"))
 
 
@@ -143,7 +148,7 @@ def hybrid_retrieve(
 def legacy_candidates(questions: DataFrame, chunks: DataFrame, *, max_block: int = scoring.MAX_BLOCK, index: Postings | None = None) -> DataFrame:
     """Rarity-weighted single-index search before the reranker: floors, fusion from 0.
 
-    ``index``: stored postings, which give the rarity of the question words; without them, the texts are read for it.
+    ``index``: stored postings, which give the rarity of the question words; without them, a pass over the texts counts it.
     """
     depth = chunks.select("id").limit(fixed.INDEX_LIST_DEPTH).count()
     asked = asked_lists(questions, idf_terms(questions, keyword_idf(questions, chunks, index=index)))

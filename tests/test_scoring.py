@@ -254,3 +254,36 @@ def test_model_scorer_seam(frames):
     scorer = pair_scorer(lambda: (lambda qs, cs: [float(len(x)) for x in cs]))
     top = retrieve.hybrid_retrieve(q, c, scorer=scorer, floor=-1.0).filter("rank = 1").collect()
     assert top and all(r["score"] >= len(r["content"]) for r in top)
+
+
+def test_keyword_lists_scan_without_postings(spark, frames, monkeypatch):
+    """Rarity, coverage and lists come from passes over the texts: no word meets the chunks row by row."""
+    from docquarry.operators import keyword
+
+    for name in ("weighted_hits", "word_df"):
+        monkeypatch.setattr(keyword, name, None)
+    q, c = frames
+    for found in (keyword_idf(q, c, []), keyword_coverage(q, c, []), keyword_idf_topk(q, c, 5)):
+        assert found.count()
+
+
+def test_both_lists_read_the_chunks_once(spark, frames):
+    from docquarry.plans.retrieve import asked_lists, both_lists
+
+    q, c = frames
+    passes = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            passes.add(b.num_rows)
+            yield b
+
+    c = c.mapInArrow(seen, c.schema)
+    semantic, keyword = both_lists(asked_lists(q, coverage_terms(q, [])), c, 5, sample=0)
+    assert fusion_rows(semantic, keyword) and passes.value == 300
+
+
+def fusion_rows(semantic, keyword) -> int:
+    from docquarry.operators.fusion import rrf_fusion
+
+    return rrf_fusion(semantic, keyword).count()
