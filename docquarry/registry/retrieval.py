@@ -16,6 +16,7 @@ from docquarry.operators.buckets import semantic_topk_buckets
 from docquarry.operators.semantic import recall_of, semantic_top1, semantic_topk, valid_vectors
 from docquarry.plans import retrieve
 from docquarry.registry.views import index_buckets, index_chunks, index_postings, questions, table, with_index
+from docquarry.session import persist_table
 
 
 def _in_list(words: list[str]) -> str:
@@ -265,7 +266,8 @@ def q_hybrid_retrieve_acl(s, d):
     """Every question's user sees only chunks that their permissions allow, before anything is scored."""
     shared = table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").selectExpr(
         "doc_id AS id", *[f"{e.format(a='array(', y=')', z='')} AS `{c}`" for c, e in ACL.items()])
-    c = with_grants(index_chunks(s, d).join(shared, "id"))
+    # stored once: the passes and the last join would each shuffle all texts to their permissions again
+    c = persist_table(with_grants(index_chunks(s, d).join(shared, "id")), "granted")
     q = with_principals(questions(s, d).withColumn("user", F.expr(_USER)))
     return retrieve.hybrid_retrieve(q, c).select(
         "query_id", "rank", "id", "source", "location", "semantic_score", F.round("score", 6).alias("score"))
