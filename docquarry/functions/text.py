@@ -17,6 +17,8 @@ from docquarry.functions import fixed
 WORD = r"\p{L}\p{N}_"
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_SPACE = "[^" + SPACE[1:]
+_LINE_END = r"[\n\x0b\f\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+_IN_LINE_SPACE = r"[\t\x{1f}\x{20}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"  # white space that ends no line
 EDGE_START = rf"(?<![{WORD}])"
 EDGE_END = rf"(?![{WORD}])"
 EDGE = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
@@ -48,7 +50,8 @@ def strip(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return strip(F.coalesce(c, F.lit(""))) == ""
+    # trimmed at the left only, which stops at the first other character; at the right the whole text is walked
+    return F.ltrim(F.coalesce(c, F.lit("")), F.lit(STRIP_CHARS)) == ""
 
 
 def any_match(c: Column, patterns: list[str], ignore_case: bool = False) -> Column:
@@ -58,9 +61,8 @@ def any_match(c: Column, patterns: list[str], ignore_case: bool = False) -> Colu
 
 def lines(c: Column) -> Column:
     """Split at every line end; a final line end opens no extra line."""
-    parts = F.split(c, r"\r\n|[\n\x0b\f\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]", -1)
-    last_empty = F.element_at(parts, -1) == ""
-    return F.when(last_empty, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(c, rf"\r\n|{_LINE_END}", -1), lambda parts: F.when(
+        F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def words(c: Column) -> Column:
@@ -501,12 +503,20 @@ def timestamp_location(start: Column, end: Column) -> Column:
     return F.concat(F.lit("Timestamp "), clock(start), F.lit(" - "), clock(end))
 
 
+_LINE_GAP = rf"(?:(?<!{_IN_LINE_SPACE}){_IN_LINE_SPACE}++)?+{_LINE_END}{SPACE}*+"
+_NOISE_LINE = rf"(?<![^\n])(?:[^\n]{{0,{fixed.OCR_LINE_CHARS - 1}}}+(?![^\n])|(?:{NOT_SPACE}++{_IN_LINE_SPACE}++){{0,{fixed.OCR_LINE_WORDS - 2}}}+{NOT_SPACE}++(?![^\n]))\n?+"
+
+
 def clean_ocr(c: Column) -> Column:
-    """Drop noise lines, then scrub."""
-    kept = F.filter(
-        F.transform(lines(c), strip),
-        lambda l: (F.length(l) >= fixed.OCR_LINE_CHARS) & (F.size(split_space(l)) >= fixed.OCR_LINE_WORDS))
-    return scrub(F.array_join(kept, "\n"))
+    """Drop noise lines, then scrub.
+
+    Two patterns over the whole text: one strips lines and drops blank ones, the other drops lines that are too short
+    or have too few words. No line becomes a value of its own.
+    """
+    def drop(stripped: Column) -> Column:
+        return F.rtrim(F.regexp_replace(stripped, _NOISE_LINE, ""), F.lit("\n"))
+
+    return let(let(strip(F.regexp_replace(c, _LINE_GAP, "\n")), drop), scrub)
 
 
 def telling_description(c: Column) -> Column:

@@ -244,3 +244,17 @@ def test_images(spark):
 def test_fixed_lists_have_no_repeats():
     for words in (fixed.ROUTE_STOPWORDS, fixed.TOOL_STOPWORDS, fixed.INDEX_STOPWORDS, fixed.ALLOWED_EXTS):
         assert len(words) == len(set(words))
+
+
+@pytest.mark.parametrize("a", [
+    "  two words here \n\n one\nshort\x0b\tnext good line\r\nab cd\x85last long enough  ", "a b c d e f 　ten chars x \x1c\x1c", "\n\r\n",
+    "oneverylongwordalone\r two words here", "", "x\ny\nsome words here\nz"])
+def test_ocr_lines_as_plain_python_keeps_them(value, a):
+    kept = [x for x in (line.strip() for line in a.splitlines()) if len(x) >= fixed.OCR_LINE_CHARS and len(x.split()) >= fixed.OCR_LINE_WORDS]
+    assert value(tx.clean_ocr(A), a=a) == "\n".join(kept)
+
+
+def test_ocr_text_is_worked_out_once(spark):
+    """The pattern runs over a text once."""
+    plan = spark.range(1).select(F.col("id").cast("string").alias("a")).select(tx.clean_ocr(F.upper(A)).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(") == 1
