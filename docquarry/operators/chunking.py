@@ -236,9 +236,12 @@ def front_matter(text: Column) -> Column:
         return F.struct(permissions.alias("permissions"), p["body"].alias("body"))
 
     has = text.rlike(_FRONT)
-    return let(F.struct(
+    split = let(F.struct(
         F.when(has, F.regexp_extract(text, _FRONT, 1)).otherwise("").alias("header"),
         F.when(has, F.regexp_replace(text, _FRONT, "")).otherwise(text).alias("body")), of)
+    # most texts do not open with a header; a look at their start spares them the patterns
+    return F.when(F.startswith(text, F.lit("---")), split).otherwise(F.struct(
+        F.lit(None).cast("struct<visibility:string,groups:array<string>,users:array<string>>").alias("permissions"), text.alias("body")))
 
 
 # --- media ------------------------------------------------------------------------------

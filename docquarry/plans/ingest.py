@@ -125,6 +125,18 @@ def ingest_batch(files: DataFrame, ledger: DataFrame, embed: Callable[[DataFrame
     return rows, new.unionByName(known).unionByName(bad)
 
 
+def only_keys(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Files whose ``(tenant_id, key)`` is in ``wanted``, a stored table.
+
+    A pass mostly takes nearly all files or few of them. The shorter of both lists, of the keys to take or of those to
+    leave out, decides, so that texts are seldom shuffled to a list of all files.
+    """
+    by = ["tenant_id", "key"]
+    named = files.filter(F.col("tenant_id").isNotNull() & F.col("key").isNotNull())
+    others = persist_table(named.select(*by).distinct().join(wanted, by, "left_anti"), "left-out")
+    return named.join(others, by, "left_anti") if others.count() < wanted.count() else files.join(wanted, by, "left_semi")
+
+
 def apply_changes(tables: BatchTables, diff: DataFrame, files: DataFrame, batch: int, now: Column,
                   embed: Callable[[DataFrame, str], DataFrame] = embed_hashed, failures: DataFrame | None = None,
                   front: Callable[[Column], Column] = chunking.front_matter) -> DataFrame:
@@ -148,7 +160,7 @@ def apply_changes(tables: BatchTables, diff: DataFrame, files: DataFrame, batch:
     plan = persist_table(
         files.select(*by, "source", "file_hash", has_payload(files).alias("readable")).join(todo, by).join(before, by, "left")
         .withColumn("same", F.coalesce(same, F.lit(False))), "todo")
-    rows = index_rows(files.join(plan.filter("readable AND NOT same").select(*by), by, "left_semi"), embed, front)
+    rows = index_rows(only_keys(files.filter(tx.is_allowed(F.col("key"))), plan.filter("readable AND NOT same").select(*by)), embed, front)
     tables.write("chunks", rows, batch)
     n = tables.read("chunks").filter(F.col("batch") == batch).groupBy("tenant_id", "source").agg(F.count("*").alias("chunks"))
     done = persist_table(plan.join(n, ["tenant_id", "source"], "left"), "done")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.operators.catalog import assert_tenant, tenant_scope
+from docquarry.session import persist_table
 
 SNAPSHOT_EVERY = 16
 CHUNKS = (
@@ -134,9 +135,18 @@ class BatchTables:
                 self.write(name, self.spark.createDataFrame([], SCHEMAS[name]), row["batch"])
 
     def live_chunks(self) -> DataFrame:
-        """Chunks of the batch that holds the current text of every source."""
-        current = self.manifest().select("tenant_id", "source", F.col("chunk_batch").alias("batch"))
-        return self.read("chunks").join(current, ["tenant_id", "source", "batch"], "left_semi")
+        """Chunks of the batch that holds the current text of every source.
+
+        Batches without a live source are not read. Of the others, keys alone tell which sources a later batch has
+        replaced; these are stored and left out, so texts and vectors need not be shuffled to the manifest, which names
+        every source there is.
+        """
+        key = ["tenant_id", "source", "batch"]
+        current = persist_table(self.manifest().select("tenant_id", "source", F.col("chunk_batch").alias("batch")), "current")
+        live = [r["batch"] for r in current.select("batch").distinct().collect() if r["batch"] is not None]  # as many as batches
+        chunks = self.read("chunks").filter(F.col("batch").isin(live) & F.col("tenant_id").isNotNull() & F.col("source").isNotNull())
+        gone = persist_table(chunks.select(*key).distinct().join(current, key, "left_anti"), "gone")
+        return chunks.join(gone, key, "left_anti")
 
     def ledger(self) -> DataFrame:
         """Known ``(tenant_id, file_hash, source)`` with chunk counts."""

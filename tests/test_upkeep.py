@@ -507,3 +507,21 @@ def test_best_by_tokens_meets_common_tokens_by_sets(spark, monkeypatch):
     for common in (0, 1, 15, 100):
         assert {x["request_id"]: x["id"] for x in catalog.best_by_tokens(r, f, common).collect()} == want
     assert met[1] == (3, 15)  # sets of the eight common tokens, not five requests and sixty files
+
+
+def test_replaced_batches_are_not_read_again(spark, tmp_dir):
+    """Chunks of a batch without a live source stay unread; of others, only replaced sources are left out."""
+    t = tb.BatchTables(spark, tmp_dir + "/kb")
+    for batch, (a, b) in enumerate((("one", "two"), ("one", "three"), ("four", "three")), 1):
+        files = as_files(spark, [("a.md", a), ("b.md", b)])
+        ingest.reconcile(t, listing(files), files, batch, NOW, embed).collect()
+        assert live(t) == [("s3://kb/a.md", a), ("s3://kb/b.md", b)]
+    assert re.search(r"batch#\d+L? IN \((2,3|3,2)\)", t.live_chunks()._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_the_shorter_list_of_keys_selects_files(spark):
+    files = spark.range(10).selectExpr("'t' AS tenant_id", "CASE WHEN id < 8 THEN concat('k', id) END AS key", "id").cache()
+    for n, kind in ((6, "LeftAnti"), (2, "LeftSemi"), (0, "LeftSemi"), (8, "LeftAnti")):
+        got = ingest.only_keys(files, files.filter(f"id < {n}").select("tenant_id", "key"))
+        assert sorted(r["id"] for r in got.collect()) == list(range(n))
+        assert kind in got._jdf.queryExecution().analyzed().toString()
