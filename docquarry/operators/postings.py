@@ -4,15 +4,20 @@ A question word counts as found where the text holds it as a substring. Words
 are runs of letters, digits and underscores, so a text holds a word just if one
 of the text's own such runs (tokens) does. ``tokens`` lists the distinct tokens
 of each chunk, in folders by ``slot`` and sorted, so a search reads the slots of
-its tokens; ``grams`` lists the one to three letters long substrings of every
-token of the vocabulary. A word meets the vocabulary by its rarest gram, is
-verified there, and meets the chunks through an equi-join on tokens: no text is
-read again, and a token that stands in a third of all chunks is rows like
-others.
+its tokens; ``grams`` lists what starts at each place of every token of the
+vocabulary, three letters long or up to the token's end, so that each of a
+token's substrings of one to three letters is the head of a gram. A word meets
+the vocabulary by its rarest gram, is verified there, and meets the chunks
+through an equi-join on tokens: no text is read again, and a token that stands
+in a third of all chunks is rows like others.
+
+Texts are cut into words once per batch: the vocabulary is read from the
+batch's stored tokens.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,35 +38,42 @@ class Postings:
 
 
 def _tokens_of(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    # splitting at all else gives the same words as matching them, and is faster
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}_]+")), "")
 
 
 def _grams_of(token: Column) -> Column:
-    spots = F.sequence(F.lit(1), F.length(token))
-    cut = [F.filter(F.transform(spots, lambda i: F.substr(token, i, F.lit(n))), lambda g: F.length(g) == n) for n in range(1, GRAM + 1)]
-    return F.array_distinct(F.concat(*cut))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.substr(token, i, F.lit(GRAM))))
+
+
+def _heads_of(gram: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(gram)), lambda n: F.substr(gram, F.lit(1), n))
+
+
+def _grams_from(tokens: DataFrame) -> DataFrame:
+    return tokens.select("token").distinct().select("token", F.explode(_grams_of(F.col("token"))).alias("gram"))
 
 
 def postings_of(chunks: DataFrame) -> Postings:
     """The postings of chunks (id, content, source)."""
     both = F.array(*(F.struct(F.coalesce(_tokens_of(F.col(c)), F.array().cast("array<string>")).alias("all"), F.lit(c == "source").alias("in_name")) for c in ("content", "source")))
     tokens = chunks.select("id", F.explode(both).alias("b")).select("id", "b.in_name", F.explode("b.all").alias("token"))
-    grams = tokens.select("token").distinct().select("token", F.explode(_grams_of(F.col("token"))).alias("gram"))
-    return Postings(tokens, grams, chunks.agg(F.count("*").alias("n")))
+    return Postings(tokens, _grams_from(tokens), chunks.agg(F.count("*").alias("n")))
 
 
 def write_postings(chunks: DataFrame, path: str) -> None:
-    """Adds the postings of new chunks to those at ``path``."""
-    made = postings_of(chunks)
+    """Adds the postings of new chunks to those at ``path``, as a batch of their own."""
+    made, batch = postings_of(chunks), f"batch=b{uuid.uuid4().hex}"
     slotted = made.tokens.withColumn("slot", F.pmod(F.xxhash64("token"), F.lit(SLOTS)).cast("int"))
     # rebalancing splits large slots and merges small ones, without a pass to sample
-    slotted.hint("rebalance", "slot").sortWithinPartitions("slot", "token", "id").write.mode("append").partitionBy("slot").parquet(f"{path}/tokens")
-    made.grams.hint("rebalance", "gram").sortWithinPartitions("gram").write.mode("append").parquet(f"{path}/grams")
-    made.sizes.write.mode("append").parquet(f"{path}/sizes")
+    slotted.hint("rebalance", "slot").sortWithinPartitions("slot", "token", "id").write.partitionBy("slot").parquet(f"{path}/tokens/{batch}")
+    grams = _grams_from(chunks.sparkSession.read.schema("token string").parquet(f"{path}/tokens/{batch}"))
+    grams.hint("rebalance", "gram").sortWithinPartitions("gram").write.parquet(f"{path}/grams/{batch}")
+    made.sizes.write.parquet(f"{path}/sizes/{batch}")
 
 
 def read_postings(spark: SparkSession, path: str) -> Postings:
-    return Postings(spark.read.parquet(f"{path}/tokens"), spark.read.schema("token string, gram string").parquet(f"{path}/grams"),
+    return Postings(spark.read.parquet(f"{path}/tokens").drop("batch"), spark.read.schema("token string, gram string").parquet(f"{path}/grams"),
                     spark.read.schema("n bigint").parquet(f"{path}/sizes"))
 
 
@@ -70,9 +82,11 @@ def _spread_words(words: DataFrame, postings: Postings) -> DataFrame:
     parts = F.when(F.length("word") <= GRAM, F.array("word")).otherwise(
         F.transform(F.sequence(F.lit(1), F.length("word") - (GRAM - 1)), lambda i: F.substr("word", i, F.lit(GRAM))))
     asked = words.select("word", F.explode(parts).alias("gram"))
-    sizes = postings.grams.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    heads = postings.grams.select("token", F.explode(_heads_of(F.col("gram"))).alias("gram"))
+    sizes = heads.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     rarest = asked.join(sizes, "gram", "left").groupBy("word").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    return rarest.join(postings.grams, "gram").filter(F.contains("token", "word")).select("word", "token")
+    # a token holds a short gram at several places, and several batches hold a token
+    return rarest.join(heads, "gram").filter(F.contains("token", "word")).select("word", "token").distinct()
 
 
 def word_hits(words: DataFrame, postings: Postings, *, names: bool = True, starts: bool = False) -> DataFrame:

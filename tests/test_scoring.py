@@ -218,6 +218,30 @@ def test_stored_postings_are_pruned_by_slot(spark, frames, tmp_dir):
     assert "slot" in hits._jdf.queryExecution().executedPlan().toString()
 
 
+def test_postings_cut_each_text_once_and_list_each_place_of_a_token_once(spark, tmp_dir):
+    texts = [" ,a,,banana b ", "", None, "é_1 Banana", "\u0130stanbul \u039f\u0394\u039f\u03a3.\u0391 \u2167 日本"]
+    cut = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        cut.add(1)
+        return text
+
+    plain = spark.createDataFrame([(i, t, f"x/{i}.md") for i, t in enumerate(texts)], "id bigint, content string, source string")
+    plain.write.parquet(tmp_dir + "/c")
+    c = spark.read.parquet(tmp_dir + "/c").withColumn("content", F.udf(seen)("content"))
+    write_postings(c, tmp_dir + "/p")
+    assert cut.value == len(texts)
+    index = read_postings(spark, tmp_dir + "/p")
+    want = plain.selectExpr("id", "false AS in_name", "explode(array_distinct(regexp_extract_all(lower(content), '([\\\\p{L}\\\\p{N}_]+)', 1))) AS token")
+    assert sorted(map(tuple, index.tokens.filter("NOT in_name").select("id", "in_name", "token").collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(r["gram"] for r in index.grams.filter("token = 'banana'").collect()) == ["a", "ana", "ban", "na", "nan"]
+    # a later batch lists its own tokens only, and a word found at several places counts once
+    write_postings(plain.filter("id = 3"), tmp_dir + "/p")
+    assert index.sizes.count() == 1 and read_postings(spark, tmp_dir + "/p").grams.filter("token = 'a'").count() == 1
+    hits = word_hits(spark.createDataFrame([("a",), ("na",), ("anan",)], "word string"), index, names=False).collect()
+    assert sorted(map(tuple, hits)) == [("a", 0), ("a", 3), ("a", 4), ("anan", 0), ("anan", 3), ("na", 0), ("na", 3)]
+
+
 def test_prefix_match_on_source_names(spark):
     c = spark.createDataFrame([(1, "x/billing-2024.md", "nothing here"), (2, "x/other.md", "nothing here")],
                               "id bigint, source string, content string")
