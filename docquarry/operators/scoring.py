@@ -41,12 +41,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
+from docquarry.session import persist_table, small_batches
+
 MAX_BLOCK = 4096              # questions per block
 MAX_BLOCK_BYTES = 64 << 20    # serialized size of a block that is sent to the tasks
 SLICE_ROWS = 50_000           # chunks per grid cell
 GRID_BLOCKS = 2               # grid cells hold this many times MAX_BLOCK questions
 SAMPLE = 1 / 64               # share of the chunks that gives the floors
-CELLS = 1 << 20               # scores held at once while streaming
+CELLS = 1 << 18               # scores held at once while streaming
+TEXT_ROWS = 256               # texts held as Python strings at once
 
 
 @dataclass(frozen=True)
@@ -190,10 +193,9 @@ class TermBlock:
         return hit
 
     def hits(self, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
         at = batch.schema.get_field_index("source")
         names = batch.column(at).to_pylist() if at >= 0 else None
-        for i, text in enumerate(texts):
+        for i, text in enumerate(strings(batch, "text")):
             found = self.find(text or "")
             if names is not None:
                 found |= self.find(names[i] or "")
@@ -263,6 +265,13 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def strings(batch: pa.RecordBatch, name: str) -> Iterator[str | None]:
+    """A column of long texts as Python strings, a few at once."""
+    column = batch.column(batch.schema.get_field_index(name))
+    for start in range(0, len(column), TEXT_ROWS):
+        yield from column.slice(start, TEXT_ROWS).to_pylist()
+
+
 def matcher(number: dict[str, int]) -> Callable[[str], set[int]]:
     if not number:
         return lambda text: set()
@@ -440,13 +449,21 @@ def best_lists(rankings: list[Ranking], questions: DataFrame, chunks: DataFrame,
         if block is None:
             questions = questions.join(floors, "query_id", "left")
         else:  # as many rows as the block at most
-            found = {r["query_id"]: r for r in floors.collect()}
+            with small_batches(chunks.sparkSession):
+                found = {r["query_id"]: r for r in floors.collect()}
             for r in rankings:
                 name = f"floor_{r.name}"
                 block = block.append_column(name, pa.array([found[q][name] if q in found else None for q in block["query_id"].to_pylist()], pa.float64()))
     return best_of(partial_lists(rankings, questions, chunks, max_block=max_block, block=block), rankings)
 
 
+def stored_lists(rankings: list[Ranking], questions: DataFrame, chunks: DataFrame, **options) -> DataFrame:
+    """:func:`best_lists`, run at once in small batches and stored, so that a worker holds few texts however large the partitions are."""
+    found = best_lists(rankings, questions, chunks, **options)
+    with small_batches(chunks.sparkSession):
+        return persist_table(found, "lists")
+
+
 def best_k(kind: type, questions: DataFrame, chunks: DataFrame, k: int, **options) -> DataFrame:
     """The exact best ``k`` chunks of a single list: ``(query_id, id, score, rank)``."""
     return best_lists([Ranking("best", kind, k)], questions, chunks, **options).drop("list")

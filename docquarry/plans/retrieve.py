@@ -18,7 +18,6 @@ from docquarry.operators import fusion, scoring
 from docquarry.operators.keyword import coverage_terms, idf_terms, keyword_idf
 from docquarry.operators.postings import Postings
 from docquarry.operators.semantic import valid_vectors
-from docquarry.session import persist_table
 
 
 def valid_questions(questions: DataFrame) -> DataFrame:
@@ -63,8 +62,7 @@ def both_lists(asked: DataFrame, chunks: DataFrame, depth: int, *, source_too: b
     tenant, chunks = scoring.one_tenant(asked, chunks)
     c = chunks.select("id", "embedding", is_usable(F.col("embedding")).alias("usable"), F.lower("content").alias("text"), *tenant,
                       *([F.lower("source").alias("source")] if source_too else []), *scoring.scoped(chunks, scope), *scoring.permitted(chunks))
-    found = scoring.best_lists([scoring.Ranking("semantic", scoring.VectorBlock, depth), scoring.Ranking("keyword", scoring.TermBlock, depth)], asked, c, **options)
-    found = persist_table(found, "lists")
+    found = scoring.stored_lists([scoring.Ranking("semantic", scoring.VectorBlock, depth), scoring.Ranking("keyword", scoring.TermBlock, depth)], asked, c, **options)
     return tuple(found.filter(F.col("list") == name).drop("list") for name in ("semantic", "keyword"))
 
 

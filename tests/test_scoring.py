@@ -291,6 +291,30 @@ def test_keyword_lists_scan_without_postings(spark, frames, monkeypatch):
         assert found.count()
 
 
+def test_stored_lists_take_texts_in_small_batches_whatever_the_partitions(spark):
+    from docquarry.session import BATCH_ROWS
+
+    class Held:
+        """Scores each chunk by the chunks that came with it."""
+
+        needs = ("terms",)
+
+        def __init__(self, questions):
+            self.n = len(questions)
+
+        def scores(self, batch):
+            return np.full((self.n, batch.num_rows), float(batch.num_rows))
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    q = spark.createDataFrame([(1, ["a"])], "query_id bigint, terms array<string>")
+    for rows in (3 * BATCH_ROWS, 9 * BATCH_ROWS):
+        c = spark.range(rows).coalesce(1).withColumn("text", F.lit("a"))
+        found = scoring.stored_lists([scoring.Ranking("held", Held, rows)], q, c, sample=0)
+        assert found.agg(F.max("score"), F.count("*")).first() == (BATCH_ROWS, rows)
+    assert spark.conf.get(key) == before
+
+
 def test_both_lists_read_the_chunks_once(spark, frames):
     from docquarry.plans.retrieve import asked_lists, both_lists
 
