@@ -57,11 +57,15 @@ def with_principals(questions: DataFrame, user: str = "user") -> DataFrame:
 
 # --- inventory ------------------------------------------------------------------------
 
+def inventory(chunks: DataFrame) -> DataFrame:
+    """Chunk count and last write per file, in no order."""
+    return chunks.groupBy("source", "category").agg(
+        F.count("*").alias("chunks"), F.max("created_at").alias("last_ingested"))
+
+
 def list_files(chunks: DataFrame, category: str | None = None) -> DataFrame:
     """Chunk count and last write per file."""
-    rows = chunks if category is None else chunks.filter(F.col("category") == category)
-    files = rows.groupBy("source", "category").agg(
-        F.count("*").alias("chunks"), F.max("created_at").alias("last_ingested"))
+    files = inventory(chunks if category is None else chunks.filter(F.col("category") == category))
     order = [F.col("last_ingested").desc(), "source"]
     return files.orderBy(*(["category"] if category is None else []), *order)
 

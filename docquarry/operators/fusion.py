@@ -43,19 +43,26 @@ def dedup_key(content: Column, chars: int = fixed.DEDUP_KEY_CHARS) -> Column:
     return F.substring(F.lower(strip(content)), 1, chars)
 
 
+def text_keys(chunks: DataFrame) -> DataFrame:
+    """``id, _key``: a digest of the leading text of every chunk that has one."""
+    return chunks.select("id", dedup_key(F.col("content")).alias("_key")).filter("_key <> ''").withColumn("_key", F.unhex(F.md5("_key")))
+
+
 def candidate_dedup(candidates: DataFrame, cap: int = fixed.CANDIDATE_CAP) -> DataFrame:
     """Best fused row per (question, leading text), then the first ``cap`` rows.
 
-    Adds ``place``, the row's place in the fused order. Blank texts are dropped.
+    Adds ``place``, the row's place in the fused order. Blank texts are dropped. Candidates without their texts bring
+    the ``_key`` of :func:`text_keys`.
     """
     w = Window.partitionBy("query_id", "_key").orderBy(F.col("rrf").desc(), "id")
     order = Window.partitionBy("query_id").orderBy(F.col("rrf").desc(), "id")
-    return (
-        fan_out(candidates, "query_id").withColumn("_key", dedup_key(F.col("content")))
+    keyed = fan_out(candidates, "query_id")
+    if "_key" not in candidates.columns:
         # naming a candidate column keeps this test on the candidates; alone it would be
         # moved to the scan and lower every text of the index
-        .filter((F.col("_key") != "") | (F.col("rrf") <= 0))
-        .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", "_key")
+        keyed = keyed.withColumn("_key", dedup_key(F.col("content"))).filter((F.col("_key") != "") | (F.col("rrf") <= 0))
+    return (
+        keyed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", "_key")
         .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= cap))
 
 

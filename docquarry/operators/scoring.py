@@ -78,6 +78,8 @@ class BestK:
         self.low_id = self.i = None
         self.q = np.empty(0, np.int64)
         self.s = np.empty(0)
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # joined to the others when they are cut
+        self.held = 0
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         """A whole matrix, questions x chunks; -inf marks pairs that do not count."""
@@ -93,11 +95,15 @@ class BestK:
         if self.i is None:
             self.i, self.low_id = i[:0], np.zeros(self.n, i.dtype)
         better = (s > self.low[qi]) | ~self.full[qi] | (i < self.low_id[qi])
-        self.q, self.s, self.i = np.concatenate([self.q, qi[better]]), np.concatenate([self.s, s[better]]), np.concatenate([self.i, i[better]])
-        if self.q.size > 4 * self.n * self.k:
+        self.new.append((qi[better], s[better], i[better]))
+        self.held += int(better.sum())
+        if self.held > 4 * self.n * self.k:
             self.cut()
 
     def cut(self) -> None:
+        self.q, self.s, self.i = (np.concatenate(x) for x in zip((self.q, self.s, self.i), *self.new))
+        self.new = []
+        self._prune()
         order = np.lexsort((self.i, -self.s, self.q))
         q = self.q[order]
         place = np.arange(q.size) - np.searchsorted(q, np.arange(self.n))[q]
@@ -108,6 +114,23 @@ class BestK:
         last = np.cumsum(count)[full] - 1
         self.low_id = self.low_id.astype(np.promote_types(self.low_id.dtype, self.i.dtype))
         self.low[full], self.low_id[full], self.full[full] = self.s[last], self.i[last], True
+        self.held = self.q.size
+
+    def _prune(self) -> None:
+        """Drop what is below its question's k-th best score, which a sort of plain numbers tells, so that few rows are put in order.
+
+        Question and score make one number that never falls as the score falls, so rounding can only keep more.
+        """
+        count = np.bincount(self.q, minlength=self.n)
+        more = np.nonzero(count > self.k)[0]
+        if not more.size:
+            return
+        best, least = self.s.max(), self.s.min()
+        place = self.q + (best - self.s) / (2 * (best - least) or 1.0)
+        last = np.full(self.n, np.inf)
+        last[more] = np.sort(place)[(np.cumsum(count) - count)[more] + self.k - 1]
+        kept = place <= last[self.q]
+        self.q, self.s, self.i = self.q[kept], self.s[kept], self.i[kept]
 
     def table(self, name: str, query_ids: pa.Array, id_type: pa.DataType) -> pa.RecordBatch | None:
         if self.i is None:
@@ -142,6 +165,21 @@ class VectorBlock:
         e = matrix(embeddings)
         return np.round(self.m @ e.T / np.linalg.norm(e, axis=1), 6) + 0.0
 
+    def reaching(self, batch: pa.RecordBatch, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs (question, chunk, score) of ``scores`` that reach each question's ``low``; only near ones are rounded."""
+        at, column = batch.schema.get_field_index("usable"), batch.column(batch.schema.get_field_index("embedding"))
+        used = np.arange(batch.num_rows) if at < 0 else np.nonzero(batch.column(at).to_numpy(zero_copy_only=False))[0]
+        column = column if at < 0 else column.filter(batch.column(at))
+        if not len(column):
+            return used[:0], used[:0], np.empty(0)
+        e = matrix(column)
+        raw = self.m @ e.T
+        raw /= np.linalg.norm(e, axis=1)
+        qi, ci = np.divmod(np.flatnonzero(raw >= low[:, None] - 1e-6), len(e))
+        s = np.round(raw[qi, ci], 6) + 0.0
+        near = s >= low[qi]
+        return qi[near], used[ci[near]], s[near]
+
 
 class TermBlock:
     """All question words in one matcher; each text is walked once.
@@ -216,7 +254,7 @@ class TermBlock:
 
 
 class TokenBlock:
-    """Counts the tokens that a chunk's token list shares with each question."""
+    """Counts the tokens that a chunk's token list shares with each question, once each."""
 
     needs = ("tokens",)
 
@@ -237,6 +275,28 @@ class TokenBlock:
         return out
 
 
+class CountedTokenBlock(TokenBlock):
+    """Counts a token as often as the question has it."""
+
+    def __init__(self, questions: pa.Table):
+        self.n = len(questions)
+        askers: dict[str, dict[int, int]] = {}
+        for q, tokens in enumerate(questions["tokens"].to_pylist()):
+            for t in tokens:
+                mine = askers.setdefault(t, {})
+                mine[q] = mine.get(q, 0) + 1
+        self.askers = {t: (np.array(list(qs)), np.array(list(qs.values()), float)) for t, qs in askers.items()}
+
+    def scores(self, batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros((batch.num_rows, self.n))  # a chunk's scores lie together while they are counted
+        for i, tokens in enumerate(batch.column(batch.schema.get_field_index("tokens")).to_pylist()):
+            for t in tokens or ():
+                if t in self.askers:
+                    at, times = self.askers[t]
+                    out[i, at] += times
+        return out.T
+
+
 class TermThenVectorBlock:
     """Orders by words found, then by similarity, folded into one number.
 
@@ -343,11 +403,14 @@ class _Run:
             part = batch.slice(start, self.step)
             ids = part.column(part.schema.get_field_index("id"))
             self.id_type = ids.type
+            masks = [seen for seen in (mask(part) for mask in self.masks) if seen is not None]
+            if not masks and hasattr(self.block, "reaching"):
+                qi, ci, s = self.block.reaching(part, self.best.low)
+                self.best.add_pairs(qi, s, ids_of(ids)[ci])
+                continue
             scores = self.block.scores(part)
-            for mask in self.masks:
-                seen = mask(part)
-                if seen is not None:
-                    scores = np.where(seen, scores, -np.inf)
+            for seen in masks:
+                scores = np.where(seen, scores, -np.inf)
             self.best.add(scores, ids_of(ids))
 
     def table(self) -> pa.RecordBatch | None:
@@ -370,6 +433,7 @@ def meet(
     chunk_key: str = "id",
     max_block: int = MAX_BLOCK,
     block: pa.Table | None = None,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Run ``fold(block of questions, batches of chunks)`` so that every pair meets once.
 
@@ -387,7 +451,7 @@ def meet(
 
     size = questions.agg(F.count("*").alias("n")).first()["n"]
     n_blocks = max(1, math.ceil(size / (GRID_BLOCKS * max_block)))
-    n_slices = max(1, math.ceil(chunks.count() / SLICE_ROWS))
+    n_slices = max(1, math.ceil(chunks.count() / slice_rows))
     cell = ["_block", "_slice"]
     left = chunks.withColumn("_slice", F.pmod(F.xxhash64(chunk_key), F.lit(n_slices))).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
@@ -401,10 +465,13 @@ def meet(
         return pa.Table.from_batches(parts) if parts else arrow_schema.empty_table()
 
     arrow_schema = to_arrow_schema(_parse_datatype_string(schema))
+    # cells cost by their pairs: partitions merged by their few bytes would leave them to a few tasks
+    left = left.repartition(max(n_blocks * n_slices, chunks.sparkSession.sparkContext.defaultParallelism), *cell)
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(in_cell, schema)
 
 
-def partial_lists(rankings: list[Ranking], questions: DataFrame, chunks: DataFrame, *, max_block: int = MAX_BLOCK, block: pa.Table | None = None) -> DataFrame:
+def partial_lists(rankings: list[Ranking], questions: DataFrame, chunks: DataFrame, *, max_block: int = MAX_BLOCK, block: pa.Table | None = None,
+                  **options) -> DataFrame:
     """Per-task best chunks of each list: ``(list, query_id, id, score)``, all in one pass over the chunks."""
     def fold(part: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = [_Run(r, part) for r in rankings]
@@ -414,7 +481,7 @@ def partial_lists(rankings: list[Ranking], questions: DataFrame, chunks: DataFra
         yield from (t for t in (run.table() for run in runs) if t is not None)
 
     types = questions.schema["query_id"].dataType.simpleString(), chunks.schema["id"].dataType.simpleString()
-    return meet(fold, questions, chunks, "list string, query_id {}, id {}, score double".format(*types), max_block=max_block, block=block)
+    return meet(fold, questions, chunks, "list string, query_id {}, id {}, score double".format(*types), max_block=max_block, block=block, **options)
 
 
 def best_of(partial: DataFrame, rankings: list[Ranking]) -> DataFrame:
@@ -435,7 +502,7 @@ def floors_of(rankings: list[Ranking], found: DataFrame) -> DataFrame:
 
 
 def best_lists(rankings: list[Ranking], questions: DataFrame, chunks: DataFrame, *, max_block: int = MAX_BLOCK, sample: float = SAMPLE,
-               block: pa.Table | None = None) -> DataFrame:
+               block: pa.Table | None = None, **options) -> DataFrame:
     """The exact best chunks of several lists: ``(list, query_id, id, score, rank)``.
 
     questions: query_id and what the kinds of the lists need (null: the question is not in that list), and, if wanted,
@@ -444,7 +511,7 @@ def best_lists(rankings: list[Ranking], questions: DataFrame, chunks: DataFrame,
     """
     block = bounded_block(questions, max_block) if block is None else block
     if sample:
-        seeded = best_of(partial_lists(rankings, questions, chunks.sample(sample, seed=11), max_block=max_block, block=block), rankings)
+        seeded = best_of(partial_lists(rankings, questions, chunks.sample(sample, seed=11), max_block=max_block, block=block, **options), rankings)
         floors = floors_of(rankings, seeded)
         if block is None:
             questions = questions.join(floors, "query_id", "left")
@@ -454,7 +521,7 @@ def best_lists(rankings: list[Ranking], questions: DataFrame, chunks: DataFrame,
             for r in rankings:
                 name = f"floor_{r.name}"
                 block = block.append_column(name, pa.array([found[q][name] if q in found else None for q in block["query_id"].to_pylist()], pa.float64()))
-    return best_of(partial_lists(rankings, questions, chunks, max_block=max_block, block=block), rankings)
+    return best_of(partial_lists(rankings, questions, chunks, max_block=max_block, block=block, **options), rankings)
 
 
 def stored_lists(rankings: list[Ranking], questions: DataFrame, chunks: DataFrame, **options) -> DataFrame:

@@ -15,9 +15,12 @@ from docquarry.functions import fixed
 from docquarry.functions.text import strip, truncate
 from docquarry.functions.vectors import cosine, is_usable
 from docquarry.operators import fusion, scoring
-from docquarry.operators.keyword import coverage_terms, idf_terms, keyword_idf
+from docquarry.operators.keyword import coverage_terms, idf_terms, keyword_idf, keyword_topk_many
 from docquarry.operators.postings import Postings
-from docquarry.operators.semantic import valid_vectors
+from docquarry.operators.semantic import semantic_topk, valid_vectors
+from docquarry.session import persist_table
+
+VECTOR_ROWS = 100_000  # vectors per grid cell, where no texts go with them
 
 
 def valid_questions(questions: DataFrame) -> DataFrame:
@@ -112,6 +115,8 @@ def search_documents(
     max_block: int = scoring.MAX_BLOCK,
 ) -> DataFrame:
     """The search tool: fused and de-duplicated, guarded, best ``top_k`` per question."""
+    if not {"tenant_id", "principals"} & {*questions.columns} and scoring.bounded_block(questions, max_block) is None:
+        return search_many(questions, chunks, stopwords=stopwords, scope=scope, floor=floor, max_top_k=max_top_k, max_block=max_block)
     candidates = fusion.candidate_dedup(fused_candidates(
         questions, chunks, stopwords=stopwords, scope=scope, max_block=max_block))
     kept = fusion.similarity_guard(candidates, floor)
@@ -120,6 +125,37 @@ def search_documents(
         "semantic_score", F.col("rrf").alias("score"))
 
 
+def search_many(
+    questions: DataFrame,
+    chunks: DataFrame,
+    *,
+    stopwords: list[str] = fixed.TOOL_STOPWORDS,
+    scope: str | None = "category",
+    floor: float = fixed.SIMILARITY_FLOOR,
+    max_top_k: int = 20,
+    max_block: int = scoring.MAX_BLOCK,
+) -> DataFrame:
+    """:func:`search_documents` for more questions than a block holds, with the same rows.
+
+    The lists are made apart, so that no text goes to the grid of questions and chunks. Candidates are ids and numbers with
+    a digest of their text until they are cut; vectors meet what is left, and texts the answer only.
+    """
+    asked = questions.select("query_id", "query_vec", *([scope] if scope in questions.columns else []))
+    semantic = persist_table(semantic_topk(asked, chunks, scope=scope, max_block=max_block, sample=0, slice_rows=VECTOR_ROWS), "semantic")
+    texts = chunks.select("id", F.lower("content").alias("text"), *scoring.scoped(chunks, scope))
+    keyword = keyword_topk_many(coverage_terms(questions, stopwords, scope), texts, max_block=max_block)
+    fused = fusion.rrf_fusion(semantic, keyword).join(fusion.text_keys(chunks), "id")
+    kept = persist_table(fusion.candidate_dedup(fused).select("query_id", "id", "place", "rrf", "sim"), "candidates")
+    blind = kept.filter(F.col("sim").isNull()).join(chunks.select("id", "embedding"), "id").join(questions.select("query_id", "query_vec"), "query_id")
+    seen = kept.filter(F.col("sim").isNotNull()).unionByName(
+        blind.withColumn("sim", F.coalesce(F.round(cosine(F.col("embedding"), F.col("query_vec")), 6), F.lit(0.0))).select(*kept.columns))
+    best = fusion.similarity_guard(seen.withColumnRenamed("sim", "semantic_score"), floor).join(questions.select("query_id", "top_k"), "query_id")
+    best = best.filter(F.col("place") <= fusion.clamp(F.col("top_k"), 1, max_top_k))
+    return chunks.select("id", "source", "location", "content", "category").join(best, "id").select(
+        "query_id", F.col("place").alias("rank"), "id", "source", "location", "content", "category",
+        "semantic_score", F.col("rrf").alias("score"))
+
+
 def reranked_candidates(questions: DataFrame, chunks: DataFrame, *, scorer=None,
                         max_block: int = scoring.MAX_BLOCK) -> DataFrame:
     candidates = fusion.candidate_dedup(fused_candidates(valid_questions(questions), chunks, max_block=max_block))

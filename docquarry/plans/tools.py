@@ -7,6 +7,7 @@ one job per tool. Every tool takes requests and chunks and returns rows keyed by
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,15 +34,37 @@ def search(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.withColumnRenamed("query_id", "request_id")
 
 
+LIST_REQUESTS = 512     # requests for the same files that travel as one list
+PART_FILES = 1024       # files of a category that meet a list at once
+TASK_ROWS = 4 << 20     # rows of the answer that a task makes
+
+
 def list_files(requests: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``request_id, category`` (null for all) to the file inventory."""
-    files = catalog.list_files(chunks)
-    asked = requests.select("request_id", F.col("category").alias("_wanted"))
-    per = files.join(asked.filter(F.col("_wanted").isNotNull()), F.col("category") == F.col("_wanted")).drop("_wanted")
-    # requests for everything get every file: the answer itself is that long
-    every = files.withColumn("_all", F.lit(True)).join(
-        asked.filter(F.col("_wanted").isNull()).select("request_id", F.lit(True).alias("_all")), "_all").drop("_all")
-    return per.unionByName(every)
+    """``request_id, category`` (null for all) to the file inventory.
+
+    The answer has requests x files rows, and there are few categories to join on. So the requests for a category are
+    dealt into lists and its files into parts, every list meets every part in a cell of its own, and tasks get cells by
+    the rows that these make, not by the bytes that are read.
+    """
+    asked = persist_table(requests.select(
+        "request_id", F.coalesce(F.concat(F.lit("="), "category"), F.lit("*")).alias("_key"), F.monotonically_increasing_id().alias("_row")), "asked")
+    files = persist_table(catalog.inventory(chunks), "inventory")
+    keyed = files.withColumn("_key", F.explode(F.array_compact(F.array(F.lit("*"), F.concat(F.lit("="), "category")))))
+
+    def pieces(df: DataFrame, size: int, name: str) -> DataFrame:
+        return df.groupBy("_key").agg(F.ceil(F.count("*") / size).alias(name), F.count("*").alias(f"_in{name}"))
+
+    sizes = persist_table(pieces(asked, LIST_REQUESTS, "_lists").join(pieces(keyed, PART_FILES, "_parts"), "_key"), "cells")
+    cells, rows = sizes.agg(F.coalesce(F.sum(F.col("_lists") * F.col("_parts")), F.lit(0)),
+                            F.coalesce(F.sum(F.col("_in_lists").cast("double") * F.col("_in_parts")), F.lit(0.0))).first()
+    tasks = min(max(cells, 1), max(4 * chunks.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS)))
+    sizes, cell = sizes.select("_key", "_lists", "_parts"), ["_key", "_list", "_part"]
+    lists = asked.join(sizes, "_key").groupBy("_key", F.pmod(F.xxhash64("_row"), "_lists").alias("_list"), "_parts").agg(F.collect_list("request_id").alias("_ids"))
+    lists = lists.select("_key", "_list", "_ids", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1).cast("array<bigint>")).alias("_part"))
+    parts = keyed.join(sizes, "_key").withColumn("_part", F.pmod(F.xxhash64("source"), "_parts")).withColumn(
+        "_list", F.explode(F.sequence(F.lit(0), F.col("_lists") - 1).cast("array<bigint>")))
+    met = parts.repartition(tasks, *cell).join(lists.hint("shuffle_hash"), cell)
+    return met.select(*files.columns, F.explode("_ids").alias("request_id"))
 
 
 TOOLS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {

@@ -14,7 +14,7 @@ from docquarry.operators import catalog
 from docquarry.plans import tools
 from docquarry.registry.retrieval import ORACLES as RETRIEVAL
 from docquarry.registry.views import FILE_NO, INDEX_COLUMNS, QUESTIONS_SQL, index_chunks, n_vectors, table, with_index
-from docquarry.session import shared_dir
+from docquarry.session import persist_table, shared_dir
 from docquarry.sources import tables as tb
 
 _ACL = [
@@ -144,8 +144,9 @@ _CALLS = (
 def q_tool_dispatch(s, d):
     """Calls written as text, parsed and answered by the five tools they name."""
     t = table(s, d, "documents").selectExpr("doc_id AS request_id", f"{_CALLS} AS content")
-    calls = tx.unroll(t, tool_calls(F.col("content")), "pos", "c", ["request_id"]).select("request_id", "c.tool", "c.args")
-    index = index_chunks(s, d)
+    # stored once: the tools would parse the calls, and join vectors to the texts, again in every pass
+    calls = persist_table(tx.unroll(t, tool_calls(F.col("content")), "pos", "c", ["request_id"]).select("request_id", "c.tool", "c.args"), "calls")
+    index = persist_table(index_chunks(s, d).drop("file_hash"), "index")
 
     def asked(tool: str, **types: str) -> DataFrame:
         return tools.calls_of(calls, tool, **types)

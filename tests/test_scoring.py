@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.operators import scoring
-from docquarry.operators.keyword import containment_pairs, coverage_terms, keyword_coverage, keyword_idf, keyword_idf_topk, keyword_topk
+from docquarry.operators.keyword import containment_pairs, coverage_terms, keyword_coverage, keyword_idf, keyword_idf_topk, keyword_topk, keyword_topk_many
 from docquarry.operators.buckets import Hashing, fit_hashing, semantic_topk_buckets, write_buckets
 from docquarry.operators.semantic import recall_of, semantic_top1, semantic_topk, valid_vectors
 from docquarry.operators.postings import read_postings, word_hits, write_postings
@@ -263,6 +263,43 @@ def test_retrieval_with_many_questions_joins_by_shuffle(frames, flow):
     assert sorted(map(tuple, flow(q, c).collect())) == sorted(map(tuple, flow(q, c, max_block=4).collect()))
 
 
+def test_search_of_many_questions_sends_no_texts_to_the_grid(spark, frames, monkeypatch):
+    """Beyond a block, texts are walked once, for all words, and candidates carry no texts; the rows stay the same."""
+    q, c = frames
+    c = c.withColumn("source_type", F.lit("document"))
+    want = sorted(map(tuple, retrieve.search_documents(q, c, floor=-1.0).collect()))
+    sent = []
+    real = scoring.meet
+    monkeypatch.setattr(scoring, "meet", lambda fold, asked, chunks, *a, **b: sent.append((b.get("key"), {*chunks.columns})) or real(fold, asked, chunks, *a, **b))
+    got = retrieve.search_documents(q, c, floor=-1.0, max_block=4)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 20
+    assert [k for k, columns in sent if "text" in columns] == ["word"]
+
+
+@pytest.mark.parametrize("common", [0, 40, 10_000])
+def test_keyword_lists_of_many_questions_by_rare_and_common_words(spark, frames, corpus, common):
+    q, c = frames
+    for scope in (None, "category"):
+        terms = coverage_terms(q, [], scope)
+        texts = c.select("id", F.lower("content").alias("text"), *scoring.scoped(c, scope))
+        got = keyword_topk_many(terms, texts, 9, common=common, max_block=4)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, keyword_topk(q, c, 9, stopwords=[], scope=scope).collect()))
+
+
+def test_best_pairs_are_the_same_whenever_lists_are_cut():
+    rng = np.random.default_rng(5)
+    q, s, i = rng.integers(0, 7, 4000), np.round(rng.random(4000), 2), rng.permutation(4000)
+    s[q == 3] = 0.5  # nothing but ties
+    want = sorted((int(a), -float(b), int(c)) for a, b, c in zip(q, s, i))
+    want = [w for n in range(7) for w in [x for x in want if x[0] == n][:5]]
+    for step in (1, 37, 4000):
+        best = scoring.BestK(8, 5)
+        for at in range(0, 4000, step):
+            best.add_pairs(q[at:at + step], s[at:at + step], i[at:at + step])
+        best.cut()
+        assert sorted(zip(best.q.tolist(), (-best.s).tolist(), best.i.tolist())) == want
+
+
 def test_guard_drops_weak_questions(spark):
     from docquarry.operators.fusion import similarity_guard
 

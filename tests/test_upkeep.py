@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docquarry.functions.seams import embed_hashed, embed_model
 from docquarry.functions.toolcalls import split_arguments, tool_calls
 from docquarry.operators import catalog, evaluation, maintenance as mt
-from docquarry.plans import ingest
+from docquarry.plans import ingest, tools
 from docquarry.sources import audit, files as src, tables as tb
 from docquarry.streaming import activity, objects, retries
 
@@ -470,6 +470,23 @@ def test_tool_calls(spark):
     assert got[1] == [("read_chunk", {"source": "a.md"})] and got[3] == [] and got[4] == []
 
 
+def test_listed_files_of_one_category_are_spread_over_tasks(spark, monkeypatch):
+    """Requests x files rows of a single category come from many tasks; requests for all files, and equal ids, get them too."""
+    monkeypatch.setattr(tools, "LIST_REQUESTS", 10)
+    monkeypatch.setattr(tools, "PART_FILES", 30)
+    chunks = spark.range(600).selectExpr(
+        "concat('local://f', id % 300) AS source", "IF(id % 300 < 290, 'hr', IF(id % 300 < 295, 'it', NULL)) AS category", "timestamp_seconds(id) AS created_at")
+    asked = spark.range(200).selectExpr("IF(id < 20, 0L, id) AS request_id", "CASE WHEN id < 190 THEN 'hr' WHEN id < 195 THEN 'no' WHEN id < 198 THEN 'it' END AS category")
+    got = tools.list_files(asked, chunks).withColumn("task", F.spark_partition_id())
+    rows = got.groupBy("task").count().collect()
+    assert sum(r["count"] for r in rows) == 190 * 290 + 3 * 5 + 2 * 300
+    assert max(r["count"] for r in rows) < 190 * 290 / 4
+    per = {r["request_id"]: (r["count"], r["files"]) for r in got.groupBy("request_id").agg(F.count("*").alias("count"), F.countDistinct("source").alias("files")).collect()}
+    assert per[0] == (20 * 290, 290) and per[20] == (290, 290) and per[195] == (5, 5) and per[198] == per[199] == (300, 300) and 190 not in per
+    assert got.filter("request_id = 199").agg(F.min("chunks"), F.max("chunks")).first() == (2, 2)
+    assert tools.list_files(asked.limit(0), chunks).count() == 0
+
+
 def test_embedding_seams(spark):
     df = spark.createDataFrame([("Hello world",), ("...",)], "t string")
     vectors = [r["embedding"] for r in embed(df, "t").collect()]
